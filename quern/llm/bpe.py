@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -31,6 +32,10 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in shown else chr(next(hidden)) for b in range(256)]
 
 
+_PLACE = {c: b for b, c in enumerate(byte_symbols())}
+_RARE = re.compile("[^\x00-\u052f\u1e00-\u2052\u20a0-\u214f]").search
+
+
 class Bpe:
     """A BPE tokenizer with word ends, read from a tokenizers JSON file. encode() and decode() agree with that library."""
 
@@ -54,6 +59,8 @@ class Bpe:
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks, self.made = keys[order], order.astype(np.int64), made[order]
         self.cache: dict[str, bytes] = {}
+        self.library = None
+        self.path = path
 
     def merge(self, words: list[bytes]) -> list[np.ndarray]:
         """Ids of each non-empty word, given in UTF-8."""
@@ -90,6 +97,19 @@ class Bpe:
             symbols, owner = symbols[keep], owner[keep]
         return done
 
+    def split(self, text: str) -> list[str]:
+        """The words of a text without special strings, normalised."""
+        if _RARE(text) is None:
+            text = text if unicodedata.is_normalized("NFC", text) else unicodedata.normalize("NFC", text)
+            return self.find(text.replace("Σ", "σ").lower())  # single characters are lowered: the library knows no final sigma
+        # Unicode versions differ on letters of later scripts: the library's own tables decide
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(self.path)
+        found = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
+        return [bytes(map(_PLACE.__getitem__, w)).decode() for w, _ in found]
+
     def _fill(self, words: set[str]) -> None:
         new = [w for w in words if w not in self.cache]
         if len(self.cache) + len(new) > CACHE_WORDS:
@@ -109,9 +129,7 @@ class Bpe:
                 if part in self.special:
                     pieces.append(self.special[part])
                 elif part:
-                    # lower case of single characters: the library knows no final sigma
-                    part = part if unicodedata.is_normalized("NFC", part) else unicodedata.normalize("NFC", part)
-                    pieces.append(self.find(part.replace("Σ", "σ").lower()))
+                    pieces.append(self.split(part))
             split.append(pieces)
         self._fill({w for pieces in split for p in pieces if isinstance(p, list) for w in p})
         get = self.cache.__getitem__

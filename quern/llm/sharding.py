@@ -1,6 +1,7 @@
 """Op 8: sharding by a minimax contiguous partition of ordered atomic groups.
 
-Equal texts share an atom: ATOMS ranges of the hash of the text, in order. The atoms' sizes are a histogram of fixed length whatever the
+Equal texts share an atom: ATOMS ranges of the hash of the text. Atoms of over LARGE of an even shard come first, the largest ahead, the
+others follow in the order of the hash, so that small atoms even out what large ones leave. The atoms' sizes are a histogram of fixed length whatever the
 input, so the driver may hold it. The smallest feasible capacity is found by binary search with a greedy check, and the order is cut
 within it, each cut as near to an even share of what remains as the capacity allows.
 """
@@ -16,6 +17,7 @@ from pyspark.sql import window as W
 from quern.llm.scratch import save
 
 ATOMS = 1 << 17
+LARGE = 1 / 8
 HOT_ROWS = 50_000  # atoms with more rows are numbered in parts
 
 
@@ -68,6 +70,8 @@ def shard(docs: DataFrame, shards: int = 16) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.shiftrightunsigned(F.xxhash64(text), 64 - ATOMS.bit_length() + 1).cast("int").alias("atom"))
     rows = save(rows)
     counted = rows.groupBy("atom").agg(F.sum("size").alias("size"), F.count("*").alias("rows")).toPandas().sort_values("atom")  # at most ATOMS rows
+    large = counted["size"] > LARGE * counted["size"].sum() / shards
+    counted = pd.concat([counted[large].sort_values(["size", "atom"], ascending=[False, True]), counted[~large]])
     counted["parts"] = np.maximum(1, -(-counted["rows"] // HOT_ROWS))
     counted["shard"] = cut(counted["size"].to_numpy(dtype=np.int64), shards)
     counted["base"] = counted.groupby("shard")["rows"].cumsum() - counted["rows"]
