@@ -161,7 +161,7 @@ def license_scan(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("n_words", _count(F.col("text")))
     hit = F.col("text").rlike(_GATE)
     pieces = _places(F.concat(F.lit(" "), F.col("text")), _HERE)
-    lean = rows.select("doc_id", "n_words", F.when(hit, F.sha2("text", 256)).alias("row"), F.when(hit, pieces).alias("pieces"))
+    lean = rows.select("doc_id", "n_words", F.when(hit, F.sha2("text", 256)).otherwise(F.concat(F.lit("-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("row"), F.when(hit, pieces).alias("pieces"))
     base = lean.select(
         "doc_id", "n_words", "row", F.coalesce(F.size("pieces") - 1, F.lit(0)).cast("long").alias("n_base"),
         F.when(F.size("pieces") > 1, _count(F.element_at("pieces", 1))).alias("first_word"),
