@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quern.functions import scalars as S
 
@@ -27,7 +28,7 @@ def embed(rows: DataFrame, embedder: Callable[[list[str]], list[list[float]]], b
             yield frame.assign(vector=vectors)
 
     base = rows.drop("vector")
-    return base.mapInPandas(run, base.schema.add("vector", "array<float>"))
+    return base.mapInPandas(run, T.StructType([*base.schema.fields, T.StructField("vector", T.ArrayType(T.FloatType()))]))
 
 
 def answer_prompt(chunks: DataFrame, question: str, rank: str = "rank") -> DataFrame:
