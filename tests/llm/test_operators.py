@@ -340,6 +340,8 @@ def test_main_text(spark, data):
     stored = spark.read.parquet(f"{data}/sf0.01/pages.parquet")
     import html as entities
 
+    other = html_text.main_text(stored.limit(60).unionByName(stored.limit(60)), broadcast_hosts=0)
+    assert other.count() == 120
     for r in html_text.main_text(stored).join(stored.select("page_id", "html"), "page_id").collect():
         body = r.html.split("<article>")[1].split("</article>")[0].split("<footer>")[0]
         body = re.sub(r"</?(?:p|h1|br)>", " ", body)
