@@ -18,7 +18,8 @@ from quern.llm.scratch import save
 
 ATOMS = 1 << 17
 LARGE = 1 / 8
-HOT_ROWS = 50_000  # atoms with more rows are numbered in parts
+HOT_ROWS = 1000  # atoms with more rows are numbered in parts, 1 / MOST_PARTS of all rows if that is more
+MOST_PARTS = 1 << 16
 
 
 def feasible(prefix: np.ndarray, capacity: int, shards: int, start: int = 0) -> bool:
@@ -72,13 +73,13 @@ def shard(docs: DataFrame, shards: int = 16) -> DataFrame:
     counted = rows.groupBy("atom").agg(F.sum("size").alias("size"), F.count("*").alias("rows")).toPandas().sort_values("atom")  # at most ATOMS rows
     large = counted["size"] > LARGE * counted["size"].sum() / shards
     counted = pd.concat([counted[large].sort_values(["size", "atom"], ascending=[False, True]), counted[~large]])
-    counted["parts"] = np.maximum(1, -(-counted["rows"] // HOT_ROWS))
+    counted["parts"] = np.maximum(1, -(-counted["rows"] // max(HOT_ROWS, int(counted["rows"].sum()) // MOST_PARTS)))
     counted["shard"] = cut(counted["size"].to_numpy(dtype=np.int64), shards)
     counted["base"] = counted.groupby("shard")["rows"].cumsum() - counted["rows"]
     places = spark.createDataFrame(counted[["atom", "shard", "base", "parts"]].astype({"atom": "int32", "shard": "int32", "base": "int64", "parts": "int32"}), "atom int, shard int, base long, parts int") if len(counted) else spark.createDataFrame([], "atom int, shard int, base long, parts int")
     placed = rows.join(F.broadcast(places), "atom").withColumn("part", F.pmod(F.xxhash64("doc_id"), "parts").cast("int"))
 
-    hot = placed.where("parts > 1").groupBy("atom", "part").agg(F.count("*").alias("n")).toPandas()  # at most rows / HOT_ROWS * 2 + 1
+    hot = placed.where("parts > 1").groupBy("atom", "part").agg(F.count("*").alias("n")).toPandas()  # at most 2 * MOST_PARTS rows
     hot = hot.sort_values(["atom", "part"])
     hot["before"] = hot.groupby("atom")["n"].cumsum() - hot["n"]
     offsets = spark.createDataFrame(pd.DataFrame({"atom": hot["atom"].astype("int32"), "part": hot["part"].astype("int32"), "before": hot["before"].astype("int64")}), "atom int, part int, before long") if len(hot) else spark.createDataFrame([], "atom int, part int, before long")
