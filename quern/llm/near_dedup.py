@@ -1,7 +1,7 @@
 """Op 2: near-duplicates by HyperMinHash sketches, banding and exact verification.
 
 A text's set holds the hashes of its distinct shingles of five words. The hash's top bits choose a bucket; the smallest remainder of a
-bucket is kept as its count of leading zeros (6 bits) and the 26 mantissa bits below the leading one. Bands of four registers propose
+bucket is kept as its count of leading zeros (6 bits) and the 26 mantissa bits below the leading one. Bands of ROWS registers propose
 candidates; the collision-corrected estimate drops hopeless pairs; the full sets decide.
 
 Equal sets are one class, represented by its smallest doc_id. Classes that share a band, directly or through others, form a family,
