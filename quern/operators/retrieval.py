@@ -1,6 +1,6 @@
 """Dense and full-text retrieval, weighted reciprocal rank fusion, reranking and the chunk view.
 
-Every ranking has a total order. Query vectors and terms are a few rows and are broadcast; chunks are scanned once for each ranking.
+Every ranking has a total order. Query terms are broadcast up to a checked number; chunks are scanned once for each ranking.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ METRICS: dict[str, Callable[[Column, Column], Column]] = {
     "dot": lambda a, b: -S.dot(a, b),
 }
 K1, B = 1.2, 0.75
+BROADCAST_TERMS = 500_000  # (query, term) rows that may be broadcast, at about 50 bytes
 
 
 def _positive(**values: int) -> None:
@@ -41,18 +42,20 @@ def terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(S.text_of(text)), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
-def bm25(table: DataFrame, queries: DataFrame, k: int, id_col: str = "chunk_id", text_col: str = "text") -> DataFrame:
+def bm25(table: DataFrame, queries: DataFrame, k: int, id_col: str = "chunk_id", text_col: str = "text", broadcast_terms: int = BROADCAST_TERMS) -> DataFrame:
     """For queries (query_id, query), the k best rows of each: query_id, id, score (4 digits), rank. Terms are alternatives.
 
-    One scan gives document lengths and, for the queries' terms only, postings; terms of a query are few and broadcast.
+    One scan gives document lengths and, for the queries' terms only, postings. Terms and their document counts are broadcast up to
+    broadcast_terms rows, else joined by a shuffle.
     """
     _positive(k=k)
     asked = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("query")))).alias("term"))
+    few = F.broadcast if asked.limit(broadcast_terms + 1).count() <= broadcast_terms else (lambda df: df)
     docs = table.select(F.col(id_col), terms(F.col(text_col)).alias("terms")).withColumn("dl", F.size("terms"))
     stats = docs.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    postings = docs.select(id_col, "dl", F.explode("terms").alias("term")).join(F.broadcast(asked.select("term").distinct()), "term").groupBy("term", id_col, "dl").agg(F.count("*").alias("tf"))
+    postings = docs.select(id_col, "dl", F.explode("terms").alias("term")).join(few(asked.select("term").distinct()), "term").groupBy("term", id_col, "dl").agg(F.count("*").alias("tf"))
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    scored = postings.join(F.broadcast(df), "term").join(F.broadcast(asked), "term").join(F.broadcast(stats))
+    scored = postings.join(few(df), "term").join(few(asked), "term").join(F.broadcast(stats))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     total = scored.groupBy("query_id", id_col).agg(F.round(F.sum(part), 4).alias("score"))

@@ -154,16 +154,6 @@ def path_clean(spark, d):
     return table(spark, d, "pages").select("page_id", F.regexp_replace("url", "[^/]*//", "").alias("raw"), S.clean_path(F.concat("url", F.lit("/../x//./y"))).alias("clean"))
 
 
-_CITE = "'[Fonte: ' || source || ', ' || lang || ' (p. ' || (doc_id + 1) || ')]' || chr(10) || text"
-
-
-@query(f"SELECT source, string_agg({_CITE}, chr(10) || chr(10) ORDER BY doc_id) AS context FROM documents WHERE doc_id < 30 GROUP BY source")
-def citation_context(spark, d):
-    block = S.citation(F.col("source"), F.col("lang"), S.page_position(F.col("doc_id") + 1), F.col("text"))
-    few = docs(spark, d).where("doc_id < 30").select("source", "doc_id", block.alias("b"))
-    return few.groupBy("source").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "b"))), lambda x: x["b"]), "\n\n").alias("context"))
-
-
 @query("SELECT conv_id, turn, 'Contesto:' || chr(10) || chr(10) || coalesce(lag(text) OVER w, '') || chr(10) || chr(10) || 'Domanda: ' || text AS prompt FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn) QUALIFY role = 'user'")
 def chat_messages(spark, d):
     w = W.Window.partitionBy("conv_id").orderBy("turn")
@@ -333,6 +323,17 @@ def bm25_multi_query(spark, d):
     return retrieval.bm25(docs(spark, d), asked, 10, "doc_id").select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
+_CITE = "'[Fonte: ' || source || ', ' || lang || ' (p. ' || (d.doc_id + 1) || ')]' || chr(10) || text"
+
+
+@query(f"WITH {_bm25_ctes(_MANY, 10)} SELECT query_id, string_agg({_CITE}, chr(10) || chr(10) ORDER BY rank) AS context FROM fts JOIN documents d ON fts.doc_id = d.doc_id GROUP BY query_id")
+def citation_context(spark, d):
+    """The ten best documents of each query, as the context of an answer."""
+    block = S.citation(F.col("source"), F.col("lang"), S.page_position(F.col("doc_id") + 1), F.col("text"))
+    found = bm25_multi_query(spark, d).select("query_id", "doc_id", "rank").join(docs(spark, d), "doc_id").select("query_id", "rank", block.alias("b"))
+    return found.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "b"))), lambda x: x["b"]), "\n\n").alias("context"))
+
+
 def _fused(alpha: float, top: int = 20, wide: int = 40) -> str:
     return f"""{_bm25_ctes(_ONE, wide)}, dense AS (SELECT vec_id AS doc_id, dist, row_number() OVER (ORDER BY dist, vec_id) AS rank FROM (SELECT vec_id, {_L2} AS dist FROM embeddings, {_Q}) QUALIFY rank <= {wide}),
 j AS (SELECT coalesce(dense.doc_id, fts.doc_id) AS doc_id, dense.rank AS rd, fts.rank AS rf, dense.dist, fts.score FROM dense FULL JOIN fts ON dense.doc_id = fts.doc_id),
@@ -545,9 +546,9 @@ def point_attributes(spark, d):
     return points.join(named, "vec_id", "left").select("vec_id", "source", F.coalesce("source", F.lit("Sconosciuto")).alias("title"))
 
 
-@query("SELECT vec_id, CAST(i - 1 AS INT) AS pos, greatest(0.0::DOUBLE, least(1.0::DOUBLE, CAST(embedding[i] AS DOUBLE) + 0.5::DOUBLE)) AS shade FROM embeddings, unnest(range(1, 65)) u(i) WHERE vec_id < 20 AND i <= len(embedding)")
+@query("SELECT vec_id, CAST(i - 1 AS INT) AS pos, greatest(0.0::DOUBLE, least(1.0::DOUBLE, CAST(embedding[i] AS DOUBLE) + 0.5::DOUBLE)) AS shade FROM embeddings, unnest(range(1, 65)) u(i) WHERE i <= len(embedding)")
 def embedding_cells(spark, d):
-    return vectors(spark, d).where("vec_id < 20").select("vec_id", F.posexplode(F.slice("embedding", 1, 64)).alias("pos", "c")).select("vec_id", "pos", S.cell(F.col("c").cast("double")).alias("shade"))
+    return vectors(spark, d).select("vec_id", F.posexplode(F.slice("embedding", 1, 64)).alias("pos", "c")).select("vec_id", "pos", S.cell(F.col("c").cast("double")).alias("shade"))
 
 
 @query("SELECT label, 'C' || label AS cluster FROM (SELECT DISTINCT label FROM embeddings) ORDER BY label")

@@ -129,6 +129,13 @@ def test_hybrid_modes_and_hostile_queries(spark):
         retrieval.knn(table, [1.0], 2).collect()
 
 
+def test_full_text_without_broadcast(spark, data):
+    docs, asked = spark.read.parquet(f"{data}/sf0.001/documents.parquet"), spark.read.parquet(f"{data}/sf0.001/benchmark.parquet")
+    asked = asked.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    small, large = (sorted(map(tuple, retrieval.bm25(docs, asked, 10, "doc_id", broadcast_terms=n).collect())) for n in (10**6, 0))
+    assert small and small == large
+
+
 def test_metrics(spark):
     flags = spark.createDataFrame([(1, 1, True), (1, 2, False), (1, 3, True), (2, 1, False)], "case_id int, rank int, relevant boolean")
     assert {r.case_id: (r.precision, r.recall) for r in evaluation.context_metrics(flags).collect()} == {1: (0.8333, 1.0), 2: (0.0, 0.0)}
