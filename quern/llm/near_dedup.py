@@ -157,9 +157,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 
     base = save(docs.mapInPandas(sketches, "doc_id long, n_shingles long, digest binary, bands array<long>"))
     some = base.where("n_shingles > 0 and doc_id is not null")
-    firsts = some.groupBy("digest").agg(F.min("doc_id").alias("class_id"))
-    classed = save(some.join(firsts, "digest").select("doc_id", "class_id", F.when(F.col("doc_id") == F.col("class_id"), F.col("bands")).alias("bands")))
-    bands = classed.where("bands is not null").select("class_id", F.explode("bands").alias("key"))
+    # one row of a class from each task, so that a class with a third of all rows isn't shuffled row by row
+    classes = save(some.groupBy("digest").agg(F.min(F.struct("doc_id", "bands")).alias("least")).select("digest", F.col("least.doc_id").alias("class_id"), F.col("least.bands").alias("bands")))
+    bands = classes.select("class_id", F.explode("bands").alias("key"))
     shared = bands.groupBy("key").agg(F.min("class_id").alias("first"), F.max("class_id").alias("last")).where("first < last").select("key", "first")
     families = save(connected_components(bands.join(shared, "key").where("class_id <> first").select(F.col("class_id").alias("a"), F.col("first").alias("b")).distinct()))
 
@@ -181,9 +181,14 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 
     links = tasks.join(full, "class_id").groupBy("component", "i", "j").applyInPandas(forest, "a long, b long")
     # a doc_id with several texts ties their classes together
-    found = connected_components(links.unionByName(classed.where("doc_id <> class_id").select(F.col("doc_id").alias("a"), F.col("class_id").alias("b"))))
+    several = some.groupBy("doc_id").agg(F.min("digest").alias("one"), F.max("digest").alias("other")).where("one <> other")
+    ties = some.select("doc_id", "digest").join(several, "doc_id", "left_semi").join(classes.select("digest", "class_id"), "digest").select(F.col("doc_id").alias("a"), F.col("class_id").alias("b"))
+    found = connected_components(links.unionByName(ties))
     one = found.groupBy("node").agg(F.min("component").alias("component"))
-    return base.join(one, base["doc_id"] == one["node"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    named = classes.join(one, classes["class_id"] == one["node"], "left").select("digest", F.coalesce("component", "class_id").alias("component_id"))
+    alone = base.where("not (n_shingles > 0 and doc_id is not null)").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    rows = some.join(named, "digest").select("doc_id", "n_shingles", "component_id").unionByName(alone)
+    return rows.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def keep_one_of_each(docs: DataFrame, percent: int = 80) -> DataFrame:
