@@ -348,6 +348,28 @@ def test_main_text(spark, data):
         assert r.text == " ".join(entities.unescape(re.sub(r"<[^>]*>", "", body)).split()) and r.n_chars == len(r.text)
 
 
+@pytest.mark.parametrize("broadcast_hosts", [html_text.BROADCAST_HOSTS, 0])
+def test_main_text_finds_repeats_in_any_part_of_a_host(spark, monkeypatch, broadcast_hosts):
+    rng = random.Random(5)
+    shared = [" ".join(f"s{k}w{i}" for i in range(n)) for k, n in enumerate((3, 9, 14, 30))]
+    made = []
+    for i in range(60):
+        own = [" ".join(f"p{i}x{rng.randrange(10**6)}" for _ in range(rng.choice((4, 12, 25)))) for _ in range(3)]
+        told = own + rng.sample(shared, 2) * (i % 4 != 0)
+        rng.shuffle(told)
+        body = "".join(f"<p>{t}</p>" for t in told)
+        made.append((i, f"http://{'a.x' if i % 3 else 'b.y'}/{i}", f"<body><nav>{shared[2]}</nav>{body}</body>" if i % 5 else f"<article>{body}</article>"))
+    made += [(100, "http://a.x/100", None), (1, *made[1][1:]), (101, "http://c.z/1", f"<p>{shared[3]}</p>"), (102, None, f"<p>{shared[3]}</p>")]
+    want = []
+    for host in ("a.x", "b.y", "c.z", None):
+        mine = [m for m in made if (m[1].split("/")[2] if m[1] else None) == host]
+        want += [(m[0], t) for m, t in zip(mine, html_text.extract_part([m[2] for m in mine]), strict=True)]
+    assert any(shared[3] in t for _, t in want) and not any(shared[3] in t for k, t in want if k < 100 and k % 5)
+    monkeypatch.setattr(html_text, "PART", 4)
+    frame = spark.createDataFrame(made, "page_id long, url string, html string")
+    assert rows_of(html_text.main_text(frame, broadcast_hosts).select("page_id", "text")) == sorted(want)
+
+
 def test_repeats_agree_with_brute_force():
     rng = random.Random(7)
     for _ in range(40):
