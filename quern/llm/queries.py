@@ -77,6 +77,59 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in found}
 
 
+_OP2 = r"""
+WITH RECURSIVE texts AS (
+  SELECT row_number() OVER () AS line, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+  FROM documents
+), places AS (
+  SELECT line, w || ' ' || lead(w, 1) OVER p || ' ' || lead(w, 2) OVER p || ' ' || lead(w, 3) OVER p || ' ' || lead(w, 4) OVER p AS shingle
+  FROM (SELECT line, unnest(words) AS w, unnest(range(len(words))) AS place FROM texts WHERE len(words) >= 5) WINDOW p AS (PARTITION BY line ORDER BY place)
+), shingles AS (
+  SELECT DISTINCT line, shingle FROM places WHERE shingle IS NOT NULL
+  UNION ALL SELECT line, array_to_string(words, ' ') FROM texts WHERE len(words) BETWEEN 1 AND 4
+), sets AS (
+  SELECT line, doc_id, count(shingle) AS n, sha256(string_agg(shingle, chr(10) ORDER BY shingle)) AS digest
+  FROM texts LEFT JOIN shingles USING (line) GROUP BY line, doc_id
+), classes AS (
+  SELECT digest, min(doc_id) AS class_id, min(line) AS line, any_value(n) AS n FROM sets WHERE n > 0 AND doc_id IS NOT NULL GROUP BY digest
+), class_shingles AS (
+  SELECT digest, n, shingle FROM classes JOIN shingles USING (line)
+), links AS (
+  SELECT a.digest AS one, b.digest AS other FROM class_shingles a JOIN class_shingles b ON a.shingle = b.shingle AND a.digest <> b.digest
+    AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+  GROUP BY a.digest, b.digest, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+  UNION SELECT a.digest, b.digest FROM sets a JOIN sets b ON a.doc_id = b.doc_id AND a.digest <> b.digest WHERE a.n > 0 AND b.n > 0
+), reach AS (
+  SELECT digest AS one, digest AS other FROM classes
+  UNION SELECT reach.one, links.other FROM reach JOIN links ON reach.other = links.one
+), components AS (
+  SELECT one AS digest, min(class_id) AS component_id FROM reach JOIN classes ON other = digest GROUP BY one
+)
+SELECT doc_id, n AS n_shingles, coalesce(component_id, doc_id) AS component_id, coalesce(doc_id = coalesce(component_id, doc_id), true) AS kept
+FROM sets LEFT JOIN components ON sets.digest = components.digest AND n > 0 AND doc_id IS NOT NULL
+"""
+
+_OP5 = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), shown AS (
+  SELECT *, role = 'assistant' AS learned,
+         length(text) + len(regexp_extract_all(text, '[<\[]\\*(?:/?s>|/?(?:INST|SYS|ASST|ROLE)\]|NAME\])')) AS text_chars,
+         CASE WHEN role IN ('user', 'assistant') THEN length('[INST][/INST]') WHEN role = 'system' THEN length('[SYS][/SYS]')
+              ELSE length('[ROLE][NAME][/ROLE]') + length(role) + len(regexp_extract_all(role, '[<\[]\\*(?:/?s>|/?(?:INST|SYS|ASST|ROLE)\]|NAME\])')) END AS mark_chars
+  FROM turns
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(concat(role, chr(10), text, chr(10)), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (learned), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (learned), '')) AS loss_sha256,
+       CAST(length('<s>') + sum(text_chars + mark_chars + length('</s>')) AS BIGINT) AS formatted_chars
+FROM shown GROUP BY conv_id
+"""
+
 _OP7 = r"""
 WITH rows AS (
   SELECT doc_id, length(coalesce(text, '')) AS chars, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g')) AS text_sha256
@@ -89,6 +142,37 @@ WITH rows AS (
 SELECT doc_id, keep_id, group_size, (doc_id IS NOT DISTINCT FROM keep_id AND chars = most) AS kept, text_sha256, CAST(chars AS BIGINT) AS chars FROM ranked
 """
 
+_OP9 = r"""
+WITH items AS (
+  SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS words FROM benchmark WHERE item_id IS NOT NULL
+), texts AS (
+  SELECT row_number() OVER () AS line, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS words FROM documents WHERE doc_id IS NOT NULL
+), item_seeds AS (
+  SELECT item_id, words, place, unnest([concat_ws(' ', 1, words[place+1], words[place+2], words[place+3], words[place+5], words[place+6], words[place+8]),
+                                     concat_ws(' ', 2, words[place+1], words[place+2], words[place+4], words[place+5], words[place+7], words[place+8]),
+                                     concat_ws(' ', 3, words[place+1], words[place+3], words[place+4], words[place+6], words[place+7], words[place+8])]) AS seed
+  FROM (SELECT item_id, words, unnest(range(len(words) - 7)) AS place FROM items)
+), places AS (
+  SELECT line, place, lead(w, 0) OVER p AS w1, lead(w, 1) OVER p AS w2, lead(w, 2) OVER p AS w3, lead(w, 3) OVER p AS w4, lead(w, 4) OVER p AS w5,
+         lead(w, 5) OVER p AS w6, lead(w, 6) OVER p AS w7, lead(w, 7) OVER p AS w8
+  FROM (SELECT line, unnest(words) AS w, unnest(range(len(words))) AS place FROM texts) WINDOW p AS (PARTITION BY line ORDER BY place)
+), text_seeds AS (
+  SELECT line, place, unnest([concat_ws(' ', 1, w1, w2, w3, w5, w6, w8), concat_ws(' ', 2, w1, w2, w4, w5, w7, w8), concat_ws(' ', 3, w1, w3, w4, w6, w7, w8)]) AS seed
+  FROM places WHERE w8 IS NOT NULL
+), hits AS (
+  SELECT DISTINCT line, item_id, words AS item, t.place - i.place AS diagonal FROM text_seeds t JOIN item_seeds i USING (seed)
+), compared AS (
+  SELECT doc_id, item_id, diagonal, len(item) AS item_words, least(13, len(item)) AS width,
+         list_transform(range(len(item)), lambda k: CASE WHEN k + diagonal >= 0 AND texts.words[k + diagonal + 1] = item[k + 1] THEN 1 ELSE 0 END) AS agree
+  FROM hits JOIN texts USING (line)
+), verified AS (
+  SELECT DISTINCT doc_id, item_id, item_words, diagonal, list_sum(agree) AS agreeing FROM compared
+  WHERE len(list_filter(range(item_words - width + 1), lambda b: list_sum(agree[b + 1:b + width]) >= 0.8 * width)) > 0
+)
+SELECT doc_id, item_id, CAST(item_words AS BIGINT) AS item_words, CAST(max(agreeing) AS BIGINT) AS matched, count(*) AS diagonals
+FROM verified GROUP BY doc_id, item_id, item_words
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_duplicates": _OP7}
+    return {"op2_near_duplicates": _OP2, "op5_chat_format": _OP5, "op7_exact_duplicates": _OP7, "op9_contaminated": _OP9}

@@ -325,6 +325,33 @@ def test_decontamination_agrees_with_brute_force(spark, data, awkward, empty, se
     assert decontaminate.contaminated(docs, items.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_queries_agree_with_sql(spark, data, name):
+    got = queries.queries()[name](spark, f"{data}/sf0.01")
+    con = duckdb.connect()
+    for t in ("documents", "benchmark", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{data}/sf0.01/{t}.parquet'")
+    found = con.execute(queries.oracle_sql()[name])
+    columns = [c[0] for c in found.description]
+    assert sorted(columns) == sorted(got.columns)
+    assert rows_of(got.select(columns)) == sorted(found.fetchall())
+
+
+def test_sql_of_near_duplicates_and_chat_on_awkward_rows(spark, awkward, tmp_path):
+    talk = [(1, 0, "user", "a [[INST] b <\\\\s> [/NAME] </s>"), (1, None, "tool [INST]", "x"), (1, 1, None, None), (2, 0, "assistant", "[SYS] é日本"), (2, 0, "assistant", ""), (None, 3, "system", "s")]
+    chats = spark.createDataFrame(talk, "conv_id long, turn long, role string, text string")
+    awkward.write.parquet(f"{tmp_path}/documents.parquet")
+    chats.write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    for name in ("op2_near_duplicates", "op5_chat_format"):
+        found = con.execute(queries.oracle_sql()[name])
+        columns = [c[0] for c in found.description]
+        want = sorted(found.fetchall(), key=lambda t: tuple((x is None, x) for x in t))
+        assert rows_of(queries.queries()[name](spark, str(tmp_path)).select(columns)) == want
+
+
 def test_main_text(spark, data):
     page = "<html><head><title>t</title></head><body><nav>Menu a b</nav><div class='cookie-notice'>We use cookies</div><article><h1>Head &amp; tail</h1><p>One<b>two</b> three<br>four<p>five &lt;i&gt; <script>var x='</p>'</script><style>p{}</style><aside>see also</aside><form>name</form><div id=\"comments\"><p>first!</p></div><!-- no --><p>last</article><footer>foot</footer></body></html>"
     assert html_text.extract_part([page]) == ["Head & tail Onetwo three four five <i> last"]
