@@ -508,6 +508,19 @@ def rate_limit(spark, d):
     return requests.rate_limit(asked, limit=3, seconds=3600)
 
 
+@query("""
+SELECT event_id, ticket, accepted FROM (
+  SELECT event_id, user_id AS ticket, event_type,
+         coalesce(lag(event_type = 'view') OVER t AND epoch_us(ts) - lag(epoch_us(ts)) OVER t <= 7200000000, false) AS accepted
+  FROM events WHERE event_type IN ('view', 'click') WINDOW t AS (PARTITION BY user_id ORDER BY ts, event_id)
+) WHERE event_type = 'click'
+""")
+def redeem_tickets(spark, d):
+    shown = table(spark, d, "events").where(F.col("event_type").isin("view", "click"))
+    rows = shown.select("event_id", F.col("user_id").alias("ticket"), F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"), (F.col("event_type") == "view").alias("issued"))
+    return requests.redeem_tickets(rows, seconds=7200).select("event_id", "ticket", "accepted")
+
+
 # stored chunks
 
 

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 SCHEMA = "event_id long, client long, ts_us long, accepted boolean"
@@ -58,6 +59,17 @@ def rate_limit_stream(requests: DataFrame, limit: int = 100, seconds: int = 60)
     return requests.groupBy("client").applyInPandasWithState(run, SCHEMA, "times array<long>", "append", "NoTimeout")
 
 
+def redeem_tickets(events: DataFrame, seconds: int = 60) -> DataFrame:
+    """events (event_id, ticket, ts_us, issued): accepted of each use, that is of each row not issued.
+
+    A use takes the ticket away, whether or not it has expired, so that it counts when the ticket's last row before it, by time and
+    event_id, issued it at most `seconds` ago. Null tickets are never accepted.
+    """
+    order = W.partitionBy("ticket").orderBy("ts_us", "event_id")
+    live = F.lag("issued").over(order) & (F.col("ts_us") - F.lag("ts_us").over(order) <= seconds * 1_000_000) & F.col("ticket").isNotNull()
+    return events.withColumn("accepted", F.coalesce(live, F.lit(False))).where("not issued").select("event_id", "ticket", "ts_us", "accepted")
+
+
 def telemetry_stream(samples: DataFrame) -> DataFrame:
     """Running count, total and mean of each phase over a stream of (phase, seconds); for complete or update mode."""
     return samples.groupBy("phase").agg(F.count("*").alias("n"), F.sum("seconds").alias("total"), F.avg("seconds").alias("mean"))

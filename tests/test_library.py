@@ -14,7 +14,7 @@ from quern.functions import scalars as S
 from quern.operators import chunking, evaluation, listing, projection, retrieval
 from quern.plans import queries as plans
 from quern.schema import CHUNK_SCHEMA
-from quern.sources import files, models
+from quern.sources import files, models, settings
 from quern.sources.catalog import Catalog
 from quern.sources.store import ChunkStore
 from quern.streaming import requests
@@ -260,3 +260,24 @@ def test_pages_and_projection(spark, data):
 def test_filters_reach_the_scan(spark, data):
     plan = plans.filter_eq(spark, f"{data}/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(lang,en)" in plan and "text" not in plan.split("ReadSchema")[1]
+
+
+def test_redeem_tickets(spark):
+    rows = [(1, "a", 0, True), (2, "a", 60, False), (3, "a", 61, False), (4, "b", 0, True), (5, "b", 61, False), (6, "c", 5, False), (7, "d", 0, True), (8, "d", 50, True), (9, "d", 110, False), (10, None, 0, True), (11, None, 1, False)]
+    events = spark.createDataFrame([(i, t, s * 1_000_000, k) for i, t, s, k in rows], "event_id long, ticket string, ts_us long, issued boolean")
+    got = {r.event_id: r.accepted for r in requests.redeem_tickets(events).collect()}
+    assert got == {2: True, 3: False, 5: False, 6: False, 9: True, 11: False}
+
+
+def test_settings(tmp_path):
+    good = {k: low for k, (low, _) in settings.RANGES.items()} | {k: v[0] for k, v in settings.CHOICES.items()}
+    kept = settings.Settings(str(tmp_path / "settings.json"), good)
+    assert kept.show() == good | {"apiToken": ""}
+    assert kept.update(apiToken="x", topKCandidates=7)["apiToken"] == "" and kept.stored()["apiToken"] == "x"
+    assert kept.update(apiToken="", chunkOverlap=99)["topKCandidates"] == 7 and kept.stored()["apiToken"] == "x"
+    for name, value in [("chunkOverlap", 100), ("portNumber", 0), ("topKCandidates", True), ("topKCandidates", "5"), ("rateLimitMax", 1.0), ("maxPayloadMB", None), ("distanceMetric", "cosine"), ("indexAlgorithm", None)]:
+        with pytest.raises(ValueError, match=name):
+            kept.update(**{name: value})
+    assert kept.stored()["chunkOverlap"] == 99
+    (tmp_path / "settings.json").write_text("[1")
+    assert kept.stored() == good
