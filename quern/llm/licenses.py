@@ -15,7 +15,8 @@ from pyspark.sql import window as W
 #: Fixed values of the contract: phrases and labels.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-#: label | keyword | expression of the license's name over lower-case words joined by single spaces.
+#: label | keyword | expression of the license's name over lower-case words joined by single spaces. Each match contains the keyword: a
+#: label whose names have no word in common has several rows.
 NAMES = r"""
 agpl-3.0 | affero | (?:gnu )?affero general public license(?: v(?:ersion)? ?3(?: 0)?| 3(?: 0)?)?
 apache-1.1 | apache | apache(?: software)? license(?: v| version| v ersion)? ?1 1
@@ -30,18 +31,30 @@ bsd-3-clause | bsd | (?:(?:new|modified|revised) bsd license|bsd 3 clause(?: lic
 bsd-4-clause | bsd | (?:original bsd license|bsd 4 clause(?: license)?|four clause bsd license)
 bsd | bsd | bsd(?: style)? license
 0bsd | bsd | (?:zero clause bsd license|0bsd license)
-cc-by-1.0 | cc | (?:cc by|creative commons attribution)(?: license)? 1 0
-cc-by-2.0 | cc | (?:cc by|creative commons attribution)(?: license)? 2 0
-cc-by-3.0 | cc | (?:cc by|creative commons attribution)(?: license)? 3 0
-cc-by-4.0 | cc | (?:cc by|creative commons attribution)(?: international)?(?: license)? 4 0
-cc-by-sa-3.0 | cc | (?:cc by sa|creative commons attribution sharealike)(?: license)? 3 0
-cc-by-sa-4.0 | cc | (?:cc by sa|creative commons attribution sharealike)(?: license)? 4 0
-cc-by-nc-3.0 | cc | (?:cc by nc|creative commons attribution noncommercial)(?: license)? 3 0
-cc-by-nc-4.0 | cc | (?:cc by nc|creative commons attribution noncommercial)(?: license)? 4 0
-cc-by-nd-4.0 | cc | (?:cc by nd|creative commons attribution noderivatives)(?: license)? 4 0
-cc-by-nc-sa-4.0 | cc | (?:cc by nc sa|creative commons attribution noncommercial sharealike)(?: license)? 4 0
-cc-by-nc-nd-4.0 | cc | (?:cc by nc nd|creative commons attribution noncommercial noderivatives)(?: license)? 4 0
-cc0-1.0 | cc0 | (?:cc0(?: 1 0)?|creative commons zero)(?: universal)?
+cc-by-1.0 | cc by | cc by(?: license)? 1 0
+cc-by-1.0 | commons | creative commons attribution(?: license)? 1 0
+cc-by-2.0 | cc by | cc by(?: license)? 2 0
+cc-by-2.0 | commons | creative commons attribution(?: license)? 2 0
+cc-by-3.0 | cc by | cc by(?: license)? 3 0
+cc-by-3.0 | commons | creative commons attribution(?: license)? 3 0
+cc-by-4.0 | cc by | cc by(?: international)?(?: license)? 4 0
+cc-by-4.0 | commons | creative commons attribution(?: international)?(?: license)? 4 0
+cc-by-sa-3.0 | cc by | cc by sa(?: license)? 3 0
+cc-by-sa-3.0 | commons | creative commons attribution sharealike(?: license)? 3 0
+cc-by-sa-4.0 | cc by | cc by sa(?: license)? 4 0
+cc-by-sa-4.0 | commons | creative commons attribution sharealike(?: license)? 4 0
+cc-by-nc-3.0 | cc by | cc by nc(?: license)? 3 0
+cc-by-nc-3.0 | commons | creative commons attribution noncommercial(?: license)? 3 0
+cc-by-nc-4.0 | cc by | cc by nc(?: license)? 4 0
+cc-by-nc-4.0 | commons | creative commons attribution noncommercial(?: license)? 4 0
+cc-by-nd-4.0 | cc by | cc by nd(?: license)? 4 0
+cc-by-nd-4.0 | commons | creative commons attribution noderivatives(?: license)? 4 0
+cc-by-nc-sa-4.0 | cc by | cc by nc sa(?: license)? 4 0
+cc-by-nc-sa-4.0 | commons | creative commons attribution noncommercial sharealike(?: license)? 4 0
+cc-by-nc-nd-4.0 | cc by | cc by nc nd(?: license)? 4 0
+cc-by-nc-nd-4.0 | commons | creative commons attribution noncommercial noderivatives(?: license)? 4 0
+cc0-1.0 | cc0 | cc0(?: 1 0)?(?: universal)?
+cc0-1.0 | commons | creative commons zero(?: universal)?
 creative-commons | commons | creative commons(?: license)?
 cddl-1.0 | distribution | common development and distribution license(?: 1 0)?
 cecill-2.1 | cecill | cecill(?: free software)? license(?: agreement)?(?: v?2 1)?
@@ -80,7 +93,8 @@ unicode | unicode | unicode license agreement
 unlicense | unlicense | (?:the )?unlicense
 vim | vim | vim license
 w3c | w3c | w3c software(?: notice and)? license
-wtfpl | wtfpl | (?:wtfpl|do what the fuck you want to public license)
+wtfpl | wtfpl | wtfpl
+wtfpl | what | do what the fuck you want to public license
 zlib | zlib | (?:zlib(?: libpng)? license)
 zpl-2.1 | zope | zope public license(?: 2 1)?
 public-domain | domain | (?:released into|placed in|in|to) the public domain
@@ -104,7 +118,7 @@ def rules() -> list[tuple[str, str, str, int, float]]:
         for priority, weight, frame in FRAMES:
             name_or_id = "(?:" + label.replace(".", " ").replace("-", " ") + ")(?: only| or later)?" if priority == 0 else f"(?:{name})"
             out.append((label, "spdx" if priority == 0 else keyword, "(?<= )" + frame.format(name_or_id) + "(?= )", priority, weight))
-    return out
+    return list(dict.fromkeys(out))  # labels of several rows have one identifier
 
 
 _INSIDE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"  # a word's characters before lowering

@@ -171,6 +171,16 @@ def test_licenses_agree_with_brute_force(spark, data, awkward, empty):
     assert len(licenses.rules()) > 200
 
 
+def test_licenses_need_no_unrelated_words(spark, monkeypatch):
+    names = ["Creative Commons Attribution 4.0", "Creative Commons Attribution International License 4.0", "Creative Commons Attribution-ShareAlike 3.0", "Creative Commons Attribution NonCommercial NoDerivatives License 4.0", "Creative Commons Zero Universal", "Do What The Fuck You Want To Public License", "CC BY 4.0", "CC0 1.0", "WTFPL"]
+    texts = [(i, f"{before} {name} {after}") for i, (name, before, after) in enumerate(itertools.product(names, ("", "released under the", "terms of", "access according to"), ("", "x")))]
+    got = rows_of(licenses.license_scan(table(spark, texts)))
+    ungated = [(label, "", *rest) for label, _, *rest in licenses.rules()]
+    monkeypatch.setattr(licenses, "rules", lambda: ungated)
+    assert got == [(i, *brute_licenses(t)) for i, t in texts]
+    assert all({"cc-by-4.0", "cc-by-sa-3.0", "cc-by-nc-nd-4.0", "cc0-1.0", "wtfpl"} & set(r[6].split(",")) for r in got)
+
+
 def test_lm_agrees_with_brute_force(spark, data, awkward, empty, monkeypatch):
     monkeypatch.setattr(lm, "SHARD_KEYS", 20_000)
     monkeypatch.setattr(lm, "BLOCK_BYTES", 1 << 17)
