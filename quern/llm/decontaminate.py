@@ -42,8 +42,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, broadcast_seeds: int = B
     One row for each contaminated pair. A pair is contaminated when, on a diagonal with a seed hit, some WINDOW consecutive words of the
     item (all, if it has fewer) agree with the text's in at least SHARE of them; places outside the text disagree. matched is the largest
     number of agreeing words of the item on a diagonal, diagonals the number of such diagonals. Texts and items of fewer than SPAN words,
-    null or empty ones match nothing. Equal items are reported each; repeated doc_ids are one document, of which each diagonal is read in
-    one of the rows; null ids match nothing. Other columns are dropped. Empty tables give no rows.
+    null or empty ones match nothing. Equal items are reported each; repeated doc_ids are one document, all of whose different texts are
+    read, and a diagonal counts once however many of them meet it; null ids match nothing. Other columns are dropped. Empty tables give no rows.
 
     A benchmark of at most broadcast_seeds seeds is broadcast, and only hits leave the scan of the texts. A larger one is joined by a
     shuffle of seeds, and the texts are read again for the verification.
@@ -51,22 +51,23 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, broadcast_seeds: int = B
     items = benchmark.where("item_id is not null").select(F.col("item_id").cast("long"), words(F.col("text")).alias("words"))
     seeds = _seeded(items, "item_id").select("seed", "item_id", F.size("words").alias("item_words"), F.col("place").alias("item_place")).distinct()
     small = seeds.limit(broadcast_seeds + 1).count() <= broadcast_seeds
-    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), words(F.col("text")).alias("words"))
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), words(F.col("text")).alias("words")).withColumn("wording", F.xxhash64("words"))
     shift = (F.col("place") - F.col("item_place")).alias("diagonal")
     line = F.slice("words", F.greatest(F.col("diagonal"), F.lit(0)) + 1, F.col("item_words") + F.least("diagonal", F.lit(0)))
     pair = ["doc_id", "item_id", "item_words", "diagonal"]
     if small:
         hits = _seeded(texts, "doc_id").join(F.broadcast(seeds), "seed").select(*pair[:3], shift, "words")
-        lines = hits.select(*pair, line.alias("line")).groupBy(*pair).agg(F.first("line").alias("line"))
+        lines = hits.select(*pair, line.alias("line")).distinct()
         lines = lines.join(F.broadcast(items.withColumnRenamed("words", "item")), "item_id")
     else:
-        hits = _seeded(texts, "doc_id").drop("words").join(seeds, "seed").select(*pair[:3], shift).distinct()
-        lines = hits.join(texts, "doc_id").select(*pair, line.alias("line")).join(items.withColumnRenamed("words", "item"), "item_id")
+        hits = _seeded(texts, "doc_id", "wording").drop("words").join(seeds, "seed").select(*pair[:3], shift, "wording").distinct()
+        lines = hits.join(texts, ["doc_id", "wording"]).select(*pair, line.alias("line")).join(items.withColumnRenamed("words", "item"), "item_id")
     agree = F.expr("transform(item, (w, i) -> if(i + least(diagonal, 0) >= 0 and coalesce(get(line, i + least(diagonal, 0)) = w, false), 1, 0))")
     width = F.least(F.lit(WINDOW), F.col("item_words"))
     sums = lines.select(*pair, agree.alias("agree"), width.alias("width"))
     window = F.expr(f"exists(sequence(0, item_words - width), b -> aggregate(slice(agree, b + 1, width), 0, (n, x) -> n + x) >= {SHARE} * width)")
-    verified = sums.where(window).select(*pair[:3], F.expr("aggregate(agree, 0, (n, x) -> n + x)").cast("long").alias("agreeing"))
+    verified = sums.where(window).select(*pair, F.expr("aggregate(agree, 0, (n, x) -> n + x)").cast("long").alias("agreeing"))
+    verified = verified.groupBy(*pair).agg(F.max("agreeing").alias("agreeing"))  # the texts of one id
     return verified.groupBy("doc_id", "item_id", F.col("item_words").cast("long").alias("item_words")).agg(F.max("agreeing").alias("matched"), F.count("*").alias("diagonals"))
 
 

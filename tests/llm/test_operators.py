@@ -335,6 +335,17 @@ def test_decontamination_agrees_with_brute_force(spark, data, awkward, empty, se
     assert decontaminate.contaminated(docs, items.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("seeds", [decontaminate.BROADCAST_SEEDS, 0])
+def test_decontamination_reads_all_texts_of_an_id(spark, seeds):
+    w = [f"w{i}" for i in range(20)]
+    whole, seed_only = " ".join(w), " ".join(x if i < 8 else "x" for i, x in enumerate(w))  # one has a hit on the same diagonal only
+    texts = [(1, seed_only), (1, whole), (2, whole), (2, seed_only), (3, whole), (3, whole), (4, seed_only), (5, whole), (5, f"{whole} y {whole}"), (6, " ".join(w[:19] + ["x"])), (6, whole)]
+    items = spark.createDataFrame([(7, whole)], "item_id long, text string")
+    for order in (texts, texts[::-1]):
+        got = decontaminate.contaminated(table(spark, order).select("doc_id", "text").coalesce(1), items, broadcast_seeds=seeds)
+        assert rows_of(got) == [(1, 7, 20, 20, 1), (2, 7, 20, 20, 1), (3, 7, 20, 20, 1), (5, 7, 20, 20, 2), (6, 7, 20, 20, 1)]
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_queries_agree_with_sql(spark, data, name):
     got = queries.queries()[name](spark, f"{data}/sf0.01")
