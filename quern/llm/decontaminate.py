@@ -1,6 +1,6 @@
 """Op 9: benchmark decontamination by spaced seeds, in DataFrame functions only.
 
-A seed is a mask over SPAN consecutive words that ignores some of them, so a hit survives substitutions at the ignored places. Seeds of
+A seed is a mask over consecutive words that ignores some of them, so a hit survives substitutions at the ignored places. Seeds of
 the benchmark are joined to those of all texts; around each hit the item's words are compared with the text's on the same diagonal.
 """
 
@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Masks of spaced seeds; 1: the word counts.
-MASKS = ("11101101", "11011011", "10110111")
-SPAN = 8
+#: Masks of spaced seeds; 1: the word counts. Wherever the words that may disagree stand in a window of 8 to 13 words, one of these hits.
+MASKS = ("1110111", "1111101", "10011111", "110100111", "1101010011")
+SPAN = 8  # words that a text or item has at least
 WINDOW = 13  # words of the window that must agree around a hit (shorter items: the item)
 SHARE = 0.8
 BROADCAST_SEEDS = 500_000  # seeds of the benchmark that may be broadcast, at about 100 bytes
@@ -23,24 +23,25 @@ def words(text: Column) -> Column:
 
 
 def _seeds(words_column: str, at: str) -> Column:
-    """Hashes of the masks over the words from place `at` on (from 0)."""
+    """Hashes of the masks over the words from place `at` on (from 0); null where the words end before the mask."""
     def one(k: int, mask: str) -> Column:
-        return F.xxhash64(F.lit(k), *[F.expr(f"{words_column}[{at} + {i}]") for i, bit in enumerate(mask) if bit == "1"])
+        seed = F.xxhash64(F.lit(k), *[F.expr(f"get({words_column}, {at} + {i})") for i, bit in enumerate(mask) if bit == "1"])
+        return F.when(F.expr(f"{at} + {len(mask)} <= size({words_column})"), seed)
 
     return F.array(*[one(k, m) for k, m in enumerate(MASKS)])
 
 
 def _seeded(table: DataFrame, *keep: str) -> DataFrame:
     """A row for each place and mask: the place, the seed and the columns to keep."""
-    places = F.when(F.size("words") >= SPAN, F.sequence(F.lit(0), F.size("words") - SPAN))
-    return table.select(*keep, F.explode(places).alias("place"), "words").select(*keep, "place", "words", F.explode(_seeds("words", "place")).alias("seed"))
+    places = F.when(F.size("words") >= SPAN, F.sequence(F.lit(0), F.size("words") - min(map(len, MASKS))))
+    return table.select(*keep, F.explode(places).alias("place"), "words").select(*keep, "place", "words", F.explode(_seeds("words", "place")).alias("seed")).where("seed is not null")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
     """For docs (doc_id, text) and benchmark (item_id, text): doc_id, item_id, item_words, matched, diagonals.
 
-    One row for each contaminated pair. A pair is contaminated when, on a diagonal with a seed hit, some WINDOW consecutive words of the
-    item (all, if it has fewer) agree with the text's in at least SHARE of them; places outside the text disagree. matched is the largest
+    One row for each contaminated pair. A pair is contaminated when, on a diagonal, some WINDOW consecutive words of the
+    item (all, if it has fewer) agree with the text's in at least SHARE of them; places outside the text disagree. Such a diagonal always has a seed hit. matched is the largest
     number of agreeing words of the item on a diagonal, diagonals the number of such diagonals. Texts and items of fewer than SPAN words,
     null or empty ones match nothing. Equal items are reported each; repeated doc_ids are one document, all of whose different texts are
     read, and a diagonal counts once however many of them meet it; null ids match nothing. Other columns are dropped. Empty tables give no rows.

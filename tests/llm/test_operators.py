@@ -346,6 +346,30 @@ def test_decontamination_reads_all_texts_of_an_id(spark, seeds):
         assert rows_of(got) == [(1, 7, 20, 20, 1), (2, 7, 20, 20, 1), (3, 7, 20, 20, 1), (5, 7, 20, 20, 2), (6, 7, 20, 20, 1)]
 
 
+def test_seeds_hit_every_placement_of_disagreeing_words(spark):
+    texts, items = [], []
+    for n in range(decontaminate.SPAN, 16):
+        size = min(n, decontaminate.WINDOW)
+        items.append((n, " ".join(f"i{n}w{k}" for k in range(n))))
+        for gone in range(size - math.ceil(decontaminate.SHARE * size) + 1):
+            for places in itertools.combinations(range(size), gone):
+                agree = [k not in places for k in range(size)]
+                assert any(all(agree[b + k] for k, bit in enumerate(m) if bit == "1") for m in decontaminate.MASKS for b in range(size - len(m) + 1))
+        for gone in itertools.combinations(range(n), 2):  # in the text, with words around and at its end
+            words = ["x" if k in gone else f"i{n}w{k}" for k in range(n)]
+            texts += [" ".join(["a", "b", *words, "c"]), " ".join(["a", "b", *words[: n - 1]])]
+    docs, want = list(enumerate(texts)), set()
+    for i, text in docs:
+        d = text.split()
+        for n, item in items:
+            w, size = item.split(), min(n, decontaminate.WINDOW)
+            agree = [k + 2 < len(d) and d[k + 2] == w[k] for k in range(n)]
+            if len(d) >= decontaminate.SPAN and any(sum(agree[b : b + size]) >= decontaminate.SHARE * size for b in range(n - size + 1)):
+                want.add((i, n))
+    got = decontaminate.contaminated(table(spark, docs).select("doc_id", "text"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == want and len(want) > 300
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_queries_agree_with_sql(spark, data, name):
     got = queries.queries()[name](spark, f"{data}/sf0.01")
