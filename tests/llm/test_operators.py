@@ -442,6 +442,18 @@ def test_main_text_finds_repeats_in_any_part_of_a_host(spark, monkeypatch, broad
     assert rows_of(html_text.main_text(frame, broadcast_hosts).select("page_id", "text")) == sorted(want)
 
 
+@pytest.mark.parametrize("part", [html_text.PART, 1])
+def test_main_text_keeps_copies_without_an_article(spark, monkeypatch, part):
+    monkeypatch.setattr(html_text, "PART", part)
+    own = [" ".join(f"p{i}x{k}" for k in range(30)) for i in range(3)]
+    menu = " ".join(f"m{k}" for k in range(12))
+    made = [(i, f"http://h.x/{i}", f"<p>{menu}</p><p>{t}</p>", t) for i, t in enumerate(own)]
+    made += [(10 + k, f"http://h.x/0?utm={k}", f"<p id=x{k}>{menu}</p><p>{own[0]}</p>", own[0]) for k in range(6)] + [made[1], made[1]]
+    made += [(20 + k, f"http://one.y/{k}", f"<p>{own[2]}</p>", own[2]) for k in range(5)] + [(30 + k, None, f"<p>{own[1]}</p>", own[1]) for k in range(5)]
+    frame = spark.createDataFrame([m[:3] for m in made], "page_id long, url string, html string")
+    assert rows_of(html_text.main_text(frame).select("page_id", "text")) == sorted((m[0], m[3]) for m in made)
+
+
 def test_repeats_agree_with_brute_force():
     rng = random.Random(7)
     for _ in range(40):
