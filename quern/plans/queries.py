@@ -279,6 +279,35 @@ def knn_dot(spark, d):
     return _knn(spark, d, "dot")
 
 
+_COSINE = f"1 - (2 * greatest(0.0::DOUBLE, least(1.0::DOUBLE, ({_DOT} / ({_NORM}) + 1) / 2)) - 1)"
+
+
+def _knn_many_sql(distance: str, k: int = 20) -> str:
+    asked = "(SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 50 = 0)"
+    return f"SELECT query_id, vec_id, round(dist, 6) AS distance, row_number() OVER (PARTITION BY query_id ORDER BY dist, vec_id) AS rank FROM (SELECT query_id, vec_id, {distance} AS dist FROM embeddings, {asked}) QUALIFY rank <= {k}"
+
+
+def _knn_many(spark, d, metric, k=20):
+    asked = vectors(spark, d).where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    out = retrieval.knn_many(vectors(spark, d), asked, k, "vec_id", "embedding", metric)
+    return out.select("query_id", "vec_id", F.round("distance", 6).alias("distance"), F.col("rank").cast("long").alias("rank"))
+
+
+@query(_knn_many_sql(_L2))
+def knn_l2_multi_query(spark, d):
+    return _knn_many(spark, d, "l2")
+
+
+@query(_knn_many_sql(_COSINE))
+def knn_cosine_multi_query(spark, d):
+    return _knn_many(spark, d, "cosine")
+
+
+@query(_knn_many_sql(f"-({_DOT})"))
+def knn_dot_multi_query(spark, d):
+    return _knn_many(spark, d, "dot")
+
+
 @query(f"SELECT vec_id, {_SCORE.format(d='dist')} AS score FROM (SELECT vec_id, {_L2} AS dist FROM embeddings, {_Q})")
 def dense_score(spark, d):
     q = F.lit(query_vector(spark, d))

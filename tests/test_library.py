@@ -281,3 +281,18 @@ def test_settings(tmp_path):
     assert kept.stored()["chunkOverlap"] == 99
     (tmp_path / "settings.json").write_text("[1")
     assert kept.stored() == good
+
+
+@pytest.mark.parametrize("metric", ["l2", "cosine", "dot"])
+def test_knn_of_many_queries_agrees_with_one_at_a_time(spark, monkeypatch, metric):
+    monkeypatch.setattr(retrieval, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(retrieval, "BLOCK_QUERIES", 2)
+    made = [(i, [float(i * 7 % 5), float(i % 3), 0.0 if i % 10 == 0 else float(-i % 4)]) for i in range(40)]
+    table = spark.createDataFrame(made, "chunk_id long, vector array<float>")
+    asked = table.where("chunk_id % 10 = 0").withColumnRenamed("chunk_id", "query_id")
+    got = sorted(tuple(r) for r in retrieval.knn_many(table, asked, 6, metric=metric).collect())
+    want = [(i, *r) for i, v in made if i % 10 == 0 for r in retrieval.knn(table, v, 6, metric=metric).collect()]
+    assert got == sorted(want) and len(got) == 24
+    assert retrieval.knn_many(table, asked.limit(0), 6, metric=metric).count() == 0
+    with pytest.raises(Exception, match="length"):
+        retrieval.knn_many(table, asked.select("query_id", F.array(F.lit(1.0)).alias("vector")), 6, metric=metric).collect()
