@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.scratch import arrow_rows
+from quern.llm.scratch import bound_batches
 
 CACHE_WORDS = 400_000
 NO_RANK = np.int64(1 << 40)
@@ -163,7 +163,7 @@ def bpe_round_trip(docs: DataFrame, path: str, with_ids: bool = False) -> DataFr
     path: a tokenizers JSON file that every executor has. Null text counts as empty: 0 tokens and the digests of nothing. Rows are
     independent, so repeated rows and null ids pass through; other columns are dropped. An empty table gives no rows.
     """
-    arrow_rows(docs.sparkSession, 1000)
+    bound_batches(docs.sparkSession)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids binary" if with_ids else "")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

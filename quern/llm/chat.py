@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.bpe import byte_symbols
-from quern.llm.scratch import arrow_rows
+from quern.llm.scratch import bound_batches
 
 #: Control strings of the template, in the order of their reserved ids. A role without a mark of its own gets [ROLE] and its name.
 CONTROLS = ["<s>", "</s>", "[INST]", "[/INST]", "[SYS]", "[/SYS]", "[ASST]", "[/ASST]", "[ROLE]", "[/ROLE]", "[NAME]"]
@@ -108,7 +108,7 @@ def format_chat(turns: DataFrame, path: str) -> DataFrame:
     order, a batch at a time, because a digest of a conversation must see it in order; memory stays at one batch however long it is.
     Rows of a null conv_id form one conversation. Other columns are dropped. An empty table gives no rows.
     """
-    arrow_rows(turns.sparkSession, 2000)
+    bound_batches(turns.sparkSession)
     lean = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("role", "text")])
 
     def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

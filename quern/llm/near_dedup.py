@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.components import connected_components
-from quern.llm.scratch import arrow_rows, save
+from quern.llm.scratch import bound_batches, save
 from quern.llm.words import mix, word_hashes
 
 WORDS = 5
@@ -147,7 +147,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     id: their texts' links meet in that id. A null doc_id takes part in no link, and its row has a null component_id and kept true. Other
     columns are dropped. An empty table gives no rows.
     """
-    arrow_rows(docs.sparkSession, 1000)
+    bound_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"))
 
     def sketches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -15,7 +15,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.scratch import arrow_rows
+from quern.llm.scratch import bound_batches
 
 DICT_ROWS = 1200  # labelled rows of each class for the dictionaries
 FIT_ROWS = 6000  # labelled rows for the calibration
@@ -85,7 +85,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, held_mod: int = 4, held_r
     too; a null one counts as text ''); other columns are dropped. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    arrow_rows(spark, 1000)
+    bound_batches(spark)
     held = lambda c: F.crc32(F.coalesce(F.col(c).cast("string"), F.lit("")).cast("binary")) % held_mod == held_rest
     known = labels.where("doc_id is not null and quality is not null").select(F.col("doc_id").cast("long"), F.col("quality").cast("int")).where(~held("doc_id")).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]

@@ -181,35 +181,74 @@ def test_licenses_need_no_unrelated_words(spark, monkeypatch):
     assert all({"cc-by-4.0", "cc-by-sa-3.0", "cc-by-nc-nd-4.0", "cc0-1.0", "wtfpl"} & set(r[6].split(",")) for r in got)
 
 
+def lm_texts(rows):
+    streams = [re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")) + [None] for _, t in rows]
+    return streams, [zlib.crc32(str("" if i is None else i).encode()) % 7 == 2 for i, _ in rows]
+
+
+def brute_lm(rows, mu):
+    """Scores by counts of words, pairs and triples (0: the beginning), and the probability of a word after any history."""
+    streams, held = lm_texts(rows)
+    count = [Counter(), Counter(), Counter()]
+    for s, h in zip(streams, held, strict=True):
+        if not h:
+            count[0].update(s)
+            count[1].update(itertools.pairwise([0, *s]))
+            count[2].update(zip([0, *s], s, s[1:], strict=False))
+    states = [Counter(), Counter()]
+    for k in (0, 1):
+        for gram, n in count[k + 1].items():
+            states[k][gram[:-1]] += n
+    total, kinds = sum(count[0].values()), len(count[0])
+
+    def chance(history, w):
+        if not history:
+            return (count[0][w] + 1) / (total + kinds + 1)
+        k = len(history)
+        return (count[k][(*history, w)] + mu[k - 1] * chance(history[1:], w)) / (states[k - 1][history] + mu[k - 1])
+
+    out = []
+    for (i, _), s, h in zip(rows, streams, held, strict=True):
+        told = [0, *s]
+        out.append((i, h, len(s), sum(count[0][w] > 0 for w in s), total, sum(math.log10(chance((), w)) for w in s), sum(math.log10(chance(tuple(told[max(0, k - 1) : k + 1]), w)) for k, w in enumerate(s))))
+    return out, chance, count[0]
+
+
 def test_lm_agrees_with_brute_force(spark, data, awkward, empty, monkeypatch):
     monkeypatch.setattr(lm, "SHARD_KEYS", 20_000)
     monkeypatch.setattr(lm, "BLOCK_BYTES", 1 << 17)
+    monkeypatch.setattr(lm, "LANE", 37)
     docs = spark.read.parquet(f"{data}/sf0.001/documents.parquet").select("doc_id", "text").where("doc_id > 20").unionByName(awkward.select("doc_id", "text"))
     rows = [(r.doc_id, r.text) for r in docs.collect()]
-    streams = [re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")) + [None] for _, t in rows]
-    held = [zlib.crc32(str("" if i is None else i).encode()) % 7 == 2 for i, _ in rows]
-    one, two, states = Counter(), Counter(), Counter()
-    for s, h in zip(streams, held, strict=True):
-        if not h:
-            one.update(s)
-            two.update(zip([0, *s[:-1]], s, strict=True))
-            states.update([0, *s[:-1]])
-    total, kinds = sum(one.values()), len(one)
-    want = []
-    for (i, _), s, h in zip(rows, streams, held, strict=True):
-        uni = lambda w: (one[w] + 1) / (total + kinds + 1)
-        base = sum(math.log10(uni(w)) for w in s)
-        score = sum(math.log10((two[b, w] + lm.MU * uni(w)) / (states[b] + lm.MU)) for b, w in zip([0, *s[:-1]], s, strict=True))
-        want.append((i, h, len(s), sum(one[w] > 0 for w in s), total, round(base, 6), round(score, 6)))
-    got = [(*r[:5], round(r[5], 6), round(r[6], 6)) for r in lm.lm_score(docs).collect()]
-    key = lambda t: tuple((x is None, x) for x in t)
-    for a, b in zip(sorted(got, key=key), sorted(want, key=key), strict=True):
-        assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], abs=1e-5)
+    key = lambda t: tuple((x is None, x) for x in t[:5])
+    for mu in (lm.MU, (3.0, 0.5)):
+        want, chance, kinds = brute_lm(rows, mu)
+        for a, b in zip(sorted((tuple(r) for r in lm.lm_score(docs, mu=mu).collect()), key=key), sorted(want, key=key), strict=True):
+            assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], abs=1e-6, rel=1e-9)
+    for history in ((), (0,), ("the",), (0, "the"), ("of", "the"), ("the", "nowhere")):
+        assert sum(chance(history, w) for w in [*kinds, "an unknown word"]) == pytest.approx(1)
     assert lm.lm_score(empty).count() == 0
     alone = lm.lm_score(table(spark, [(i, "x") for i in range(50) if zlib.crc32(str(i).encode()) % 7 == 2])).collect()
     assert alone and all(r.score == r.base_score == 0 and r.train_tokens == 0 for r in alone)
 
 
+def test_lm_sets_texts_seen_twice_apart(spark, data):
+    docs = spark.read.parquet(f"{data}/sf0.01/documents.parquet").select("doc_id", "text")
+    near = near_dedup.near_duplicates(docs, 50).select("doc_id", "component_id")
+    scored = lm.lm_score(docs).where("not held_out and n_tokens > 30").join(docs, "doc_id").join(near, "doc_id").selectExpr("text", "component_id", "score / n_tokens as mean").toPandas()
+    alone = scored.groupby("component_id")["mean"].transform("size") == 1
+    twice = (scored.groupby("text")["mean"].transform("size") == 2) & (scored.groupby("component_id")["mean"].transform("size") == 2)
+    assert twice.sum() > 10 and (scored["mean"][twice] > scored["mean"][alone].quantile(0.9)).mean() > 0.8
+
+
+def test_lm_messages_are_never_more_than_keys(monkeypatch):
+    keys = np.unique(near_dedup.mix(np.arange(500, dtype=np.uint64)))
+    for shards in (1, 7, 10**6):
+        sent = lm._messages(1, 0, 64, shards, keys, np.ones(len(keys), dtype=np.int64))
+        assert len(sent) <= len(keys) and sent["shard"].is_unique
+        assert np.array_equal(np.concatenate([np.cumsum(lm._unpack(b, "<u8", "<u4")[0], dtype=np.uint64) for b in sent["body"]]), keys)
+
+
 def test_chat_reads_back(spark, data, awkward):
     path = queries.tokenizer_path("byte_bpe_50k.json")
     texts = ["</s>[INST] ok [/INST]", "[\\INST] \\[/INST] <\\/s> <\\\\s>", "<|endoftext|> é日本\x00 [NAME]", "", "[", "[/", "INST]", "<s", "\\", "[SYS][\\\\/SYS]"]
