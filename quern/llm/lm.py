@@ -32,7 +32,7 @@ from quern.llm.scratch import bound_batches, save
 from quern.llm.words import mix, word_hashes
 
 MU = (100.0, 20.0)  # weight of the shorter history, in states of one word and of two
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 SHARD_KEYS = 1_500_000
 SPARE_BITS = 20
 LANE = 512  # tokens that a lane of the walk scores; it starts two tokens earlier, which is as far as a state reaches
