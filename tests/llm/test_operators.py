@@ -471,6 +471,7 @@ def test_main_text_finds_repeats_in_any_part_of_a_host(spark, monkeypatch, broad
         body = "".join(f"<p>{t}</p>" for t in told)
         made.append((i, f"http://{'a.x' if i % 3 else 'b.y'}/{i}", f"<body><nav>{shared[2]}</nav>{body}</body>" if i % 5 else f"<article>{body}</article>"))
     made += [(100, "http://a.x/100", None), (1, *made[1][1:]), (101, "http://c.z/1", f"<p>{shared[3]}</p>"), (102, None, f"<p>{shared[3]}</p>")]
+    monkeypatch.setattr(html_text, "WIDE_PAGES", 1000)  # the share of pages is a part's
     want = []
     for host in ("a.x", "b.y", "c.z", None):
         mine = [m for m in made if (m[1].split("/")[2] if m[1] else None) == host]
@@ -495,21 +496,51 @@ def test_main_text_keeps_copies_without_an_article(spark, monkeypatch, part):
 
 def test_repeats_agree_with_brute_force():
     rng = random.Random(7)
-    for _ in range(40):
-        pages = [np.array([rng.randrange(3) for _ in range(rng.randrange(0, 40))], dtype=np.int64) for _ in range(4)]
-        got = html_text.repeats(pages, 5)
-        grams = {}
+    for _ in range(60):
+        pages = [np.array([rng.randrange(rng.choice((1, 3, 50))) for _ in range(rng.randrange(0, 40))], dtype=np.int64) for _ in range(4)]
+        if rng.random() < 0.3:
+            pages[2] = np.concatenate((pages[0], pages[1]))
+        longest, spread = html_text.repeats(pages, 4)
+        subs = [{tuple(p[i:j]) for i in range(len(p)) for j in range(i + 1, len(p) + 1)} for p in pages]
         for k, p in enumerate(pages):
-            for i in range(len(p) - 4):
-                grams.setdefault(tuple(p[i : i + 5]), set()).add(k)
-        for p, cover in zip(pages, got, strict=True):
-            want = [i + 5 <= len(p) and len(grams[tuple(p[i : i + 5])]) > 1 for i in range(len(p))]
-            assert want == cover.tolist()
-            for a, b in ((0, len(p)), (1, 4), (2, 9)):
+            others = set().union(*(s for m, s in enumerate(subs) if m != k))
+            want = [max((j - i for j in range(i + 4, len(p) + 1) if tuple(p[i:j]) in others), default=0) for i in range(len(p))]
+            assert longest[k].tolist() == want
+            assert spread[k].tolist() == [sum(tuple(p[i : i + 4]) in s for s in subs) if i + 4 <= len(p) else 0 for i in range(len(p))]
+            for a, b in ((0, len(p)), (1, 4), (2, 9), (3, 7)):
                 if b <= len(p) and b > a:
-                    inside = {k for i in range(a, b - 4) if want[i] for k in range(i, i + 5)}
-                    share = len(inside) / (b - a) if b - a >= 5 else float(any(want[i] for i in range(max(0, b - 5), a + 1)))
-                    assert abs(html_text.share_covered(cover, a, b, 5) - share) < 1e-9
+                    inside = {t for i in range(a, b - 3) if want[i] for t in range(i, i + 4)}
+                    got = html_text.covered(longest[k], a, b, 4)
+                    assert set(np.flatnonzero(got) + a) == (inside if b - a >= 4 else set(range(a, b)) if any(want[i] for i in range(max(0, b - 4), a + 1)) else set())
+    assert html_text.repeats([]) == ([], [])
+
+
+def test_names_mark_only_what_they_name():
+    said = {"search-results": "five results for ferns", "legal-theory": "on natural law", "ad-hoc": "made for it"}
+    page = "<article><p>start</p>" + "".join(f"<div class='{c}'>{t}</div>" for c, t in said.items()) + "<p id='related'>kept as well</p><div class='post comments-area'>first!</div><div class='sidebar left'>menu</div><p>end</p></article>"
+    assert html_text.extract_part([page]) == [f"start {' '.join(said.values())} kept as well end"]
+
+
+@pytest.mark.parametrize("part", [html_text.PART, 3])
+def test_repeats_decide_inside_articles(spark, monkeypatch, part):
+    """On hosts like those of pages: an article on each page, with shared passages, and a notice that the suffix array alone can tell."""
+    notice = " ".join(f"notice{k}" for k in range(11))
+    box = " ".join(f"more{k}" for k in range(9))
+    passage = " ".join(f"passage{k}" for k in range(60))
+    rng = random.Random(8)
+    made, want = [], []
+    for i in range(40):
+        own = [" ".join(f"t{i}x{rng.randrange(10**6)}" for _ in range(25)) for _ in range(2)]
+        shared = f"<p>{passage}</p>" * (i % 4 == 0)
+        made.append((i, f"http://h.x/{i}", f"<nav>a menu</nav><article><h1>title {i}</h1><p>{own[0]} {notice}</p>{shared}<p class='related'>{box}</p><p class='related'>{own[1]} see</p></article><footer>f</footer>"))
+        want.append((i, f"title {i} {own[0]}{f' {notice}' if part == 3 else ''}{f' {passage}' if shared else ''} {own[1]} see"))
+    monkeypatch.setattr(html_text, "PART", part)
+    frame = spark.createDataFrame(made, "page_id long, url string, html string")
+    assert rows_of(html_text.main_text(frame).select("page_id", "text")) == want
+    if part > 3:
+        off = lambda streams, length=8: ([np.zeros(len(s), dtype=np.int64) for s in streams],) * 2
+        monkeypatch.setattr(html_text, "repeats", off)
+        assert all(t != w for t, (_, w) in zip(html_text.extract_part([m[2] for m in made]), want, strict=True))
 
 
 def test_pipeline_stages_take_effect(spark, data):
