@@ -1,7 +1,7 @@
 """Connected components of an edge table, by alternating large-star and small-star rounds (Kiveris et al., 2014).
 
 Each round is a grouped minimum, joined back to the edges, so no neighbour list is ever gathered: the centre of a large star is one
-partly aggregated row on one side of a join that Spark may split.
+partly aggregated row, copied to the parts into which its edges are cut. The table of a round is deleted when the next one is written.
 """
 
 from __future__ import annotations
@@ -9,16 +9,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.scratch import save
+from quern.llm.scratch import discard, save
+from quern.llm.skew import join_in_parts
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _star(edges: DataFrame, large: bool, total: int) -> DataFrame:
     """edges (a, b) with a > b. Large: every larger neighbour goes to the least of the neighbourhood. Small: every smaller one does."""
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
     if large:
         both = both.unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    joined = both.join(least, "u")
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+    joined = join_in_parts(both, least, "u", total)
     if large:
         out = joined.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:
@@ -32,11 +33,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Loops are ignored; a node without an edge to another isn't returned. No edges: no rows.
     """
     edges = save(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    state = None
-    while True:
-        edges = save(_star(_star(edges, large=True), large=False))
+    now, state = edges.agg(F.count("*")).first(), None
+    while now[0] and now != state:
+        state, old = now, edges
+        edges = save(_star(_star(edges, True, 2 * now[0]), False, 4 * now[0]))
+        discard(old)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == state or now[0] == 0:
-            break
-        state = now
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -1,19 +1,22 @@
 """Op 2: near-duplicates by HyperMinHash sketches, banding and exact verification.
 
 A text's set holds the hashes of its distinct shingles of five words. The hash's top bits choose a bucket; the smallest remainder of a
-bucket is kept as its count of leading zeros (6 bits) and the 26 mantissa bits below the leading one. Bands of ROWS registers propose
-candidates; the collision-corrected estimate drops hopeless pairs; the full sets decide.
+bucket is kept as its count of leading zeros (6 bits) and the MANTISSA bits below the leading one: 12 bits instead of 56. Bands of ROWS
+registers propose candidates; the collision-corrected estimate drops hopeless pairs; the full sets decide.
 
 Equal sets are one class, represented by its smallest doc_id. Classes that share a band, directly or through others, form a family,
-found with star joins. A family's classes are compared inside tasks: families of over BLOCK classes are cut into blocks, and each pair
-of blocks is a task of bounded size that emits at most a spanning forest of its verified links. No pair is skipped unless both sides
-are known to be linked already, or their estimate lies six standard deviations below the limit.
+found with star joins. A family of at most BLOCK classes is compared in one task. In a larger one, classes are compared band by band, each
+distinct group of classes that share a band once. A group of over BLOCK classes is cut into blocks. Each block is first compared within
+itself and with the group's leader, which connects the bulk of a group of copies in linear work; then whatever isn't connected to that bulk
+yet, and only that, is compared with all blocks. Every task has at most two blocks and emits a spanning forest of its verified links.
+No pair that shares a band is skipped unless both sides are known to be linked already, or their estimate lies six standard deviations
+below the limit.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -22,6 +25,7 @@ from pyspark.sql import functions as F
 
 from quern.llm.components import connected_components
 from quern.llm.scratch import bound_batches, save
+from quern.llm.skew import join_in_parts
 from quern.llm.words import mix, word_hashes
 
 WORDS = 5
@@ -29,8 +33,8 @@ BITS = 8
 BUCKETS = 1 << BITS
 ROWS = 6
 BANDS = BUCKETS // ROWS  # a pair at the limit of 0.85 shares no band with probability 2e-9
-MANTISSA = 26
-EMPTY = np.uint32(0xFFFFFFFF)
+MANTISSA = 6
+EMPTY = np.uint16(0xFFFF)
 BLOCK = 1024
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
@@ -68,7 +72,7 @@ def registers(sets: list[np.ndarray]) -> np.ndarray:
     length = np.frexp((low >> np.uint64(5)).astype(np.float64))[1] + 5  # 52 bits are exact in a double
     zeros = (width - length).astype(np.uint64)
     body = (low << (zeros + np.uint64(BITS + 1))) >> np.uint64(64 - MANTISSA)  # below the leading one
-    return np.where(filled, zeros << np.uint64(MANTISSA) | body, np.uint64(EMPTY)).astype(np.uint32)
+    return np.where(filled, zeros << np.uint64(MANTISSA) | body, np.uint64(EMPTY)).astype(np.uint16)
 
 
 _DONORS = np.random.Generator(np.random.PCG64(7)).integers(0, BUCKETS, (4096, BUCKETS))
@@ -101,11 +105,21 @@ def band_keys(sketch: np.ndarray) -> list[np.ndarray]:
     return [k.view(np.int64) if s else k[:0].view(np.int64) for k, s in zip(np.ascontiguousarray(keys), some, strict=True)]
 
 
-def estimate(one: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Collision-corrected Jaccard estimates of one sketch with many, and how many registers they rest on."""
+def octaves(sizes: np.ndarray) -> np.ndarray:
+    """For sets of these sizes, the probability that a bucket is filled and its least remainder has 0, 1, 2 ... leading zeros."""
+    ends = np.append(np.exp2(-np.arange(64 - BITS, dtype=float)), 0.0)
+    return np.diff(np.exp(-sizes[:, None] / BUCKETS * ends[None, :]), axis=1)
+
+
+def estimate(one: np.ndarray, many: np.ndarray, chances: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Collision-corrected Jaccard estimates of one sketch with many, and how many registers they rest on.
+
+    chances: octaves() of the one set and of the many. Registers of different minima agree where both fall into one octave and, within
+    it, share all mantissa bits; that share of the registers that agree is taken off.
+    """
     either = ((one != EMPTY) | (many != EMPTY)).sum(axis=1)
     equal = ((many == one) & (one != EMPTY)).sum(axis=1)
-    chance = either / 3.0 * 2.0**-MANTISSA  # two minima share zeros with probability 1/3, then all mantissa bits
+    chance = BUCKETS * 2.0**-MANTISSA * (chances[1] @ chances[0]) if chances else 0.0
     return (equal - chance) / np.maximum(either - chance, 1e-9), either
 
 
@@ -124,9 +138,9 @@ def verified_forest(ids: np.ndarray, sets: list[np.ndarray], percent: int, side:
             parent[x] = x = parent[parent[x]]
         return x
 
-    level, found = percent / 100, []
+    level, found, spread = percent / 100, [], octaves(sizes)
     for i in range(len(ids) - 1):
-        near, either = estimate(sketch[i], sketch[i + 1 :])
+        near, either = estimate(sketch[i], sketch[i + 1 :], (spread[i], spread[i + 1 :]))
         small, large = np.minimum(sizes[i], sizes[i + 1 :]), np.maximum(sizes[i], sizes[i + 1 :])
         maybe = (near >= level - 6 * np.sqrt(level * (1 - level) / np.maximum(either, 1))) & (100 * small >= percent * large)
         if side is not None:
@@ -139,13 +153,42 @@ def verified_forest(ids: np.ndarray, sets: list[np.ndarray], percent: int, side:
     return found
 
 
+def _large_families(sized: DataFrame, classes: DataFrame, compared: Callable[[DataFrame], DataFrame], total: int) -> DataFrame:
+    """Links (a, b) of families of over BLOCK classes: inside bands only, and in blocks inside a band that has more."""
+    large = sized.where("large").select(F.col("node").alias("class_id"))
+    bands = save(classes.join(large, "class_id", "left_semi").select("class_id", F.explode("bands").alias("key")))
+    groups = bands.groupBy("key").agg(F.count("*").alias("n"), F.min("class_id").alias("first"), F.sum(F.xxhash64("class_id").cast("decimal(38,0)")).alias("digest")).where("n > 1")
+    # bands of the same classes are one group
+    groups = save(groups.groupBy("n", "first", "digest").agg(F.min("key").alias("key")).select("key", "n", "first", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
+    block = F.pmod(F.xxhash64("class_id", F.lit(5)), "blocks").cast("int").alias("block")
+    members = save(join_in_parts(bands, groups, "key", total).select("key", "class_id", "first", "blocks", block))
+    zero = F.lit(0)
+    own = members.select(F.col("key").alias("one"), F.col("block").alias("two"), zero.alias("three"), zero.alias("side"), "class_id")
+    leader = groups.where("blocks > 1").select(F.col("key").alias("one"), F.explode(F.sequence(zero, F.col("blocks") - 1)).alias("two"), zero.alias("three"), zero.alias("side"), F.col("first").alias("class_id"))
+    links = save(compared(own.unionByName(leader).distinct()))
+    parted = members.where("blocks > 1")
+    if not parted.limit(1).count():
+        return links
+    # what a group's bulk hasn't taken in yet
+    found = connected_components(links)
+    named = save(parted.join(found.withColumnRenamed("node", "class_id"), "class_id", "left").withColumn("component", F.coalesce("component", "class_id")))
+    bulk = named.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("bulk"))
+    rest = named.join(bulk, "key").where("component <> bulk").select("key", "class_id", "blocks")
+    sizes = rest.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("rests"))
+    rest = save(rest.join(sizes, "key").withColumn("rest", F.pmod(F.xxhash64("class_id", F.lit(9)), "rests").cast("int")))
+    each = F.explode(F.sequence(zero, F.col("blocks") - 1)).alias("three")
+    left = rest.select(F.col("key").alias("one"), F.col("rest").alias("two"), each, F.lit(1).alias("side"), "class_id")
+    right = parted.join(sizes, "key").select(F.col("key").alias("one"), F.explode(F.sequence(zero, F.col("rests") - 1)).alias("two"), F.col("block").alias("three"), F.lit(2).alias("side"), "class_id")
+    return links.unionByName(compared(left.unionByName(right)))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """For docs (doc_id, text): doc_id, n_shingles, component_id, kept.
 
     Two texts are linked when 100 * intersection >= percent * union of their shingle sets. component_id is the smallest doc_id reachable
     over links; kept marks that row. Null or word-less text has an empty set and is linked with nothing. Repeated doc_ids are rows of one
     id: their texts' links meet in that id. A null doc_id takes part in no link, and its row has a null component_id and kept true. Other
-    columns are dropped. An empty table gives no rows.
+    columns are dropped. A text of any length is one set of 8 bytes a shingle. An empty table gives no rows.
     """
     bound_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"))
@@ -160,12 +203,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     # one row of a class from each task, so that a class with a third of all rows isn't shuffled row by row
     classes = save(some.groupBy("digest").agg(F.min(F.struct("doc_id", "bands")).alias("least")).select("digest", F.col("least.doc_id").alias("class_id"), F.col("least.bands").alias("bands")))
     bands = classes.select("class_id", F.explode("bands").alias("key"))
-    shared = bands.groupBy("key").agg(F.min("class_id").alias("first"), F.max("class_id").alias("last")).where("first < last").select("key", "first")
-    families = save(connected_components(bands.join(shared, "key").where("class_id <> first").select(F.col("class_id").alias("a"), F.col("first").alias("b")).distinct()))
-
-    blocks = families.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    mine = families.join(blocks, "component").select(F.col("node").alias("class_id"), "component", "blocks", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"))
-    tasks = mine.select("class_id", "component", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("class_id", "component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block")
+    least = F.min("class_id").alias("first")
+    shared = bands.groupBy("key").agg(least, F.max("class_id").alias("last"), F.count("*").alias("n")).where("first < last").select("key", "first", "n")
+    total = BANDS * classes.count()
+    families = save(connected_components(join_in_parts(bands, shared, "key", total).where("class_id <> first").select(F.col("class_id").alias("a"), F.col("first").alias("b")).distinct()))
+    sized = save(join_in_parts(families, families.groupBy("component").agg(F.count("*").alias("n"), (F.count("*") > BLOCK).alias("large")), "component", total))
 
     def sets_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -174,12 +216,19 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     full = docs.join(families.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").mapInPandas(sets_of, "class_id long, shingles binary")
 
     def forest(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("class_id", kind="stable")
-        side = frame["block"].to_numpy() if key[1] != key[2] else None
+        frame = frame.sort_values(["class_id", "side"], kind="stable")
+        side = frame["side"].to_numpy() if frame["side"].max() > 0 else None
         pairs = verified_forest(frame["class_id"].to_numpy(), [np.frombuffer(x, dtype=np.uint64) for x in frame["shingles"]], percent, side)
         return pd.DataFrame(pairs, columns=["a", "b"], dtype="int64")
 
-    links = tasks.join(full, "class_id").groupBy("component", "i", "j").applyInPandas(forest, "a long, b long")
+    def compared(tasks: DataFrame) -> DataFrame:
+        """Forests of tasks (one, two, three, side, class_id); of two sides, only pairs across are compared."""
+        return tasks.join(full, "class_id").groupBy("one", "two", "three").applyInPandas(forest, "a long, b long")
+
+    zero = F.lit(0)
+    links = compared(sized.where("not large").select(F.col("component").alias("one"), zero.alias("two"), zero.alias("three"), zero.alias("side"), F.col("node").alias("class_id")))
+    if sized.where("large").limit(1).count():
+        links = save(links.unionByName(save(_large_families(sized, classes, compared, total))))
     # a doc_id with several texts ties their classes together
     several = some.groupBy("doc_id").agg(F.min("digest").alias("one"), F.max("digest").alias("other")).where("one <> other")
     ties = some.select("doc_id", "digest").join(several, "doc_id", "left_semi").join(classes.select("digest", "class_id"), "digest").select(F.col("doc_id").alias("a"), F.col("class_id").alias("b"))

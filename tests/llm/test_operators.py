@@ -14,7 +14,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quern.llm import bpe, chat, decontaminate, exact_dedup, html_text, licenses, lm, near_dedup, quality, queries, sharding
+from quern.llm import bpe, chat, components, decontaminate, exact_dedup, html_text, licenses, lm, near_dedup, quality, queries, sharding, skew
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, kept string, words string, seed string, component_id string, best string"
 
@@ -108,8 +108,9 @@ def test_near_duplicates_agree_with_brute_force(spark, data, awkward, percent):
             assert r.n_shingles in {len(s) for s in sets[r.doc_id]}
 
 
-def test_near_duplicates_of_a_family_in_blocks(spark, empty, monkeypatch):
-    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+@pytest.mark.parametrize("block", [8, 25, 1024])
+def test_near_duplicates_of_a_family_in_blocks(spark, empty, monkeypatch, block):
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
     rng = random.Random(3)
     base = [f"w{i}" for i in range(120)]
     texts = []
@@ -118,10 +119,28 @@ def test_near_duplicates_of_a_family_in_blocks(spark, empty, monkeypatch):
         for _ in range(rng.randrange(0, 5)):
             w[rng.randrange(120)] = f"z{rng.randrange(10**6)}"
         texts.append((i, " ".join(w)))
+    step = [f"c{i}" for i in range(100)]  # a chain, each link of which is near only its neighbours
+    for i in range(60, 90):
+        texts.append((i, " ".join(step)))
+        step = step[3:] + [f"c{i}x{k}" for k in range(3)]
     want = brute_components(brute_sets(texts), 85)
+    assert {want[i] for i in range(60, 90)} == {60}
     assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(table(spark, texts)).collect()} == want
-    assert near_dedup.near_duplicates(empty).count() == 0
-    assert near_dedup.keep_one_of_each(table(spark, texts), 85).columns == [c.split()[0] for c in DOCS.split(", ")]
+    if block == 8:
+        assert near_dedup.near_duplicates(empty).count() == 0
+        assert near_dedup.keep_one_of_each(table(spark, texts), 85).columns == [c.split()[0] for c in DOCS.split(", ")]
+
+
+def test_hot_keys_are_cut_into_parts(spark, monkeypatch):
+    monkeypatch.setattr(skew, "HOT_ROWS", 10)
+    left = spark.range(500).selectExpr("if(id < 300, 0, id % 40) as k", "id as v").unionByName(spark.createDataFrame([(None, 1)], "k long, v long"))
+    right = left.where("k is not null").groupBy("k").agg(F.count("*").alias("n"), F.min("v").alias("m"))
+    got = skew.join_in_parts(left, right, "k", 501)
+    assert rows_of(got) == rows_of(left.join(right.drop("n"), "k"))
+    edges = spark.range(1, 400).selectExpr("id as a", "0L as b").unionByName(spark.range(500, 560).selectExpr("id as a", "id + 1 as b"))
+    found = {r.node: r.component for r in components.connected_components(edges).collect()}
+    assert found == {i: 0 for i in range(400)} | {i: 500 for i in range(500, 561)}
+    assert components.connected_components(edges.limit(0)).count() == 0
 
 
 def test_sketches_estimate_jaccard():
@@ -136,10 +155,23 @@ def test_sketches_estimate_jaccard():
     # a register is the float-like form of the bucket's least remainder
     value = (np.uint64(5) << np.uint64(56)) | np.uint64(0b1011 << 20)
     sketch = near_dedup.registers([np.array([value])])
-    assert sketch[0, 5] == (56 - 24) << 26 | (0b011 << 23)
+    assert sketch.dtype == np.uint16 and sketch[0, 5] == (56 - 24) << near_dedup.MANTISSA | 0b011 << near_dedup.MANTISSA - 3
     assert (near_dedup.densified(sketch) == sketch[0, 5]).all()
 
 
+def test_collisions_of_registers_are_taken_off():
+    rng = np.random.default_rng(9)
+    sizes = [int(x) for x in rng.choice([60, 256, 1500], 400)]
+    sets = [np.unique(rng.integers(0, 2**64, n, dtype=np.uint64)) for n in sizes]
+    sketch, spread = near_dedup.registers(sets), near_dedup.octaves(np.array(sizes))
+    raw, fair = [], []
+    for i in range(0, 399):
+        raw.append(near_dedup.estimate(sketch[i], sketch[i + 1 :])[0])
+        fair.append(near_dedup.estimate(sketch[i], sketch[i + 1 :], (spread[i], spread[i + 1 :]))[0])
+    raw, fair = np.concatenate(raw), np.concatenate(fair)  # of sets that have nothing in common
+    assert raw.mean() > 0.001 and abs(fair.mean()) < 0.0001
+
+
 def brute_licenses(text):
     low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
