@@ -1,8 +1,11 @@
-"""Op 7: exact dedup as a tree-merge of digest runs, in DataFrame functions only.
-
-Rows are dealt to runs by a hash of their id. Each run holds one entry per digest: its size and the best row so far. In each round
-FAN_IN neighbouring runs exchange and merge, keeping the best identifier of each digest, until one run remains. Equal texts that fill a
-third of all rows are one entry per run from the first round on, so no task sees more than FAN_IN entries of a digest.
+"""Op 7: exact dedup as a tree-merge of sorted digest runs, in DataFrame functions only.
+
+Rows are dealt to runs by a hash. A run is a list of entries in the order of the digest, one for each: its count of rows and the best
+identifier so far. It lies in slices by the digest's first digits, so that no run has to fit one task. In each round, FAN_IN neighbouring
+runs exchange: their slices meet in one task each, are put in the order of the digest, and are merged in one pass over that order, in
+which the entries of a digest stand together and the best identifier is retained. After the last round one sorted run is left. An entry's
+key is the digest with a second hash and the length, so equality is verified at every level. Equal texts that fill a third of all rows are
+one entry of each run from the first round on, so no task sees more than FAN_IN entries of a digest.
 """
 
 from __future__ import annotations
@@ -11,27 +14,34 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.scratch import save
+from quern.llm.skew import join_in_parts
 
 FAN_IN = 16
 RUNS = 256
+SLICE_DIGITS = 3  # of the digest in hexadecimal: 4096 slices of the final run
 
 
 def _bare(text: Column) -> Column:
     return F.regexp_replace(text, "[\\x20\\x09-\\x0D]+", "")
 
 
-def _best(key: list[str], entries: DataFrame) -> DataFrame:
-    """Least order: most code points, then the smallest identifier."""
-    return entries.groupBy(*key).agg(F.min("best").alias("best"), F.sum("size").alias("size"))
+def _merged(entries: DataFrame, key: list[str]) -> DataFrame:
+    """Runs merged in the order of the digest. Least best: most code points, then the smallest identifier."""
+    order = ["run", "slice", *key]
+    runs = entries.repartition("run", "slice").sortWithinPartitions(*order)
+    return runs.groupBy(*order).agg(F.min("best").alias("best"), F.sum("size").alias("size"))  # reads the order, sorts nothing
 
 
 def tree_merge(entries: DataFrame, key: list[str], runs: int = RUNS, fan_in: int = FAN_IN) -> DataFrame:
-    """entries (run, *key, best, size): one entry per key, merged over rounds of fan_in neighbouring runs."""
-    entries = _best(["run", *key], entries)
+    """entries (run, *key, best, size), key[0] being a digest in hexadecimal: one entry per key, merged over rounds of fan_in neighbouring
+    runs. The first round merges rows into runs within the tasks that have them, before anything is exchanged.
+    """
+    order = ["run", "slice", *key]
+    entries = entries.withColumn("slice", F.substring(key[0], 1, SLICE_DIGITS)).groupBy(*order).agg(F.min("best").alias("best"), F.sum("size").alias("size"))
     while runs > 1:
         runs = -(-runs // fan_in)
-        entries = _best(["run", *key], entries.withColumn("run", F.expr(f"run div {fan_in}")))
-    return entries.drop("run")
+        entries = _merged(entries.withColumn("run", F.expr(f"run div {fan_in}")), key)
+    return entries.drop("run", "slice")
 
 
 def exact_duplicates(docs: DataFrame) -> DataFrame:
@@ -40,7 +50,8 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     Texts are equal when identical after deleting every character of `[\\x20\\x09-\\x0D]`; null counts as empty. Of equal texts the row
     with the most code points in its original text stays, then the one with the smallest doc_id (null ids last). Digests are verified by
     the length and a second hash of the normalised text. Rows that repeat a doc_id are counted each; kept marks every row with the id and
-    length that stay. Other columns are dropped. An empty table gives no rows.
+    length that stay. Other columns are dropped. Of a text of any length only digests and lengths leave the scan. An empty table gives no
+    rows.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long"), F.length(text).cast("long").alias("chars"), _bare(text).alias("bare"))
@@ -48,8 +59,9 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     key = ["text_sha256", "proof", "length"]
     best = F.struct((-F.col("chars")).alias("chars"), F.col("doc_id").isNull().alias("none"), "doc_id")
     entries = rows.select(*key, F.pmod(F.xxhash64("doc_id"), F.lit(RUNS)).alias("run"), best.alias("best"), F.lit(1).cast("long").alias("size"))
-    merged = tree_merge(entries, key)
-    joined = rows.join(merged, key)
+    merged = save(tree_merge(entries, key))
+    # the rows of a large group are cut into parts
+    joined = join_in_parts(rows.withColumn("entry", F.struct(*key)), merged.select(F.struct(*key).alias("entry"), "best", "size", F.col("size").alias("n")), "entry", rows.count())
     kept = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("chars") == -F.col("best.chars"))
     return joined.select("doc_id", F.col("best.doc_id").alias("keep_id"), F.col("size").alias("group_size"), kept.alias("kept"), "text_sha256", "chars")
 
