@@ -14,6 +14,7 @@ from weakref import WeakKeyDictionary
 from pyspark.sql import DataFrame, SparkSession
 
 BATCH_BYTES = 8 << 20
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
@@ -36,10 +37,15 @@ def _at(spark: SparkSession, path: str) -> tuple:
 
 
 def save(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and return the table read back from there."""
+    """Write df to the shared folder and return the table read back from there. The shuffles of the writing are deleted with its end."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quern-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     files, target = _at(spark, path)
     files.deleteOnExit(target)
     out = spark.read.schema(df.schema).parquet(path)
