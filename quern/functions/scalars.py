@@ -16,8 +16,16 @@ URL_NAMESPACE = "6ba7b8119dad11d180b400c04fd430c8"
 #: Fixed value: suffixes that name a document type.
 DOC_TYPES = ["PDF", "DOCX", "PYTHON", "YAML", "MARKDOWN", "JSON"]
 #: Parts of keys whose values are secret, and keys that name proxies.
-SECRET_PARTS = ["token", "secret", "password", "authorization", "cookie", "api_key", "apikey"]
-PROXY_KEYS = ["http_proxy", "https_proxy", "all_proxy", "no_proxy"]
+SECRET_PARTS = ["token", "secret", "password", "passwd", "api_key", "apikey", "authorization", "cookie", "credential", "private_key"]
+PROXY_KEYS = ["http_proxy", "https_proxy", "all_proxy"]
+#: Fixed value: what a model is told before a question.
+SYSTEM_PROMPT = """Sei un assistente che risponde SOLO in base al contesto fornito qui sotto, estratto da libri e articoli scientifici.
+
+Regole:
+1. Se il contesto non contiene l'informazione richiesta, dichiaralo esplicitamente ("Il materiale a disposizione non copre questo punto") invece di rispondere a memoria.
+2. Ogni affermazione tecnica deve essere riconducibile a un passaggio del contesto: cita la fonte tra parentesi nel formato (Fonte, Sezione) dopo l'affermazione che supporta.
+3. Non mescolare informazioni da fonti diverse in un'unica affermazione senza distinguerle.
+4. Rispondi in italiano, in modo tecnico e diretto, senza preamboli."""
 
 
 def text_of(c: Column | str) -> Column:
@@ -111,10 +119,38 @@ def question_prompt(context: Column, question: Column) -> Column:
     return F.concat(F.lit("Contesto:\n\n"), text_of(context), F.lit("\n\nDomanda: "), text_of(question))
 
 
-def json_object(raw: Column) -> Column:
-    """The outermost {...} of an answer, fences and prose around it dropped; null if there is none."""
-    found = F.regexp_extract(text_of(raw), r"(?s)\{.*\}", 0)
-    return F.when(found != "", found)
+def chat_messages(context: Column, question: Column) -> Column:
+    """The messages of a request: array of (role, content), the system's first."""
+    message = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
+    return F.array(message("system", F.lit(SYSTEM_PROMPT)), message("user", question_prompt(context, question)))
+
+
+def json_object(raw: Column, strict: bool = False) -> Column:
+    """The JSON object of an answer: the whole text without its fence, else the outermost {...}, whichever parses first.
+
+    Without one, null; if strict, an error in the job.
+    """
+    bare = strip(text_of(raw))
+    bare = F.when(F.startswith(bare, F.lit("```")), F.regexp_replace(strip(F.regexp_replace(bare, "^`+|`+$", "")), f"(?i)^json{SPACE}*", "")).otherwise(bare)
+    inner = F.regexp_extract(bare, r"(?s)\{.*\}", 0)
+    parses = lambda c: F.startswith(c, F.lit("{")) & F.try_parse_json(c).isNotNull()
+    found = F.when(parses(bare), bare).when(parses(inner), inner)
+    return F.coalesce(found, F.raise_error(F.lit("no JSON object in the answer")).cast("string")) if strict else found
+
+
+def file_name(c: Column) -> Column:
+    """White space as underscores, a run as one."""
+    return F.regexp_replace(text_of(c), f"{SPACE}+", "_")
+
+
+def age_seconds(now: Column, then: Column) -> Column:
+    """Whole seconds between two epoch times, none negative; an unknown time is now."""
+    return F.greatest(F.lit(0), (now - F.coalesce(then, now)).cast("long"))
+
+
+def day_of(seconds: Column) -> Column:
+    """The date of an epoch time, in the session's zone."""
+    return F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd")
 
 
 def clean_path(path: Column) -> Column:
@@ -127,7 +163,7 @@ def redact(fields: Column, limit: int = 4096) -> Column:
     def one(key: Column, value: Column) -> Column:
         k = F.lower(key)
         secret = reduce(lambda a, b: a | b, [F.contains(k, F.lit(p)) for p in SECRET_PARTS])
-        return F.when(k.isin(PROXY_KEYS), F.lit("<REDACTED_PROXY>")).when(secret, F.lit("<REDACTED>")).when(F.length(value) > limit, F.concat(F.substring(value, 1, limit), F.lit("...<TRUNCATED>"))).otherwise(value)
+        return F.when(k.isin(PROXY_KEYS), F.lit("<REDACTED_PROXY>")).when(secret, F.lit("<REDACTED>")).when(F.length(value) > limit, F.concat(F.substring(value, 1, limit), F.lit("...<truncated>"))).otherwise(value)
 
     return F.transform_values(fields, one)
 
@@ -165,4 +201,10 @@ def cell(v: Column) -> Column:
 
 
 def progress(created: Column, total: Column) -> Column:
+    """Of a job's chunks, in percent: from 20 to 95."""
     return F.least(F.lit(95.0), 20 + F.try_divide(created.cast("double"), total.cast("double")) * 75)
+
+
+def file_progress(done: Column, total: Column) -> Column:
+    """Of a job's files, in percent, to one digit."""
+    return F.bround(done.cast("double") / F.greatest(F.lit(1), total).cast("double") * 100, 1)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
@@ -15,49 +17,64 @@ def budget(target_tokens: int, overlap_ratio: float) -> tuple[int, int]:
     return words, int(words * overlap_ratio)
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
 def packed(sentences: Column, target_tokens: int = 600, overlap_ratio: float = 0.12) -> Column:
-    """Sentences as an array of chunk texts: a left fold, one step a sentence.
+    """Sentences as an array of chunk texts: a left fold over their word counts, one step a sentence; texts are cut out at the end.
 
     A full buffer is emitted and its overlap begins the next one; where overlap and sentence exceed the budget again the overlap is
-    dropped, so every step makes progress. A sentence that fills a budget alone is a chunk of its own.
+    dropped, so every step makes progress. A sentence that fills a budget alone is a chunk of its own. The buffer is always a run of
+    sentences, so a state is the run's begin and words and the cuts so far: a step costs no more than the overlap.
     """
     most, keep = budget(target_tokens, overlap_ratio)
-    empty = "cast(array() as array<struct<s:string,n:int>>)"
-    kind = "struct<out:array<string>,buf:array<struct<s:string,n:int>>,words:int>"
+    span = lambda b, e: F.struct(b.cast("int").alias("b"), e.cast("int").alias("e"))
+    run = lambda begin, words: F.struct(begin.cast("int").alias("begin"), words.cast("int").alias("words"))
 
-    def overlap(buf: Column) -> Column:
+    def overlap(a: Column, counts: Column) -> Column:
         """The last sentence (unless it fills a budget) and those before it while their words stay within the overlap."""
-        # walking backwards: once a sentence doesn't fit, or the overlap is full, the walk is over
-        start = F.struct(F.expr(empty).alias("kept"), F.lit(0).alias("acc"), F.lit(False).alias("over"))
-
-        def step(a: Column, x: Column) -> Column:
-            take = ~a["over"] & F.when(F.size(a["kept"]) == 0, x["n"] < most).otherwise(a["acc"] + x["n"] <= keep)
-            acc = F.when(take, a["acc"] + x["n"]).otherwise(a["acc"])
-            return F.struct(F.when(take, F.concat(F.array(x), a["kept"])).otherwise(a["kept"]).alias("kept"), acc.alias("acc"), (~take | (acc >= keep)).alias("over"))
-
-        return F.aggregate(F.reverse(buf), start, step, lambda a: a["kept"]) if keep else F.expr(empty)
-
-    def text(buf: Column) -> Column:
-        return F.array_join(F.transform(buf, lambda x: x["s"]), " ")
-
-    def total(buf: Column) -> Column:
-        return F.aggregate(buf, F.lit(0), lambda s, x: s + x["n"])
-
-    def step(a: Column, x: Column) -> Column:
-        full = (F.size(a["buf"]) > 0) & (a["words"] + x["n"] > most)
-        out = F.when(full, F.concat(a["out"], F.array(text(a["buf"])))).otherwise(a["out"])
-        rest = F.when(full, overlap(a["buf"])).otherwise(a["buf"])
-        rest = F.when(full & (total(rest) + x["n"] > most), F.expr(empty)).otherwise(rest)
-        alone = (F.size(rest) == 0) & (x["n"] >= most)
-        return F.struct(
-            F.when(alone, F.concat(out, F.array(x["s"]))).otherwise(out).alias("out"),
-            F.when(alone, rest).otherwise(F.concat(rest, F.array(x))).alias("buf"),
-            F.when(alone, F.lit(0)).otherwise(total(rest) + x["n"]).cast("int").alias("words"),
-        ).cast(kind)
-
-    items = F.transform(sentences, lambda s: F.struct(s.alias("s"), S.word_count(s).cast("int").alias("n")))
-    start = F.expr(f"named_struct('out', cast(array() as array<string>), 'buf', {empty}, 'words', 0)").cast(kind)
-    return F.aggregate(items, start, step, lambda a: F.when(F.size(a["buf"]) > 0, F.concat(a["out"], F.array(text(a["buf"])))).otherwise(a["out"]))
+        if not keep:
+            return run(a["i"], F.lit(0))
+        size = F.least(F.lit(keep), a["i"] - a["begin"])  # every sentence has a word
+        back = F.reverse(F.slice(counts, a["i"] - size + 1, size))
+        start = F.struct(a["i"].alias("begin"), F.lit(0).alias("words"), F.lit(False).alias("over"))
+
+        def step(o: Column, n: Column) -> Column:
+            take = ~o["over"] & F.when(o["begin"] == a["i"], n < most).otherwise(o["words"] + n <= keep)
+            words = F.when(take, o["words"] + n).otherwise(o["words"])
+            return F.struct((o["begin"] - take.cast("int")).alias("begin"), words.alias("words"), (~take | (words >= keep)).alias("over"))
+
+        return F.aggregate(back, start, step, lambda o: run(o["begin"], o["words"]))
+
+    def cuts(counts: Column) -> Column:
+        start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("begin"), F.lit(0).alias("words"), F.expr("cast(array() as array<struct<b:int,e:int>>)").alias("cuts"))
+
+        def step(a: Column, n: Column) -> Column:
+            i, full = a["i"], (a["i"] > a["begin"]) & (a["words"] + n > most)
+            first = F.when(full, overlap(a, counts)).otherwise(run(a["begin"], a["words"]))
+
+            def rest(r: Column) -> Column:
+                fresh = full & (r["words"] + n > most)
+                alone = (fresh | (r["begin"] == i)) & (n >= most)
+                done = F.when(full, F.concat(a["cuts"], F.array(span(a["begin"], i)))).otherwise(a["cuts"])
+                return F.struct(
+                    (i + 1).alias("i"),
+                    F.when(alone, i + 1).when(fresh, i).otherwise(r["begin"]).alias("begin"),
+                    F.when(alone, F.lit(0)).when(fresh, n).otherwise(r["words"] + n).alias("words"),
+                    F.when(alone, F.concat(done, F.array(span(i, i + 1)))).otherwise(done).alias("cuts"),
+                )
+
+            return _let(first, rest)
+
+        return F.aggregate(counts, start, step, lambda a: F.when(a["i"] > a["begin"], F.concat(a["cuts"], F.array(span(a["begin"], a["i"])))).otherwise(a["cuts"]))
+
+    def texts(s: Column) -> Column:
+        counts = F.transform(s, lambda t: S.word_count(t).cast("int"))
+        return F.transform(_let(counts, cuts), lambda c: F.array_join(F.slice(s, c["b"] + 1, c["e"] - c["b"]), " "))
+
+    return _let(sentences, texts)
 
 
 def chunk_sections(sections: DataFrame, target_tokens: int = 600, overlap_ratio: float = 0.12) -> DataFrame:

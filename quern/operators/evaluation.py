@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from quern.functions import scalars as S
+
 
 def context_metrics(flags: DataFrame) -> DataFrame:
     """flags (case_id, rank, relevant boolean): case_id, precision (mean of precision at relevant ranks), recall, retrieval_match."""
@@ -15,6 +17,19 @@ def context_metrics(flags: DataFrame) -> DataFrame:
     return per.withColumn("retrieval_match", F.round((F.col("precision") + F.col("recall")) / 2, 4))
 
 
+def case_results(cases: DataFrame, present: DataFrame, found: DataFrame) -> DataFrame:
+    """cases (case_id, expected), present (case_id, found: is the expected document there?) and found (case_id, rank, title): case_id,
+    status (Skipped, Found, Not found), precision, recall, retrieval_match. A skipped case has no precision and recall, and a match of 0."""
+    there = cases.join(present.select("case_id", F.col("found").alias("there")), "case_id")
+    flags = found.join(there.where("there"), "case_id").select("case_id", "rank", S.names_match(F.col("title"), F.col("expected")).alias("relevant"))
+    rows = there.join(context_metrics(flags), "case_id", "left")
+    known = lambda c: F.when(F.col("there"), F.coalesce(c, F.lit(0.0)))
+    return rows.select(
+        "case_id", F.when(~F.col("there"), "Skipped").when(F.col("recall") > 0, "Found").otherwise("Not found").alias("status"),
+        known("precision").alias("precision"), known("recall").alias("recall"), F.coalesce(known("retrieval_match"), F.lit(0.0)).alias("retrieval_match"),
+    )
+
+
 def faithfulness(claims: DataFrame) -> DataFrame:
     """claims (case_id, supported, total): supported within 0..total, as a share; 0 without claims."""
     inside = F.greatest(F.lit(0), F.least("supported", "total"))
@@ -30,34 +45,64 @@ def metric_means(cases: DataFrame, metrics: list[str]) -> DataFrame:
 
 
 def latency_stats(samples: DataFrame, phase: str | None = None) -> DataFrame:
-    """samples (phase, seconds): count, total, mean, min, max of each phase. phase: that one alone."""
-    rows = samples if phase is None else samples.where(F.col("phase") == phase)
-    return rows.groupBy("phase").agg(F.count("*").alias("n"), F.round(F.sum("seconds"), 4).alias("total"), F.round(F.avg("seconds"), 4).alias("mean"), F.min("seconds").alias("least"), F.max("seconds").alias("most"))
+    """samples (phase, seconds): count, total, mean, min, max of each phase, unrounded. phase: that one alone, if it has samples, else all."""
+    stats = samples.groupBy("phase").agg(F.count("*").alias("n"), F.sum("seconds").alias("total"), F.avg("seconds").alias("mean"), F.min("seconds").alias("least"), F.max("seconds").alias("most"))
+    if phase is None:
+        return stats
+    there = stats.agg(F.coalesce(F.bool_or(F.col("phase") == phase), F.lit(False)).alias("_there"))  # one row
+    return stats.join(F.broadcast(there)).where((F.col("phase") == phase) | ~F.col("_there")).drop("_there")
 
 
 def latency_report(stats: DataFrame) -> DataFrame:
-    """A line for each phase; the phases of a program are few."""
-    line = F.format_string("%s: n=%d media=%.3fs min=%.3fs max=%.3fs", "phase", "n", F.bround("mean", 3), F.bround("least", 3), F.bround("most", 3))
-    return stats.agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("report"))
+    """One text: a title and a line for each phase, in order of their names; the phases of a program are few."""
+    seconds = lambda c: F.bround(c, 3)
+    line = F.format_string("Fase: %-15s | Conteggio: %-3d | Media: %.3fs | Min: %.3fs | Max: %.3fs | Totale: %.3fs", "phase", "n", *map(seconds, ("mean", "least", "most", "total")))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("phase", line.alias("line")))), lambda x: x["line"])
+    return stats.agg(F.when(F.count("*") > 0, F.array_join(F.concat(F.array(F.lit("=== Report Latenza RAG ===")), lines), "\n")).otherwise("Nessuna misurazione registrata.").alias("report"))
+
+
+#: The component of each phase, and that of any other.
+COMPONENTS = {"embedding": "Ollama", "hybrid_search": "LanceDB", "rerank": "CrossEncoder", "generation": "Ollama"}
+OTHER_COMPONENT = "FastAPI"
 
 
-def telemetry_snapshot(stats: DataFrame, components: dict[str, str]) -> DataFrame:
-    """phase, component, duration_ms from latency statistics; one idle row if there are none."""
+def telemetry_snapshot(stats: DataFrame, components: dict[str, str] = COMPONENTS) -> DataFrame:
+    """id, level, component, message, duration_ms (the mean, cut off) from latency statistics; one row that says ready if there are none."""
     names = F.create_map(*[F.lit(x) for pair in components.items() for x in pair])
-    rows = stats.select("phase", F.coalesce(F.try_element_at(names, F.col("phase")), F.lit("core")).alias("component"), (F.col("mean") * 1000).cast("int").alias("duration_ms"), F.col("n"))
-    idle = stats.agg(F.count("*").alias("k")).where("k = 0").select(F.lit("idle").alias("phase"), F.lit("core").alias("component"), F.lit(0).alias("duration_ms"), F.lit(0).cast("long").alias("n"))
+    shown = lambda id_, component, message, ms: [id_.alias("id"), F.lit("INFO").alias("level"), component.alias("component"), message.alias("message"), ms.cast("int").alias("duration_ms")]
+    rows = stats.select(*shown(
+        F.concat(F.lit("telemetry-"), "phase"), F.coalesce(F.try_element_at(names, F.col("phase")), F.lit(OTHER_COMPONENT)),
+        F.concat(F.lit("Fase '"), "phase", F.lit("' completata ("), F.col("n").cast("string"), F.lit(" chiamate)")), F.col("mean") * 1000,
+    ))
+    idle = stats.agg(F.count("*").alias("k")).where("k = 0").select(*shown(F.lit("telemetry-system"), F.lit(OTHER_COMPONENT), F.lit("Sistema RAG pronto e in ascolto."), F.lit(0)))
     return rows.unionByName(idle)
 
 
-def p95(samples: DataFrame, group: str, value: str) -> DataFrame:
-    """The value at place floor(0.95 n), from 0, of each group's sorted values.
+def mean_duration(samples: DataFrame, value: str) -> DataFrame:
+    """The mean over finite values of 0 and more; null without any."""
+    v = F.col(value).cast("double")
+    return samples.agg(F.avg(F.when((v >= 0) & ~F.isnan(v) & (v < float("inf")), v)).alias("mean"))
+
+
+def job_summary(cases: DataFrame) -> DataFrame:
+    """cases (case_id, status): one row with status, errors, error (null without) and found as x/total."""
+    counted = cases.agg(F.count_if(F.col("status") == "Error").alias("errors"), F.count_if(F.col("status") == "Found").alias("hits"), F.count("*").alias("total"))
+    failed = F.col("errors") > 0
+    return counted.select(
+        F.when(failed, "completed_with_errors").otherwise("completed").alias("status"), "errors",
+        F.when(failed, F.concat(F.col("errors").cast("string"), F.lit(" casi non valutabili"))).alias("error"), F.concat_ws("/", "hits", "total").alias("found"),
+    )
+
+
+def p95(samples: DataFrame, group: str, value: str, zero_is_missing: bool = False) -> DataFrame:
+    """The value at place floor(0.95 n), from 0, of each group's sorted values. zero_is_missing: where that is 0, the largest value.
 
     Places are counted on distinct values, so a group's rows are aggregated before any of them meet in one task.
     """
     counts = samples.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("k"))
     order = W.Window.partitionBy(group).orderBy(value)
     placed = counts.withColumn("upto", F.sum("k").over(order.rowsBetween(W.Window.unboundedPreceding, 0))).withColumn("n", F.sum("k").over(W.Window.partitionBy(group)))
-    return placed.where(F.col("upto") > F.floor(F.col("n") * 0.95)).groupBy(group).agg(F.min(value).alias("p95"), F.max("n").alias("n"))
+    return placed.where(F.col("upto") > F.floor(F.col("n") * 0.95)).groupBy(group).agg(F.min(value).alias("p95"), F.max("n").alias("n"), F.max(value).alias("most")).select(group, F.when(F.lit(zero_is_missing) & (F.col("p95") == 0), F.col("most")).otherwise(F.col("p95")).alias("p95"), "n")
 
 
 def request_rate(requests: DataFrame, client: str, ts: str, seconds: int = 60) -> DataFrame:

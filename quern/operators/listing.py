@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from quern.functions import scalars as S
+from quern.sources.shared import settled
+
+MOST_IDS = 10_000  # ids of a list that are written into the plan
+MOST_CASES = 10_000  # names that every document is compared with
 
 
 def filter_equal(df: DataFrame, **values: str | None) -> DataFrame:
@@ -30,6 +34,8 @@ def search(df: DataFrame, term: str, *columns: str) -> DataFrame:
 def fetch_in_order(df: DataFrame, ids: list, id_col: str) -> DataFrame:
     """Rows of the ids, in the order of the list; ids that aren't there are left out."""
     wanted = df.sparkSession.createDataFrame([(x, i) for i, x in enumerate(ids)], f"{id_col} {df.schema[id_col].dataType.simpleString()}, rank int")
+    if len(ids) > MOST_IDS:
+        return df.join(wanted, id_col).orderBy("rank")
     return df.where(F.col(id_col).isin(ids)).join(F.broadcast(wanted), id_col).orderBy("rank")
 
 
@@ -50,15 +56,18 @@ def sample(df: DataFrame, size: int = 500, *order: str) -> DataFrame:
 
 
 def batch_number(df: DataFrame, order: str, size: int = 32) -> DataFrame:
-    """Batches of size rows in order; places come from sorted ranges of rows, not from one sorted task."""
-    ranged = df.repartitionByRange(order).sortWithinPartitions(order).withColumn("_p", F.spark_partition_id())
-    return _numbered(ranged, order).withColumn("batch", F.floor((F.col("place") - 1) / size).cast("int"))
-
+    """df with place (from 1) and batch (from 0, size rows each) in order of a column, ties by a hash of the row.
 
-def _numbered(df: DataFrame, order: str) -> DataFrame:
-    counts = df.groupBy("_p").agg(F.count("*").alias("n"))
-    before = counts.select("_p", (F.sum("n").over(W.Window.orderBy("_p")) - F.col("n")).alias("before"))
-    return df.join(F.broadcast(before), "_p").withColumn("place", F.row_number().over(W.Window.partitionBy("_p").orderBy(order)) + F.col("before")).drop("_p", "before")
+    Rows are dealt to ranges of the order, and that dealing is written down: places come from each range's own order and from the counts
+    of the ranges before it, so both must see the same ranges. No range grows with the ties of a value. Counts are one row a partition.
+    """
+    ties = F.xxhash64(*df.columns)
+    ranged = settled(df.withColumn("_t", ties).repartitionByRange(order, "_t").withColumn("_p", F.spark_partition_id()))
+    counts = ranged.groupBy("_p").agg(F.count("*").alias("n"))
+    before = counts.select("_p", (F.sum("n").over(W.Window.orderBy("_p")) - F.col("n")).alias("_before"))
+    place = F.row_number().over(W.Window.partitionBy("_p").orderBy(order, "_t")) + F.col("_before")
+    numbered = ranged.join(F.broadcast(before), "_p").withColumn("place", place).drop("_p", "_t", "_before")
+    return numbered.withColumn("batch", F.floor((F.col("place") - 1) / size).cast("int"))
 
 
 def inventory(chunks: DataFrame, database: str) -> DataFrame:
@@ -68,9 +77,32 @@ def inventory(chunks: DataFrame, database: str) -> DataFrame:
     return docs.select(S.name_uuid(F.concat(F.lit(f"{database}::"), "doc_key")).alias("doc_uuid"), "doc_key", "title", S.doc_type(F.col("doc_key")).alias("doc_type"), "chunks", "sections")
 
 
-def library_stats(chunks: DataFrame) -> DataFrame:
+def library_stats(chunks: DataFrame, databases: int | None = None, stored: DataFrame | None = None) -> DataFrame:
+    """Chunks and documents; with `databases`, their number; with `stored`, a table read from files, the bytes of those files."""
     key = F.when(S.text_of("source_path") != "", F.col("source_path")).otherwise(S.text_of("source_title"))
-    return chunks.agg(F.count("*").alias("chunks"), F.countDistinct(key).alias("documents"))
+    out = chunks.agg(F.count("*").alias("chunks"), F.countDistinct(key).alias("documents"))
+    if databases is not None:
+        out = out.withColumn("databases", F.lit(databases))
+    if stored is not None:
+        out = out.join(storage_bytes(stored))  # one row each
+    return out
+
+
+def storage_bytes(stored: DataFrame) -> DataFrame:
+    """The bytes of the files that a table is read from, each file once."""
+    files = stored.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("bytes")).distinct()
+    return files.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("storage_bytes"))
+
+
+def active_jobs(jobs: DataFrame) -> DataFrame:
+    """How many jobs wait or run."""
+    return jobs.where(F.col("status").isin("pending", "in_progress")).agg(F.count("*").alias("active"))
+
+
+def download(chunks: DataFrame) -> DataFrame:
+    """chunks (chunk_num, doc_title, ...): a file name and the row as JSON for each."""
+    name = F.concat(F.lit("chunk_"), F.col("chunk_num").cast("string"), F.lit("_"), S.file_name(F.col("doc_title")), F.lit(".json"))
+    return chunks.select(name.alias("name"), F.to_json(F.struct(*chunks.columns)).alias("content"))
 
 
 def ordered_distinct(df: DataFrame, group: str, value: str, rank: str) -> DataFrame:
@@ -91,9 +123,17 @@ def tail_then_sort(df: DataFrame, keep: int, inserted: str, shown: str) -> DataF
 
 
 def exists_containing(cases: DataFrame, docs: DataFrame, expected: str, path: str) -> DataFrame:
-    """cases with a column found: does any document's path contain the expected name? Cases are a stated, small query set."""
+    """cases with a column found: does any document's path contain the expected name?
+
+    Cases are a stated query set: more than MOST_CASES different names are an error. They are literals of the plan, so every path is read
+    once and only names that it contains leave the scan.
+    """
+    asked = [r[0] for r in cases.where(F.col(expected).isNotNull()).select(expected).distinct().limit(MOST_CASES + 1).collect()]
+    if len(asked) > MOST_CASES:
+        raise ValueError(f"more than {MOST_CASES} names")
     names = docs.select(F.col(path).alias("_path")).distinct()
-    hits = names.join(F.broadcast(cases.select(F.col(expected).alias("_expected")).distinct()), F.contains(F.col("_path"), F.col("_expected"))).select("_expected").distinct()
+    within = F.filter(F.lit(sorted(asked)) if asked else F.expr("cast(array() as array<string>)"), lambda e: F.contains(F.col("_path"), e))
+    hits = names.select(F.explode(within).alias("_expected")).distinct()
     return cases.join(F.broadcast(hits), F.col(expected) == F.col("_expected"), "left").withColumn("found", F.col("_expected").isNotNull()).drop("_expected")
 
 

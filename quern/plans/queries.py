@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from quern.functions import scalars as S
-from quern.operators import chunking, evaluation, listing, projection, retrieval
+from quern.operators import chunking, evaluation, fulltext, listing, projection, retrieval
+from quern.sources import shared
 from quern.sources.store import merge
 from quern.streaming import requests
 
@@ -19,7 +21,7 @@ SQL: dict[str, str] = {}
 
 WORDS = "the and"
 TERM = "tion"
-COMPONENTS = {"click": "ui", "view": "ui", "purchase": "billing"}
+COMPONENTS = {"click": "Ollama", "view": "CrossEncoder"}
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -73,10 +75,11 @@ def filter_in(spark, d):
     return listing.fetch_in_order(docs(spark, d).select("doc_id", "lang"), [5, 3, 999999, 11], "doc_id").select("doc_id", "lang", "rank")
 
 
-@query("SELECT vec_id, CAST(u.i - 1 AS INT) AS pos, round(CAST(embedding[u.i] AS DOUBLE), 5) AS component FROM embeddings, (SELECT unnest(range(1, 101)) AS i) u WHERE vec_id = 7 AND u.i <= len(embedding)")
+@query("SELECT vec_id, CAST(i - 1 AS INT) AS pos, CASE WHEN i <= 100 THEN round(CAST(embedding[i] AS DOUBLE), 5) END AS preview, CAST(embedding[i] AS DOUBLE) AS component FROM embeddings, unnest(range(1, len(embedding) + 1)) u(i) WHERE vec_id = 7")
 def point_lookup(spark, d):
-    row = vectors(spark, d).where("vec_id = 7").limit(1)
-    return row.select("vec_id", F.posexplode(F.slice("embedding", 1, 100)).alias("pos", "c")).select("vec_id", "pos", F.round(F.col("c").cast("double"), 5).alias("component"))
+    """One vector: all its components, and the first 100 rounded as a preview."""
+    parts = vectors(spark, d).where("vec_id = 7").limit(1).select("vec_id", F.posexplode("embedding").alias("pos", "c"))
+    return parts.select("vec_id", "pos", F.when(F.col("pos") < 100, F.round(F.col("c").cast("double"), 5)).alias("preview"), F.col("c").cast("double").alias("component"))
 
 
 @query("SELECT doc_id, source, row_number() OVER (ORDER BY doc_id) AS chunk_num FROM documents WHERE lang = 'en' QUALIFY chunk_num BETWEEN 21 AND 40")
@@ -176,21 +179,55 @@ def chunk_view(spark, d):
 
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
 def json_field(spark, d):
-    fenced = F.concat(F.lit("```json\n"), "props", F.lit("\n```"))
+    fenced = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("```json\n"), "props", F.lit("\n```"))).otherwise(F.concat(F.lit("Here: "), "props", F.lit(" so far.")))
     return table(spark, d, "events").select("event_id", F.get_json_object(S.json_object(fenced), "$.k").cast("long").alias("k"))
 
 
-@query("SELECT event_id, '<REDACTED>' AS secret, '<REDACTED_PROXY>' AS proxy, props AS plain FROM events")
+#: A key of each kind of secret, proxies, and keys that aren't secret; the SQL says what each shows.
+_LOGGED = ["Api_Token", "client_SECRET", "password", "db_passwd", "X_API_KEY", "apikey2", "Authorization", "set-cookie", "credential", "ssh_private_key_path", "HTTP_PROXY", "https_proxy", "All_Proxy", "no_proxy", "my_http_proxy", "note"]
+
+
+@query(f"""
+SELECT event_id, key, CASE WHEN lower(key) IN ('http_proxy', 'https_proxy', 'all_proxy') THEN '<REDACTED_PROXY>'
+  WHEN regexp_matches(lower(key), 'token|secret|password|passwd|api_key|apikey|authorization|cookie|credential|private_key') THEN '<REDACTED>'
+  WHEN length(v) > 4096 THEN substr(v, 1, 4096) || '...<truncated>' ELSE v END AS shown
+FROM (SELECT event_id, unnest({_LOGGED}) AS key, repeat(props, CAST(event_id % 3 AS INT) * 300) AS v FROM events)
+""")
 def redact(spark, d):
-    fields = F.create_map(F.lit("Api_Token"), F.col("props"), F.lit("HTTP_PROXY"), F.lit("x"), F.lit("note"), F.col("props"))
-    m = table(spark, d, "events").select("event_id", S.redact(fields).alias("m"))
-    return m.select("event_id", F.col("m")["Api_Token"].alias("secret"), F.col("m")["HTTP_PROXY"].alias("proxy"), F.col("m")["note"].alias("plain"))
+    value = F.expr("repeat(props, cast(event_id % 3 as int) * 300)")
+    fields = F.map_from_arrays(F.lit(_LOGGED), F.array_repeat(value, len(_LOGGED)))
+    return table(spark, d, "events").select("event_id", F.explode(S.redact(fields)).alias("key", "shown"))
 
 
 # chunking and documents
 
 
-@query()
+_PACK = f"""
+WITH RECURSIVE docs AS (SELECT doc_id, source, {_SENTENCES} AS s FROM documents),
+counted AS (SELECT doc_id, [len(list_filter(regexp_split_to_array(t, '\\s+'), lambda w: w <> '')) for t in s] AS n FROM docs),
+summed AS (SELECT doc_id, n, list_prepend(0, [CAST(list_sum(n[1:k]) AS BIGINT) for k in range(1, len(n) + 1)]) AS p FROM counted),
+-- one row a document and sentence: sentences begin..i - 1 are in the buffer; cuts made before sentence i and by it
+walk AS (
+  SELECT doc_id, n, p, 0::BIGINT AS i, 0::BIGINT AS begin, NULL::BIGINT AS b1, NULL::BIGINT AS e1, NULL::BIGINT AS b2 FROM summed
+  UNION ALL
+  SELECT doc_id, n, p, i + 1, CASE WHEN alone THEN i + 1 ELSE rest END, CASE WHEN closes THEN begin END, CASE WHEN closes THEN i END, CASE WHEN alone THEN i END
+  FROM (
+    SELECT *, rest = i AND p[i + 2] - p[i + 1] >= {{most}} AS alone FROM (
+      SELECT *, CASE WHEN NOT closes THEN begin WHEN p[i + 2] - p[lap + 1] > {{most}} THEN i ELSE lap END AS rest FROM (
+        SELECT *, CASE WHEN NOT closes THEN begin WHEN p[i + 1] - p[i] >= {{most}} THEN i
+                  ELSE coalesce(list_filter(range(greatest(begin, i - {{keep}}), i), lambda b: p[i + 1] - p[b + 1] <= {{keep}})[1], i - 1) END AS lap FROM (
+          SELECT *, i > begin AND p[i + 2] - p[begin + 1] > {{most}} AS closes FROM walk WHERE i < len(n)))))
+),
+cuts AS (
+  SELECT doc_id, b1 AS b, e1 AS e FROM walk WHERE b1 IS NOT NULL UNION ALL SELECT doc_id, b2, b2 + 1 FROM walk WHERE b2 IS NOT NULL
+  UNION ALL SELECT doc_id, begin, i FROM walk WHERE i = len(n) AND i > begin
+),
+texts AS (SELECT doc_id, source, row_number() OVER (PARTITION BY doc_id ORDER BY e) - 1 AS chunk_num, array_to_string(s[b + 1:e], ' ') AS text FROM cuts JOIN docs USING (doc_id))
+SELECT doc_id, CAST(chunk_num AS INT) AS chunk_num, substr(sha256(doc_id || '|' || source || '|||' || text), 1, 24) AS chunk_id, text FROM texts
+""".format(most=393, keep=58)
+
+
+@query(_PACK)
 def chunk_pack(spark, d):
     sections = docs(spark, d).select(F.col("source").alias("source_title"), F.lit("libro").alias("source_type"), F.col("doc_id").cast("string").alias("source_path"), F.col("lang").alias("language"), F.lit("").alias("section"), F.lit("").alias("position"), "text", F.lit(None).cast("array<string>").alias("tables"))
     return chunking.chunk_sections(sections, 512, 0.15).select(F.col("source_path").cast("long").alias("doc_id"), "chunk_num", "chunk_id", "text")
@@ -337,8 +374,37 @@ _ONE = "SELECT DISTINCT 0 AS query_id, unnest(string_split('the and', ' ')) AS t
 _MANY = "SELECT DISTINCT item_id AS query_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda t: t <> '')) AS term FROM benchmark"
 
 
+def index_of(spark: SparkSession, d: str) -> fulltext.FullTextIndex:
+    """The stored full-text index of the documents as they are now, built by whoever asks first."""
+    texts = docs(spark, d)
+    return fulltext.FullTextIndex.build(texts, f"{shared.shared_dir(spark)}/fulltext-{fulltext.snapshot_key(texts)}", "doc_id")
+
+
 def _bm25(spark, d, k):
-    return retrieval.bm25(docs(spark, d), spark.createDataFrame([(0, WORDS)], "query_id int, query string"), k, "doc_id")
+    return index_of(spark, d).search(spark.createDataFrame([(0, WORDS)], "query_id int, query string"), k)
+
+
+_TOKENS = "SELECT doc_id, len(terms) AS dl, unnest(terms) AS term FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda t: t <> '') AS terms FROM documents)"
+
+
+@query(f"SELECT term, doc_id, CAST(dl AS INT) AS dl, CAST(count(*) AS INT) AS tf FROM ({_TOKENS}) GROUP BY term, doc_id, dl")
+def fts_build(spark, d):
+    """The postings of the stored index."""
+    return index_of(spark, d).postings().select("term", "doc_id", "dl", "tf")
+
+
+@query(f"SELECT t.term, df, n, round(avgdl, 6) AS avgdl FROM (SELECT term, count(DISTINCT doc_id) AS df FROM ({_TOKENS}) GROUP BY term) t, (SELECT count(DISTINCT doc_id) AS n, (SELECT count(*) FROM ({_TOKENS})) / count(DISTINCT doc_id)::DOUBLE AS avgdl FROM documents)")
+def fts_stats(spark, d):
+    """Document counts of each term, with the number and mean length of documents."""
+    index = index_of(spark, d)
+    return index.counts().join(F.broadcast(index.stats())).select("term", "df", "n", F.round("avgdl", 6).alias("avgdl"))
+
+
+@query(f"WITH {_bm25_ctes(_ONE, 20)} SELECT doc_id, score, rank FROM fts")
+def bm25_scan(spark, d):
+    """Full-text search without a stored index."""
+    found = retrieval.bm25(docs(spark, d), spark.createDataFrame([(0, WORDS)], "query_id int, query string"), 20, "doc_id")
+    return found.select("doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 @query(f"WITH {_bm25_ctes(_ONE, 20)} SELECT doc_id, score, rank FROM fts")
@@ -349,7 +415,7 @@ def bm25_topk(spark, d):
 @query(f"WITH {_bm25_ctes(_MANY, 10)} SELECT query_id, doc_id, score, rank FROM fts")
 def bm25_multi_query(spark, d):
     asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    return retrieval.bm25(docs(spark, d), asked, 10, "doc_id").select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
+    return index_of(spark, d).search(asked, 10).select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 _CITE = "'[Fonte: ' || source || ', ' || lang || ' (p. ' || (d.doc_id + 1) || ')]' || chr(10) || text"
@@ -381,7 +447,7 @@ def rrf_alpha(spark, d):
 def _search(spark, d, mode, alpha=0.7, k=20):
     chunks = docs(spark, d).withColumn("embedding", F.lit(None))
     vecs = vectors(spark, d).withColumnRenamed("vec_id", "doc_id")
-    found = retrieval.hybrid_search(chunks, query_vector(spark, d) if mode != "sparse" else None, WORDS, k, mode, alpha, "doc_id", "embedding", vectors=vecs)
+    found = retrieval.hybrid_search(chunks, query_vector(spark, d) if mode != "sparse" else None, WORDS, k, mode, alpha, "doc_id", "embedding", vectors=vecs, index=index_of(spark, d))
     return found
 
 
@@ -426,6 +492,37 @@ def rank_delta(spark, d):
     return _reranked(spark, d).select("doc_id", F.col("rank_delta").cast("long").alias("rank_delta"))
 
 
+def _share_of_terms(query: str, texts: list[str]) -> list[float]:
+    """A stand-in for a reranking model: the share of the query's words that a text has."""
+    words = set(query.lower().split())
+    return [len(words & set(re.split(r"[\W_]+", t.lower()))) / max(1, len(words)) for t in texts]
+
+
+def _chunks(spark, d):
+    """The documents as a chunk table, with vectors."""
+    title = F.col("source").alias("source_title")
+    kind = F.when(F.col("lang") == "fr", "articolo").when(F.col("lang") == "de", "video").otherwise("libro").alias("source_type")
+    rows = docs(spark, d).join(vectors(spark, d).select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector")), "doc_id", "left")
+    return rows.select(F.col("doc_id").alias("chunk_id"), "text", "vector", title, kind, F.col("lang").alias("section"), S.page_position(F.col("doc_id")).alias("position"))
+
+
+@query(f"""{_RERANK.replace("['the', 'tion', 'ing']", "['the', 'and']").replace("/ 3::DOUBLE", "/ 2::DOUBLE")}
+SELECT o.doc_id AS id, final_rank AS chunk_num, source AS doc_title, CASE lang WHEN 'fr' THEN 'Ricerca' WHEN 'de' THEN 'Manuale' ELSE 'Libro' END AS doc_type, lang AS section,
+  CASE WHEN length(text) > 160 THEN substr(text, 1, 160) || '...' ELSE text END AS highlight_snippet, {_SCORE.format(d='fused.dist').join(['coalesce(', ', 0.0::DOUBLE)'])} AS dense_score,
+  coalesce(fused.score, 0.0::DOUBLE) AS bm25_score, round(raw, 4) AS rerank_score, o.rank - final_rank AS rank_delta, CAST(trunc({_WORDS} * 1.3::DOUBLE) AS INT) AS token_count,
+  CASE WHEN embedding IS NOT NULL THEN '64d' END AS dimensions, CASE WHEN o.doc_id > 0 THEN 'p. ' || o.doc_id ELSE '' END AS char_offset
+FROM o JOIN fused ON o.doc_id = fused.doc_id JOIN documents d ON o.doc_id = d.doc_id LEFT JOIN embeddings e ON e.vec_id = d.doc_id""")
+def query_pipeline(spark, d):
+    """A question from retrieval over reranking to the view, as one plan."""
+    chunks = _chunks(spark, d)
+    index = index_of(spark, d)
+    index.id_col = "doc_id"
+    found = retrieval.hybrid_search(chunks.withColumnRenamed("chunk_id", "doc_id"), query_vector(spark, d), WORDS, 20, "hybrid", 0.7, "doc_id", vectors=vectors(spark, d).select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector")), index=index)
+    found = found.withColumnRenamed("doc_id", "chunk_id").join(chunks.select("chunk_id", "vector"), "chunk_id")
+    shown = retrieval.result_view(retrieval.rerank_or_keep(found, WORDS, _share_of_terms, 6), "none")
+    return shown.select("id", F.col("chunk_num").cast("long").alias("chunk_num"), "doc_title", "doc_type", "section", "highlight_snippet", "dense_score", "bm25_score", "rerank_score", F.col("rank_delta").cast("long").alias("rank_delta"), "token_count", "dimensions", "char_offset")
+
+
 # evaluation
 
 _FLAGS = f"WITH {_bm25_ctes(_MANY, 10)}, flags AS (SELECT query_id AS case_id, rank, coalesce(quality = 1, false) AS relevant FROM fts f LEFT JOIN labels l ON f.doc_id = l.doc_id)"
@@ -459,6 +556,35 @@ def eval_metrics(spark, d):
     return evaluation.metric_means(cases, ["precision", "recall", "judge"])
 
 
+#: What each benchmark item is expected to be found in: a title that exists, one with a path and suffix, one that doesn't exist.
+_EXPECTED = "CASE item_id % 3 WHEN 0 THEN 'src' || (item_id % 10) WHEN 1 THEN 'docs/SRC' || (item_id % 10) || '.pdf' ELSE 'nowhere.md' END"
+
+
+@query(f"""WITH {_bm25_ctes(_MANY, 6)},
+cases AS (SELECT item_id AS case_id, {_EXPECTED} AS expected FROM benchmark),
+there AS (SELECT case_id, expected, EXISTS (SELECT 1 FROM documents d WHERE contains('docs/SRC' || substr(d.source, 4) || '.pdf ' || d.source, expected)) AS present FROM cases),
+flags AS (SELECT case_id, rank, source, lower(source) = regexp_replace(regexp_replace(lower(expected), '^.*/', ''), '[.][^.]*$', '') AS relevant FROM there JOIN fts ON query_id = case_id JOIN documents d ON fts.doc_id = d.doc_id WHERE present),
+per AS (SELECT case_id, max(CASE WHEN relevant THEN 1 ELSE 0 END) AS found, round(coalesce(avg(CASE WHEN relevant THEN good / rank::DOUBLE END), 0), 4) AS precision
+  FROM (SELECT *, sum(CASE WHEN relevant THEN 1 ELSE 0 END) OVER (PARTITION BY case_id ORDER BY rank) AS good FROM flags) GROUP BY case_id)
+SELECT t.case_id, CASE WHEN NOT present THEN 'Skipped' WHEN coalesce(found, 0) = 1 THEN 'Found' ELSE 'Not found' END AS status,
+  CASE WHEN present THEN coalesce(precision, 0.0::DOUBLE) END AS precision, CASE WHEN present THEN coalesce(found, 0)::DOUBLE END AS recall,
+  CASE WHEN present THEN round((coalesce(precision, 0) + coalesce(found, 0)) / 2, 4) ELSE 0.0::DOUBLE END AS retrieval_match
+FROM there t LEFT JOIN per ON t.case_id = per.case_id""")
+def eval_cases(spark, d):
+    """Cases with an expected document: skipped where it doesn't exist, else judged by the titles among the six best documents."""
+    cases = table(spark, d, "benchmark").select(F.col("item_id").alias("case_id"), F.expr(_EXPECTED).alias("expected"))
+    paths = docs(spark, d).select(F.concat(F.lit("docs/SRC"), F.substring("source", 4, 100), F.lit(".pdf "), "source").alias("path")).distinct()
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    found = index_of(spark, d).search(asked, 6).join(docs(spark, d).select("doc_id", "source"), "doc_id").select(F.col("query_id").alias("case_id"), "rank", F.col("source").alias("title"))
+    return evaluation.case_results(cases, listing.exists_containing(cases, paths, "expected", "path"), found)
+
+
+@query("SELECT CASE WHEN count_if(event_type = 'error') > 0 THEN 'completed_with_errors' ELSE 'completed' END AS status, count_if(event_type = 'error')::BIGINT AS errors, CASE WHEN count_if(event_type = 'error') > 0 THEN count_if(event_type = 'error') || ' casi non valutabili' END AS error, count_if(event_type = 'click') || '/' || count(*) AS found FROM events")
+def job_summary(spark, d):
+    status = F.when(F.col("event_type") == "error", "Error").when(F.col("event_type") == "click", "Found").otherwise("Not found")
+    return evaluation.job_summary(table(spark, d, "events").select(F.col("event_id").alias("case_id"), status.alias("status")))
+
+
 @query("SELECT event_id AS case_id, CASE WHEN event_id % 7 = 0 THEN 0.0::DOUBLE ELSE round(greatest(0, least(event_id % 9 - 1, event_id % 7)) / (event_id % 7)::DOUBLE, 4) END AS faithfulness FROM events")
 def faithfulness(spark, d):
     e = F.col("event_id")
@@ -483,20 +609,34 @@ def _samples(spark, d):
     return table(spark, d, "events").select(F.col("event_type").alias("phase"), F.col("value").alias("seconds"))
 
 
-_LAT = "lat AS (SELECT event_type AS phase, count(*) AS n, round(sum(value), 4) AS total, round(avg(value), 4) AS mean, min(value) AS least, max(value) AS most FROM events GROUP BY event_type)"
+_LAT = "lat AS (SELECT event_type AS phase, count(*) AS n, sum(value) AS total, avg(value) AS mean, min(value) AS least, max(value) AS most FROM events GROUP BY event_type)"
 
 
-@query(f"WITH {_LAT} SELECT * FROM lat")
+@query("SELECT event_type AS phase, count(*) AS n, round(sum(value), 4) AS total, round(avg(value), 4) AS mean, min(value) AS least, max(value) AS most FROM events GROUP BY event_type")
 def latency_stats(spark, d):
-    return evaluation.latency_stats(_samples(spark, d))
+    return evaluation.latency_stats(_samples(spark, d)).withColumns({c: F.round(c, 4) for c in ("total", "mean")})
+
+
+@query("SELECT event_type AS phase, count(*) AS n FROM events WHERE event_type = 'view' GROUP BY event_type UNION ALL SELECT event_type || ' of all', count(*) FROM events GROUP BY event_type")
+def latency_phase(spark, d):
+    """One phase; and all of them where the phase isn't known."""
+    samples = _samples(spark, d)
+    rest = evaluation.latency_stats(samples, "no such phase").select(F.concat("phase", F.lit(" of all")).alias("phase"), "n")
+    return evaluation.latency_stats(samples, "view").select("phase", "n").unionByName(rest)
+
+
+@query("SELECT avg(value) FILTER (value >= 0) AS mean FROM (SELECT CASE WHEN event_id % 5 = 0 THEN -value WHEN event_id % 7 = 0 THEN NULL ELSE value END AS value FROM events)")
+def mean_duration(spark, d):
+    value = F.when(F.col("event_id") % 5 == 0, -F.col("value")).when(F.col("event_id") % 7 != 0, F.col("value"))
+    return evaluation.mean_duration(table(spark, d, "events").select(value.alias("value")), "value")
 
 
-@query(f"WITH {_LAT} SELECT string_agg(printf('%s: n=%d media=%.3fs min=%.3fs max=%.3fs', phase, n, round_even(mean, 3), round_even(least, 3), round_even(most, 3)), chr(10) ORDER BY phase) AS report FROM lat")
+@query(f"WITH {_LAT} SELECT '=== Report Latenza RAG ===' || chr(10) || string_agg(printf('Fase: %-15s | Conteggio: %-3d | Media: %.3fs | Min: %.3fs | Max: %.3fs | Totale: %.3fs', phase, n, round_even(mean, 3), round_even(least, 3), round_even(most, 3), round_even(total, 3)), chr(10) ORDER BY phase) AS report FROM lat")
 def latency_report(spark, d):
     return evaluation.latency_report(evaluation.latency_stats(_samples(spark, d)))
 
 
-@query(f"WITH {_LAT} SELECT phase, CASE phase WHEN 'click' THEN 'ui' WHEN 'view' THEN 'ui' WHEN 'purchase' THEN 'billing' ELSE 'core' END AS component, CAST(trunc(mean * 1000) AS INT) AS duration_ms, n FROM lat")
+@query(f"WITH {_LAT} SELECT 'telemetry-' || phase AS id, 'INFO' AS level, CASE phase WHEN 'click' THEN 'Ollama' WHEN 'view' THEN 'CrossEncoder' ELSE 'FastAPI' END AS component, 'Fase ' || chr(39) || phase || chr(39) || ' completata (' || n || ' chiamate)' AS message, CAST(trunc(mean * 1000) AS INT) AS duration_ms FROM lat")
 def telemetry_snapshot(spark, d):
     return evaluation.telemetry_snapshot(evaluation.latency_stats(_samples(spark, d)), COMPONENTS)
 
@@ -553,12 +693,13 @@ def redeem_tickets(spark, d):
 # stored chunks
 
 
-@query("SELECT event_id, CASE WHEN event_id % 4 = 0 THEN value + 1 ELSE value END AS value FROM events UNION ALL SELECT event_id + 10000000, value + 1 FROM events WHERE event_id % 4 = 0 AND event_id < 100")
+@query("SELECT event_id, CASE WHEN event_id % 4 = 0 THEN value + 1 ELSE value END AS value FROM events UNION ALL SELECT event_id + 10000000, value + 1 FROM events WHERE event_id % 4 = 0")
 def upsert_merge(spark, d):
     stored = table(spark, d, "events").select("event_id", "value")
     changed = stored.where("event_id % 4 = 0").withColumn("value", F.col("value") + 1)
-    more = changed.where("event_id < 100").withColumn("event_id", F.col("event_id") + 10_000_000)
-    return merge(stored, changed.unionByName(more), "event_id")
+    more = changed.withColumn("event_id", F.col("event_id") + 10_000_000)
+    older = changed.withColumn("value", F.lit(-1.0)).withColumn("written", F.lit(0))
+    return merge(stored, changed.unionByName(more).withColumn("written", F.lit(1)).unionByName(older), "event_id", "written")
 
 
 @query("SELECT vec_id, CAST((row_number() OVER (ORDER BY vec_id) - 1) // 32 AS INT) AS batch FROM embeddings")

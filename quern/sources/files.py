@@ -7,8 +7,10 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 from quern.functions import scalars as S
+from quern.operators.chunking import chunk_sections, section_items
 
 #: A file name that is never ingested, and ceilings of one request.
 EXCLUDED = ["Calculus PDF.json"]
@@ -26,13 +28,43 @@ def unit_files(spark: SparkSession, folder: str) -> DataFrame:
     return out.where(S.strip(F.col("text")) != "")
 
 
-def admitted(uploads: DataFrame) -> DataFrame:
-    """uploads (name, bytes): clean_name, bytes, accepted; ceilings over the whole request raise in the job."""
+def pdf_files(spark: SparkSession, folder: str) -> DataFrame:
+    """path and content of the PDF files right in a folder, in order of their paths."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(folder)
+    return files.select(F.url_decode("path").alias("path"), "content").orderBy("path")
+
+
+def unit_chunks(spark: SparkSession, folder: str, target_tokens: int = 600, overlap_ratio: float = 0.12) -> DataFrame:
+    """Chunks of all unit files under a folder, with file_num, unit_num and chunk_num: their order by path, place and packing."""
+    units = unit_files(spark, folder)
+    chunks = chunk_sections(units.withColumn("position", F.col("unit_num").cast("string")), target_tokens, overlap_ratio)
+    numbers = units.select("source_path").distinct().withColumn("file_num", F.dense_rank().over(W.Window.orderBy("source_path")) - 1)
+    key = S.chunk_id(*map(F.col, ("source_path", "source_title", "section")), F.lit(""), F.col("text"))
+    placed = chunks.withColumn("unit_num", F.col("position").cast("int")).withColumn("position", F.lit("")).withColumn("chunk_id", key)
+    return placed.join(F.broadcast(numbers), "source_path")  # one row a file of a request
+
+
+def pdf_chunks(files: DataFrame, converter: Callable[[bytes], list[dict]], title: str | None = None, source_type: str = "libro", target_tokens: int = 600, overlap_ratio: float = 0.12) -> DataFrame:
+    """files (path, content): converted, sectioned and packed. title: instead of the one that the path gives."""
+    sections = section_items(convert(files, converter))
+    named = S.title_of(F.col("doc")) if title is None else F.lit(title)
+    rows = sections.select(named.alias("source_title"), F.lit(source_type).alias("source_type"), F.col("doc").alias("source_path"), F.lit("it").alias("language"), F.col("title").alias("section"), "position", "text", "tables")
+    return chunk_sections(rows, target_tokens, overlap_ratio)
+
+
+def admitted(uploads: DataFrame, max_payload_bytes: int = MAX_TOTAL_BYTES) -> DataFrame:
+    """uploads (name, bytes): clean_name, bytes, accepted; ceilings over the whole request raise in the job.
+
+    Of accepted files with one clean name, all but the first by name and size get eight hex digits before their suffix.
+    """
     total = uploads.agg(F.count("*").alias("n"), F.max("bytes").alias("most"), F.sum("bytes").alias("sum"))
-    over = (F.col("n") > MAX_FILES) | (F.col("most") > MAX_FILE_BYTES) | (F.col("sum") > MAX_TOTAL_BYTES)
+    over = (F.col("n") > MAX_FILES) | (F.col("most") > MAX_FILE_BYTES) | (F.col("sum") > min(MAX_TOTAL_BYTES, max_payload_bytes))
     ok = total.select(F.when(over, F.raise_error(F.lit("request over its ceilings")).cast("boolean")).otherwise(F.lit(True)).alias("_ok"))
     suffix = F.lower(F.regexp_extract("name", r"\.([^.]+)$", 1))
-    return uploads.join(F.broadcast(ok)).where("_ok").select(S.clean_path(F.col("name")).alias("clean_name"), "bytes", suffix.isin(SUFFIXES).alias("accepted"))
+    rows = uploads.join(F.broadcast(ok)).where("_ok").select("name", S.clean_path(F.col("name")).alias("clean"), "bytes", suffix.isin(SUFFIXES).alias("accepted"))
+    nth = F.row_number().over(W.Window.partitionBy("clean", "accepted").orderBy("name", "bytes"))
+    mark = F.substring(F.sha2(F.concat_ws("|", "name", "bytes", nth), 256), 1, 8)
+    return rows.select(F.when(F.col("accepted") & (nth > 1), F.regexp_replace(F.col("clean"), F.lit(r"^(.*?)(\.[^./]*)?$"), F.concat(F.lit("$1_"), mark, F.lit("$2")))).otherwise(F.col("clean")).alias("clean_name"), "bytes", "accepted")
 
 
 def has_text_layer(pages: DataFrame, threshold: int = 200) -> DataFrame:

@@ -3,60 +3,69 @@
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
 SCHEMA = "event_id long, client long, ts_us long, accepted boolean"
 
 
-def admit(times: list[int], window: deque, limit: int, seconds: int = 60) -> list[bool]:
-    """Entries of age >= seconds leave the window; a request is accepted, and recorded, while fewer than limit are in it."""
+def admit(times: list[int], window: deque, limit: int, seconds: int = 60, exempt: list[bool] | None = None) -> list[bool]:
+    """Entries of age >= seconds leave the window; a request is accepted, and recorded, while fewer than limit are in it, or if exempt."""
     out = []
-    for t in times:
+    for k, t in enumerate(times):
         while window and t - window[0] >= seconds * 1_000_000:
             window.popleft()
-        out.append(len(window) < limit)
+        out.append(len(window) < limit or bool(exempt and exempt[k]))
         if out[-1]:
             window.append(t)
     return out
 
 
 def rate_limit(requests: DataFrame, limit: int = 100, seconds: int = 60) -> DataFrame:
-    """requests (event_id, client, ts_us): accepted of each, in order of time and event_id.
+    """requests (event_id, client, ts_us, and exempt if there is one): accepted of each, in order of time and event_id.
 
     Rejected requests don't count, so each decision needs the ones before: a client's requests stream through one task in order, with
-    only the window in memory.
+    only the window in memory. Exempt requests pass and are recorded.
     """
     limit = limit or 100
-    ordered = requests.select("event_id", "client", "ts_us").repartition("client").sortWithinPartitions("client", "ts_us", "event_id")
+    exempt = F.coalesce("exempt", F.lit(False)) if "exempt" in requests.columns else F.lit(False)
+    ordered = requests.select("event_id", "client", "ts_us", exempt.alias("exempt")).repartition("client").sortWithinPartitions("client", "ts_us", "event_id")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         client, window = None, deque()
         for frame in frames:
             accepted = []
-            for c, t in zip(frame["client"].tolist(), frame["ts_us"].tolist(), strict=True):
+            for c, t, free in zip(frame["client"].tolist(), frame["ts_us"].tolist(), frame["exempt"].tolist(), strict=True):
                 if c != client:
                     client, window = c, deque()
-                accepted += admit([t], window, limit, seconds)
-            yield frame.assign(accepted=accepted)
+                accepted += admit([t], window, limit, seconds, [free])
+            yield frame.drop(columns="exempt").assign(accepted=accepted)
 
     return ordered.mapInPandas(run, SCHEMA)
 
 
-def rate_limit_stream(requests: DataFrame, limit: int = 100, seconds: int = 60) -> DataFrame:
-    """The same on a stream: each client's window is its state; a micro-batch is decided in order of time."""
+def rate_limit_stream(requests: DataFrame, limit: int = 100, seconds: int = 60, idle_seconds: int = 3600) -> DataFrame:
+    """The same on a stream: each client's window is its state; a micro-batch is decided in order of time.
+
+    The state of a client of whom nothing came for idle_seconds of the clock is dropped.
+    """
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: object) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         window = deque(state.get[0] if state.exists else [])
         frame = pd.concat(list(frames)).sort_values(["ts_us", "event_id"])
         accepted = admit(frame["ts_us"].tolist(), window, limit, seconds)
         state.update((list(window),))
+        state.setTimeoutDuration(max(idle_seconds, seconds) * 1000)
         yield frame[["event_id", "client", "ts_us"]].assign(accepted=accepted)
 
-    return requests.groupBy("client").applyInPandasWithState(run, SCHEMA, "times array<long>", "append", "NoTimeout")
+    return requests.groupBy("client").applyInPandasWithState(run, SCHEMA, "times array<long>", "append", "ProcessingTimeTimeout")
 
 
 def redeem_tickets(events: DataFrame, seconds: int = 60) -> DataFrame:
@@ -75,6 +84,23 @@ def telemetry_stream(samples: DataFrame) -> DataFrame:
     return samples.groupBy("phase").agg(F.count("*").alias("n"), F.sum("seconds").alias("total"), F.avg("seconds").alias("mean"))
 
 
+def write_changes(snapshots: DataFrame, write: Callable[[DataFrame, int], None], *ignored: str) -> DataStreamWriter:
+    """A writer of a complete-mode stream that calls write(rows, batch) only where the rows differ from the last ones written, but for
+    the ignored columns (a time of the snapshot, say)."""
+    last: dict[str, object] = {}
+
+    def each(rows: DataFrame, batch: int) -> None:
+        rows = rows.persist()
+        compared = [c for c in rows.columns if c not in ignored]
+        state = tuple(rows.agg(F.count("*"), F.sum(F.xxhash64(*compared).cast("decimal(38,0)"))).first())
+        if state != last.get("state"):
+            write(rows, batch)
+            last["state"] = state
+        rows.unpersist()
+
+    return snapshots.writeStream.outputMode("complete").foreachBatch(each)
+
+
 def recover_jobs(jobs: DataFrame) -> DataFrame:
     """Jobs that were in flight when the log was last written were interrupted."""
     return jobs.withColumn("status", F.when(F.col("status").isin("pending", "in_progress", "running"), "interrupted").otherwise(F.col("status")))
