@@ -5,12 +5,12 @@ bucket is kept as its count of leading zeros (6 bits) and the MANTISSA bits belo
 registers propose candidates; the collision-corrected estimate drops hopeless pairs; the full sets decide.
 
 Equal sets are one class, represented by its smallest doc_id. Classes that share a band, directly or through others, form a family,
-found with star joins. A family of at most BLOCK classes is compared in one task. In a larger one, classes are compared band by band, each
-distinct group of classes that share a band once. A group of over BLOCK classes is cut into blocks. Each block is first compared within
-itself and with the group's leader, which connects the bulk of a group of copies in linear work; then whatever isn't connected to that bulk
-yet, and only that, is compared with all blocks. Every task has at most two blocks and emits a spanning forest of its verified links.
-No pair that shares a band is skipped unless both sides are known to be linked already, or their estimate lies six standard deviations
-below the limit.
+found with star joins. A family of at most BLOCK classes is compared in one task, one of up to FAMILY blocks in a task for each two blocks:
+a bounded number of comparisons for each class. Larger families are first connected in linear work, each block within itself and with
+LEADERS classes of the family; then whatever shares a band with classes that it isn't connected to is compared with these, band by band
+and block by block: of a group's largest part and the rest, only the rest with all. Every task has at most two blocks and emits a
+spanning forest of its verified links. No pair that shares a band is skipped unless both sides are known to be linked already, or their
+estimate lies six standard deviations below the limit.
 """
 
 from __future__ import annotations
@@ -36,6 +36,8 @@ BANDS = BUCKETS // ROWS  # a pair at the limit of 0.85 shares no band with proba
 MANTISSA = 6
 EMPTY = np.uint16(0xFFFF)
 BLOCK = 1024
+FAMILY = 16
+LEADERS = 16
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
 
@@ -153,33 +155,26 @@ def verified_forest(ids: np.ndarray, sets: list[np.ndarray], percent: int, side:
     return found
 
 
-def _large_families(sized: DataFrame, classes: DataFrame, compared: Callable[[DataFrame], DataFrame], total: int) -> DataFrame:
-    """Links (a, b) of families of over BLOCK classes: inside bands only, and in blocks inside a band that has more."""
-    large = sized.where("large").select(F.col("node").alias("class_id"))
-    bands = save(classes.join(large, "class_id", "left_semi").select("class_id", F.explode("bands").alias("key")))
-    groups = bands.groupBy("key").agg(F.count("*").alias("n"), F.min("class_id").alias("first"), F.sum(F.xxhash64("class_id").cast("decimal(38,0)")).alias("digest")).where("n > 1")
-    # bands of the same classes are one group
-    groups = save(groups.groupBy("n", "first", "digest").agg(F.min("key").alias("key")).select("key", "n", "first", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
-    block = F.pmod(F.xxhash64("class_id", F.lit(5)), "blocks").cast("int").alias("block")
-    members = save(join_in_parts(bands, groups, "key", total).select("key", "class_id", "first", "blocks", block))
+def _large_families(large: DataFrame, classes: DataFrame, compared: Callable[[DataFrame], DataFrame], total: int) -> DataFrame:
+    """Links (a, b) of families of over FAMILY blocks: large has (node, component, n)."""
     zero = F.lit(0)
-    own = members.select(F.col("key").alias("one"), F.col("block").alias("two"), zero.alias("three"), zero.alias("side"), "class_id")
-    leader = groups.where("blocks > 1").select(F.col("key").alias("one"), F.explode(F.sequence(zero, F.col("blocks") - 1)).alias("two"), zero.alias("three"), zero.alias("side"), F.col("first").alias("class_id"))
-    links = save(compared(own.unionByName(leader).distinct()))
-    parted = members.where("blocks > 1")
-    if not parted.limit(1).count():
-        return links
-    # what a group's bulk hasn't taken in yet
+    dealt = large.select("node", "component", "n", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")).withColumn("block", F.pmod(F.xxhash64("node", F.lit(5)), "blocks").cast("int"))
+    own = dealt.select(F.col("component").alias("one"), F.col("block").alias("two"), zero.alias("three"), zero.alias("side"), F.col("node").alias("class_id"))
+    leads = dealt.where(F.pmod(F.xxhash64("node", F.lit(11)), F.ceil(F.col("n") / LEADERS)) == 0)
+    leaders = leads.select(F.col("component").alias("one"), F.explode(F.sequence(zero, F.col("blocks") - 1)).alias("two"), zero.alias("three"), zero.alias("side"), F.col("node").alias("class_id"))
+    links = save(compared(own.unionByName(leaders).distinct()))
     found = connected_components(links)
-    named = save(parted.join(found.withColumnRenamed("node", "class_id"), "class_id", "left").withColumn("component", F.coalesce("component", "class_id")))
-    bulk = named.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("bulk"))
-    rest = named.join(bulk, "key").where("component <> bulk").select("key", "class_id", "blocks")
-    sizes = rest.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("rests"))
-    rest = save(rest.join(sizes, "key").withColumn("rest", F.pmod(F.xxhash64("class_id", F.lit(9)), "rests").cast("int")))
-    each = F.explode(F.sequence(zero, F.col("blocks") - 1)).alias("three")
-    left = rest.select(F.col("key").alias("one"), F.col("rest").alias("two"), each, F.lit(1).alias("side"), "class_id")
-    right = parted.join(sizes, "key").select(F.col("key").alias("one"), F.explode(F.sequence(zero, F.col("rests") - 1)).alias("two"), F.col("block").alias("three"), F.lit(2).alias("side"), "class_id")
-    return links.unionByName(compared(left.unionByName(right)))
+    bands = classes.join(large.select(F.col("node").alias("class_id")), "class_id", "left_semi").select("class_id", F.explode("bands").alias("key"))
+    named = save(bands.join(found.withColumnRenamed("node", "class_id"), "class_id", "left").withColumn("part", F.coalesce("component", "class_id")).drop("component"))
+    parts = named.groupBy("key", "part").agg(F.count("*").alias("size"))
+    groups = parts.groupBy("key").agg(F.max_by("part", F.struct("size", "part")).alias("bulk"), F.sum("size").alias("n"), F.max("size").alias("most")).where("most < n")
+    groups = save(groups.withColumn("rests", F.ceil((F.col("n") - F.col("most")) / BLOCK).cast("int")).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")))
+    members = save(join_in_parts(named, groups.drop("most"), "key", total))
+    place = lambda seed, n: F.pmod(F.xxhash64("class_id", F.lit(seed)), n).cast("int")
+    each = lambda n: F.explode(F.sequence(zero, F.col(n) - 1))
+    rest = members.where("part <> bulk").select(F.col("key").alias("one"), place(9, "rests").alias("two"), each("blocks").alias("three"), F.lit(1).alias("side"), "class_id")
+    everything = members.select(F.col("key").alias("one"), each("rests").alias("two"), place(5, "blocks").alias("three"), F.lit(2).alias("side"), "class_id")
+    return links.unionByName(compared(rest.unionByName(everything)))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -207,7 +202,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     shared = bands.groupBy("key").agg(least, F.max("class_id").alias("last"), F.count("*").alias("n")).where("first < last").select("key", "first", "n")
     total = BANDS * classes.count()
     families = save(connected_components(join_in_parts(bands, shared, "key", total).where("class_id <> first").select(F.col("class_id").alias("a"), F.col("first").alias("b")).distinct()))
-    sized = save(join_in_parts(families, families.groupBy("component").agg(F.count("*").alias("n"), (F.count("*") > BLOCK).alias("large")), "component", total))
+    sizes = families.groupBy("component").agg(F.count("*").alias("n"))
+    sized = save(join_in_parts(families, sizes.withColumn("size", F.col("n")), "component", total).withColumnRenamed("size", "n"))
 
     def sets_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -226,9 +222,14 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         return tasks.join(full, "class_id").groupBy("one", "two", "three").applyInPandas(forest, "a long, b long")
 
     zero = F.lit(0)
-    links = compared(sized.where("not large").select(F.col("component").alias("one"), zero.alias("two"), zero.alias("three"), zero.alias("side"), F.col("node").alias("class_id")))
-    if sized.where("large").limit(1).count():
-        links = save(links.unionByName(save(_large_families(sized, classes, compared, total))))
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")
+    mine = sized.where(F.col("n") <= FAMILY * BLOCK).select("node", "component", blocks).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    pairs = mine.select("node", "component", "block", F.explode(F.sequence(zero, F.col("blocks") - 1)).alias("other"))
+    side = F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2)
+    links = compared(pairs.select(F.col("component").alias("one"), F.least("block", "other").alias("two"), F.greatest("block", "other").alias("three"), side.alias("side"), F.col("node").alias("class_id")))
+    large = sized.where(F.col("n") > FAMILY * BLOCK)
+    if large.limit(1).count():
+        links = links.unionByName(_large_families(large, classes, compared, total))
     # a doc_id with several texts ties their classes together
     several = some.groupBy("doc_id").agg(F.min("digest").alias("one"), F.max("digest").alias("other")).where("one <> other")
     ties = some.select("doc_id", "digest").join(several, "doc_id", "left_semi").join(classes.select("digest", "class_id"), "digest").select(F.col("doc_id").alias("a"), F.col("class_id").alias("b"))

@@ -108,9 +108,10 @@ def test_near_duplicates_agree_with_brute_force(spark, data, awkward, percent):
             assert r.n_shingles in {len(s) for s in sets[r.doc_id]}
 
 
-@pytest.mark.parametrize("block", [8, 25, 1024])
-def test_near_duplicates_of_a_family_in_blocks(spark, empty, monkeypatch, block):
-    monkeypatch.setattr(near_dedup, "BLOCK", block)
+@pytest.mark.parametrize(("block", "family", "leaders"), [(8, 16, 16), (8, 1, 2), (25, 1, 16)])
+def test_near_duplicates_of_a_family_in_blocks(spark, empty, monkeypatch, block, family, leaders):
+    for name, value in (("BLOCK", block), ("FAMILY", family), ("LEADERS", leaders)):
+        monkeypatch.setattr(near_dedup, name, value)
     rng = random.Random(3)
     base = [f"w{i}" for i in range(120)]
     texts = []
@@ -126,7 +127,7 @@ def test_near_duplicates_of_a_family_in_blocks(spark, empty, monkeypatch, block)
     want = brute_components(brute_sets(texts), 85)
     assert {want[i] for i in range(60, 90)} == {60}
     assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(table(spark, texts)).collect()} == want
-    if block == 8:
+    if leaders == 2:
         assert near_dedup.near_duplicates(empty).count() == 0
         assert near_dedup.keep_one_of_each(table(spark, texts), 85).columns == [c.split()[0] for c in DOCS.split(", ")]
 
@@ -184,10 +185,9 @@ def brute_licenses(text):
                 labels.add(label)
     norm = " " + " ".join(words).lower() + " "
     spans = set()
-    for label, keyword, rule, priority, weight in licenses.rules():
-        if keyword in norm:
-            starts = [m.start() for m in re.finditer(f"(?={rule})", norm)]
-            spans |= {(s, re.compile(rule).match(norm, s).end(), priority, label, weight) for s in starts}
+    for label, _, rule, priority, weight in licenses.rules():  # no gate
+        starts = [m.start() for m in re.finditer(f"(?={rule})", norm)]
+        spans |= {(s, re.compile(rule).match(norm, s).end(), priority, label, weight) for s in starts}
     kept = [a for a in spans if not any((b[0], -b[1], b[2], b[3]) < (a[0], -a[1], a[2], a[3]) and b[1] >= a[1] and b[2] <= a[2] for b in spans)]
     score = max([s[4] for s in kept] + [0.85 if places else 0.0])
     return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels)), ",".join(sorted(labels | {s[3] for s in kept})), score
@@ -200,7 +200,41 @@ def test_licenses_agree_with_brute_force(spark, data, awkward, empty):
     want = sorted(((r.doc_id, *brute_licenses(r.text)) for r in both.collect()), key=lambda t: tuple((x is None, x) for x in t))
     assert rows_of(licenses.license_scan(both)) == want
     assert licenses.license_scan(empty).count() == 0
-    assert len(licenses.rules()) > 200
+    assert len(licenses.NAMES.strip().splitlines()) + len(licenses.CLAUSES.strip().splitlines()) > 130 and len(licenses.rules()) > 350
+
+
+def said(pattern, last):
+    """A string that a rule matches: of alternatives the first or last, of repetitions the least or most (two at most)."""
+    out = []
+    for op, arg in pattern:
+        match str(op):
+            case "LITERAL":
+                out.append(chr(arg))
+            case "IN":
+                out.append(chr(arg[0][1]) if str(arg[0][0]) == "LITERAL" else "w")
+            case "BRANCH":
+                out.append(said(arg[1][-1 if last else 0], last))
+            case "SUBPATTERN":
+                out.append(said(arg[-1], last))
+            case "MAX_REPEAT":
+                out.append(said(arg[2], last) * (min(arg[1], max(arg[0], 2)) if last else arg[0]))
+            case "ASSERT":
+                out.append("")
+            case _:
+                raise ValueError(op)
+    return "".join(out)
+
+
+def test_every_rule_finds_what_it_says(spark):
+    import re._parser as parser
+
+    told = sorted({(said(parser.parse(rule), last).strip(), label) for label, _, rule, *_ in licenses.rules() for last in (False, True)})
+    for label, keyword, rule, *_ in licenses.rules():
+        assert all(keyword in said(parser.parse(rule), last) for last in (False, True)), (label, rule)
+    texts = [(i, re.sub(" ", lambda _, n=itertools.count(): (" ", "-", ",\n", " (")[next(n) % 4], t)) for i, (t, _) in enumerate(told)]
+    got = dict(rows_of(licenses.license_scan(table(spark, texts)).select("doc_id", "labels")))
+    found = {i: brute_licenses(t)[5] for i, t in texts}
+    assert got == found and all(found.values())
 
 
 def test_licenses_need_no_unrelated_words(spark, monkeypatch):
@@ -309,7 +343,7 @@ def test_chat_reads_back(spark, data, awkward):
 
 def test_quality_on_held_out_labels(spark, data, awkward, empty):
     docs, labels = (spark.read.parquet(f"{data}/sf0.1/{t}.parquet") for t in ("documents", "labels"))
-    docs = docs.join(labels.select("doc_id"), "doc_id", "left_semi")
+    docs = docs.drop("n_chars").join(labels.select("doc_id"), "doc_id", "left_semi")
     scored = quality.quality_scores(docs, labels).join(labels, "doc_id").where("held_out").select("score", "predicted", "quality").toPandas()
     assert ((scored["predicted"] == scored["quality"]).mean()) > 0.9
     good, bad = (scored.loc[scored["quality"] == q, "score"].to_numpy() for q in (1, 0))
@@ -319,6 +353,55 @@ def test_quality_on_held_out_labels(spark, data, awkward, empty):
     assert len(got) == awkward.count() and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in got)
     assert quality.quality_scores(empty, labels.limit(0)).count() == 0
     assert {r.score for r in quality.quality_scores(awkward, labels.limit(0)).collect()} == {0.5}
+    kept = quality.keep_good(awkward, labels.limit(0))
+    assert kept.columns == awkward.columns and kept.count() == 0  # 0.5 everywhere
+
+
+def brute_quality(rows, labels, dict_rows=10**6):
+    """Scores by zstandard and logistic regression alone, learned from the same halves of the labels; rows: (doc_id, text, half)."""
+    import zstandard
+
+    def fold(i):
+        return zlib.crc32(str(i).encode()) % 4 == 2
+
+    text = {}
+    for i, t, _ in rows:
+        text[i] = min(text.get(i, t.encode()), t.encode())
+    half = {i: h for i, _, h in rows}
+    known = {i: min(q for j, q in labels if j == i) for i in {j for j, q in labels if q in (0, 1)} if i in text and not fold(i)}
+    pieces = lambda t: [t[k : k + 2048] for k in range(0, len(t), 2048)]
+    dicts = [b""]
+    for q in (1, 0):
+        dicts.append(quality._train(sorted(p for i in known if half[i] == 0 and known[i] == q for p in pieces(text[i]))))
+    made = []
+    for d in dicts:
+        options = {"level": 3, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
+        made.append(zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d), **options) if d else zstandard.ZstdCompressor(**options))
+
+    def inputs(t):
+        plain, good, bad = (sum(len(c.compress(p)) for p in pieces(t)) for c in made)
+        return 10 * (bad - good) / (bad + good), math.log(plain / len(t))
+
+    seen = [(inputs(text[i]), known[i]) for i in known if half[i] == 1]
+    design = lambda d, r: np.array([1, d, d * d, r, r * r, d * r])
+    x, y, w = np.array([design(*v) for v, _ in seen]), np.array([q for _, q in seen]), np.zeros(6)
+    for _ in range(200):
+        p = 1 / (1 + np.exp(-x @ w))
+        w -= np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(6), x.T @ (p - y) + 0.1 * w)
+    return [1 / (1 + math.exp(-design(*inputs(t.encode())) @ w)) for _, t, _ in rows]
+
+
+def test_quality_agrees_with_brute_force(spark, data):
+    docs, labels = (spark.read.parquet(f"{data}/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    both = docs.select("doc_id", "text").unionByName(docs.where("doc_id % 50 = 1").selectExpr("doc_id", "concat(text, ' again') as text"))
+    more = labels.select("doc_id", "quality").unionByName(labels.where("doc_id % 9 = 0").selectExpr("doc_id", "7 as quality"))
+    rows = [tuple(r) for r in both.withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(2))).collect()]
+    want = brute_quality(rows, [(r.doc_id, r.quality) for r in more.collect()])
+    got = sorted((r.doc_id, r.score) for r in quality.quality_scores(both, more).collect())
+    for (i, s), (j, _, _), w in zip(got, *zip(*sorted(zip(rows, want, strict=True), key=lambda x: (x[0][0], x[1])), strict=True), strict=True):
+        assert i == j and s == pytest.approx(w, abs=1e-6)
+    kept = {(r.doc_id, r.text) for r in quality.keep_good(both, more).collect()}
+    assert kept == {(i, t) for (i, t, _), w in zip(rows, want, strict=True) if w >= 0.7}
 
 
 def test_exact_duplicates_agree_with_sql(spark, data, awkward, empty):
