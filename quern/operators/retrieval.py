@@ -18,6 +18,7 @@ from quern.functions import scalars as S
 from quern.operators.skew import join_in_parts
 from quern.schema import SOURCE_TYPES
 from quern.sources.models import answer_or_fallback, score
+from quern.sources.shared import settled
 
 if TYPE_CHECKING:
     from quern.operators.fulltext import FullTextIndex
@@ -134,9 +135,8 @@ def ranked(postings: DataFrame, counts: DataFrame, stats: DataFrame, asked: Data
     if small:
         scored = postings.join(F.broadcast(weighed.join(F.broadcast(asked), "term")), "term").select("query_id", id_col, part.alias("part"))
     else:
-        total = counts.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
         each = weighed.join(asked, "term").groupBy("term").agg(F.collect_list("query_id").alias("query_ids"), F.first("idf").alias("idf"), F.first("avgdl").alias("avgdl"), F.first("df").alias("n"))
-        scored = join_in_parts(postings, each, "term", total).select(F.explode("query_ids").alias("query_id"), id_col, part.alias("part"))
+        scored = join_in_parts(postings, settled(each), "term").select(F.explode("query_ids").alias("query_id"), id_col, part.alias("part"))
     best = scored.groupBy("query_id", id_col).agg(F.round(F.sum("part"), 4).alias("score"))
     rank = F.row_number().over(W.Window.partitionBy("query_id").orderBy(F.desc("score"), id_col))
     return best.withColumn("rank", rank).where(F.col("rank") <= k)

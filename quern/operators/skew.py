@@ -9,14 +9,17 @@ HOT_ROWS = 256  # rows of one key in one part, at least
 HOT_KEYS = 100_000  # a key is hot with more than a HOT_KEYS-th of all rows, so that there are fewer hot keys than this
 
 
-def join_in_parts(left: DataFrame, right: DataFrame, key: str, total: int) -> DataFrame:
+def join_in_parts(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """left joined to right on key, without right's column n.
 
-    right has one row for each key, whose column n says how many rows of the key left has at most; total is a bound on left's rows. Left's
+    right, a table that was written down, has one row for each key, whose column n says how many rows of the key left has at most. Left's
     rows of a hot key are dealt by a hash of the whole row to parts, to each of which right's row of that key is copied. Only the hot keys
-    are broadcast: fewer than HOT_KEYS, whatever the tables. Null keys match nothing.
+    are broadcast: fewer than HOT_KEYS, whatever the tables. Without hot keys the join is a plain one. Null keys match nothing.
     """
+    largest, total = right.agg(F.coalesce(F.max("n"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
     most = max(HOT_ROWS, -(-total // HOT_KEYS))
+    if largest <= most:
+        return left.join(right.drop("n"), key)
     parts = F.greatest(F.ceil(F.col("n") / most), F.lit(1)).cast("int")
     hot = right.where(F.col("n") > most).select(key, parts.alias("_parts"))
     dealt = left.join(F.broadcast(hot), key, "left").withColumn("_part", F.pmod(F.xxhash64(*left.columns), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")

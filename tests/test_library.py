@@ -11,12 +11,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.functions import scalars as S
-from quern.operators import chunking, evaluation, listing, projection, retrieval
+from quern.operators import chunking, evaluation, fulltext, listing, projection, retrieval, skew
 from quern.plans import queries as plans
 from quern.schema import CHUNK_SCHEMA
 from quern.sources import files, models, settings
 from quern.sources.catalog import Catalog
-from quern.sources.store import ChunkStore
+from quern.sources.store import ChunkStore, merge
 from quern.streaming import requests
 
 
@@ -98,7 +98,22 @@ def test_scalars(spark):
     assert one(spark, S.snippet(F.col("t")), t="x" * 160) == "x" * 160 and one(spark, S.snippet(F.col("t")), t="x" * 161) == "x" * 160 + "..."
     assert one(spark, S.clean_path(F.col("t")), t="/a/../b\\.\\c.pdf") == "a/b/c.pdf"
     assert one(spark, S.title_of(F.col("t")), t="x/My_Book.v2.json") == "My Book.v2" and one(spark, S.doc_type(F.col("t")), t="a.py") == "PDF"
-    assert json.loads(one(spark, S.json_object(F.col("t")), t='```json\n{"a": 1}\n``` ok')) == {"a": 1} and one(spark, S.json_object(F.col("t")), t="no") is None
+    for raw, want in (('```json\n{"a": 1}\n``` ok', {"a": 1}), ('```JSON {"a": {"b": 2}}```', {"a": {"b": 2}}), ('so: {"a": "}"} then', {"a": "}"}), ("no", None), ("{no}", None), ("[1]", None), ('x {"a": 1} y {"b": 2}', None), (None, None)):
+        found = one(spark, S.json_object(F.col("t").cast("string")), t=raw)
+        assert (json.loads(found) if found else None) == want
+    with pytest.raises(Exception, match="no JSON object"):
+        one(spark, S.json_object(F.col("t"), strict=True), t="{no}")
+    assert one(spark, S.file_name(F.col("t")), t="A \t book") == "A_book" and one(spark, S.age_seconds(F.lit(10.9), F.col("t")), t=4.0) == 6 and one(spark, S.age_seconds(F.lit(1.0), F.col("t")), t=4.0) == 0
+    assert one(spark, S.day_of(F.col("t")), t=86400) == "1970-01-02" and one(spark, S.file_progress(F.col("t"), F.lit(3)), t=1) == 33.3 and one(spark, S.file_progress(F.col("t"), F.lit(0)), t=0) == 0.0
+    told = one(spark, S.chat_messages(F.col("c"), F.col("t")), c="ctx", t="q?")
+    assert [m.role for m in told] == ["system", "user"] and told[0].content == S.SYSTEM_PROMPT and told[1].content == "Contesto:\n\nctx\n\nDomanda: q?"
+
+
+def test_redaction(spark):
+    keys = ["Api_Token", "CLIENT_SECRET", "password", "db_passwd", "x_api_key", "apikey", "Authorization", "set-cookie", "credential", "private_key", "HTTP_PROXY", "https_proxy", "all_proxy", "no_proxy", "note", "long", "null"]
+    values = ["v"] * 15 + ["é" * 4097, None]
+    got = one(spark, S.redact(F.map_from_arrays("k", "v")), k=keys, v=values)
+    assert [got[k] for k in keys] == ["<REDACTED>"] * 10 + ["<REDACTED_PROXY>"] * 3 + ["v", "v", "é" * 4096 + "...<truncated>", None]
 
 
 def test_fusion_and_reranking(spark):
@@ -143,7 +158,131 @@ def test_metrics(spark):
         assert evaluation.p95(spark.range(n).select(F.lit("g").alias("g"), F.col("id").cast("double").alias("v")), "g", "v").first().p95 == want
     stats = evaluation.latency_stats(spark.createDataFrame([("a", 1.0), ("a", 2.0), ("a", 3.0)], "phase string, seconds double"))
     assert tuple(stats.first()) == ("a", 3, 6.0, 2.0, 1.0, 3.0)
-    assert evaluation.telemetry_snapshot(stats.limit(0), {"a": "b"}).first().phase == "idle"
+    assert tuple(evaluation.telemetry_snapshot(stats.limit(0)).first()) == ("telemetry-system", "INFO", "FastAPI", "Sistema RAG pronto e in ascolto.", 0)
+    almost = spark.createDataFrame([("rerank", 0.00199996)], "phase string, seconds double")  # cut off, not rounded
+    assert tuple(evaluation.telemetry_snapshot(evaluation.latency_stats(almost)).first()) == ("telemetry-rerank", "INFO", "CrossEncoder", "Fase 'rerank' completata (1 chiamate)", 1)
+    two = spark.createDataFrame([("embedding", 0.1), ("rerank", 0.25), ("rerank", 0.75)], "phase string, seconds double")
+    assert [r.phase for r in evaluation.latency_stats(two, "rerank").collect()] == ["rerank"] and {r.phase for r in evaluation.latency_stats(two, "never seen").collect()} == {"embedding", "rerank"}
+    assert evaluation.latency_stats(two.limit(0), "x").count() == 0
+    assert evaluation.latency_report(evaluation.latency_stats(two)).first().report.split("\n") == [
+        "=== Report Latenza RAG ===",
+        "Fase: embedding       | Conteggio: 1   | Media: 0.100s | Min: 0.100s | Max: 0.100s | Totale: 0.100s",
+        "Fase: rerank          | Conteggio: 2   | Media: 0.500s | Min: 0.250s | Max: 0.750s | Totale: 1.000s",
+    ]
+    assert evaluation.latency_report(stats.limit(0)).first().report == "Nessuna misurazione registrata."
+    zeros = spark.createDataFrame([("g", 0.0)] * 30 + [("g", 7.0)], "g string, v double")
+    assert evaluation.p95(zeros, "g", "v").first().p95 == 0.0 and evaluation.p95(zeros, "g", "v", zero_is_missing=True).first().p95 == 7.0
+    odd = spark.createDataFrame([(1.0,), (3.0,), (-5.0,), (None,), (float("nan"),), (float("inf"),)], "v double")
+    assert evaluation.mean_duration(odd, "v").first().mean == 2.0 and evaluation.mean_duration(odd.limit(0), "v").first().mean is None
+    cases = spark.createDataFrame([(1, "Found"), (2, "Error"), (3, "Skipped")], "case_id int, status string")
+    assert tuple(evaluation.job_summary(cases).first()) == ("completed_with_errors", 1, "1 casi non valutabili", "1/3")
+    assert tuple(evaluation.job_summary(cases.limit(0)).first()) == ("completed", 0, None, "0/0")
+
+
+def test_batches_keep_every_row(spark):
+    """Many partitions, and adaptive execution that joins some: every row is there and every place once."""
+    rows = spark.range(1_000_000).select((F.xxhash64("id") % 100_000).alias("v"), "id")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes")}
+    try:
+        for n, size in (("40", "4m"), (before["spark.sql.shuffle.partitions"], before["spark.sql.adaptive.advisoryPartitionSizeInBytes"])):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", size)
+            got = listing.batch_number(rows, "v", 32)
+            n, places, least, most, wrong = got.agg(F.count("*"), F.count_distinct("place"), F.min("place"), F.max("place"), F.count_if(F.expr("batch <> (place - 1) div 32"))).first()
+            assert (n, places, least, most, wrong) == (1_000_000, 1_000_000, 1, 1_000_000, 0)
+            steps = got.groupBy("batch").agg(F.min("v").alias("a"), F.max("v").alias("b"), F.count("*").alias("n"))
+            assert steps.where("n <> 32").count() == 0
+            assert steps.selectExpr("a >= lag(b) over (order by batch) as ok").where("not ok").count() == 0
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_merge_leaves_one_row_of_a_key(spark):
+    stored = spark.createDataFrame([("a", 1), ("b", 1)], "chunk_id string, v int")
+    twice = spark.createDataFrame([("a", 2, 1), ("a", 3, 2), ("c", 4, 1)], "chunk_id string, v int, written int")
+    assert sorted(tuple(r) for r in merge(stored, twice, order="written").collect()) == [("a", 3), ("b", 1), ("c", 4)]
+    with pytest.raises(Exception, match="no order says"):
+        merge(stored, twice.drop("written")).collect()
+    assert sorted(tuple(r) for r in merge(stored, twice.drop("written").where("v > 2")).collect()) == [("a", 3), ("b", 1), ("c", 4)]
+
+
+def test_joins_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(skew, "HOT_ROWS", 10)
+    left = spark.range(500).selectExpr("if(id < 300, 0, id % 40) as k", "id as v")
+    right = left.groupBy("k").agg(F.count("*").alias("n"), F.min("v").alias("m"))
+    assert sorted(map(tuple, skew.join_in_parts(left, right, "k").collect())) == sorted(map(tuple, left.join(right.drop("n"), "k").collect()))
+
+
+def test_lists_and_cases_of_any_size(spark, monkeypatch):
+    rows = spark.range(100).withColumnRenamed("id", "doc_id")
+    few = [tuple(r) for r in listing.fetch_in_order(rows, [7, 500, 3], "doc_id").collect()]
+    monkeypatch.setattr(listing, "MOST_IDS", 1)
+    assert few == [tuple(r) for r in listing.fetch_in_order(rows, [7, 500, 3], "doc_id").collect()] == [(7, 0), (3, 2)]
+    cases = spark.createDataFrame([("a%",), ("b",), (None,)], "expected string")
+    docs = spark.createDataFrame([("x/a%b.pdf",), (None,)], "path string")
+    assert {r.expected: r.found for r in listing.exists_containing(cases, docs, "expected", "path").collect()} == {"a%": True, "b": True, None: False}
+    assert not any(r.found for r in listing.exists_containing(cases, docs.limit(0), "expected", "path").collect())
+    monkeypatch.setattr(listing, "MOST_CASES", 1)
+    with pytest.raises(ValueError, match="names"):
+        listing.exists_containing(cases, docs, "expected", "path")
+
+
+def test_full_text_index(spark, data, tmp_path):
+    docs = spark.read.parquet(f"{data}/sf0.001/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(9001, None), (9002, "..."), (9003, "the the and")], "doc_id long, text string"))
+    asked = spark.createDataFrame([(1, "the and"), (2, "nowhere else"), (3, "The (tion) \"AND\" *")], "query_id int, query string")
+    index = fulltext.FullTextIndex.build(docs, str(tmp_path / "fts"), "doc_id")
+    want = sorted(map(tuple, retrieval.bm25(docs, asked, 7, "doc_id").collect()))
+    assert want and sorted(map(tuple, index.search(asked, 7).collect())) == want == sorted(map(tuple, index.search(asked, 7, broadcast_terms=0).collect()))
+    assert index.stats().first().n == docs.count()
+    again = fulltext.FullTextIndex.build(docs.limit(0), str(tmp_path / "fts"), "doc_id")  # it is there: nothing is done
+    assert again.stats().first().n == docs.count()
+    plan = index.search(asked, 7)._jdf.queryExecution().executedPlan().toString()
+    assert "In(term, [" in plan
+    empty = fulltext.FullTextIndex.build(docs.limit(0), str(tmp_path / "fts"), "doc_id", replace=True)
+    assert empty.search(asked, 7).count() == 0
+    path = str(tmp_path / "t")
+    docs.limit(5).write.parquet(path)
+    first = fulltext.snapshot_key(spark.read.parquet(path))
+    assert first == fulltext.snapshot_key(spark.read.parquet(path))
+    docs.limit(1).write.mode("append").parquet(path)
+    assert first != fulltext.snapshot_key(spark.read.parquet(path))
+
+
+def test_a_question_from_retrieval_to_answer(spark):
+    rows = [("1", "linguaggio C++ e Python", [1.0, 0.0], "T1", "articolo", "S", "p. 3"), ("2", "operatore AND e OR", [0.0, 1.0], None, None, None, None), ("3", "x" * 161, [0.5, 0.5], "T3", "video", "", "")]
+    table = spark.createDataFrame(rows, "chunk_id string, text string, vector array<float>, source_title string, source_type string, section string, position string")
+    by_length = lambda q, texts: [float(len(t)) for t in texts]
+    view, answer = retrieval.ask(table, "operatore python", [1.0, 0.0], lambda p: f"ok {p.count('[Fonte')}", by_length, top_n=2, model="m")
+    got = view.collect()
+    assert [(r.id, r.chunk_num, r.rerank_score) for r in got] == [("3", 1, 161.0), ("1", 2, 23.0)] and got[0].rank_delta == 2
+    assert got[0].highlight_snippet == "x" * 160 + "..." and (got[1].doc_type, got[1].char_offset, got[1].embedding_model, got[1].dimensions) == ("Ricerca", "p. 3", "m", None)
+    assert len(view.columns) == 19 and tuple(answer.first()) == ("ok 2", False)
+    kept, _ = retrieval.ask(table, "operatore python", [1.0, 0.0], str, None, top_n=2)  # no reranker: the first by rank
+    failed, told = retrieval.ask(table, "operatore python", [1.0, 0.0], lambda p: 1 / 0, lambda q, texts: [1.0], top_n=2)  # wrong number of scores
+    assert [r.id for r in kept.collect()] == [r.id for r in failed.collect()] == ["1", "2"]
+    assert [r.rerank_score for r in kept.collect()] == [r.dense_score for r in kept.collect()] and {r.rerank_score for r in failed.collect()} == {0.0}
+    assert {r.rank_delta for r in failed.collect()} == {0} and failed.collect()[1].doc_title == "Sconosciuto"
+    assert told.first().failed and told.first().answer.startswith("Errore durante la generazione LLM (division by zero). Ecco i passaggi principali trovati nel contesto:\n- [T1] linguaggio C++ e Python...")
+    nothing, said = retrieval.ask(table, "assente", None, lambda p: 1 / 0, mode="sparse")
+    assert nothing.count() == 0 and tuple(said.first()) == (models.NO_CONTEXT, False)
+    with pytest.raises(ValueError, match="blank"):
+        retrieval.ask(table, "  ", None, str)
+
+
+def test_fusion_by_query(spark):
+    side = lambda rows: spark.createDataFrame(rows, "query_id int, chunk_id string, rank int")
+    dense, text = side([(1, "a", 1), (1, "b", 2), (2, "c", 1)]), side([(1, "b", 1), (2, "d", 1), (3, "e", 1)])
+    got = retrieval.fuse(dense, text, 1, 0.3, by=("query_id",)).select("query_id", "chunk_id", "rank")
+    assert sorted(map(tuple, got.collect())) == [(1, "b", 1), (2, "d", 1), (3, "e", 1)]
+
+
+def test_evaluation_cases(spark):
+    cases = spark.createDataFrame([(1, "docs/My Guide.pdf"), (2, "other.md"), (3, "gone.pdf")], "case_id int, expected string")
+    present = spark.createDataFrame([(1, True), (2, True), (3, False)], "case_id int, found boolean")
+    found = spark.createDataFrame([(1, 1, "x"), (1, 2, "my guide"), (2, 1, "x"), (3, 1, "gone")], "case_id int, rank int, title string")
+    got = {r.case_id: tuple(r)[1:] for r in evaluation.case_results(cases, present, found).collect()}
+    assert got == {1: ("Found", 0.5, 1.0, 0.75), 2: ("Not found", 0.0, 0.0, 0.0), 3: ("Skipped", None, None, 0.0)}
 
 
 def test_store_catalog_and_archives(spark, tmp_path):
@@ -157,10 +296,31 @@ def test_store_catalog_and_archives(spark, tmp_path):
     with pytest.raises(Exception, match="length"):
         store.upsert(rows(("c", [1.0])))
     assert store.count() == 2
+    more = rows(*[(f"n{i:03d}", [0.0, 0.0]) for i in range(70)]).drop("vector")
+    told = []
+
+    def loaded():
+        def embedder(texts):
+            if len(told_once) >= 0 and len(texts) > 32:
+                raise ValueError("too many")
+            return [[1.0, 2.0] for _ in texts]
+
+        told_once = []
+        return embedder
+
+    assert store.upsert_in_batches(more, loaded, "chunk_id", upto=told.append, batches=1) == 70 and told == [32, 64, 70] and store.count() == 72
+    broken = rows(*[(f"o{i:03d}", [0.0, 0.0]) for i in range(40)]).drop("vector").withColumn("text", F.when(F.col("chunk_id") >= "o032", "bad").otherwise("t"))
+
+    def fails():
+        return lambda texts: [[1.0, 2.0] if t != "bad" else 1 / 0 for t in texts]
+
+    with pytest.raises(Exception, match="division"):
+        store.upsert_in_batches(broken, fails, "chunk_id", batches=1)
+    assert store.count() == 104  # the batch before the failure stays
     zipped = str(tmp_path / "x.zip")
     catalog.export(db["id"], zipped)
     copy = catalog.import_(zipped, "copy")
-    assert copy["dimension"] == 2 and catalog.store(copy["id"]).count() == 2
+    assert copy["dimension"] == 2 and catalog.store(copy["id"]).count() == 104
     catalog.rename(copy["id"], "other")
     catalog.activate(copy["id"])
     with pytest.raises(ValueError):
@@ -204,6 +364,20 @@ def test_unit_files(spark, tmp_path):
         files.admitted(ups.withColumn("bytes", F.lit(300 << 20))).collect()
     pages = spark.createDataFrame([("d", 1, "x" * 150), ("d", 2, "y" * 60), ("e", 4, "z" * 900)], "doc string, page int, text string")
     assert {r.doc: r.has_text for r in files.has_text_layer(pages).collect()} == {"d": True, "e": False}
+    same = spark.createDataFrame([("a/x.json", 1), ("./a/x.json", 2), ("a/x.exe", 1), ("b/noext", 1)], "name string, bytes long")
+    names = sorted(r.clean_name for r in files.admitted(same).where("accepted").collect())
+    assert names[0] == "a/x.json" and re.fullmatch(r"a/x_[0-9a-f]{8}\.json", names[1]) and len(names) == 2
+    with pytest.raises(Exception, match="ceilings"):
+        files.admitted(same, max_payload_bytes=4).collect()
+    (tmp_path / "bad.json").unlink()
+    chunks = files.unit_chunks(spark, str(tmp_path), 20, 0.1).orderBy("file_num", "unit_num", "chunk_num").collect()
+    assert [(r.file_num, r.unit_num, r.section, r.text, r.position) for r in chunks] == [(0, 0, "U1", "Uno.", ""), (0, 2, "", "Tre.", ""), (1, 0, "U3", "Due.", "")]
+    (tmp_path / "b.pdf").write_bytes(b"Uno due")
+    (tmp_path / "sub" / "deep.pdf").write_bytes(b"x")
+    pdfs = files.pdf_files(spark, str(tmp_path))
+    assert [r.path.split("/")[-1] for r in pdfs.collect()] == ["b.pdf"]
+    packed = files.pdf_chunks(pdfs, lambda c: [{"text": "Titolo", "label": "title", "page_no": 1}, {"text": c.decode(), "page_no": 1}], title="Libro")
+    assert [(r.source_title, r.section, r.text, r.position) for r in packed.collect()] == [("Libro", "Titolo", "Uno due", "p. 1")]
     made = files.convert(spark.createDataFrame([("f", b"a b")], "path string, content binary"), lambda c: [{"text": w} for w in c.decode().split()])
     assert [r.text for r in made.orderBy("seq").collect()] == ["a", "b"]
 
@@ -219,6 +393,30 @@ def test_models(spark):
     assert prompt.first().prompt == "Contesto:\n\n[Fonte: T, S (p. 1)]\na\n\n[Fonte: T]\nb\n\nDomanda: perché?"
     assert models.answer(prompt, lambda p: "ok").first().answer == "ok"
     assert models.answer(models.answer_prompt(chunks.limit(0), "x"), lambda p: 1 / 0).first().answer == models.NO_CONTEXT
+    got = models.embed(rows, load=lambda: lambda texts: [[1.0] for _ in texts])
+    assert got.count() == 5
+    counted = models.count_tokens(rows, lambda: lambda t: len(t) * 10)
+    assert {r.n_tokens for r in counted.collect()} == {20} and {r.n_tokens for r in models.count_tokens(rows, lambda: 1 / 0).collect()} == {1}
+
+
+def test_judge(spark):
+    cases = spark.createDataFrame([(1, "q", "good", ["c1", "c2"]), (2, "q", " ", ["c"]), (3, "q", "over", ["c"]), (4, "q", "prose", ["c"]), (5, "q", "fails", ["c"]), (6, "q", "a" * 20_000, ["c" * 30_000])], "case_id int, query string, answer string, contexts array<string>")
+
+    def model(system, user):
+        assert system == models.JUDGE_PROMPT and "CONTESTO:" in user
+        if "good" in user:
+            assert user == "DOMANDA:\nq\n\nRISPOSTA:\ngood\n\nCONTESTO:\nc1\n\nc2"
+            return '```json\n{"supported_claims": 3, "total_claims": 4}\n```'
+        if "over" in user:
+            return 'Sure: {"supported_claims": 9, "total_claims": 2}'
+        if "prose" in user:
+            return "all of it"
+        if "fails" in user:
+            raise ValueError("no model")
+        return f'{{"supported_claims": {user.count("a")}, "total_claims": 100000, "x": {user.count("c")}}}'
+
+    got = {r.case_id: (r.supported, r.total, r.error) for r in models.judge(cases, model).collect()}
+    assert got == {1: (3, 4, None), 2: (0, 0, None), 3: (2, 2, None), 4: (None, None, "Il giudice LLM non ha restituito un JSON valido"), 5: (None, None, "no model"), 6: (12_000, 100_000, None)}
 
 
 def test_rate_limit_in_batch_and_stream(spark, tmp_path):
@@ -235,6 +433,39 @@ def test_rate_limit_in_batch_and_stream(spark, tmp_path):
     assert sorted(tuple(r) for r in spark.table("limited").collect()) == want and sum(r[3] for r in want) == 10
 
 
+def test_exempt_requests_and_idle_clients(spark, tmp_path):
+    assert requests.admit([0, 1, 2, 3], deque(), 2, exempt=[False, True, True, False]) == [True, True, True, False]
+    frame = spark.createDataFrame([(i, 1, i, i in (1, 2)) for i in range(4)], "event_id long, client long, ts_us long, exempt boolean")
+    assert [r.accepted for r in requests.rate_limit(frame, 2).orderBy("event_id").collect()] == [True, True, True, False]
+
+
+def test_only_changes_are_written(spark, tmp_path):
+    told = []
+    spark.createDataFrame([("a", 1.0)], "phase string, seconds double").write.parquet(str(tmp_path / "in"))
+    stream = requests.telemetry_stream(spark.readStream.schema("phase string, seconds double").parquet(str(tmp_path / "in"))).withColumn("at", F.current_timestamp())
+    q = requests.write_changes(stream, lambda rows, batch: told.append(sorted(tuple(r)[:3] for r in rows.collect())), "at").option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.processAllAvailable()
+    spark.createDataFrame([], "phase string, seconds double").write.mode("append").parquet(str(tmp_path / "in"))
+    q.processAllAvailable()
+    spark.createDataFrame([("a", 3.0)], "phase string, seconds double").write.mode("append").parquet(str(tmp_path / "in"))
+    q.processAllAvailable()
+    q.stop()
+    assert told == [[("a", 1, 1.0)], [("a", 2, 4.0)]]
+
+
+def test_downloads_and_counts(spark, tmp_path):
+    rows = spark.createDataFrame([(3, "My  book", "x")], "chunk_num int, doc_title string, text string")
+    got = listing.download(rows).first()
+    assert got.name == "chunk_3_My_book.json" and json.loads(got.content) == {"chunk_num": 3, "doc_title": "My  book", "text": "x"}
+    jobs = spark.createDataFrame([("pending",), ("in_progress",), ("failed",)], "status string")
+    assert listing.active_jobs(jobs).first().active == 2
+    rows.select(F.lit("").alias("source_path"), F.col("doc_title").alias("source_title")).repartition(2).write.parquet(str(tmp_path / "t"))
+    stored = spark.read.parquet(str(tmp_path / "t"))
+    size = sum(p.stat().st_size for p in (tmp_path / "t").glob("*.parquet"))
+    stats = listing.library_stats(stored, 2, stored).first()
+    assert (stats.chunks, stats.documents, stats.databases) == (1, 1, 2) and 0 < stats.storage_bytes <= size
+
+
 def test_telemetry_stream_and_jobs(spark, tmp_path):
     spark.createDataFrame([("a", 1.0), ("a", 3.0)], "phase string, seconds double").write.parquet(str(tmp_path / "in"))
     q = requests.telemetry_stream(spark.readStream.schema("phase string, seconds double").parquet(str(tmp_path / "in"))).writeStream.format("memory").queryName("tele").outputMode("complete").option("checkpointLocation", str(tmp_path / "cp")).start()
