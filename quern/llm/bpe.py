@@ -47,7 +47,8 @@ class Bpe:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         tokens = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
         self.tokens = [tokens.get(i, "").encode() for i in range(max(tokens) + 1)]
-        split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
+        self._check(spec)
+        split = spec["pre_tokenizer"]["pretokenizers"][0]
         self.find = regex.compile(split["pattern"]["Regex"]).findall
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split if self.special else lambda t: [t]
         symbols = byte_symbols()
@@ -62,6 +63,19 @@ class Bpe:
         self.library = None
         self.path = path
 
+    @staticmethod
+    def _check(spec: dict) -> None:
+        """What encode() and decode() do by themselves must be what the file says; another kind of file is an error."""
+        normal = spec["normalizer"] or {}
+        steps = [(n["type"], n.get("pattern"), n.get("content")) for n in normal.get("normalizers", [])]
+        before = [(p["type"], p.get("behavior"), p.get("invert"), p.get("add_prefix_space"), p.get("use_regex")) for p in (spec["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        plain = not any(t.get(k) for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip"))
+        model = spec["model"]
+        if steps != [("NFC", None, None), ("Replace", {"Regex": "\\s+"}, " "), ("Lowercase", None, None)] or [b[0] for b in before] != ["Split", "ByteLevel"] or before[0][1:3] != ("Removed", True) or before[1][3] or before[1][4] is not False:
+            raise ValueError("only lower-casing byte-level tokenizers that split words by one expression can be read")
+        if model["type"] != "BPE" or model.get("dropout") or model.get("continuing_subword_prefix") or model.get("byte_fallback") or spec.get("decoder") or not plain:
+            raise ValueError("only plain BPE without a decoder can be read")
+
     def merge(self, words: list[bytes]) -> list[np.ndarray]:
         """Ids of each non-empty word, given in UTF-8."""
         lengths = np.array([len(w) for w in words], dtype=np.int64)
@@ -125,7 +139,7 @@ class Bpe:
         split: list[list] = []
         for text in texts:
             pieces: list = []
-            for part in self.cut(text or "") if text and "<|" in text else [text or ""]:
+            for part in self.cut(text) if text and any(s in text for s in self.special) else [text or ""]:
                 if part in self.special:
                     pieces.append(self.special[part])
                 elif part:
@@ -161,7 +175,8 @@ def bpe_round_trip(docs: DataFrame, path: str, with_ids: bool = False) -> DataFr
     """Encode and decode every text of docs (doc_id, text): doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids, little-endian bytes).
 
     path: a tokenizers JSON file that every executor has. Null text counts as empty: 0 tokens and the digests of nothing. Rows are
-    independent, so repeated rows and null ids pass through; other columns are dropped. An empty table gives no rows.
+    independent, so repeated rows and null ids pass through; other columns are dropped. Long texts are cut into words as they are, some
+    millions of characters at a time. An empty table gives no rows.
     """
     bound_batches(docs.sparkSession)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids binary" if with_ids else "")

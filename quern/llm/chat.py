@@ -104,25 +104,34 @@ def format_chat(turns: DataFrame, path: str) -> DataFrame:
 
     path: a byte-level tokenizers JSON file that every executor has. Rows of a conversation are ordered by turn, then role, then text;
     a null turn comes first, null role and text count as empty; repeated rows are turns of their own. All figures are read back from the
-    assembled ids and mask. Encoding is done row by row wherever the rows are; then each conversation's turns stream through one task in
-    order, a batch at a time, because a digest of a conversation must see it in order; memory stays at one batch however long it is.
-    Rows of a null conv_id form one conversation. Other columns are dropped. An empty table gives no rows.
+    assembled ids and mask. Encoding, assembly and reading back are done turn by turn, wherever the rows are; of a text of any length, so
+    is the decoding. A digest of a conversation must see its turns in order, so these stream through one task, which only hashes what was
+    read back, a batch at a time, however long the conversation is. Rows of a null conv_id form one conversation. Other columns are
+    dropped. An empty table gives no rows.
     """
     bound_batches(turns.sparkSession)
     lean = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("role", "text")])
 
-    def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def assemble(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codec = load(path)
         for frame in frames:
-            ids = codec.encode([escape(t) for t in frame["text"]])
+            contents = codec.encode([escape(t) for t in frame["text"]])
             names = codec.encode([escape(r) if r not in MARKS else "" for r in frame["role"]])
-            yield pd.DataFrame({"conv_id": frame["conv_id"].array, "turn": frame["turn"].array, "role": frame["role"], "text": frame["text"], "content": [x.tobytes() for x in ids], "name": [x.tobytes() for x in names]})
+            out = []
+            for role, content, name in zip(frame["role"], contents, names, strict=True):
+                ids, mask = splice(codec, [role], [content], [name], first=False)
+                ((told, text, begin, end),) = read_back(codec, ids)
+                learned = unescape(codec.decode(ids[begin:end][mask[begin:end]])) if mask.any() or not len(content) and told == "assistant" else None
+                out.append((told, text, learned is not None, None if learned == text else learned, len(codec.decode(ids))))
+            made = pd.DataFrame(out, columns=["role", "text", "learns", "learned", "rendered"])
+            yield made.assign(conv_id=frame["conv_id"].array, turn=frame["turn"].array)
 
-    encoded = lean.mapInPandas(encode, "conv_id long, turn long, role string, text string, content binary, name binary")
-    ordered = encoded.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").drop("text")
+    # learned: where it isn't the whole text
+    made = lean.mapInPandas(assemble, "conv_id long, turn long, role string, text string, learns boolean, learned string, rendered long")
+    ordered = made.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
-    def assemble(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codec, state, none = load(path), None, object()
+    def digest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        state, none = None, object()
 
         def done(s: dict) -> dict:
             return {"conv_id": None if s["conv"] is none else s["conv"], "n_turns": s["turns"], "turns_sha256": s["all"].hexdigest(), "loss_chars": s["chars"], "loss_sha256": s["loss"].hexdigest(), "formatted_chars": s["rendered"]}
@@ -130,26 +139,21 @@ def format_chat(turns: DataFrame, path: str) -> DataFrame:
         for frame in frames:
             out = []
             keys = [none if x is None or x != x else int(x) for x in frame["conv_id"]]
-            cuts = [i for i in range(len(keys)) if i == 0 or keys[i] != keys[i - 1]] + [len(keys)]
-            contents, names = ([np.frombuffer(x, dtype=np.int32) for x in frame[c]] for c in ("content", "name"))
-            roles = list(frame["role"])
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                if state is None or state["conv"] is not keys[a] and state["conv"] != keys[a]:
+            for key, role, text, learns, learned, rendered in zip(keys, frame["role"], frame["text"], frame["learns"], frame["learned"], frame["rendered"], strict=True):
+                if state is None or state["conv"] is not key and state["conv"] != key:
                     if state is not None:
                         out.append(done(state))
-                    state = {"conv": keys[a], "turns": 0, "all": hashlib.sha256(), "loss": hashlib.sha256(), "chars": 0, "rendered": 0}
-                ids, mask = splice(codec, roles[a:b], contents[a:b], names[a:b], first=state["turns"] == 0)
-                state["rendered"] += len(codec.decode(ids))
-                for role, text, begin, end in read_back(codec, ids):
-                    state["turns"] += 1
-                    state["all"].update(f"{role}\n{text}\n".encode())
-                    if mask[begin:end].any():
-                        learned = unescape(codec.decode(ids[begin:end][mask[begin:end]]))
-                        state["chars"] += len(learned)
-                        state["loss"].update(learned.encode())
+                    state = {"conv": key, "turns": 0, "all": hashlib.sha256(), "loss": hashlib.sha256(), "chars": 0, "rendered": len(CONTROLS[0])}
+                state["turns"] += 1
+                state["rendered"] += rendered
+                state["all"].update(f"{role}\n{text}\n".encode())
+                if learns:
+                    learned = learned if isinstance(learned, str) else text
+                    state["chars"] += len(learned)
+                    state["loss"].update(learned.encode())
             if out:
                 yield pd.DataFrame(out).astype({"conv_id": "Int64"})
         if state is not None:
             yield pd.DataFrame([done(state)]).astype({"conv_id": "Int64"})
 
-    return ordered.mapInPandas(assemble, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return ordered.mapInPandas(digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

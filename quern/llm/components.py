@@ -10,21 +10,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.scratch import discard, save
-from quern.llm.skew import join_in_parts
+from quern.operators.skew import join_in_parts
 
 
-def _star(edges: DataFrame, large: bool, total: int) -> DataFrame:
-    """edges (a, b) with a > b. Large: every larger neighbour goes to the least of the neighbourhood. Small: every smaller one does."""
+def _star(edges: DataFrame, large: bool) -> DataFrame:
+    """edges (a, b) with a > b. Large: every larger neighbour goes to the least of the neighbourhood. Small: every smaller one does.
+
+    The least of each neighbourhood is written down, so that plans stay small and its join may look at the sizes first.
+    """
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
     if large:
         both = both.unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-    joined = join_in_parts(both, least, "u", total)
+    least = save(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"))
+    joined = join_in_parts(both, least, "u")
     if large:
         out = joined.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:
         out = joined.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
-    return out.where("a > b").distinct()
+    out = save(out.where("a > b").distinct())
+    discard(least)
+    return out
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -32,11 +37,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Loops are ignored; a node without an edge to another isn't returned. No edges: no rows.
     """
-    edges = save(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    now, state = edges.agg(F.count("*")).first(), None
-    while now[0] and now != state:
-        state, old = now, edges
-        edges = save(_star(_star(edges, True, 2 * now[0]), False, 4 * now[0]))
-        discard(old)
+    edges, state = save(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()), None
+    while True:
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if not now[0] or now == state:
+            break
+        for large in (True, False):
+            edges, old = _star(edges, large), edges
+            discard(old)
+        state = now
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -15,6 +15,7 @@ SPAN = 8  # words that a text or item has at least
 WINDOW = 13  # words of the window that must agree around a hit (shorter items: the item)
 SHARE = 0.8
 BROADCAST_SEEDS = 500_000  # seeds of the benchmark that may be broadcast, at about 100 bytes
+BROADCAST_BYTES = 64 << 20  # of the texts of its items
 
 
 def words(text: Column) -> Column:
@@ -43,15 +44,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, broadcast_seeds: int = B
     One row for each contaminated pair. A pair is contaminated when, on a diagonal, some WINDOW consecutive words of the
     item (all, if it has fewer) agree with the text's in at least SHARE of them; places outside the text disagree. Such a diagonal always has a seed hit. matched is the largest
     number of agreeing words of the item on a diagonal, diagonals the number of such diagonals. Texts and items of fewer than SPAN words,
-    null or empty ones match nothing. Equal items are reported each; repeated doc_ids are one document, all of whose different texts are
+    null or empty ones match nothing. Equal items are reported each, rows of one item_id are one item for each text; repeated doc_ids are one document, all of whose different texts are
     read, and a diagonal counts once however many of them meet it; null ids match nothing. Other columns are dropped. Empty tables give no rows.
 
-    A benchmark of at most broadcast_seeds seeds is broadcast, and only hits leave the scan of the texts. A larger one is joined by a
-    shuffle of seeds, and the texts are read again for the verification.
+    A benchmark of at most broadcast_seeds seeds and BROADCAST_BYTES of words is broadcast, and only hits leave the scan of the texts. A
+    larger one is joined by a shuffle of seeds, and the texts are read again for the verification. Both give the same rows. A text of any
+    length is read whole.
     """
-    items = benchmark.where("item_id is not null").select(F.col("item_id").cast("long"), words(F.col("text")).alias("words"))
+    items = benchmark.where("item_id is not null").select(F.col("item_id").cast("long"), words(F.col("text")).alias("words")).where(F.size("words") >= SPAN).distinct()
     seeds = _seeded(items, "item_id").select("seed", "item_id", F.size("words").alias("item_words"), F.col("place").alias("item_place")).distinct()
-    small = seeds.limit(broadcast_seeds + 1).count() <= broadcast_seeds
+    length = items.agg(F.coalesce(F.sum(F.expr("aggregate(words, 0L, (n, w) -> n + octet_length(w) + 16)")), F.lit(0))).first()[0]
+    small = length <= BROADCAST_BYTES and seeds.limit(broadcast_seeds + 1).count() <= broadcast_seeds
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), words(F.col("text")).alias("words")).withColumn("wording", F.xxhash64("words"))
     shift = (F.col("place") - F.col("item_place")).alias("diagonal")
     line = F.slice("words", F.greatest(F.col("diagonal"), F.lit(0)) + 1, F.col("item_words") + F.least("diagonal", F.lit(0)))
@@ -63,6 +66,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, broadcast_seeds: int = B
     else:
         hits = _seeded(texts, "doc_id", "wording").drop("words").join(seeds, "seed").select(*pair[:3], shift, "wording").distinct()
         lines = hits.join(texts, ["doc_id", "wording"]).select(*pair, line.alias("line")).join(items.withColumnRenamed("words", "item"), "item_id")
+    lines = lines.where(F.size("item") == F.col("item_words"))  # of an item_id with several texts
     agree = F.expr("transform(item, (w, i) -> if(i + least(diagonal, 0) >= 0 and coalesce(get(line, i + least(diagonal, 0)) = w, false), 1, 0))")
     width = F.least(F.lit(WINDOW), F.col("item_words"))
     sums = lines.select(*pair, agree.alias("agree"), width.alias("width"))
@@ -73,5 +77,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, broadcast_seeds: int = B
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without contaminated documents. Columns stay as they are."""
+    """docs without contaminated documents. Columns stay as they are, and so do rows of a null doc_id; all rows of a contaminated doc_id go.
+    An empty table, or an empty benchmark, takes nothing away."""
     return docs.join(contaminated(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)

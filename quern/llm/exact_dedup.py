@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.scratch import save
-from quern.llm.skew import join_in_parts
+from quern.operators.skew import join_in_parts
 
 FAN_IN = 16
 RUNS = 256
@@ -61,17 +61,25 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     entries = rows.select(*key, F.pmod(F.xxhash64("doc_id"), F.lit(RUNS)).alias("run"), best.alias("best"), F.lit(1).cast("long").alias("size"))
     merged = save(tree_merge(entries, key))
     # the rows of a large group are cut into parts
-    joined = join_in_parts(rows.withColumn("entry", F.struct(*key)), merged.select(F.struct(*key).alias("entry"), "best", "size", F.col("size").alias("n")), "entry", rows.count())
+    joined = join_in_parts(rows.withColumn("entry", F.struct(*key)), merged.select(F.struct(*key).alias("entry"), "best", "size", F.col("size").alias("n")), "entry")
     kept = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("chars") == -F.col("best.chars"))
     return joined.select("doc_id", F.col("best.doc_id").alias("keep_id"), F.col("size").alias("group_size"), kept.alias("kept"), "text_sha256", "chars")
 
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
-    """docs with the row that stays of each group of equal texts. Columns stay as they are.
+    """docs with one row of each group of equal texts, the one that stays. Columns stay as they are, whatever their names.
 
-    Rows that agree in doc_id and original text are one document and stay or go together.
+    Null and empty texts are one group. Of rows that agree in doc_id and in length and normalised form of the text, one stays: which of
+    their other columns' values stay isn't defined. An empty table stays empty.
     """
-    stays = exact_duplicates(docs).where("kept").select(F.col("doc_id").alias("stays_id"), F.col("text_sha256").alias("stays_sha256"), F.col("chars").alias("stays_chars")).distinct()
-    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("stays_id")) & (F.sha2(_bare(text), 256) == F.col("stays_sha256")) & (F.length(text) == F.col("stays_chars"))
-    return docs.join(stays, same, "left_semi")
+    key = F.struct(F.col("doc_id").cast("long").alias("id"), F.col("text_sha256").alias("digest"), F.col("chars").cast("long").alias("chars"))
+    stays = save(exact_duplicates(docs).where("kept").groupBy(key.alias("_key")).agg(F.count("*").alias("_rows")))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    own = F.struct(F.col("doc_id").cast("long").alias("id"), F.sha2(_bare(text), 256).alias("digest"), F.length(text).cast("long").alias("chars"))
+    keyed = docs.withColumn("_key", own)
+    once = keyed.join(stays.where("_rows = 1"), "_key", "left_semi")
+    if not stays.where("_rows > 1").limit(1).count():
+        return once.select(docs.columns)
+    # rows of one key are brought down to one where they are, before any two of them meet
+    again = keyed.join(stays.where("_rows > 1"), "_key", "left_semi").groupBy("_key").agg(F.first(F.struct(*docs.columns)).alias("row"))
+    return once.select(docs.columns).unionByName(again.select("row.*"))

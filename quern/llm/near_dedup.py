@@ -24,9 +24,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.components import connected_components
-from quern.llm.scratch import bound_batches, save
-from quern.llm.skew import join_in_parts
+from quern.llm.scratch import bound_batches, discard, save
 from quern.llm.words import mix, word_hashes
+from quern.operators.skew import join_in_parts
 
 WORDS = 5
 BITS = 8
@@ -155,7 +155,7 @@ def verified_forest(ids: np.ndarray, sets: list[np.ndarray], percent: int, side:
     return found
 
 
-def _large_families(large: DataFrame, classes: DataFrame, compared: Callable[[DataFrame], DataFrame], total: int) -> DataFrame:
+def _large_families(large: DataFrame, classes: DataFrame, compared: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Links (a, b) of families of over FAMILY blocks: large has (node, component, n)."""
     zero = F.lit(0)
     dealt = large.select("node", "component", "n", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")).withColumn("block", F.pmod(F.xxhash64("node", F.lit(5)), "blocks").cast("int"))
@@ -169,7 +169,7 @@ def _large_families(large: DataFrame, classes: DataFrame, compared: Callable[[Da
     parts = named.groupBy("key", "part").agg(F.count("*").alias("size"))
     groups = parts.groupBy("key").agg(F.max_by("part", F.struct("size", "part")).alias("bulk"), F.sum("size").alias("n"), F.max("size").alias("most")).where("most < n")
     groups = save(groups.withColumn("rests", F.ceil((F.col("n") - F.col("most")) / BLOCK).cast("int")).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")))
-    members = save(join_in_parts(named, groups.drop("most"), "key", total))
+    members = save(join_in_parts(named, groups.drop("most"), "key"))
     place = lambda seed, n: F.pmod(F.xxhash64("class_id", F.lit(seed)), n).cast("int")
     each = lambda n: F.explode(F.sequence(zero, F.col(n) - 1))
     rest = members.where("part <> bulk").select(F.col("key").alias("one"), place(9, "rests").alias("two"), each("blocks").alias("three"), F.lit(1).alias("side"), "class_id")
@@ -199,11 +199,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     classes = save(some.groupBy("digest").agg(F.min(F.struct("doc_id", "bands")).alias("least")).select("digest", F.col("least.doc_id").alias("class_id"), F.col("least.bands").alias("bands")))
     bands = classes.select("class_id", F.explode("bands").alias("key"))
     least = F.min("class_id").alias("first")
-    shared = bands.groupBy("key").agg(least, F.max("class_id").alias("last"), F.count("*").alias("n")).where("first < last").select("key", "first", "n")
-    total = BANDS * classes.count()
-    families = save(connected_components(join_in_parts(bands, shared, "key", total).where("class_id <> first").select(F.col("class_id").alias("a"), F.col("first").alias("b")).distinct()))
-    sizes = families.groupBy("component").agg(F.count("*").alias("n"))
-    sized = save(join_in_parts(families, sizes.withColumn("size", F.col("n")), "component", total).withColumnRenamed("size", "n"))
+    shared = save(bands.groupBy("key").agg(least, F.max("class_id").alias("last"), F.count("*").alias("n")).where("first < last").select("key", "first", "n"))
+    families = save(connected_components(join_in_parts(bands, shared, "key").where("class_id <> first").select(F.col("class_id").alias("a"), F.col("first").alias("b")).distinct()))
+    discard(shared)
+    sizes = save(families.groupBy("component").agg(F.count("*").alias("n")).withColumn("size", F.col("n")))
+    sized = join_in_parts(families, sizes, "component").withColumnRenamed("size", "n")
 
     def sets_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -227,9 +227,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     pairs = mine.select("node", "component", "block", F.explode(F.sequence(zero, F.col("blocks") - 1)).alias("other"))
     side = F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2)
     links = compared(pairs.select(F.col("component").alias("one"), F.least("block", "other").alias("two"), F.greatest("block", "other").alias("three"), side.alias("side"), F.col("node").alias("class_id")))
-    large = sized.where(F.col("n") > FAMILY * BLOCK)
-    if large.limit(1).count():
-        links = links.unionByName(_large_families(large, classes, compared, total))
+    if sizes.where(F.col("n") > FAMILY * BLOCK).limit(1).count():
+        links = links.unionByName(_large_families(save(sized.where(F.col("n") > FAMILY * BLOCK)), classes, compared))
     # a doc_id with several texts ties their classes together
     several = some.groupBy("doc_id").agg(F.min("digest").alias("one"), F.max("digest").alias("other")).where("one <> other")
     ties = some.select("doc_id", "digest").join(several, "doc_id", "left_semi").join(classes.select("digest", "class_id"), "digest").select(F.col("doc_id").alias("a"), F.col("class_id").alias("b"))

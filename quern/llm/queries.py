@@ -147,27 +147,20 @@ WITH items AS (
   SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS words FROM benchmark WHERE item_id IS NOT NULL
 ), texts AS (
   SELECT row_number() OVER () AS line, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS words FROM documents WHERE doc_id IS NOT NULL
-), item_seeds AS (
-  SELECT item_id, words, place, unnest([concat_ws(' ', 1, words[place+1], words[place+2], words[place+3], words[place+5], words[place+6], words[place+8]),
-                                     concat_ws(' ', 2, words[place+1], words[place+2], words[place+4], words[place+5], words[place+7], words[place+8]),
-                                     concat_ws(' ', 3, words[place+1], words[place+3], words[place+4], words[place+6], words[place+7], words[place+8])]) AS seed
-  FROM (SELECT item_id, words, unnest(range(len(words) - 7)) AS place FROM items)
-), places AS (
-  SELECT line, place, lead(w, 0) OVER p AS w1, lead(w, 1) OVER p AS w2, lead(w, 2) OVER p AS w3, lead(w, 3) OVER p AS w4, lead(w, 4) OVER p AS w5,
-         lead(w, 5) OVER p AS w6, lead(w, 6) OVER p AS w7, lead(w, 7) OVER p AS w8
-  FROM (SELECT line, unnest(words) AS w, unnest(range(len(words))) AS place FROM texts) WINDOW p AS (PARTITION BY line ORDER BY place)
-), text_seeds AS (
-  SELECT line, place, unnest([concat_ws(' ', 1, w1, w2, w3, w5, w6, w8), concat_ws(' ', 2, w1, w2, w4, w5, w7, w8), concat_ws(' ', 3, w1, w3, w4, w6, w7, w8)]) AS seed
-  FROM places WHERE w8 IS NOT NULL
-), hits AS (
-  SELECT DISTINCT line, item_id, words AS item, t.place - i.place AS diagonal FROM text_seeds t JOIN item_seeds i USING (seed)
+), item_words AS (
+  SELECT item_id, words AS item, unnest(words) AS w, unnest(range(len(words))) AS place FROM items WHERE len(words) >= 8
+), text_words AS (
+  SELECT line, unnest(words) AS w, unnest(range(len(words))) AS place FROM texts WHERE len(words) >= 8
+), near AS (
+  -- the fewest words that may agree: 0.8 of 8
+  SELECT line, item_id, item, t.place - i.place AS diagonal FROM text_words t JOIN item_words i USING (w) GROUP BY ALL HAVING count(*) >= 7
 ), compared AS (
   SELECT doc_id, item_id, diagonal, len(item) AS item_words, least(13, len(item)) AS width,
          list_transform(range(len(item)), lambda k: CASE WHEN k + diagonal >= 0 AND texts.words[k + diagonal + 1] = item[k + 1] THEN 1 ELSE 0 END) AS agree
-  FROM hits JOIN texts USING (line)
+  FROM near JOIN texts USING (line)
 ), verified AS (
-  SELECT DISTINCT doc_id, item_id, item_words, diagonal, list_sum(agree) AS agreeing FROM compared
-  WHERE len(list_filter(range(item_words - width + 1), lambda b: list_sum(agree[b + 1:b + width]) >= 0.8 * width)) > 0
+  SELECT doc_id, item_id, item_words, diagonal, max(list_sum(agree)) AS agreeing FROM compared
+  WHERE len(list_filter(range(item_words - width + 1), lambda b: list_sum(agree[b + 1:b + width]) >= 0.8 * width)) > 0 GROUP BY ALL
 )
 SELECT doc_id, item_id, CAST(item_words AS BIGINT) AS item_words, CAST(max(agreeing) AS BIGINT) AS matched, count(*) AS diagonals
 FROM verified GROUP BY doc_id, item_id, item_words

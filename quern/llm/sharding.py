@@ -63,13 +63,14 @@ def shard(docs: DataFrame, shards: int = 16) -> DataFrame:
     """For docs (doc_id, text): doc_id, size, text_crc32, law ('bytes'), shard, slot, grown_shard (null).
 
     size is the UTF-8 bytes of the text (null: none) plus 1. Equal texts share a shard (null with empty ones); sizes of shards are as
-    near equal as the atoms allow. slot numbers a shard's rows from 0 without gaps, by atom, part and doc_id. Repeated rows get slots of
-    their own; a null doc_id comes first in its part. Other columns are dropped. An empty table gives no rows.
+    near equal as the atoms allow. slot numbers a shard's rows from 0 without gaps, by atom, part and doc_id; rows of a large atom are dealt
+    to its parts one by one, whatever their doc_id. Repeated rows get slots of their own; a null doc_id comes first in its part. Of a text of
+    any length only its size and checksums leave the scan. Other columns are dropped. An empty table gives no rows.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.shiftrightunsigned(F.xxhash64(text), 64 - ATOMS.bit_length() + 1).cast("int").alias("atom"))
-    rows = save(rows)
+    rows = save(rows.withColumn("row", F.monotonically_increasing_id()))  # written down, so the numbers stay
     counted = rows.groupBy("atom").agg(F.sum("size").alias("size"), F.count("*").alias("rows")).toPandas().sort_values("atom")  # at most ATOMS rows
     large = counted["size"] > LARGE * counted["size"].sum() / shards
     counted = pd.concat([counted[large].sort_values(["size", "atom"], ascending=[False, True]), counted[~large]])
@@ -77,12 +78,12 @@ def shard(docs: DataFrame, shards: int = 16) -> DataFrame:
     counted["shard"] = cut(counted["size"].to_numpy(dtype=np.int64), shards)
     counted["base"] = counted.groupby("shard")["rows"].cumsum() - counted["rows"]
     places = spark.createDataFrame(counted[["atom", "shard", "base", "parts"]].astype({"atom": "int32", "shard": "int32", "base": "int64", "parts": "int32"}), "atom int, shard int, base long, parts int") if len(counted) else spark.createDataFrame([], "atom int, shard int, base long, parts int")
-    placed = rows.join(F.broadcast(places), "atom").withColumn("part", F.pmod(F.xxhash64("doc_id"), "parts").cast("int"))
+    placed = rows.join(F.broadcast(places), "atom").withColumn("part", F.pmod(F.xxhash64("row"), "parts").cast("int"))
 
     hot = placed.where("parts > 1").groupBy("atom", "part").agg(F.count("*").alias("n")).toPandas()  # at most 2 * MOST_PARTS rows
     hot = hot.sort_values(["atom", "part"])
     hot["before"] = hot.groupby("atom")["n"].cumsum() - hot["n"]
     offsets = spark.createDataFrame(pd.DataFrame({"atom": hot["atom"].astype("int32"), "part": hot["part"].astype("int32"), "before": hot["before"].astype("int64")}), "atom int, part int, before long") if len(hot) else spark.createDataFrame([], "atom int, part int, before long")
-    number = F.row_number().over(W.Window.partitionBy("atom", "part").orderBy("doc_id", "size", "text_crc32")) - 1
+    number = F.row_number().over(W.Window.partitionBy("atom", "part").orderBy("doc_id", "row")) - 1
     out = placed.join(F.broadcast(offsets), ["atom", "part"], "left").withColumn("slot", (F.col("base") + F.coalesce("before", F.lit(0)) + number).cast("long"))
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

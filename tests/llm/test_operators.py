@@ -14,7 +14,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quern.llm import bpe, chat, components, decontaminate, exact_dedup, html_text, licenses, lm, near_dedup, quality, queries, sharding, skew
+from quern.llm import bpe, chat, components, decontaminate, exact_dedup, html_text, licenses, lm, near_dedup, quality, queries, sharding
+
+from quern.operators import skew
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, kept string, words string, seed string, component_id string, best string"
 
@@ -132,12 +134,8 @@ def test_near_duplicates_of_a_family_in_blocks(spark, empty, monkeypatch, block,
         assert near_dedup.keep_one_of_each(table(spark, texts), 85).columns == [c.split()[0] for c in DOCS.split(", ")]
 
 
-def test_hot_keys_are_cut_into_parts(spark, monkeypatch):
+def test_hubs_of_components_are_cut_into_parts(spark, monkeypatch):
     monkeypatch.setattr(skew, "HOT_ROWS", 10)
-    left = spark.range(500).selectExpr("if(id < 300, 0, id % 40) as k", "id as v").unionByName(spark.createDataFrame([(None, 1)], "k long, v long"))
-    right = left.where("k is not null").groupBy("k").agg(F.count("*").alias("n"), F.min("v").alias("m"))
-    got = skew.join_in_parts(left, right, "k", 501)
-    assert rows_of(got) == rows_of(left.join(right.drop("n"), "k"))
     edges = spark.range(1, 400).selectExpr("id as a", "0L as b").unionByName(spark.range(500, 560).selectExpr("id as a", "id + 1 as b"))
     found = {r.node: r.component for r in components.connected_components(edges).collect()}
     assert found == {i: 0 for i in range(400)} | {i: 500 for i in range(500, 561)}
@@ -413,7 +411,7 @@ def test_exact_duplicates_agree_with_sql(spark, data, awkward, empty):
     kept = exact_dedup.drop_exact_duplicates(docs)
     assert kept.columns == ["doc_id", "text"]
     bare = {re.sub(r"[\x20\x09-\x0D]", "", r.text or "") for r in docs.collect()}
-    assert len({(r.doc_id, r.text) for r in kept.collect()}) == len(bare)
+    assert len({(r.doc_id, r.text) for r in kept.collect()}) == len(bare) == kept.count()
     assert exact_dedup.exact_duplicates(empty).count() == 0
 
 
@@ -428,7 +426,7 @@ def test_shards_are_minimax(spark, data, awkward, empty, monkeypatch):
         assert (np.diff(shards) >= 0).all() and shards.max() < k
     monkeypatch.setattr(sharding, "HOT_ROWS", 7)
     docs = spark.read.parquet(f"{data}/sf0.01/documents.parquet").select("doc_id", "text").unionByName(table(spark, [(10_000 + i, "same text") for i in range(200)]).select("doc_id", "text"))
-    both = docs.unionByName(awkward.select("doc_id", "text"))
+    both = docs.unionByName(awkward.select("doc_id", "text")).unionByName(table(spark, [(None, "same text")] * 60 + [(20_000, "same text")] * 60).select("doc_id", "text"))
     got = sharding.shard(both).collect()
     text = {r.doc_id: r.text or "" for r in docs.collect()}
     assert len(got) == both.count()
@@ -460,9 +458,7 @@ def brute_contaminated(docs, items):
                 agree = [0 <= k + diagonal < len(d) and d[k + diagonal] == w[k] for k in range(len(w))]
                 size = min(13, len(w))
                 if any(sum(agree[b : b + size]) >= 0.8 * size for b in range(len(w) - size + 1)):
-                    hit = any(all(agree[b + k] for k, bit in enumerate(m) if bit == "1") and 0 <= b + diagonal <= len(d) - 8 for m in decontaminate.MASKS for b in range(len(w) - 7))
-                    if hit:
-                        out.add((i, j))
+                    out.add((i, j))
     return out
 
 
@@ -489,6 +485,15 @@ def test_decontamination_agrees_with_brute_force(spark, data, awkward, empty, se
     assert decontaminate.contaminated(docs, items.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("seeds", [decontaminate.BROADCAST_SEEDS, 0])
+def test_decontamination_with_several_texts_of_an_item(spark, seeds):
+    w = [f"w{i}" for i in range(30)]
+    items = spark.createDataFrame([(7, " ".join(w[:12])), (7, " ".join(w[12:])), (7, " ".join(w[:12])), (8, "too short"), (None, " ".join(w)), (9, None)], "item_id long, text string")
+    docs = table(spark, [(1, " ".join(["a", *w[:12]])), (2, " ".join(w[12:])), (3, " ".join(w)), (4, None), (None, " ".join(w)), (5, "too short")]).select("doc_id", "text")
+    assert rows_of(decontaminate.contaminated(docs, items, broadcast_seeds=seeds)) == [(1, 7, 12, 12, 1), (2, 7, 18, 18, 1), (3, 7, 12, 12, 1), (3, 7, 18, 18, 1)]
+    assert rows_of(decontaminate.drop_contaminated(docs, items)) == [(4, None), (5, "too short"), (None, " ".join(w))]
+
+
 @pytest.mark.parametrize("seeds", [decontaminate.BROADCAST_SEEDS, 0])
 def test_decontamination_reads_all_texts_of_an_id(spark, seeds):
     w = [f"w{i}" for i in range(20)]
@@ -496,7 +501,10 @@ def test_decontamination_reads_all_texts_of_an_id(spark, seeds):
     texts = [(1, seed_only), (1, whole), (2, whole), (2, seed_only), (3, whole), (3, whole), (4, seed_only), (5, whole), (5, f"{whole} y {whole}"), (6, " ".join(w[:19] + ["x"])), (6, whole)]
     items = spark.createDataFrame([(7, whole)], "item_id long, text string")
     for order in (texts, texts[::-1]):
-        got = decontaminate.contaminated(table(spark, order).select("doc_id", "text").coalesce(1), items, broadcast_seeds=seeds)
+        docs = table(spark, order).select("doc_id", "text").coalesce(1)
+        got = decontaminate.contaminated(docs, items, broadcast_seeds=seeds)
+        documents, benchmark = docs.toPandas(), items.toPandas()  # noqa: F841
+        assert rows_of(got) == sorted(duckdb.sql(queries.oracle_sql()["op9_contaminated"]).fetchall())
         assert rows_of(got) == [(1, 7, 20, 20, 1), (2, 7, 20, 20, 1), (3, 7, 20, 20, 1), (5, 7, 20, 20, 2), (6, 7, 20, 20, 1)]
 
 
@@ -681,4 +689,34 @@ def test_pipeline_stages_take_effect(spark, data):
         docs = out
         counts.append(len(after))
     assert counts == sorted(counts, reverse=True) and counts[-1] > 600
-    assert pipeline.run(spark, at).count() == counts[-1]
+    assert {r.doc_id for r in pipeline.run(spark, at).select("doc_id").collect()} == after
+
+
+def test_pipeline_stages_on_awkward_rows(spark, data, awkward, empty):
+    import corpus_pipeline as pipeline
+
+    at = f"{data}/sf0.001"
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{at}/benchmark.parquet").collect()]
+    more = table(spark, [(50, items[0][1]), (50, items[0][1]), (51, "x " + items[1][1] + " y"), (None, None), (None, None)])
+    docs = awkward.unionByName(more)
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    key = lambda t: tuple((x is None, x) for x in t)
+    out = {}
+    for name, stage in pipeline.STAGES:
+        out[name] = stage(spark, docs, at)
+        assert name == "bpe" or out[name].columns == docs.columns
+        none = stage(spark, empty, at)
+        assert none.count() == 0 and none.columns == out[name].columns
+    got = {name: sorted(((r.doc_id, r.text) for r in df.select("doc_id", "text").collect()), key=key) for name, df in out.items() if name != "bpe"}
+    score = {(r.doc_id, r.text): r.score for r in docs.select("doc_id", "text").withColumn("score", quality.fitted(docs, spark.read.parquet(f"{at}/labels.parquet"))(F.col("text").cast("binary"))).collect()}
+    assert got["quality"] == sorted((r for r in rows if score[r] >= 0.7), key=key)
+    bare, best = (lambda t: re.sub(r"[\x20\x09-\x0D]", "", t or "")), {}
+    for i, t in rows:
+        best[bare(t)] = min(best.get(bare(t), (1, True, 0, None)), (-len(t or ""), i is None, i or 0, t), key=lambda b: b[:3])
+    assert [(i, bare(t)) for i, t in got["exact_dedup"]] == sorted((((None if none else i), k) for k, (_, none, i, _) in best.items()), key=key)
+    least = brute_components(brute_sets(rows), 80)
+    assert got["near_dedup"] == sorted((r for r in rows if r[0] is None or least[r[0]] == r[0]), key=key)
+    bad = {i for i, _ in brute_contaminated([r for r in rows if r[0] is not None and len(r[1] or "") < 10_000], items)}
+    assert bad >= {50, 51} and got["decontamination"] == sorted((r for r in rows if r[0] not in bad), key=key)
+    assert sorted((r.doc_id, len(r.ids) // 4) for r in out["bpe"].collect() if r.doc_id is not None) == sorted((r.doc_id, r.n_tokens) for r in out["bpe"].collect() if r.doc_id is not None)
+    assert out["bpe"].count() == len(rows)
