@@ -1,4 +1,7 @@
-"""A corpus pipeline of five operators: each stage works on all that the one before it kept."""
+"""A corpus pipeline of five operators: each stage works on all that the one before it kept.
+
+Every stage but the last returns whole rows of its input, whatever other columns they have. Empty tables stay empty.
+"""
 
 from __future__ import annotations
 
@@ -14,23 +17,31 @@ from quern.llm.scratch import save
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that the classifier scores at 0.7 and more. Each row is judged by its own text: repeated rows share their fate, a null doc_id
+    makes no difference, and a null or empty text gets the neutral score. Without labels nothing passes (0.5)."""
     return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of texts that are equal without white space; null and empty texts are one group, and so are repeated rows."""
     return drop_exact_duplicates(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of texts of similarity 0.8 and more, the rows of its smallest doc_id. Texts without words, null ones included, and
+    rows of a null doc_id are linked with nothing and stay."""
     return keep_one_of_each(docs, percent=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows of documents without a benchmark passage. Null texts have none; rows of a null doc_id aren't looked into and stay."""
     return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe_round_trip(docs, tokenizer_path("word_bpe_49k.json"))
+    """doc_id, n_tokens, digests, and ids: the training data, as little-endian unsigned 32-bit integers. One row for each row; a null text
+    has no ids."""
+    return bpe_round_trip(docs, tokenizer_path("word_bpe_49k.json"), with_ids=True)
 
 
 STAGES = [("quality", quality), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("decontamination", decontamination), ("bpe", encode)]
