@@ -13,7 +13,10 @@ from quern.llm.scratch import discard, save
 from quern.operators.skew import join_in_parts
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+ROWS_A_TASK = 100_000  # rows of a table of a round, where it has that many; small tables are a few files
+
+
+def _star(edges: DataFrame, large: bool, tasks: int) -> DataFrame:
     """edges (a, b) with a > b. Large: every larger neighbour goes to the least of the neighbourhood. Small: every smaller one does.
 
     The least of each neighbourhood is written down, so that plans stay small and its join may look at the sizes first.
@@ -21,13 +24,13 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
     if large:
         both = both.unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    least = save(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"))
+    least = save(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n").coalesce(tasks))
     joined = join_in_parts(both, least, "u")
     if large:
         out = joined.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:
         out = joined.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
-    out = save(out.where("a > b").distinct())
+    out = save(out.where("a > b").distinct().coalesce(tasks))
     discard(least)
     return out
 
@@ -43,7 +46,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if not now[0] or now == state:
             break
         for large in (True, False):
-            edges, old = _star(edges, large), edges
+            edges, old = _star(edges, large, max(8, -(-now[0] // ROWS_A_TASK))), edges
             discard(old)
         state = now
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

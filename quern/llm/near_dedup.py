@@ -196,7 +196,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     base = save(docs.mapInPandas(sketches, "doc_id long, n_shingles long, digest binary, bands array<long>"))
     some = base.where("n_shingles > 0 and doc_id is not null")
     # one row of a class from each task, so that a class with a third of all rows isn't shuffled row by row
-    classes = save(some.groupBy("digest").agg(F.min(F.struct("doc_id", "bands")).alias("least")).select("digest", F.col("least.doc_id").alias("class_id"), F.col("least.bands").alias("bands")))
+    classes = save(some.groupBy("digest").agg(F.min(F.struct("doc_id", "bands")).alias("least"), F.count("*").alias("n")).select("digest", F.col("least.doc_id").alias("class_id"), F.col("least.bands").alias("bands"), "n"))
     bands = classes.select("class_id", F.explode("bands").alias("key"))
     least = F.min("class_id").alias("first")
     shared = save(bands.groupBy("key").agg(least, F.max("class_id").alias("last"), F.count("*").alias("n")).where("first < last").select("key", "first", "n"))
@@ -234,9 +234,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     ties = some.select("doc_id", "digest").join(several, "doc_id", "left_semi").join(classes.select("digest", "class_id"), "digest").select(F.col("doc_id").alias("a"), F.col("class_id").alias("b"))
     found = connected_components(links.unionByName(ties))
     one = found.groupBy("node").agg(F.min("component").alias("component"))
-    named = classes.join(one, classes["class_id"] == one["node"], "left").select("digest", F.coalesce("component", "class_id").alias("component_id"))
+    named = save(classes.join(one, classes["class_id"] == one["node"], "left").select("digest", F.coalesce("component", "class_id").alias("component_id"), "n"))
     alone = base.where("not (n_shingles > 0 and doc_id is not null)").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    rows = some.join(named, "digest").select("doc_id", "n_shingles", "component_id").unionByName(alone)
+    rows = join_in_parts(some.select("doc_id", "n_shingles", "digest"), named, "digest").select("doc_id", "n_shingles", "component_id").unionByName(alone)
     return rows.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
