@@ -671,7 +671,19 @@ def request_rate(spark, d):
     return evaluation.request_rate(table(spark, d, "events"), "user_id", "ts", 3600).select("event_id", "user_id", "recent")
 
 
-@query()
+_RECENT = "list_filter(w, lambda t: a.ts_us - t < 3600000000)"
+
+
+@query(f"""
+WITH RECURSIVE asked AS (SELECT event_id, user_id AS client, epoch_us(ts) AS ts_us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+walk AS (
+  SELECT event_id, client, ts_us, i, true AS accepted, [ts_us] AS w FROM asked WHERE i = 1
+  UNION ALL
+  SELECT a.event_id, a.client, a.ts_us, a.i, len({_RECENT}) < 3, CASE WHEN len({_RECENT}) < 3 THEN list_append({_RECENT}, a.ts_us) ELSE {_RECENT} END
+  FROM walk JOIN asked a ON a.client = walk.client AND a.i = walk.i + 1
+)
+SELECT event_id, client, ts_us, accepted FROM walk
+""")
 def rate_limit(spark, d):
     asked = table(spark, d, "events").select("event_id", F.col("user_id").alias("client"), F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"))
     return requests.rate_limit(asked, limit=3, seconds=3600)
