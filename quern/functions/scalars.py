@@ -133,7 +133,8 @@ def json_object(raw: Column, strict: bool = False) -> Column:
     bare = strip(text_of(raw))
     bare = F.when(F.startswith(bare, F.lit("```")), F.regexp_replace(strip(F.regexp_replace(bare, "^`+|`+$", "")), f"(?i)^json{SPACE}*", "")).otherwise(bare)
     inner = F.regexp_extract(bare, r"(?s)\{.*\}", 0)
-    parses = lambda c: F.startswith(c, F.lit("{")) & F.try_parse_json(c).isNotNull()
+    # one element of an array: a parser of the object alone would let anything follow it
+    parses = lambda c: F.startswith(c, F.lit("{")) & (F.coalesce(F.json_array_length(F.concat(F.lit("["), c, F.lit("]"))), F.lit(0)) == 1)
     found = F.when(parses(bare), bare).when(parses(inner), inner)
     return F.coalesce(found, F.raise_error(F.lit("no JSON object in the answer")).cast("string")) if strict else found
 
