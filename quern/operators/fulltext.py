@@ -42,7 +42,7 @@ class FullTextIndex:
             postings.repartitionByRange("term", id_col).sortWithinPartitions("term", id_col).write.parquet(f"{folder}/postings")
             stored = spark.read.parquet(f"{folder}/postings")
             lengths = stored.agg(F.count_distinct(id_col).alias("n"), F.sum(F.when(F.col("term").isNotNull(), F.col("tf"))).alias("words"))
-            lengths.select("n", (F.coalesce("words", F.lit(0)) / F.col("n")).alias("avgdl")).write.parquet(f"{folder}/lengths")
+            lengths.select("n", F.coalesce(F.try_divide(F.col("words").cast("double"), F.col("n")), F.lit(0.0)).alias("avgdl")).write.parquet(f"{folder}/lengths")
             stored.where("term is not null").groupBy("term").agg(F.count("*").alias("df")).repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{folder}/counts")
         return index
 
