@@ -26,7 +26,7 @@ def merge(stored: DataFrame, incoming: DataFrame, key: str = "chunk_id", order:
     comes twice is an error in the job, since it isn't known which row is the last."""
     by_key = W.Window.partitionBy(key)
     if order:
-        last = incoming.withColumn("_n", F.row_number().over(by_key.orderBy(F.desc(order)))).where("_n = 1").drop("_n", order)
+        last = incoming.withColumn("_n", F.row_number().over(by_key.orderBy(F.desc(order)))).where("_n = 1").drop("_n", *({order} - set(stored.columns)))
     else:
         twice = F.raise_error(F.concat(F.lit("no order says which row is the last of the key "), F.col(key).cast("string"))).cast("boolean")
         last = incoming.withColumn("_n", F.count("*").over(by_key)).where(F.when(F.col("_n") > 1, twice).otherwise(F.lit(True))).drop("_n")

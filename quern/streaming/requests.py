@@ -49,10 +49,11 @@ def rate_limit(requests: DataFrame, limit: int = 100, seconds: int = 60) -> Data
     return ordered.mapInPandas(run, SCHEMA)
 
 
-def rate_limit_stream(requests: DataFrame, limit: int = 100, seconds: int = 60, idle_seconds: int = 3600) -> DataFrame:
+def rate_limit_stream(requests: DataFrame, limit: int = 100, seconds: int = 60, idle_seconds: int | None = 3600) -> DataFrame:
     """The same on a stream: each client's window is its state; a micro-batch is decided in order of time.
 
-    The state of a client of whom nothing came for idle_seconds of the clock is dropped.
+    The state of a client of whom nothing came for idle_seconds of the clock is dropped, for which the query goes on with batches without
+    data. None: it is kept for ever.
     """
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: object) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -62,10 +63,11 @@ def rate_limit_stream(requests: DataFrame, limit: int = 100, seconds: int = 60,
         frame = pd.concat(list(frames)).sort_values(["ts_us", "event_id"])
         accepted = admit(frame["ts_us"].tolist(), window, limit, seconds)
         state.update((list(window),))
-        state.setTimeoutDuration(max(idle_seconds, seconds) * 1000)
+        if idle_seconds is not None:
+            state.setTimeoutDuration(max(idle_seconds, seconds) * 1000)
         yield frame[["event_id", "client", "ts_us"]].assign(accepted=accepted)
 
-    return requests.groupBy("client").applyInPandasWithState(run, SCHEMA, "times array<long>", "append", "ProcessingTimeTimeout")
+    return requests.groupBy("client").applyInPandasWithState(run, SCHEMA, "times array<long>", "append", "NoTimeout" if idle_seconds is None else "ProcessingTimeTimeout")
 
 
 def redeem_tickets(events: DataFrame, seconds: int = 60) -> DataFrame:

@@ -3,6 +3,7 @@
 import hashlib
 import json
 import re
+import time
 import uuid
 import zipfile
 from collections import deque
@@ -426,7 +427,7 @@ def test_rate_limit_in_batch_and_stream(spark, tmp_path):
     frame = spark.createDataFrame(rows, "event_id long, client long, ts_us long")
     want = sorted(tuple(r) for r in requests.rate_limit(frame, 3).collect())
     frame.coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = requests.rate_limit_stream(spark.readStream.schema(frame.schema).parquet(str(tmp_path / "in")), 3)
+    stream = requests.rate_limit_stream(spark.readStream.schema(frame.schema).parquet(str(tmp_path / "in")), 3, idle_seconds=None)
     q = stream.writeStream.format("memory").queryName("limited").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
     q.processAllAvailable()
     q.stop()
@@ -439,6 +440,23 @@ def test_exempt_requests_and_idle_clients(spark, tmp_path):
     assert [r.accepted for r in requests.rate_limit(frame, 2).orderBy("event_id").collect()] == [True, True, True, False]
 
 
+def test_state_of_idle_clients_ends(spark, tmp_path):
+    frame = spark.createDataFrame([(i, i % 3, i) for i in range(9)], "event_id long, client long, ts_us long")
+    frame.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = requests.rate_limit_stream(spark.readStream.schema(frame.schema).parquet(str(tmp_path / "in")), 3, seconds=1, idle_seconds=1)
+    q = stream.writeStream.format("memory").queryName("idle").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
+    try:
+        kept = []
+        for _ in range(60):  # such a query goes on with batches that have no data
+            time.sleep(0.5)
+            kept = [o["numRowsTotal"] for p in q.recentProgress for o in p["stateOperators"]]
+            if 3 in kept and kept[-1] == 0:
+                break
+        assert 3 in kept and kept[-1] == 0 and spark.table("idle").count() == 9
+    finally:
+        q.stop()
+
+
 def test_only_changes_are_written(spark, tmp_path):
     told = []
     spark.createDataFrame([("a", 1.0)], "phase string, seconds double").write.parquet(str(tmp_path / "in"))
