@@ -8,13 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quern.llm.bpe import bpe_round_trip
 from quern.llm.chat import format_chat
+from quern.llm.collocations import collocations
 from quern.llm.decontaminate import contaminated
 from quern.llm.exact_dedup import exact_duplicates
 from quern.llm.html_text import main_text
 from quern.llm.licenses import license_scan
 from quern.llm.lm import lm_score
 from quern.llm.near_dedup import near_duplicates
+from quern.llm.packing import pack_documents
 from quern.llm.quality import quality_scores
+from quern.llm.ranked import ranked_search
 from quern.llm.sharding import shard
 
 
@@ -72,8 +75,23 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(_table(spark, sf_dir, "pages"))
 
 
+def op11_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_bpe_round_trip, op2_near_duplicates, op3_license_scan, op4_lm_score, op5_chat_format, op6_quality_score, op7_exact_duplicates, op8_shards, op9_contaminated, op10_main_text]
+    found = [
+        op1_bpe_round_trip, op2_near_duplicates, op3_license_scan, op4_lm_score, op5_chat_format, op6_quality_score, op7_exact_duplicates, op8_shards, op9_contaminated, op10_main_text,
+        op11_pack_documents, op12_ranked_search, op13_collocations,
+    ]
     return {f.__name__: f for f in found}
 
 
@@ -166,6 +184,62 @@ SELECT doc_id, item_id, CAST(item_words AS BIGINT) AS item_words, CAST(max(agree
 FROM verified GROUP BY doc_id, item_id, item_words
 """
 
+_OP12 = r"""
+WITH texts AS (
+  SELECT row_number() OVER () AS line, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents
+), items AS (
+  SELECT row_number() OVER () AS item, item_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM benchmark
+), totals AS (
+  SELECT count(*) AS n_docs, CAST(sum(len(terms)) AS BIGINT) AS words FROM texts WHERE len(terms) > 0
+), asked AS (
+  SELECT item, term, count(*) AS repeats FROM (SELECT item, unnest(terms) AS term FROM items) GROUP BY ALL
+), postings AS (
+  SELECT line, doc_id, n, term, count(*) AS tf FROM (SELECT line, doc_id, len(terms) AS n, unnest(terms) AS term FROM texts)
+  WHERE term IN (SELECT term FROM asked) GROUP BY ALL
+), weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w FROM postings, totals GROUP BY term, n_docs
+), scored AS (
+  SELECT item, line, doc_id, CAST(sum(repeats * w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * n_docs) // words)))) AS BIGINT) AS score
+  FROM postings JOIN weights USING (term) JOIN asked USING (term), totals GROUP BY item, line, doc_id
+)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST) AS INT) AS rank, doc_id, score
+FROM scored JOIN items USING (item) WHERE score > 0 QUALIFY rank <= 20
+"""
+
+_OP13 = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), spoken AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM pieces
+), totals AS (
+  SELECT lang, CAST(sum(len(words)) AS BIGINT) AS n FROM spoken GROUP BY lang
+), phrases AS (
+  SELECT lang, words[i + 1:i + k] AS phrase, k, count(*) AS f FROM (
+    SELECT lang, words, k, unnest(range(len(words) - k + 1)) AS i FROM spoken, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(words) >= k
+  ) GROUP BY ALL
+), candidates AS (
+  SELECT lang, phrase, k, f AS a FROM phrases WHERE k > 1 AND f >= 30
+), inside AS (
+  SELECT lang, phrase[i + 1:i + size] AS phrase, max(a) AS most FROM (
+    SELECT lang, phrase, a, size, unnest(range(k - size + 1)) AS i FROM candidates, (SELECT unnest([2, 3]) AS size) WHERE size < k
+  ) GROUP BY ALL
+), cuts AS (
+  SELECT c.lang, c.phrase, a, p.f AS l, q.f AS r, cut, CAST((2000000::HUGEINT * a) // (p.f + q.f) AS BIGINT) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS cut FROM candidates) c JOIN phrases p ON p.lang = c.lang AND p.phrase = c.phrase[1:cut] JOIN phrases q ON q.lang = c.lang AND q.phrase = c.phrase[cut + 1:c.k]
+), scored AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+), named AS (
+  SELECT s.lang, array_to_string(s.phrase, ' ') AS phrase, a, l, r, n, score
+  FROM scored s LEFT JOIN inside i ON i.lang = s.lang AND i.phrase = s.phrase JOIN totals t ON t.lang = s.lang WHERE coalesce(100 * most < 80 * a, true)
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, n, score FROM named QUALIFY rank <= 2000
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_near_duplicates": _OP2, "op5_chat_format": _OP5, "op7_exact_duplicates": _OP7, "op9_contaminated": _OP9}
+    return {"op12_ranked_search": _OP12, "op13_collocations": _OP13, "op2_near_duplicates": _OP2, "op5_chat_format": _OP5, "op7_exact_duplicates": _OP7, "op9_contaminated": _OP9}
