@@ -28,10 +28,10 @@ LEAST = 30  # occurrences of a candidate
 LONGEST = 4  # words of a candidate
 ABSORBED = 80  # per cent of a phrase's occurrences that are inside one longer phrase
 REPORTED = 2000  # phrases of a language
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 6 << 20
 CONTAINER = 16  # places of a container
-ROOT_ENTRIES = 1 << 18  # containers of first words that are extended at once
-EXPANDED = 1 << 22  # pairs of containers that are ANDed at once
+ROOT_ENTRIES = 1 << 17  # containers of first words that are extended at once
+EXPANDED = 1 << 20  # pairs of containers that are ANDed at once
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _KIND = np.zeros(256, dtype=np.uint8)  # 0: in a word, 1: between words, 2: between pieces
@@ -147,6 +147,11 @@ def longer_counts(maps: Bitmaps, pairs: np.ndarray, longest: int = LONGEST) -> I
                 yield phrases, n
 
 
+def _narrow(n_words: int) -> str:
+    """The kind of number that a stream of so many different words is stored in."""
+    return "<i2" if n_words < 1 << 15 else "<i4"
+
+
 def _blocks(docs: DataFrame) -> DataFrame:
     """Blocks of docs (lang, text): lang, words (of all occurrences), stream, vocabulary and the occurrences of each of its words."""
 
@@ -202,17 +207,19 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, re
         for frame in frames:
             for block, stream, places, ids in zip(frame["block"], frame["stream"], frame["places"], frame["ids"], strict=True):
                 stream, places = np.frombuffer(stream, dtype="<i4"), np.asarray(places, dtype=np.int64)
-                number = np.full(max(int(stream.max(initial=-1)) + 2, 1), -1, dtype="<i4")
+                number = np.full(max(int(stream.max(initial=-1)) + 2, 1), -1, dtype=_narrow(len(places)))
                 number[places] = np.arange(len(places))
                 yield pd.DataFrame({"block": [block], "stream": [number[stream].tobytes()], "ids": [np.asarray(ids, dtype=np.int64)]})  # -1 takes the last, which is -1
 
     met = blocks.select("block", "stream").join(told, "block").select("block", "stream", F.col("known.place").alias("places"), F.col("known.id").alias("ids"))
     ready = save(met.mapInPandas(only_frequent, "block long, stream binary, ids array<long>"))
+    n = save(blocks.groupBy("lang").agg(F.sum("words").alias("n")))
+    discard(blocks)
 
     def pairs_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for block, stream, ids in zip(frame["block"], frame["stream"], frame["ids"], strict=True):
-                maps = Bitmaps(np.frombuffer(stream, dtype="<i4"))
+                maps = Bitmaps(np.frombuffer(stream, dtype=_narrow(len(ids))))
                 for key, n in pair_counts(maps):
                     yield pd.DataFrame({"block": block, "one": ids[key // maps.n_words], "two": ids[key % maps.n_words], "f": n})
 
@@ -222,25 +229,26 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, re
     phrases = pairs.groupBy("one", "two").agg(F.max("f").alias("f")).select(F.array("one", "two").alias("ids"), "f")
 
     if longest > 2:
+        columns = [f"w{k}" for k in range(longest)]  # -1 after a phrase's end
 
         def longer_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for frame in frames:
                 for stream, ids, one, two in zip(frame["stream"], frame["ids"], frame["ones"], frame["twos"], strict=True):
-                    maps, order = Bitmaps(np.frombuffer(stream, dtype="<i4")), np.argsort(ids, kind="stable")
+                    maps, order = Bitmaps(np.frombuffer(stream, dtype=_narrow(len(ids)))), np.argsort(ids, kind="stable")
                     number = lambda x: order[np.searchsorted(ids, np.asarray(x, dtype=np.int64), sorter=order)]  # noqa: B023, E731
-                    for found, n in longer_counts(maps, np.sort(number(one) * maps.n_words + number(two)), longest):
-                        yield pd.DataFrame({"ids": list(ids[found]), "f": n})
+                    for found, counts in longer_counts(maps, np.sort(number(one) * maps.n_words + number(two)), longest):
+                        yield pd.DataFrame({c: ids[found[:, k]] if k < found.shape[1] else np.int64(-1) for k, c in enumerate(columns)} | {"f": counts})
 
         back = pairs.groupBy("block").agg(F.collect_list(F.struct("one", "two")).alias("x")).select("block", F.col("x.one").alias("ones"), F.col("x.two").alias("twos"))
-        longer = ready.join(back, "block").select("stream", "ids", "ones", "twos").mapInPandas(longer_of, "ids array<long>, f long")
-        phrases = phrases.unionByName(longer.groupBy("ids").agg(F.sum("f").alias("f")).where(F.col("f") >= least))
+        longer = ready.join(back, "block").select("stream", "ids", "ones", "twos").mapInPandas(longer_of, ", ".join(f"{c} long" for c in columns) + ", f long")
+        longer = longer.groupBy(*columns).agg(F.sum("f").alias("f")).where(F.col("f") >= least)
+        phrases = phrases.unionByName(longer.select(F.filter(F.array(*columns), lambda x: x >= 0).alias("ids"), "f"))
     phrases = save(phrases)
     discard(ready)
     discard(pairs)
     best = _ranked(phrases, words, reported, absorbed)
-    n = blocks.groupBy("lang").agg(F.sum("words").alias("n"))
     out = save(best.join(n, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score"))
-    for done in (blocks, words, phrases):
+    for done in (n, words, phrases):
         discard(done)
     return out
 
