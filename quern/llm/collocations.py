@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from quern.llm.scratch import bound_batches, discard, save
+from quern.operators.listing import batch_number
 
 LEAST = 30  # occurrences of a candidate
 LONGEST = 4  # words of a candidate
@@ -200,7 +201,9 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, re
     lean = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("binary").alias("text"))
     blocks = save(_blocks(lean).withColumn("block", F.monotonically_increasing_id()))
     own = blocks.select("block", "lang", F.posexplode(F.arrays_zip("vocabulary", "counts")).alias("place", "x")).select("block", "lang", "place", F.col("x.vocabulary").alias("word"), F.col("x.counts").alias("f"))
-    words = save(own.groupBy("lang", "word").agg(F.sum("f").alias("f")).where(F.col("f") >= least).withColumn("id", F.monotonically_increasing_id()))
+    often = own.groupBy("lang", "word").agg(F.sum("f").alias("f")).where(F.col("f") >= least).withColumn("rarity", -F.col("f"))
+    # frequent words get small numbers, which take few bytes in an exchange
+    words = save(batch_number(save(often), "rarity").select("lang", "word", "f", F.col("place").cast("long").alias("id")))
     told = own.join(words.select("lang", "word", "id"), ["lang", "word"]).groupBy("block").agg(F.collect_list(F.struct("place", "id")).alias("known"))
 
     def only_frequent(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
