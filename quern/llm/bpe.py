@@ -15,6 +15,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 from quern.llm.scratch import bound_batches
 
 CACHE_WORDS = 400_000
+SLICE = 1_000_000  # characters that are looked at at once
 NO_RANK = np.int64(1 << 40)
 
 
@@ -33,9 +35,58 @@ def byte_symbols() -> list[str]:
 
 
 _PLACE = {c: b for b, c in enumerate(byte_symbols())}
+#: The expression of words that CLIP's tokenizers have; words() finds the same ones in arrays of characters. Fixed value.
+CLIP_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+SPACE, LETTER, NUMBER, OTHER = range(4)
+_COMMON = 0x2200  # all characters that aren't rare lie below, lowered ones too
 _RARE = re.compile("[^\x00-\u052f\u1e00-\u2052\u20a0-\u214f]").search
 
 
+@lru_cache(maxsize=1)
+def _kinds() -> np.ndarray:
+    kinds = np.full(_COMMON, OTHER, dtype=np.uint8)
+    for kind, expression in ((SPACE, r"\s"), (LETTER, r"\p{L}"), (NUMBER, r"\p{N}")):
+        kinds[[i for i in range(_COMMON) if regex.match(expression, chr(i))]] = kind
+    return kinds
+
+
+def words(text: str) -> tuple[pa.Array, np.ndarray] | None:
+    """What CLIP_WORDS finds in a lowered text, in UTF-8, and the place of the character where each begins; None if it has rare characters."""
+    chars = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
+    if len(chars) and chars.max() >= _COMMON:
+        return None
+    kind = np.concatenate((_kinds()[chars], np.zeros(3, dtype=np.uint8)))
+    before = np.concatenate((np.zeros(1, dtype=np.uint8), kind[:-1]))
+    begins = ((kind == LETTER) | (kind == OTHER)) & (kind != before) | (kind == NUMBER)
+    # an apostrophe that begins a run of other characters may open one of the contractions
+    mark = np.flatnonzero(begins[: len(chars)] & (chars == ord("'")))
+    one, two = (np.concatenate((chars, np.zeros(2, dtype=np.uint32)))[mark + k] for k in (1, 2))
+    is_ = lambda c, *of: np.isin(c, [ord(x) for x in of])
+    size = np.where(is_(one, "s", "t", "m", "d"), 1, np.where(is_(one, "r", "v") & is_(two, "e") | is_(one, "l") & is_(two, "l"), 2, 0))
+    mark, size = mark[size > 0], size[size > 0]
+    begins[mark + 1] = False
+    after = mark + size + 1
+    begins[after] |= kind[after] == LETTER
+    shown = np.flatnonzero(kind != SPACE)
+    first = np.flatnonzero(begins[shown])
+    own = chars[shown]
+    width = 1 + (own >= 0x80).astype(np.int64) + (own >= 0x800)
+    ends = np.concatenate(([0], np.cumsum(width)))
+    offsets = ends[np.append(first, len(shown))]
+    data = own.tobytes().decode("utf-32-le").encode()
+    return pa.Array.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(data)]), shown[first]
+
+
+def slices(text: str) -> list[str]:
+    """A text in parts of about SLICE characters, cut at spaces."""
+    out, at = [], 0
+    while at < len(text):
+        end = text.find(" ", at + SLICE)
+        out.append(text[at : end if end >= 0 else len(text)])
+        at = end if end >= 0 else len(text)
+    return out
+
+
 class Bpe:
     """A BPE tokenizer with word ends, read from a tokenizers JSON file. encode() and decode() agree with that library."""
 
@@ -49,6 +100,7 @@ class Bpe:
         self.tokens = [tokens.get(i, "").encode() for i in range(max(tokens) + 1)]
         self._check(spec)
         split = spec["pre_tokenizer"]["pretokenizers"][0]
+        self.clip = split["pattern"]["Regex"] == CLIP_WORDS
         self.find = regex.compile(split["pattern"]["Regex"]).findall
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split if self.special else lambda t: [t]
         symbols = byte_symbols()
@@ -59,7 +111,7 @@ class Bpe:
         made = np.array([vocab[a + b] for a, b in pairs], dtype=np.int64)
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks, self.made = keys[order], order.astype(np.int64), made[order]
-        self.cache: dict[str, bytes] = {}
+        self.cache: dict[bytes, bytes] = {}
         self.library = None
         self.path = path
 
@@ -76,15 +128,15 @@ class Bpe:
         if model["type"] != "BPE" or model.get("dropout") or model.get("continuing_subword_prefix") or model.get("byte_fallback") or spec.get("decoder") or not plain:
             raise ValueError("only plain BPE without a decoder can be read")
 
-    def merge(self, words: list[bytes]) -> list[np.ndarray]:
-        """Ids of each non-empty word, given in UTF-8."""
+    def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all non-empty words, given in UTF-8, one word after the other, and where each word's ids end."""
         lengths = np.array([len(w) for w in words], dtype=np.int64)
         data = np.frombuffer(b"".join(words), dtype=np.uint8)
         symbols = self.inner[data]
         last = np.cumsum(lengths) - 1
         symbols[last] = self.final[data[last]]
         owner = np.repeat(np.arange(len(words)), lengths)
-        done: list[np.ndarray | None] = [None] * len(words)
+        done, whose = [symbols[:0]], [owner[:0]]
         while len(owner):
             same = owner[:-1] == owner[1:]
             keys = symbols[:-1] << 32 | symbols[1:]
@@ -95,9 +147,9 @@ class Bpe:
             first = np.flatnonzero(np.concatenate(([True], ~same)))
             best = np.minimum.reduceat(ranks, first)
             sizes = np.diff(np.append(first, len(owner)))
-            over = best == NO_RANK
-            for i in np.flatnonzero(over):
-                done[owner[first[i]]] = symbols[first[i] : first[i] + sizes[i]]
+            over = np.repeat(best == NO_RANK, sizes)
+            done.append(symbols[over])
+            whose.append(owner[over])
             hit = (ranks == np.repeat(best, sizes)) & (ranks < NO_RANK)
             # where equal symbols follow each other, every second of a row of overlapping pairs merges
             place = np.arange(len(hit))
@@ -106,48 +158,92 @@ class Bpe:
             where = np.flatnonzero(hit)
             symbols = symbols.copy()
             symbols[where] = self.made[at[where]]
-            keep = ~np.repeat(over, sizes)
+            keep = ~over
             keep[where + 1] = False
             symbols, owner = symbols[keep], owner[keep]
-        return done
+        word = np.concatenate(whose)
+        return np.concatenate(done)[np.argsort(word, kind="stable")], np.cumsum(np.bincount(word, minlength=len(words)))
+
+    @staticmethod
+    def normal(text: str) -> str | None:
+        """The text as the library normalises it, but for white space; None if it has rare characters."""
+        if _RARE(text) is not None:
+            return None
+        text = text if unicodedata.is_normalized("NFC", text) else unicodedata.normalize("NFC", text)
+        return text.replace("Σ", "σ").lower()  # single characters are lowered: the library knows no final sigma
 
-    def split(self, text: str) -> list[str]:
-        """The words of a text without special strings, normalised."""
-        if _RARE(text) is None:
-            text = text if unicodedata.is_normalized("NFC", text) else unicodedata.normalize("NFC", text)
-            return self.find(text.replace("Σ", "σ").lower())  # single characters are lowered: the library knows no final sigma
+    def split(self, text: str) -> list[bytes]:
+        """The words of a text without special strings, normalised, in UTF-8."""
+        normal = self.normal(text)
+        if normal is not None:
+            return [w.encode() for w in self.find(normal)]
         # Unicode versions differ on letters of later scripts: the library's own tables decide
         if self.library is None:
             from tokenizers import Tokenizer
 
             self.library = Tokenizer.from_file(self.path)
         found = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
-        return [bytes(map(_PLACE.__getitem__, w)).decode() for w, _ in found]
+        return [bytes(map(_PLACE.__getitem__, w)) for w, _ in found]
 
-    def _fill(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.cache]
-        if len(self.cache) + len(new) > CACHE_WORDS:
-            self.cache.clear()
-            new = list(words)
+    def _fill(self, words: set[bytes]) -> None:
+        new = list(words - self.cache.keys())
+        if len(self.cache) + len(new) > CACHE_WORDS:  # what is asked for now stays
+            self.cache = {w: self.cache[w] for w in words & self.cache.keys()}
         for at in range(0, len(new), 50_000):
             part = new[at : at + 50_000]
-            for w, ids in zip(part, self.merge([w.encode() for w in part]), strict=True):
-                self.cache[w] = ids.astype("<u4").tobytes()
+            ids, ends = self.merge(part)
+            data, begin = ids.astype("<u4").tobytes(), 0
+            for w, end in zip(part, (4 * ends).tolist(), strict=True):
+                self.cache[w] = data[begin:end]
+                begin = end
+
+    def _encode_common(self, texts: list[str]) -> list[bytes] | None:
+        """Ids of normal texts, by arrays of all their characters; None if one of them has rare characters."""
+        found = words("\n".join(texts))
+        if found is None:
+            return None
+        coded, place = found[0].dictionary_encode(), found[1]
+        known = coded.dictionary.to_pylist()
+        self._fill(set(known))
+        each = [self.cache[w] for w in known]
+        sizes = np.fromiter(map(len, each), dtype=np.int64, count=len(each)) // 4
+        begins, ids = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(each), dtype="<u4")
+        word = coded.indices.to_numpy().astype(np.int64)
+        counts = sizes[word]
+        ends = np.cumsum(counts)
+        flat = ids[np.repeat(begins[word] - (ends - counts), counts) + np.arange(int(counts.sum()))]
+        edges = np.searchsorted(place, np.cumsum([len(t) + 1 for t in texts]))
+        upto = np.concatenate(([0], ends))[edges]
+        return [flat[a:b].tobytes() for a, b in zip([0, *upto[:-1].tolist()], upto.tolist(), strict=True)]
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; None counts as empty. Special strings in a text get their ids."""
-        split: list[list] = []
-        for text in texts:
-            pieces: list = []
-            for part in self.cut(text) if text and any(s in text for s in self.special) else [text or ""]:
-                if part in self.special:
-                    pieces.append(self.special[part])
-                elif part:
-                    pieces.append(self.split(part))
-            split.append(pieces)
-        self._fill({w for pieces in split for p in pieces if isinstance(p, list) for w in p})
+        out, common = [b""] * len(texts), [[]]
+        split: dict[int, list] = {}
+        held = 0
+        for i, text in enumerate(texts):
+            special = bool(text) and any(s in text for s in self.special)
+            normal = self.normal(text) if text and self.clip and not special else None
+            for part in [] if normal is None else slices(normal):
+                if held and held + len(part) > SLICE:
+                    common.append([])
+                    held = 0
+                common[-1].append((i, part))
+                held += len(part)
+            if text and normal is None:
+                split[i] = [self.special[p] if p in self.special else self.split(p) for p in (self.cut(text) if special else [text]) if p]
+        for group in common:
+            ids = self._encode_common([t for _, t in group]) if group else []
+            for k, (i, part) in enumerate(group):
+                if ids is not None:
+                    out[i] += ids[k]
+                else:
+                    split.setdefault(i, []).append([w.encode() for w in self.find(part)])
+        self._fill({w for pieces in split.values() for p in pieces if isinstance(p, list) for w in p})
         get = self.cache.__getitem__
-        return [b"".join([x for p in pieces for x in ([np.array([p], dtype="<u4").tobytes()] if isinstance(p, int) else map(get, p))]) for pieces in split]
+        for i, pieces in split.items():
+            out[i] += b"".join([np.array([p], dtype="<u4").tobytes() if isinstance(p, int) else b"".join(map(get, p)) for p in pieces])
+        return out
 
     def decode(self, ids: bytes) -> bytes:
         """The text of ids, in UTF-8: their tokens, joined by a space (the vocabulary file names no decoder)."""

@@ -64,6 +64,21 @@ def test_bpe_agrees_with_the_library(spark, data, awkward, empty):
     assert bpe.bpe_round_trip(empty, path).count() == 0
 
 
+@pytest.mark.parametrize("cut", [7, bpe.SLICE])
+def test_bpe_words_in_arrays_agree_with_the_library(monkeypatch, cut):
+    """Contractions, runs of marks, cased and combining letters, numbers of all kinds; rare letters beside; parts of few characters."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(bpe, "SLICE", cut)
+    path = queries.tokenizer_path("word_bpe_49k.json")
+    library, own, rng = Tokenizer.from_file(path), bpe.load(path), random.Random(4)
+    letters = "aAbs sStTmMdDlLrReEvV''''  \t\n--.1²½éÉΣσİ\u0301’x"
+    batches = [["".join(rng.choice(letters + "日" * (k == 2)) for _ in range(rng.randrange(45))) for k in range(3)] for _ in range(1500)]
+    for texts in [*batches, [f"a{chr(c)}b '{chr(c)}" for c in range(0x2200)]]:
+        for text, ids in zip(texts, own.encode_batch(texts), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
 def brute_sets(docs):
     out = {}
     for i, text in docs:
