@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import window as W
 
 from quern.functions import scalars as S
 from quern.operators import chunking, evaluation, fulltext, listing, projection, retrieval
 from quern.sources import shared
-from quern.sources.store import merge
+from quern.sources.buckets import BucketedTable
 from quern.streaming import requests
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -707,11 +709,16 @@ def redeem_tickets(spark, d):
 
 @query("SELECT event_id, CASE WHEN event_id % 4 = 0 THEN value + 1 ELSE value END AS value FROM events UNION ALL SELECT event_id + 10000000, value + 1 FROM events WHERE event_id % 4 = 0")
 def upsert_merge(spark, d):
+    """A stored table of the events, a quarter of whose rows are replaced and added to; older rows of the same keys come along."""
     stored = table(spark, d, "events").select("event_id", "value")
     changed = stored.where("event_id % 4 = 0").withColumn("value", F.col("value") + 1)
     more = changed.withColumn("event_id", F.col("event_id") + 10_000_000)
     older = changed.withColumn("value", F.lit(-1.0)).withColumn("written", F.lit(0))
-    return merge(stored, changed.unionByName(more).withColumn("written", F.lit(1)).unionByName(older), "event_id", "written")
+    kept = BucketedTable(spark, f"{shared.shared_dir(spark)}/upsert-{uuid.uuid4().hex}", T.StructType([stored.schema[c] for c in ("event_id", "value")]), "event_id")
+    shared.delete_at_end(spark, kept.folder)
+    kept.upsert(stored)
+    kept.upsert(changed.unionByName(more).withColumn("written", F.lit(1)).unionByName(older), "written")
+    return kept.read()
 
 
 @query("SELECT vec_id, CAST((row_number() OVER (ORDER BY vec_id) - 1) // 32 AS INT) AS batch FROM embeddings")

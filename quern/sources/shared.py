@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -39,13 +40,36 @@ def delete(spark: SparkSession, path: str) -> None:
     files.delete(target, True)
 
 
+def delete_at_end(spark: SparkSession, path: str) -> None:
+    """Delete a folder when the driver's file system closes."""
+    files, target = _at(spark, path)
+    files.deleteOnExit(target)
+
+
 def names_in(spark: SparkSession, path: str) -> list[str]:
     """Names of a folder's entries, in order; none if it isn't there. For folders with a few entries."""
     files, target = _at(spark, path)
     return sorted(f.getPath().getName() for f in files.listStatus(target)) if files.exists(target) else []
 
 
-def make_empty(spark: SparkSession, path: str) -> None:
-    """An empty file, which may not be there yet."""
+def write_new(spark: SparkSession, path: str, text: str) -> bool:
+    """A small file that may not be there yet; False if it is. Of several writers of one path, one gets True."""
+    files, target = _at(spark, path)
+    try:
+        out = files.create(target, False)
+    except Py4JJavaError as e:
+        if files.exists(target):
+            return False
+        raise e
+    out.write(bytearray(text.encode()))
+    out.close()
+    return True
+
+
+def read_text(spark: SparkSession, path: str) -> str:
     files, target = _at(spark, path)
-    files.create(target, False).close()
+    stream = files.open(target)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()

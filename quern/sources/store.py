@@ -1,4 +1,4 @@
-"""The chunk table on disk: versioned Parquet directories, an idempotent upsert, export and import."""
+"""The chunk table on disk: an idempotent upsert that rewrites what it touches, export and import."""
 
 from __future__ import annotations
 
@@ -11,71 +11,38 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import window as W
 
 from quern.operators.listing import batch_number
 from quern.schema import CHUNK_SCHEMA
 from quern.sources import shared
+from quern.sources.buckets import BucketedTable, merge
 from quern.sources.models import embed
 
+__all__ = ["ChunkStore", "import_archive", "merge", "validate_members"]
 MAX_MEMBERS, MAX_BYTES = 10_000, 10 << 30
 
 
-def merge(stored: DataFrame, incoming: DataFrame, key: str = "chunk_id", order: str | None = None) -> DataFrame:
-    """Matched keys take the incoming row, others are added. Within incoming the last row by `order` wins; without an order a key that
-    comes twice is an error in the job, since it isn't known which row is the last."""
-    by_key = W.Window.partitionBy(key)
-    if order:
-        last = incoming.withColumn("_n", F.row_number().over(by_key.orderBy(F.desc(order)))).where("_n = 1").drop("_n", *({order} - set(stored.columns)))
-    else:
-        twice = F.raise_error(F.concat(F.lit("no order says which row is the last of the key "), F.col(key).cast("string"))).cast("boolean")
-        last = incoming.withColumn("_n", F.count("*").over(by_key)).where(F.when(F.col("_n") > 1, twice).otherwise(F.lit(True))).drop("_n")
-    return stored.join(last.select(key), key, "left_anti").unionByName(last)
-
-
 class ChunkStore:
-    """One chunk table under a folder that driver and executors share.
+    """One chunk table under a folder that driver and executors share: a bucketed table by chunk_id, which checks the vectors' length.
 
-    Each write makes a new version beside the others, and then an empty file that names it: the last of these names is the version that
-    readers see, so a failed write changes nothing. The version before stays until the next write, for those who still read it.
+    Each write makes a new version; the one before stays until the next write, for those who still read it.
     """
 
     def __init__(self, spark: SparkSession, folder: str, dimension: int):
         self.spark, self.folder, self.dimension = spark, folder, dimension
-
-    def versions(self) -> list[str]:
-        return [n.removesuffix(".done") for n in shared.names_in(self.spark, self.folder) if n.endswith(".done")]
-
-    def _current(self) -> str | None:
-        done = self.versions()
-        return f"{self.folder}/{done[-1]}" if done else None
+        self.table = BucketedTable(spark, folder, CHUNK_SCHEMA, "chunk_id")
 
     def read(self) -> DataFrame:
-        path = self._current()
-        return self.spark.read.schema(CHUNK_SCHEMA).parquet(path) if path else self.spark.createDataFrame([], CHUNK_SCHEMA)
+        return self.table.read()
 
     def count(self) -> int:
-        return self.read().count()
+        return self.table.count()
 
     def upsert(self, chunks: DataFrame, order: str | None = None) -> int:
         """Returns the number of input rows. A vector of another length fails the job before the table changes. The input is run once."""
         size = F.size("vector")
         checked = chunks.withColumn("vector", F.when(size == self.dimension, F.col("vector")).otherwise(F.raise_error(F.lit("vector length differs from the table's")).cast("array<float>")))
-        done = self.versions()
-        name = f"v{int(done[-1][1:9]) + 1 if done else 1:08d}-{uuid.uuid4().hex}"
-        staged = f"{self.folder}/incoming-{name}"
-        try:
-            checked.write.parquet(staged)
-            incoming = self.spark.read.schema(checked.schema).parquet(staged)
-            merge(self.read(), incoming, order=order).select(CHUNK_SCHEMA.fieldNames()).write.parquet(f"{self.folder}/{name}")
-            n = incoming.count()
-        finally:
-            shared.delete(self.spark, staged)
-        shared.make_empty(self.spark, f"{self.folder}/{name}.done")
-        for old in done[:-1]:
-            shared.delete(self.spark, f"{self.folder}/{old}.done")
-            shared.delete(self.spark, f"{self.folder}/{old}")
-        return n
+        return self.table.upsert(checked, order)
 
     def upsert_in_batches(self, chunks: DataFrame, load: Callable[[], Callable], order: str, size: int = 32, upto: Callable[[int], None] | None = None, batches: int = 1000) -> int:
         """Embed and upsert chunks (without vectors) in batches of size rows by order, a number of batches at a time.
@@ -96,10 +63,10 @@ class ChunkStore:
         """A ZIP of the table and its metadata, for a table on the driver's own disk."""
         with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
             z.writestr("metadata.json", json.dumps({"format": "quern-1", "embeddingModel": model, "dimension": self.dimension}))
-            current = self._current()
-            for name in sorted(os.listdir(current)) if current else []:
-                if name.endswith(".parquet"):
-                    z.write(f"{current}/{name}", f"chunks.parquet/{name}")
+            for file in self.table.files():
+                at = f"{self.folder}/data/{file.written}/bucket={file.bucket}"
+                for name in sorted(n for n in os.listdir(at) if n.endswith(".parquet")):
+                    z.write(f"{at}/{name}", f"chunks.parquet/{file.bucket}-{name}")
 
 
 def validate_members(archive: zipfile.ZipFile) -> None:
@@ -130,20 +97,20 @@ def import_archive(spark: SparkSession, path: str, folder: str) -> dict:
             raise ValueError("archive has no chunk table")
         stage = f"{folder}.stage-{uuid.uuid4().hex}"
         try:
-            os.makedirs(f"{stage}/v00000001-import")
+            os.makedirs(f"{stage}/unpacked")
             for n in tables:
-                with z.open(n) as src, open(f"{stage}/v00000001-import/{os.path.basename(n)}", "wb") as dst:
+                with z.open(n) as src, open(f"{stage}/unpacked/{os.path.basename(n)}", "wb") as dst:
                     shutil.copyfileobj(src, dst)
             meta = json.loads(z.read(f"{wrap}metadata.json")) if f"{wrap}metadata.json" in names else {"format": "imported", "embeddingModel": "unknown"}
-            table = spark.read.parquet(f"{stage}/v00000001-import")
+            table = spark.read.parquet(f"{stage}/unpacked")
             if "vector" not in table.columns:
                 raise ValueError("chunk table has no vectors")
             first = table.select(F.size("vector").alias("d")).where("d > 0").first()
             dimension = first.d if first else meta.get("dimension", 0)
             if not dimension or meta.setdefault("dimension", dimension) != dimension:
                 raise ValueError("dimension differs from the metadata's")
-            with open(f"{stage}/v00000001-import.done", "w", encoding="utf-8"):
-                pass
+            ChunkStore(spark, stage, dimension).upsert(table)
+            shutil.rmtree(f"{stage}/unpacked")
             os.replace(stage, folder)
         finally:
             shutil.rmtree(stage, ignore_errors=True)
