@@ -1,18 +1,34 @@
-"""A stored full-text index: postings, document counts and lengths as Parquet tables in a shared folder.
+"""A stored full-text index in segments, with postings in blocks that say how much they can add to a score.
 
-Postings lie in order of the term, so a query's terms reach the scan as a filter on row groups. A term of a third of all rows is spread
-over many files by the id. An index belongs to one snapshot of its table; another snapshot gets another one.
+A segment is written once: the documents that were new or had changed, with their terms, and their postings. What it replaces in earlier
+segments is listed in it as dead, and its counts are net of that, so that sums over all segments are those of a fresh index. When segments
+get many, the smaller ones are merged, without their dead documents and without reading a text.
+
+A block holds the postings of a term for about BLOCK documents of like length; which these are follows from the document's length and a hash
+of its id, so that blocks of one number have the same documents for every term. Each says its largest count and its least length, which
+bound what it adds. A search adds up the bounds of each block, scores the blocks of the largest sums exactly, and then reads only those
+blocks whose bounds reach the k-th score found there. Postings lie in order of term and block, so both reach the scan as filters.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
-from quern.operators.retrieval import BROADCAST_TERMS, asked_terms, ranked, terms
+from quern.operators.retrieval import B, BROADCAST_TERMS, K1, asked_terms, terms
+from quern.operators.skew import join_in_parts
 from quern.sources import shared
+from quern.sources.shared import settled
+from quern.sources.versions import ATTEMPTS, Conflict, Versions
 
-PUSHED_TERMS = 1000  # query terms that are written into the filter of the scan
+PUSHED_TERMS = 1000  # query terms, and blocks, that are written into the filter of the scan
+BLOCK = 128  # documents
+MOST_SEGMENTS = 8
+HALF = 1e-4  # scores have four digits
 
 
 def snapshot_key(table: DataFrame) -> str:
@@ -22,48 +38,188 @@ def snapshot_key(table: DataFrame) -> str:
     return f"{n}-{int(digest) & (1 << 64) - 1:016x}"
 
 
+def _addition(idf: Column, tf: Column, dl: Column, avgdl: Column) -> Column:
+    """What a term adds to a score; it grows with tf and falls with dl."""
+    return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
+
+
 class FullTextIndex:
+    """An index of documents whose ids are distinct, under a folder that driver and executors share."""
+
     def __init__(self, spark: SparkSession, folder: str, id_col: str = "chunk_id"):
         self.spark, self.folder, self.id_col = spark, folder, id_col
+        self.log = Versions(spark, folder, "segment string, documents long, dead long")
 
     @classmethod
     def build(cls, table: DataFrame, folder: str, id_col: str = "chunk_id", text_col: str = "text", replace: bool = False) -> FullTextIndex:
-        """The index of a table in a folder; nothing is done if it is there already, unless replace says so. Texts are read once."""
-        spark = table.sparkSession
-        index = cls(spark, folder, id_col)
-        if replace:
-            shared.delete(spark, folder)
-        if not shared.exists(spark, f"{folder}/counts/_SUCCESS"):
-            shared.delete(spark, folder)
-            docs = table.select(F.col(id_col), terms(F.col(text_col)).alias("terms")).withColumn("dl", F.size("terms"))
-            # documents without a term count among the lengths: they are postings of a null term
-            tokens = docs.select(id_col, "dl", F.explode_outer("terms").alias("term"))
-            postings = tokens.groupBy("term", id_col, "dl").agg(F.count("*").cast("int").alias("tf"))
-            postings.repartitionByRange("term", id_col).sortWithinPartitions("term", id_col).write.parquet(f"{folder}/postings")
-            stored = spark.read.parquet(f"{folder}/postings")
-            lengths = stored.agg(F.count_distinct(id_col).alias("n"), F.sum(F.when(F.col("term").isNotNull(), F.col("tf"))).alias("words"))
-            lengths.select("n", F.coalesce(F.try_divide(F.col("words").cast("double"), F.col("n")), F.lit(0.0)).alias("avgdl")).write.parquet(f"{folder}/lengths")
-            stored.where("term is not null").groupBy("term").agg(F.count("*").alias("df")).repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{folder}/counts")
+        """The index of a table in a folder; nothing is done if it is there already, unless replace says so. Texts are read once. Of two
+        builders one wins, and both get its index."""
+        index = cls(table.sparkSession, folder, id_col)
+        if replace or not index.log.last():
+            number = index.log.last()
+            made = index._write(lambda at: index._documents(table, text_col).write.parquet(f"{at}/documents"), None)
+            if not index.log.publish(number + 1, [made], "", made.segment):
+                shared.delete(index.spark, f"{folder}/segments/{made.segment}")
+            elif number:
+                index.log.forget(number - 1, lambda r: f"segments/{r.segment}")
         return index
 
+    def refresh(self, table: DataFrame, text_col: str = "text") -> int:
+        """Make the index that of the table as it is now; the number of documents that were tokenised: new ones and changed ones."""
+        for _ in range(ATTEMPTS):
+            number = self.log.last()
+            live = self._live("documents", "id", "digest", "dl")
+            now = table.select(F.col(self.id_col).alias("id"), F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("now"))
+            moved = settled(live.join(now, "id", "full_outer").where(~F.col("digest").eqNullSafe(F.col("now"))))
+            fresh, gone = moved.where("now is not null").select(F.col("id").alias(self.id_col)), moved.where("digest is not null").select("id", "segment")
+            if not moved.limit(1).count():
+                return 0
+            changed = table.join(fresh, self.id_col, "left_semi")
+            made = self._write(lambda at: self._documents(changed, text_col).write.parquet(f"{at}/documents"), gone)
+            if self.log.publish(number + 1, [*self._segments(), made], "", made.segment):
+                self.log.forget(number - 1, lambda r: f"segments/{r.segment}")
+                self._merge_small()
+                return made.documents
+            shared.delete(self.spark, f"{self.folder}/segments/{made.segment}")
+        raise Conflict(f"{ATTEMPTS} other writers came first")
+
+    def _segments(self) -> list[Row]:
+        return self.log.read(self.log.last())[0]
+
+    def _part(self, kind: str, segments: list[Row] | None = None) -> DataFrame | None:
+        """A table of all segments, with the segment's name; None without segments."""
+        out = None
+        for s in self._segments() if segments is None else segments:
+            own = self.spark.read.parquet(f"{self.folder}/segments/{s.segment}/{kind}").withColumn("segment", F.lit(s.segment))
+            out = own if out is None else out.unionByName(own)
+        return out
+
+    def _dead(self, segments: list[Row] | None = None) -> DataFrame | None:
+        """(id, segment) of documents that a later segment replaced or removed; None if there are none."""
+        with_dead = [s for s in (self._segments() if segments is None else segments) if s.dead]
+        return self._part("dead", with_dead).select("id", F.col("of").alias("segment")) if with_dead else None
+
+    def _live(self, kind: str, *columns: str) -> DataFrame:
+        rows, dead = self._part(kind).select(*columns, "segment"), self._dead()
+        return rows if dead is None else rows.join(dead, ["id", "segment"], "left_anti")
+
+    def _documents(self, table: DataFrame, text_col: str) -> DataFrame:
+        """id, digest, dl and the distinct terms with their counts: one exchange, by id."""
+        text = F.coalesce(F.col(text_col), F.lit(""))
+        rows = table.where(F.col(self.id_col).isNotNull()).select(F.col(self.id_col).alias("id"), F.md5(text).alias("digest"), terms(text).alias("terms")).repartition("id")
+        each = rows.select("id", "digest", F.size("terms").alias("dl"), F.explode_outer("terms").alias("term")).groupBy("id", "digest", "dl", "term").agg(F.count("*").cast("int").alias("tf"))
+        return each.groupBy("id", "digest", "dl").agg(F.collect_list(F.when(F.col("term").isNotNull(), F.struct("term", "tf"))).alias("terms"))
+
+    def _write(self, documents: Callable[[str], None], gone: DataFrame | None, merged: list[Row] | None = None) -> Row:
+        """A new segment: documents() writes its documents; gone (id, segment) are dead from now on. merged: segments it stands for."""
+        name = uuid.uuid4().hex
+        at = f"{self.folder}/segments/{name}"
+        documents(at)
+        own = self.spark.read.parquet(f"{at}/documents")
+        band = F.floor(4 * F.log2(F.col("dl") + 1.0)).cast("int")
+        sizes = {r.band: -(-r.n // BLOCK) for r in own.groupBy(band.alias("band")).agg(F.count("*").alias("n")).collect()}  # at most 125 lengths
+        blocks = F.create_map(*[F.lit(x) for pair in sizes.items() for x in pair])[band] if sizes else F.lit(1)
+        block = F.concat_ws("-", F.lpad(band.cast("string"), 3, "0"), F.pmod(F.xxhash64("id"), blocks).cast("string"))
+        each = own.select("id", "dl", block.alias("block"), F.explode("terms").alias("t")).select("id", "dl", "block", "t.term", "t.tf")
+        entries = F.array_sort(F.collect_list(F.struct("id", "tf", "dl")))
+        posted = each.groupBy("term", "block").agg(F.count("*").cast("int").alias("n"), F.max("tf").alias("most_tf"), F.min("dl").alias("least_dl"), entries.alias("entries"))
+        posted.repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.parquet(f"{at}/postings")
+        sums = own.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("words"))
+        counts = self.spark.read.parquet(f"{at}/postings").groupBy("term").agg(F.sum("n").alias("df"))
+        n_dead = 0
+        if merged is not None:  # nets stay what they were
+            counts, sums = (self._part(kind, merged).drop("segment") for kind in ("counts", "sums"))
+        if gone is not None:
+            gone.select("id", F.col("segment").alias("of")).write.parquet(f"{at}/dead")
+            gone = self.spark.read.parquet(f"{at}/dead")
+            n_dead = gone.count()
+            if merged is None:
+                lost = settled(self._part("documents").join(gone.withColumnRenamed("of", "segment"), ["id", "segment"], "left_semi"))
+                counts = counts.unionByName(lost.select(F.explode("terms.term").alias("term")).groupBy("term").agg((-F.count("*")).alias("df")))
+                sums = sums.unionByName(lost.agg((-F.count("*")).alias("n"), (-F.coalesce(F.sum("dl"), F.lit(0))).alias("words")))
+        counts.groupBy("term").agg(F.sum("df").alias("df")).where("df <> 0").repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{at}/counts")
+        sums.agg(F.sum("n").alias("n"), F.sum("words").alias("words")).write.parquet(f"{at}/sums")
+        return Row("segment", "documents", "dead")(name, own.count(), n_dead)
+
+    def _merge_small(self) -> None:
+        """Where there are more than MOST_SEGMENTS: all but those larger than the rest together, two at least, become one."""
+        number, segments = self.log.last(), sorted(self._segments(), key=lambda s: s.documents)
+        if len(segments) <= MOST_SEGMENTS:
+            return
+        while len(segments) > 2 and segments[-1].documents > sum(s.documents for s in segments[:-1]):
+            segments.pop()
+        rest = [s for s in self._segments() if s not in segments]
+        rows, dead = self._part("documents", segments), self._dead()
+        alive = rows if dead is None else rows.join(dead, ["id", "segment"], "left_anti")
+        named = [s.segment for s in rest]
+        left = self._dead(segments)  # what they say of others is still needed
+        left = left.where(F.col("segment").isin(named)) if left is not None and named else None
+        made = self._write(lambda at: alive.drop("segment").write.parquet(f"{at}/documents"), left, segments)
+        if self.log.publish(number + 1, [*rest, made], "", made.segment):
+            self.log.forget(number - 1, lambda r: f"segments/{r.segment}")
+        else:  # another writer came first, and may merge as well
+            shared.delete(self.spark, f"{self.folder}/segments/{made.segment}")
+
     def postings(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/postings").where("term is not null")
+        """term, id, dl and tf of all documents."""
+        rows, dead = self._part("postings").select("term", "segment", F.explode("entries").alias("x")).select("term", "segment", "x.*"), self._dead()
+        rows = rows if dead is None else rows.join(dead, ["id", "segment"], "left_anti")
+        return rows.select("term", F.col("id").alias(self.id_col), "dl", "tf")
 
     def counts(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/counts")
+        """The number of documents of each term."""
+        return self._part("counts").groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
 
     def stats(self) -> DataFrame:
         """One row: the number of documents and their mean length."""
-        return self.spark.read.parquet(f"{self.folder}/lengths")
+        sums = self._part("sums").agg(F.sum("n").alias("n"), F.sum("words").alias("words"))
+        return sums.select("n", F.coalesce(F.try_divide(F.col("words").cast("double"), F.col("n")), F.lit(0.0)).alias("avgdl"))
+
+    def _asked(self, queries: DataFrame, broadcast_terms: int) -> tuple[Callable[[DataFrame], DataFrame], Callable[[DataFrame], DataFrame]]:
+        """Two functions of tables with a term: one adds query_id, idf and avgdl for each query that asks for it; one filters by terms."""
+        asked = asked_terms(queries)
+        few = [r.term for r in asked.select("term").distinct().limit(PUSHED_TERMS + 1).collect()]
+        only = (lambda t: t.where(F.col("term").isin(sorted(few)))) if len(few) <= PUSHED_TERMS else (lambda t: t)
+        idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+        weighed = only(self.counts()).join(F.broadcast(self.stats())).select("term", "df", idf.alias("idf"), "avgdl")
+        if asked.limit(broadcast_terms + 1).count() <= broadcast_terms:
+            pairs = F.broadcast(settled(weighed.join(F.broadcast(asked), "term").drop("df")))
+            return (lambda t: t.join(pairs, "term")), only
+        each = settled(weighed.join(asked, "term").groupBy("term").agg(F.collect_list("query_id").alias("query_ids"), F.first("idf").alias("idf"), F.first("avgdl").alias("avgdl"), F.first("df").alias("n")))
+        return (lambda t: join_in_parts(t, each, "term").withColumn("query_id", F.explode("query_ids")).drop("query_ids")), only
+
+    def bounds(self, queries: DataFrame, broadcast_terms: int = BROADCAST_TERMS) -> DataFrame:
+        """query_id, segment, block and bound: what no document of a block can surpass, for the blocks that have a term of the query."""
+        met, only = self._asked(queries, broadcast_terms)
+        heads = only(self._part("postings").select("term", "segment", "block", "most_tf", "least_dl"))
+        most = _addition(F.col("idf"), F.col("most_tf"), F.col("least_dl"), F.col("avgdl"))
+        return met(heads).groupBy("query_id", "segment", "block").agg(F.sum(most).alias("bound"))
+
+    def needed(self, queries: DataFrame, k: int, broadcast_terms: int = BROADCAST_TERMS) -> DataFrame:
+        """The rows of bounds() that reach the k-th score among the k blocks of the largest bounds."""
+        bounds = settled(self.bounds(queries, broadcast_terms))
+        place = F.row_number().over(W.Window.partitionBy("query_id").orderBy(F.desc("bound"), "segment", "block"))
+        first = bounds.withColumn("place", place).where(F.col("place") <= k).drop("place")
+        least = settled(self._ranked(queries, first, k, broadcast_terms).where(F.col("rank") == k).select("query_id", F.col("score").alias("least")))
+        return bounds.join(least, "query_id", "left").where(F.col("least").isNull() | (F.col("bound") + HALF >= F.col("least"))).drop("least")
+
+    def _ranked(self, queries: DataFrame, blocks: DataFrame, k: int, broadcast_terms: int) -> DataFrame:
+        """The k best of the documents in blocks (query_id, segment, block)."""
+        met, only = self._asked(queries, broadcast_terms)
+        blocks = settled(blocks.select("query_id", "segment", "block"))
+        few = [r.block for r in blocks.select("block").distinct().limit(PUSHED_TERMS + 1).collect()]
+        read = only(self._part("postings").select("term", "segment", "block", "entries"))
+        read = read.where(F.col("block").isin(sorted(few))) if len(few) <= PUSHED_TERMS else read
+        rows = met(read).join(blocks, ["query_id", "segment", "block"], "left_semi").select("query_id", "segment", "idf", "avgdl", F.explode("entries").alias("x"))
+        rows, dead = rows.select("query_id", "segment", "idf", "avgdl", "x.*"), self._dead()
+        rows = rows if dead is None else rows.join(dead, ["id", "segment"], "left_anti")
+        part = _addition(F.col("idf"), F.col("tf"), F.col("dl"), F.col("avgdl"))
+        best = rows.groupBy("query_id", F.col("id").alias(self.id_col)).agg(F.round(F.sum(part), 4).alias("score"))
+        rank = F.row_number().over(W.Window.partitionBy("query_id").orderBy(F.desc("score"), self.id_col))
+        return best.withColumn("rank", rank).where(F.col("rank") <= k)
 
     def search(self, queries: DataFrame, k: int, broadcast_terms: int = BROADCAST_TERMS) -> DataFrame:
         """For queries (query_id, query), the k best rows of each: query_id, id, score (4 digits), rank. Terms are alternatives."""
         if k <= 0:
             raise ValueError("k must be positive")
-        asked = asked_terms(queries)
-        small = asked.limit(broadcast_terms + 1).count() <= broadcast_terms
-        postings, counts = self.postings(), self.counts()
-        few = [r.term for r in asked.select("term").distinct().limit(PUSHED_TERMS + 1).collect()]
-        if len(few) <= PUSHED_TERMS:
-            postings, counts = (t.where(F.col("term").isin(sorted(few))) for t in (postings, counts))
-        return ranked(postings, counts, self.stats(), asked, k, self.id_col, small)
+        return self._ranked(queries, self.needed(queries, k, broadcast_terms), k, broadcast_terms)

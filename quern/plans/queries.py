@@ -402,6 +402,22 @@ def fts_stats(spark, d):
     return index.counts().join(F.broadcast(index.stats())).select("term", "df", "n", F.round("avgdl", 6).alias("avgdl"))
 
 
+_CHANGED = "SELECT doc_id, CASE WHEN doc_id % 20 = 3 THEN text || ' the new words' WHEN doc_id % 20 = 7 THEN '' ELSE text END AS text FROM documents WHERE doc_id % 20 <> 11 UNION ALL SELECT -1 - doc_id, text FROM documents WHERE doc_id % 20 = 11"
+
+
+@query(f"WITH {_bm25_ctes(_MANY, 10).replace('FROM documents)', f'FROM ({_CHANGED}))', 1)} SELECT query_id, doc_id, score, rank FROM fts")
+def fts_refresh(spark, d):
+    """An index that follows its table: of twenty documents one gets more words, one loses all, and one moves to another id."""
+    texts, e = docs(spark, d).select("doc_id", "text"), F.col("doc_id") % 20
+    index = fulltext.FullTextIndex.build(texts, f"{shared.shared_dir(spark)}/refreshed-{uuid.uuid4().hex}", "doc_id")
+    shared.delete_at_end(spark, index.folder)
+    changed = F.when(e == 3, F.concat("text", F.lit(" the new words"))).when(e == 7, "").otherwise(F.col("text"))
+    now = texts.where(e != 11).withColumn("text", changed).unionByName(texts.where(e == 11).withColumn("doc_id", -1 - F.col("doc_id")))
+    index.refresh(now)
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return index.search(asked, 10).select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
 @query(f"WITH {_bm25_ctes(_ONE, 20)} SELECT doc_id, score, rank FROM fts")
 def bm25_scan(spark, d):
     """Full-text search without a stored index."""
@@ -518,7 +534,6 @@ def query_pipeline(spark, d):
     """A question from retrieval over reranking to the view, as one plan."""
     chunks = _chunks(spark, d)
     index = index_of(spark, d)
-    index.id_col = "doc_id"
     found = retrieval.hybrid_search(chunks.withColumnRenamed("chunk_id", "doc_id"), query_vector(spark, d), WORDS, 20, "hybrid", 0.7, "doc_id", vectors=vectors(spark, d).select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector")), index=index)
     found = found.withColumnRenamed("doc_id", "chunk_id").join(chunks.select("chunk_id", "vector"), "chunk_id")
     shown = retrieval.result_view(retrieval.rerank_or_keep(found, WORDS, _share_of_terms, 6), "none")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
@@ -19,12 +20,6 @@ def shared_dir(spark: SparkSession) -> str:
     return (named or context.getCheckpointDir()).rstrip("/")
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df with its rows and their partitions written down: whatever reads it twice reads the same."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def _at(spark: SparkSession, path: str) -> tuple:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
@@ -46,6 +41,16 @@ def delete_at_end(spark: SparkSession, path: str) -> None:
     files.deleteOnExit(target)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """df with its rows written down in the shared folder: whatever reads it twice reads the same. It is deleted when the driver's file
+    system closes."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    delete_at_end(spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def names_in(spark: SparkSession, path: str) -> list[str]:
     """Names of a folder's entries, in order; none if it isn't there. For folders with a few entries."""
     files, target = _at(spark, path)

@@ -239,7 +239,7 @@ def test_full_text_index(spark, data, tmp_path):
     again = fulltext.FullTextIndex.build(docs.limit(0), str(tmp_path / "fts"), "doc_id")  # it is there: nothing is done
     assert again.stats().first().n == docs.count()
     plan = index.search(asked, 7)._jdf.queryExecution().executedPlan().toString()
-    assert "In(term, [" in plan
+    assert "In(term, [" in plan and "In(block, [" in plan
     empty = fulltext.FullTextIndex.build(docs.limit(0), str(tmp_path / "fts"), "doc_id", replace=True)
     assert empty.search(asked, 7).count() == 0
     path = str(tmp_path / "t")
