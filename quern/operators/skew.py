@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +23,9 @@ def join_in_parts(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     if largest <= most:
         return left.join(right.drop("n"), key)
     parts = F.greatest(F.ceil(F.col("n") / most), F.lit(1)).cast("int")
-    hot = right.where(F.col("n") > most).select(key, parts.alias("_parts"))
-    dealt = left.join(F.broadcast(hot), key, "left").withColumn("_part", F.pmod(F.xxhash64(*left.columns), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
-    copies = right.withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("n")
-    return dealt.join(copies, [key, "_part"]).drop("_part")
+    taken = {c.lower() for c in (*left.columns, *right.columns)}
+    number, several = (next(n for k in count() if (n := f"{name}{k}") not in taken) for name in ("part", "parts"))
+    hot = right.where(F.col("n") > most).select(key, parts.alias(several))
+    dealt = left.join(F.broadcast(hot), key, "left").withColumn(number, F.pmod(F.xxhash64(*left.columns), F.coalesce(several, F.lit(1))).cast("int")).drop(several)
+    copies = right.withColumn(number, F.explode(F.sequence(F.lit(0), parts - 1))).drop("n")
+    return dealt.join(copies, [key, number]).drop(number)
