@@ -131,7 +131,8 @@ def format_chat(turns: DataFrame, path: str) -> DataFrame:
     ordered = made.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
     def digest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state, none = None, object()
+        state, none, codec = None, object(), load(path)
+        opening, _ = splice(codec, [], [], [], first=True)  # what a conversation begins with
 
         def done(s: dict) -> dict:
             return {"conv_id": None if s["conv"] is none else s["conv"], "n_turns": s["turns"], "turns_sha256": s["all"].hexdigest(), "loss_chars": s["chars"], "loss_sha256": s["loss"].hexdigest(), "formatted_chars": s["rendered"]}
@@ -143,7 +144,7 @@ def format_chat(turns: DataFrame, path: str) -> DataFrame:
                 if state is None or state["conv"] is not key and state["conv"] != key:
                     if state is not None:
                         out.append(done(state))
-                    state = {"conv": key, "turns": 0, "all": hashlib.sha256(), "loss": hashlib.sha256(), "chars": 0, "rendered": len(CONTROLS[0])}
+                    state = {"conv": key, "turns": 0, "all": hashlib.sha256(), "loss": hashlib.sha256(), "chars": 0, "rendered": len(codec.decode(opening))}
                 state["turns"] += 1
                 state["rendered"] += rendered
                 state["all"].update(f"{role}\n{text}\n".encode())

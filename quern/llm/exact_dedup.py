@@ -73,13 +73,13 @@ def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     their other columns' values stay isn't defined. An empty table stays empty.
     """
     key = F.struct(F.col("doc_id").cast("long").alias("id"), F.col("text_sha256").alias("digest"), F.col("chars").cast("long").alias("chars"))
-    stays = save(exact_duplicates(docs).where("kept").groupBy(key.alias("_key")).agg(F.count("*").alias("_rows")))
+    stays = save(exact_duplicates(docs).where("kept").groupBy(key.alias("key")).agg(F.count("*").alias("n")))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     own = F.struct(F.col("doc_id").cast("long").alias("id"), F.sha2(_bare(text), 256).alias("digest"), F.length(text).cast("long").alias("chars"))
-    keyed = docs.withColumn("_key", own)
-    once = keyed.join(stays.where("_rows = 1"), "_key", "left_semi")
-    if not stays.where("_rows > 1").limit(1).count():
-        return once.select(docs.columns)
+    keyed = docs.select(own.alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))  # a row's names can't clash
+    once = keyed.join(stays.where("n = 1"), "key", "left_semi").select("row.*")
+    if not stays.where("n > 1").limit(1).count():
+        return once
     # rows of one key are brought down to one where they are, before any two of them meet
-    again = keyed.join(stays.where("_rows > 1"), "_key", "left_semi").groupBy("_key").agg(F.first(F.struct(*docs.columns)).alias("row"))
-    return once.select(docs.columns).unionByName(again.select("row.*"))
+    again = keyed.join(stays.where("n > 1"), "key", "left_semi").groupBy("key").agg(F.first("row").alias("row"))
+    return once.unionByName(again.select("row.*"))

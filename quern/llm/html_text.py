@@ -2,11 +2,12 @@
 
 A page is cut into blocks, and each block knows the elements it stands in. The token streams of a host's pages are concatenated and their
 suffixes sorted by prefix doubling; of each suffix, the longest common prefix with a suffix of another page is read off its nearest
-neighbours from other pages. Repeats are such prefixes of REPEAT tokens and more. Pages of equal tokens are copies and count as one page.
+neighbours from other pages. Repeats are such prefixes of REPEAT tokens and more. Pages of equal tokens are copies and count as one page;
+on hosts where repeats decide about whole blocks, so do near copies, which the operator for near-duplicates finds among their texts.
 
 What repeats decide:
-- on a page without an article or main element, every block: one that repeats cover for the most part loses the covered text and keeps
-  unique runs of REPEAT tokens and more; any other block stays whole, since quotations are content;
+- on a page without an article or main element, every block: one that passages of SHARED distinct pages cover for the most part loses the
+  covered text and keeps unique runs of REPEAT tokens and more; any other block stays whole, since quotations are content;
 - inside an article, elements whose names are boilerplate only in the right place (related, search, legal, notice ...): they go where
   repeats cover them, and are content otherwise;
 - inside an article, any text that stands on at least WIDE of the distinct pages compared, WIDE_PAGES at least: it is cut out, and the
@@ -31,21 +32,24 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm.near_dedup import near_duplicates
 from quern.llm.scratch import bound_batches, save
 from quern.llm.words import mix
 
 REPEAT = 8  # tokens; a power of two
 COVER = 0.6  # share of a block's tokens
+SHARED = 3  # distinct pages, or all of a host with fewer
+ALIKE = 80  # per cent of the shingles of two pages, from which on they count as one
 WIDE, WIDE_PAGES = 0.5, 10  # share of the distinct pages, and so many at least
 PART = 200  # pages of a host whose streams are compared at once
 PART_BYTES = 16 << 20
 BROADCAST_HOSTS = 200_000  # hosts of several parts that may be broadcast, at about 50 bytes
 
 #: Fixed HTML vocabulary.
-SKIP = frozenset("script style noscript template svg math iframe object canvas audio video select option button textarea input label head title".split())
+SKIP = frozenset("script style noscript template svg iframe object canvas audio video select option button textarea input head title".split())
 ASIDE = frozenset("nav aside footer form menu dialog header".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark math mfrac mi mn mo mrow msqrt msub msup mtext q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 BLOCKS = frozenset("address article aside blockquote center details dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
@@ -65,27 +69,27 @@ _NAMED = re.compile(rf"\b(?:class|id)\s*=[^>]*(?:{'|'.join(sorted(REPEATED))})",
 PLAIN, ASKS, OUT = 0, 1, 2  # what structure says of a block: text, text unless it repeats, not text
 
 _MARKUP = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|$)", re.S)
-_NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_HIDDEN = re.compile(r"\bhidden\b|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
-_RAW = frozenset("script style noscript template textarea title iframe svg math".split())
+_ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
+_RAW = frozenset("script style noscript template textarea title iframe svg".split())
 
 
 def _standing(tag: str, attributes: str, in_article: bool) -> int:
     """PLAIN, ASKS or OUT, by an element's own tag and attributes."""
     if tag in SKIP or tag in ASIDE and not (tag == "header" and in_article):
         return OUT
-    if not attributes or tag in ("html", "body", "article", "main"):
+    if not attributes or tag in ("html", "body"):
         return PLAIN
-    found = OUT if _HIDDEN.search(attributes) else PLAIN
-    for kind, *values in _NAMES.findall(attributes):
-        value = next((v for v in values if v), "").lower()
-        if kind.lower() == "role":
-            found = max(found, OUT if value in ROLES else PLAIN)
-            continue
-        for name in value.split():
-            words = set(re.split(r"[^a-z]+", name)) - PLACES - {""}
-            if words and words <= ALWAYS | REPEATED:
-                found = max(found, OUT if words & ALWAYS else ASKS)
+    values: dict[str, str] = {}
+    for name, *value in _ATTRIBUTE.findall(attributes):
+        values.setdefault(name.lower(), "".join(value).strip().lower())
+    if "hidden" in values or values.get("aria-hidden") == "true" or _NO_DISPLAY.search(values.get("style", "")) or values.get("role") in ROLES:
+        return OUT
+    found = PLAIN
+    for name in f"{values.get('class', '')} {values.get('id', '')}".split():
+        words = set(re.split(r"[^a-z]+", name)) - PLACES - {""}
+        if words and words <= ALWAYS | REPEATED:
+            found = max(found, OUT if words & ALWAYS else ASKS)
     return found
 
 
@@ -96,6 +100,8 @@ def blocks(page: str | None, to_article: bool = False) -> tuple[list[tuple[str,
     """
     page = page or ""
     stack: list[tuple[str, int, bool]] = []  # tag, standing, in article
+    places: dict[str, list[int]] = {}  # of each tag in the stack
+    walls: list[int] = []  # places of block elements and tables
     out: list[tuple[str, int, bool]] = []
     buffer: list[str] = []
     found, at = False, 0
@@ -107,6 +113,15 @@ def blocks(page: str | None, to_article: bool = False) -> tuple[list[tuple[str,
                 out.append((text, *(stack[-1][1:] if stack else (PLAIN, False))))
             buffer.clear()
 
+    def cut(depth: int) -> None:
+        while len(stack) > depth:
+            places[stack.pop()[0]].pop()
+        while walls and walls[-1] >= depth:
+            walls.pop()
+
+    def last(*tags: str) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=-1)
+
     end = len(page)
     while at < end:
         m = _MARKUP.search(page, at)
@@ -122,11 +137,11 @@ def blocks(page: str | None, to_article: bool = False) -> tuple[list[tuple[str,
         if m[1]:
             if tag not in INLINE:
                 flush()
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if depth is not None and not (tag in INLINE and any(t in BLOCKS for t, *_ in stack[depth + 1 :])):
+            depth, wall = last(tag), walls[-1] if walls else -1
+            if depth >= 0 and not (tag in INLINE and wall > depth):
                 if tag in INLINE and stack[depth][1] != (stack[depth - 1][1] if depth else PLAIN):
                     flush()
-                del stack[depth:]
+                cut(depth)
             continue
         if tag in _RAW:
             close = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
@@ -139,19 +154,10 @@ def blocks(page: str | None, to_article: bool = False) -> tuple[list[tuple[str,
             flush()
         if tag in VOID:
             continue
-        if tag in BLOCKS:  # opens the end of a paragraph
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == "p":
-                    del stack[i:]
-                    break
-                if stack[i][0] in BLOCKS:
-                    break
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in CLOSES.get(tag, ()):
-                del stack[i:]
-                break
-            if stack[i][0] in BLOCKS | {"table"}:
-                break
+        if tag in BLOCKS and walls and stack[walls[-1]][0] == "p":  # opens the end of a paragraph
+            cut(walls[-1])
+        if tag in CLOSES and (open_ := last(*CLOSES[tag])) >= 0 and not (walls and walls[-1] > open_):
+            cut(open_)
         _, around, inside = stack[-1] if stack else ("", PLAIN, False)
         own = max(around, _standing(tag, m[3] or "", inside))
         if own != around:
@@ -161,6 +167,9 @@ def blocks(page: str | None, to_article: bool = False) -> tuple[list[tuple[str,
             if to_article:
                 return out, found
         if not (m[3] or "").endswith("/") or tag in BLOCKS or tag in INLINE:
+            places.setdefault(tag, []).append(len(stack))
+            if tag in BLOCKS:
+                walls.append(len(stack))
             stack.append((tag, own, inside))
     flush()
     return out, found
@@ -197,9 +206,10 @@ def _common(text: np.ndarray, left: np.ndarray, page: np.ndarray) -> np.ndarray:
     return longest
 
 
-def repeats(streams: list[np.ndarray], length: int = REPEAT) -> tuple[list[np.ndarray], list[np.ndarray]]:
+def repeats(streams: list[np.ndarray], length: int = REPEAT, groups: list[int] | None = None) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """For each page and token: how many tokens from there on the longest substring has that another page has as well (0 if fewer than
-    length), and how many pages have the `length` tokens from there on (0 where the page ends before). length: a power of two.
+    length), and how many pages have the `length` tokens from there on (0 where the page ends before). length: a power of two. groups: a
+    number for each page, where some pages count as one.
 
     Prefix doubling as far as `length` tokens finds the suffixes that recur in another page; only these are sorted further. They come in
     runs of neighbouring places, so their common prefixes are counted in places of such a run.
@@ -212,19 +222,20 @@ def repeats(streams: list[np.ndarray], length: int = REPEAT) -> tuple[list[np.nd
     if n:
         page = np.repeat(np.arange(len(streams)), sizes)
         left = np.cumsum(sizes)[page] - np.arange(n)  # tokens up to the page's end
+        group = np.array(groups if groups is not None else range(len(streams)), dtype=np.int64)[page]
         ranks = _ranks(text, left, length.bit_length())
         whole = np.flatnonzero(left >= length)
     if len(whole) and len(ranks) < length.bit_length():  # every shorter prefix is distinct
         pages[whole] = 1
     elif len(whole):
         gram = np.unique(ranks[-1][whole], return_inverse=True)[1]
-        pages[whole] = np.bincount(np.unique(gram * len(streams) + page[whole]) // len(streams))[gram]
+        pages[whole] = np.bincount(np.unique(gram * len(streams) + group[whole]) // len(streams))[gram]
         again = np.flatnonzero(pages[whole] > 1)
         if len(again):
             at = whole[again]
             ends = np.flatnonzero(np.append((np.diff(at) > 1) | (np.diff(page[at]) > 0), True))
             inside = ends[np.searchsorted(ends, np.arange(len(at)))] - np.arange(len(at)) + 1
-            longest[at] = _common(gram[again], inside, page[at]) + length - 1
+            longest[at] = _common(gram[again], inside, group[at]) + length - 1
     cuts = np.cumsum(sizes)[:-1]
     return (np.split(longest, cuts), np.split(pages, cuts)) if len(streams) else ([], [])
 
@@ -282,19 +293,26 @@ def asks_of(page: str | None) -> bool:
     return undecided(found, has_article) if named or not has_article else False
 
 
-def extract_part(pages: list[str | None], marks: list[np.ndarray | None] | None = None) -> list[str]:
-    """Main text of pages of one host. marks: for each page, keys of its suffixes that repeat in other parts of the host."""
+def extract_part(pages: list[str | None], marks: list[np.ndarray | None] | None = None, alike: list[object] | None = None, n_pages: int | None = None) -> list[str]:
+    """Main text of pages of one host. marks: for each page, keys of its suffixes that repeat in other parts of the host. alike: a name for
+    each page that near copies share; n_pages: how many such names the host has."""
     parsed = [blocks(p) for p in pages]
     number: dict[str, int] = {}
     tokens = [[text.split() for text, *_ in found] for found, _ in parsed]
     streams = [np.array([number.setdefault(w, len(number)) for b in page for w in b], dtype=np.int64) for page in tokens]
     distinct: dict[bytes, int] = {}
     own = [distinct.setdefault(s.tobytes(), len(distinct)) for s in streams]
-    longest, spread = repeats([np.frombuffer(s, dtype=np.int64) for s in distinct])
+    named: dict[object, int] = {}
+    groups = [0] * len(distinct)
+    for k, name in zip(own, alike or own, strict=True):
+        groups[k] = named.setdefault(("own", k) if name is None else name, len(named))
+    names = {g: i for i, g in enumerate(sorted(set(groups)))}
+    longest, spread = repeats([np.frombuffer(s, dtype=np.int64) for s in distinct], groups=[names[g] for g in groups])
     out = []
     for (found, has_article), page, k, mark in zip(parsed, tokens, own, marks or [None] * len(pages), strict=True):
-        repeat, at, keep = longest[k], 0, []
-        wide = np.where(spread[k] >= max(WIDE_PAGES, WIDE * len(distinct)), REPEAT, 0)
+        common = spread[k] >= least_pages(len(names) if n_pages is None else n_pages)
+        repeat, at, keep = longest[k] if has_article else np.where(common, REPEAT, 0), 0, []
+        wide = np.where(spread[k] >= max(WIDE_PAGES, WIDE * len(names)), REPEAT, 0)
         if mark is not None:
             keys = suffix_keys(found)
             repeat = repeat.copy()
@@ -317,31 +335,58 @@ def _html(frame: pd.DataFrame) -> list[str | None]:
     return [h if isinstance(h, str) else None for h in frame["html"]]
 
 
-def marks_between_parts(rows: DataFrame, broadcast_hosts: int = BROADCAST_HOSTS) -> DataFrame | None:
-    """For rows (host, part, page, html) of hosts of several parts: page, marks; None if repeats decide about no block of theirs.
+def hosts_that_ask(rows: DataFrame) -> DataFrame:
+    """host of the pages (host, html) with blocks that repeats decide about."""
 
-    marks are the keys of a page's suffixes that stand in another part of its host too, in a page of other tokens, for pages with an
-    undecided block. Only hosts with such a page send suffixes.
-    """
-
-    def hosts_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             yield pd.DataFrame({"host": sorted({h for h, page in zip(frame["host"], _html(frame), strict=True) if asks_of(page)})}, dtype=object)
 
+    return rows.select("host", "html").mapInPandas(run, "host string").distinct()
+
+
+def near_copies(rows: DataFrame) -> DataFrame:
+    """For pages (page, host, html): page, alike (a number that near copies share) and n_pages, how many pages of the host aren't alike. Pages
+    without a word aren't counted, and are alike with none."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame({"doc_id": frame["page"].array, "text": [" ".join(text for text, *_ in blocks(h)[0]) for h in _html(frame)]})
+
+    texts = save(rows.select("page", "html").mapInPandas(run, "doc_id long, text string"))
+    found = near_duplicates(texts, percent=ALIKE).where("n_shingles > 0").groupBy(F.col("doc_id").alias("page")).agg(F.min("component_id").alias("alike"))
+    named = save(rows.select("page", "host").distinct().join(found, "page"))
+    counts = named.select("host", "alike").distinct().groupBy("host").agg(F.count("*").alias("n_pages"))
+    return named.join(counts, "host").select("page", "alike", "n_pages")
+
+
+def least_pages(n: int | None) -> int:
+    """On how many pages a passage must stand on a host of n pages, to be cut out of a page without an article."""
+    return max(2, min(SHARED, int(n))) if n is not None and n == n else SHARED
+
+
+def marks_between_parts(rows: DataFrame) -> DataFrame:
+    """For rows (host, part, page, html, alike, n_pages) of hosts of several parts that ask: page, marks.
+
+    marks are the keys of a page's suffixes that stand in another part of its host too, in a page that isn't alike, for pages with an
+    undecided block; where the page has no article, in SHARED pages that aren't alike.
+    """
+
     def suffixes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for host, part, page, text in zip(frame["host"], frame["part"], frame["page"], _html(frame), strict=True):
+            for host, part, page, text, alike, n in zip(frame["host"], frame["part"], frame["page"], _html(frame), frame["alike"].tolist(), frame["n_pages"].tolist(), strict=True):
                 found, has_article = blocks(text)
-                yield pd.DataFrame({"host": host, "part": part, "page": page, "content": content_key(found), "undecided": undecided(found, has_article), "key": np.unique(suffix_keys(found))})
+                name = int(alike) if isinstance(alike, str) else content_key(found)
+                yield pd.DataFrame({"host": host, "part": part, "page": page, "content": name, "undecided": undecided(found, has_article), "least": 2 if has_article else least_pages(n), "key": np.unique(suffix_keys(found))})
 
-    hosts = save(rows.select("host", "html").mapInPandas(hosts_of, "host string").distinct())
-    n = hosts.limit(broadcast_hosts + 1).count()
-    if not n:
-        return None
-    sent = rows.join(F.broadcast(hosts) if n <= broadcast_hosts else hosts, "host", "left_semi").select("host", "part", "page", "html").mapInPandas(suffixes, "host string, part int, page long, content long, undecided boolean, key long")
+    sent = rows.select("host", "part", "page", "html", F.col("alike").cast("string"), "n_pages").mapInPandas(suffixes, "host string, part int, page long, content long, undecided boolean, least int, key long")
     sent = sent.withColumn("host", F.xxhash64("host"))
-    met = sent.groupBy("host", "key").agg(F.min("part").alias("one"), F.max("part").alias("other"), F.min("content").alias("first"), F.max("content").alias("last"), F.max("undecided").alias("asked")).where("one < other and first < last and asked").select("host", "key")
-    return save(sent.where("undecided").select("host", "page", "key").join(met, ["host", "key"]).groupBy("page").agg(F.collect_set("key").alias("marks")))  # a page's own suffixes
+    # one row of a suffix and pages that are alike, before those of a suffix meet
+    pages = sent.groupBy("host", "key", "content").agg(F.min("part").alias("one"), F.max("part").alias("other"), F.max("undecided").alias("asked"))
+    met = pages.groupBy("host", "key").agg(F.min("one").alias("one"), F.max("other").alias("other"), F.count("*").alias("n"), F.max("asked").alias("asked"))
+    met = met.where("one < other and n > 1 and asked").select("host", "key", "n")
+    own = sent.where("undecided").select("host", "page", "key", "least").join(met, ["host", "key"]).where("n >= least")
+    return save(own.groupBy("page").agg(F.collect_set("key").alias("marks")))  # a page's own suffixes
 
 
 def main_text(pages: DataFrame, broadcast_hosts: int = BROADCAST_HOSTS) -> DataFrame:
@@ -349,29 +394,39 @@ def main_text(pages: DataFrame, broadcast_hosts: int = BROADCAST_HOSTS) -> DataF
 
     A host is the url's part after // up to the next /, ? or #, lower case ('' for null urls). Null html counts as empty. Repeated
     page_ids are pages of their own, but pages of a host with equal tokens, repeated rows or copies at other urls, can't make each other
-    boilerplate. Copies that differ in a token are distinct pages. Every row gives a row, a very long page too, which is compared in a part
-    of its own size; other columns are dropped. An empty table gives no rows.
+    boilerplate; nor can near copies, pages of which ALIKE per cent of the shingles agree, where repeats decide about whole blocks. Every
+    row gives a row, a very long page too, which is compared in a part of its own size; other columns are dropped. An empty table gives no
+    rows.
     """
     bound_batches(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
     host = F.lower(F.coalesce(F.regexp_extract("url", "//([^/?#]*)", 1), F.lit("")))
-    rows = rows.withColumn("host", host)
+    rows = rows.withColumn("host", host).withColumn("page", F.xxhash64("page_id", "url", "html"))
     parts = F.greatest(F.count("*") / PART, F.sum(F.coalesce(F.octet_length("html"), F.lit(0))) / PART_BYTES)
     hosts = rows.groupBy("host").agg(F.ceil(parts).cast("int").alias("parts")).where("parts > 1")
     # hosts of one part, by far the most, need no row; of the others a checked number may be broadcast
     several = hosts.limit(broadcast_hosts + 1).count()
     small = several <= broadcast_hosts
+    asking = save(hosts_that_ask(rows))
+    n_asking = asking.limit(broadcast_hosts + 1).count()
     # equal rows share a part, so that what recurs in two parts recurs in two pages
-    dealt = rows.withColumn("page", F.xxhash64("page_id", "url", "html")).join(F.broadcast(hosts) if small else hosts, "host", "left").withColumn("part", F.pmod("page", F.coalesce("parts", F.lit(1))).cast("int"))
-    marks = marks_between_parts(dealt.where("parts > 1"), broadcast_hosts) if several else None
-    dealt = dealt.join(marks, "page", "left") if marks is not None else dealt.withColumn("marks", F.lit(None).cast("array<long>"))
-    dealt = dealt.select("host", "part", "page_id", "url", "html", "marks")
-    if not small or marks is not None:  # rows lie by another key here: this moves the parts of a host apart
+    dealt = rows.join(F.broadcast(hosts) if small else hosts, "host", "left").withColumn("part", F.pmod("page", F.coalesce("parts", F.lit(1))).cast("int"))
+    if n_asking:
+        asked = dealt.join(F.broadcast(asking) if n_asking <= broadcast_hosts else asking, "host", "left_semi")
+        alike = save(near_copies(asked))
+        marks = marks_between_parts(asked.where("parts > 1").join(alike, "page", "left")) if several else None
+        dealt = dealt.join(alike, "page", "left")
+        dealt = dealt.join(marks, "page", "left") if marks is not None else dealt.withColumn("marks", F.lit(None).cast("array<long>"))
+    else:
+        dealt = dealt.withColumns({"alike": F.lit(None).cast("long"), "n_pages": F.lit(None).cast("long"), "marks": F.lit(None).cast("array<long>")})
+    dealt = dealt.select("host", "part", "page_id", "url", "html", F.col("alike").cast("string"), "n_pages", "marks")
+    if not small or n_asking:  # rows lie by another key here: this moves the parts of a host apart
         dealt = dealt.repartition("host", "part")
 
     def extract(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("page_id", kind="stable")
-        texts = extract_part(_html(frame), [m if isinstance(m, np.ndarray) else None for m in frame["marks"]])
+        alike = [a if isinstance(a, str) else None for a in frame["alike"]]
+        texts = extract_part(_html(frame), [m if isinstance(m, np.ndarray) else None for m in frame["marks"]], alike, None if frame["n_pages"].isna().all() else int(frame["n_pages"].max()))
         return pd.DataFrame({"page_id": frame["page_id"].array, "url": frame["url"].array, "text": texts, "n_chars": [len(t) for t in texts]})
 
     return dealt.groupBy("host", "part").applyInPandas(extract, "page_id long, url string, text string, n_chars long")

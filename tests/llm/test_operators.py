@@ -632,6 +632,39 @@ def test_main_text_keeps_copies_without_an_article(spark, monkeypatch, part):
     assert rows_of(html_text.main_text(frame).select("page_id", "text")) == sorted((m[0], m[3]) for m in made)
 
 
+def test_main_text_reads_attributes_and_names():
+    article = "<article><p>Before <a href='/hidden-gems'>the gems</a> after.</p><div class='overflow-hidden'>a</div><p data-title='a hidden story' title=\"display:none\">b</p>{}</article>"
+    kept = "Before the gems after. a b"
+    for gone in ("<p hidden>x</p>", "<p HIDDEN=''>x</p>", "<p aria-hidden = 'true'>x</p>", "<p style='color:red; display : none'>x</p>", "<article class='comment'>x</article>", "<div role=dialog>x</div>"):
+        assert html_text.extract_part([article.format(gone)]) == [kept], gone
+    for more in ("<p aria-hidden=false>x</p>", "<p style='--display:none'>x</p>", "<p>x</p>", "<label>x</label>", "<math><mi>x</mi></math>", "<article class='post'>x</article>"):
+        assert html_text.extract_part([article.format(more)]) == [f"{kept} x"], more
+    assert html_text.extract_part([article.format("") + "<article class='reply'>first!</article>"]) == [kept]
+
+
+def test_main_text_of_near_copies(spark, monkeypatch):
+    """Pages without an article that differ in a word can't make each other boilerplate, in whatever parts they are."""
+    body = " ".join(f"w{k}" for k in range(60))
+    made = [(i, f"http://two.x/{i}", f"<p>{body} on {day}</p>") for i, day in enumerate(("Monday", "Tuesday"))]
+    menu = " ".join(f"m{k}" for k in range(14))
+    made += [(10 + i, f"http://many.x/{i}", f"<div>{menu}</div><p>{' '.join(f'p{i // 2}x{k}' for k in range(80))} day{i}</p>") for i in range(12)]  # pairs of near copies
+    made += [(40 + i, f"http://pair.x/{i}", f"<div>{menu}</div><p>{' '.join(f'q{i}x{k}' for k in range(50))}</p>") for i in range(2)]
+    want = [(i, re.sub(r"<[^>]*>", "", h.split("</div>")[-1])) for i, _, h in made]
+    frame = spark.createDataFrame(made, "page_id long, url string, html string")
+    for part in (html_text.PART, 1, 3):
+        monkeypatch.setattr(html_text, "PART", part)
+        assert rows_of(html_text.main_text(frame).select("page_id", "text")) == want, part
+
+
+def test_main_text_is_linear_in_unclosed_tags():
+    import time
+
+    for unit in ("<b>x ", "<b>x <li>y</li>", "<b><div>x</b> ", "<li><b>x ", "<td><i>x"):
+        began = time.perf_counter()
+        html_text.blocks(unit * 20_000)
+        assert time.perf_counter() - began < 5, unit
+
+
 def test_repeats_agree_with_brute_force():
     rng = random.Random(7)
     for _ in range(60):
@@ -676,7 +709,7 @@ def test_repeats_decide_inside_articles(spark, monkeypatch, part):
     frame = spark.createDataFrame(made, "page_id long, url string, html string")
     assert rows_of(html_text.main_text(frame).select("page_id", "text")) == want
     if part > 3:
-        off = lambda streams, length=8: ([np.zeros(len(s), dtype=np.int64) for s in streams],) * 2
+        off = lambda streams, length=8, groups=None: ([np.zeros(len(s), dtype=np.int64) for s in streams],) * 2
         monkeypatch.setattr(html_text, "repeats", off)
         assert all(t != w for t, (_, w) in zip(html_text.extract_part([m[2] for m in made]), want, strict=True))
 
@@ -713,13 +746,15 @@ def test_pipeline_stages_on_awkward_rows(spark, data, awkward, empty):
     at = f"{data}/sf0.001"
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{at}/benchmark.parquet").collect()]
     more = table(spark, [(50, items[0][1]), (50, items[0][1]), (51, "x " + items[1][1] + " y"), (None, None), (None, None)])
-    docs = awkward.unionByName(more)
+    clashing = {c: F.lit("theirs") for c in ("_key", "key", "row", "_row", "n", "_rows", "digest", "score", "_part", "_parts", "class_id", "text_sha256", "chars", "id")}
+    docs, empty = awkward.unionByName(more).withColumns(clashing), empty.withColumns(clashing)
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     key = lambda t: tuple((x is None, x) for x in t)
     out = {}
     for name, stage in pipeline.STAGES:
         out[name] = stage(spark, docs, at)
         assert name == "bpe" or out[name].columns == docs.columns
+        assert name == "bpe" or out[name].where(" or ".join(f"{c} <> 'theirs'" for c in clashing)).count() == 0
         none = stage(spark, empty, at)
         assert none.count() == 0 and none.columns == out[name].columns
     got = {name: sorted(((r.doc_id, r.text) for r in df.select("doc_id", "text").collect()), key=key) for name, df in out.items() if name != "bpe"}
