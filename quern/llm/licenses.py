@@ -113,7 +113,7 @@ isc | disclaims all | the author disclaims all warranties with regard to this so
 bsd | source and binary forms | redistribution and use in source and binary forms with or without modification are permitted
 bsd | redistributions of source code | redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer
 bsd | redistributions in binary form | redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer
-bsd-3-clause | endorse or promote | neither the names? of (?:\S+ ){1,12}nor the names of (?:its|their|any) contributors may be used to endorse or promote products
+bsd-3-clause | endorse or promote | neither the names? of (?:\S{1,60} ){1,12}nor the names of (?:its|their|any) contributors may be used to endorse or promote products
 bsd-4-clause | advertising materials | all advertising materials mentioning features or use of this software must display the following acknowledge?ment
 bsd | merchantability | any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed
 apache-2.0 | obtain a copy | you may (?:not use this file except in compliance with the license you may )?obtain a copy of the license at https? www apache org licenses license 2 0
@@ -143,7 +143,7 @@ zlib | misrepresented | the origin of this software must not be misrepresented y
 boost-1.0 | hereby granted | permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license
 unlicense | unencumbered | this is free and unencumbered software released into the public domain
 unlicense | dedicate any and all | we dedicate any and all copyright interest in the software to the public domain
-cc0-1.0 | extent possible under law | to the extent possible under law (?:\S+ ){1,12}waived all copyright and related or neighboring rights
+cc0-1.0 | extent possible under law | to the extent possible under law (?:\S{1,60} ){1,12}waived all copyright and related or neighboring rights
 cc-by-4.0 | creativecommons | creativecommons org licenses by 4 0
 cc-by-sa-4.0 | creativecommons | creativecommons org licenses by sa 4 0
 cc-by-nc-4.0 | creativecommons | creativecommons org licenses by nc 4 0
@@ -167,7 +167,7 @@ odbl-1.0 | open database license | this database is made available under the ope
 eupl-1.2 | licensed under the eupl | licensed under the eupl
 beerware | buy me a beer | you can buy me a beer in return
 public-domain | no copyright | (?:there is|has|with) no copyright
-proprietary | without prior written | (?:reproduction|distribution|copying) (?:\S+ ){0,8}without prior written (?:permission|consent)
+proprietary | without prior written | (?:reproduction|distribution|copying) (?:\S{1,60} ){0,8}without prior written (?:permission|consent)
 proprietary | confidential and proprietary | confidential and proprietary
 """
 
@@ -179,6 +179,7 @@ FRAMES = [
     (2, 0.8, "{}"),
 ]
 CLAUSE = (1, 0.95)  # priority and weight of a clause
+MATCH_CHARS, MATCH_WORDS = 2000, 64  # no rule matches more
 
 
 def rules() -> list[tuple[str, str, str, int, float]]:
@@ -240,10 +241,14 @@ def detections(texts: DataFrame, spark: SparkSession) -> DataFrame:
     norm = F.concat(F.lit(" "), F.lower(F.array_join(F.regexp_extract_all("text", F.lit(f"({_INSIDE}+)"), 1), " ")), F.lit(" "))
     found = texts.select("row", norm.alias("norm")).select("row", "norm", F.explode(F.concat(*map(matching, sorted({r[1] for r in listed})))).alias("id"))
     # a fixed table of rules, a few hundred rows; only rules that match come here
-    cut = found.join(F.broadcast(table), "id").select("row", "norm", "label", "rule", "priority", "weight", _places(F.col("norm"), F.expr("concat('(?=', rule, ')')")).alias("pieces"))
-    starts = F.expr("slice(aggregate(pieces, array(1), (acc, p) -> concat(acc, array(element_at(acc, -1) + length(p)))), 2, size(pieces) - 1)")
-    spans = cut.select("row", "norm", "label", "rule", "priority", "weight", F.explode(starts).alias("start"))
-    spans = spans.select("row", "label", "priority", "weight", "start", (F.col("start") + F.length(F.expr("regexp_extract(substring(norm, start - 1), rule, 0)"))).alias("end"))
+    cut = found.join(F.broadcast(table), "id").select("row", "label", "rule", "priority", "weight", _places(F.col("norm"), F.expr("concat('(?=', rule, ')')")).alias("pieces"))
+    # a match begins a piece and may go on into the next ones, each of which has a word at least
+    heads = F.transform(F.col("pieces"), lambda p, k: F.struct(F.length(p).alias("size"), F.when(k > 0, F.substring(F.array_join(F.slice(F.col("short"), k + 1, F.lit(MATCH_WORDS)), ""), 1, MATCH_CHARS)).alias("head")))
+    cut = cut.withColumn("short", F.transform("pieces", lambda p: F.substring(p, 1, MATCH_CHARS)))
+    heads = cut.select("row", "label", "rule", "priority", "weight", F.posexplode(heads).alias("k", "x")).select("row", "label", "rule", "priority", "weight", "k", "x.*")
+    before = W.Window.partitionBy("row", "rule", "label").orderBy("k").rowsBetween(W.Window.unboundedPreceding, -1)
+    spans = heads.withColumn("start", F.sum("size").over(before) + 1).where("k > 0")
+    spans = spans.select("row", "label", "priority", "weight", "start", (F.col("start") + F.length(F.expr("regexp_extract(concat(' ', head, ' '), rule, 0)"))).alias("end"))
     order = W.Window.partitionBy("row").orderBy("start", F.desc("end"), "priority", "label").rowsBetween(W.Window.unboundedPreceding, -1)
     levels = sorted({r[3] for r in listed})
     covered = reduce(lambda c, p: c.when(F.col("priority") == p, F.max(F.when(F.col("priority") <= p, F.col("end"))).over(order)), levels[1:], F.when(F.col("priority") == levels[0], F.max(F.when(F.col("priority") <= levels[0], F.col("end"))).over(order)))

@@ -238,6 +238,23 @@ def said(pattern, last):
     return "".join(out)
 
 
+def test_licenses_of_a_text_with_very_many_matches(spark):
+    import time
+
+    docs = spark.createDataFrame([(1, "mit license " * 100_000), (2, "the mit license " * 3 + "distribution copying " * 30 + "without prior written consent")], "doc_id long, text string")
+    licenses.license_scan(docs.limit(0)).collect()
+    began = time.perf_counter()
+    got = {r.doc_id: (r.n_base, r.labels) for r in licenses.license_scan(docs).collect()}
+    assert got == {1: (100_000, "mit"), 2: (3, "mit,proprietary")} and time.perf_counter() - began < 60
+
+
+def test_no_rule_matches_more_than_its_bound():
+    for _, _, rule, _, _ in licenses.rules():
+        longest = re.sub(r"\\S\{1,60\} ", "x" * 60 + " ", rule)
+        longest = re.sub(r"\(\?:(x{60} )\)\{\d,(\d+)\}", lambda m: m[1] * int(m[2]), longest)
+        assert "+" not in longest and "*" not in longest and len(longest) < licenses.MATCH_CHARS and len(longest.split()) <= licenses.MATCH_WORDS
+
+
 def test_every_rule_finds_what_it_says(spark):
     import re._parser as parser
 
