@@ -137,33 +137,44 @@ class Bpe:
         symbols[last] = self.final[data[last]]
         owner = np.repeat(np.arange(len(words)), lengths)
         done, whose = [symbols[:0]], [owner[:0]]
+        ranks, into = self._pairs(symbols, owner, np.arange(len(owner)))
         while len(owner):
-            same = owner[:-1] == owner[1:]
-            keys = symbols[:-1] << 32 | symbols[1:]
-            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-            known = same & (self.keys[at] == keys)
-            ranks = np.full(len(owner), NO_RANK)
-            ranks[:-1][known] = self.ranks[at[known]]
-            first = np.flatnonzero(np.concatenate(([True], ~same)))
+            first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
             best = np.minimum.reduceat(ranks, first)
             sizes = np.diff(np.append(first, len(owner)))
-            over = np.repeat(best == NO_RANK, sizes)
+            least = np.repeat(best, sizes)
+            over = least == NO_RANK
             done.append(symbols[over])
             whose.append(owner[over])
-            hit = (ranks == np.repeat(best, sizes)) & (ranks < NO_RANK)
+            hit = (ranks == least) & ~over
             # where equal symbols follow each other, every second of a row of overlapping pairs merges
-            place = np.arange(len(hit))
-            began = np.maximum.accumulate(np.where(hit & ~np.concatenate(([False], hit[:-1])), place, 0))
-            hit &= (place - began) % 2 == 0
+            after = np.flatnonzero(hit[1:] & hit[:-1])
+            if len(after):
+                place = np.arange(len(hit))
+                began = np.maximum.accumulate(np.where(hit & ~np.concatenate(([False], hit[:-1])), place, 0))
+                hit &= (place - began) % 2 == 0
             where = np.flatnonzero(hit)
-            symbols = symbols.copy()
-            symbols[where] = self.made[at[where]]
+            symbols[where] = into[where]
             keep = ~over
             keep[where + 1] = False
-            symbols, owner = symbols[keep], owner[keep]
+            symbols, owner, ranks, into = symbols[keep], owner[keep], ranks[keep], into[keep]
+            # only the pairs on both sides of a new symbol are new
+            new = (np.cumsum(keep) - 1)[where]
+            new = np.concatenate((new, new[new > 0] - 1))
+            ranks[new], into[new] = self._pairs(symbols, owner, new)
         word = np.concatenate(whose)
         return np.concatenate(done)[np.argsort(word, kind="stable")], np.cumsum(np.bincount(word, minlength=len(words)))
 
+    def _pairs(self, symbols: np.ndarray, owner: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ranks of the pairs that begin at these places, NO_RANK if there is none, and the symbols that they make."""
+        ranks, into = np.full(len(at), NO_RANK), np.zeros(len(at), dtype=np.int64)
+        ok = np.flatnonzero((at + 1 < len(owner)) & (owner[np.minimum(at + 1, len(owner) - 1)] == owner[at])) if len(at) else at
+        keys = symbols[at[ok]] << 32 | symbols[at[ok] + 1]
+        found = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        known = self.keys[found] == keys
+        ranks[ok[known]], into[ok[known]] = self.ranks[found[known]], self.made[found[known]]
+        return ranks, into
+
     @staticmethod
     def normal(text: str) -> str | None:
         """The text as the library normalises it, but for white space; None if it has rare characters."""
