@@ -29,7 +29,6 @@ METRICS: dict[str, Callable[[Column, Column], Column]] = {
     "dot": lambda a, b: -S.dot(a, b),
 }
 K1, B = 1.2, 0.75
-BLOCK_ROWS, BLOCK_QUERIES = 4096, 256  # rows and queries that are scored at once
 BROADCAST_TERMS = 500_000  # (query, term) rows that may be broadcast, at about 50 bytes
 
 
@@ -48,7 +47,7 @@ def knn(table: DataFrame, vector: list[float], k: int, id_col: str = "chunk_id",
     return top.select(id_col, "distance", F.row_number().over(W.Window.orderBy("distance", id_col)).alias("rank"), S.dense_score(F.col("distance")).alias("dense_score"))
 
 
-def _distances(rows: np.ndarray, asked: np.ndarray, metric: str) -> np.ndarray:
+def distances(rows: np.ndarray, asked: np.ndarray, metric: str) -> np.ndarray:
     """METRICS of each query with each row, summed in the order of the vectors' places as there."""
     total, square, asked_square = np.zeros((len(asked), len(rows))), np.zeros(len(rows)), np.zeros(len(asked))
     for a, b in zip(rows.T, asked.T, strict=True):
@@ -64,40 +63,13 @@ def _distances(rows: np.ndarray, asked: np.ndarray, metric: str) -> np.ndarray:
 def knn_many(table: DataFrame, queries: DataFrame, k: int, id_col: str = "chunk_id", vector_col: str = "vector", metric: str = "l2") -> DataFrame:
     """For queries (query_id, vector), the k nearest rows of each: query_id, id, distance, rank (from 1), dense_score.
 
-    Blocks of queries meet blocks of rows, and each pair of blocks sends k rows a query. Rows and queries with a null id are left out;
+    Exact, by an index that is made for this search; vectors.VectorIndex keeps one. Rows and queries with a null id are left out;
     query_ids are distinct. A vector of another length, or a null one, raises in the job.
     """
+    from quern.operators import vectors
+
     _positive(k=k)
-    metric = metric.lower()
-    if metric not in METRICS:
-        raise ValueError(f"unknown metric {metric}")
-    rows = table.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector_col).alias("vector"))
-    asked = queries.where("query_id is not null").select("query_id", F.col("vector").alias("asked"))
-    n_rows, n_asked = -(-rows.count() // BLOCK_ROWS) or 1, -(-asked.count() // BLOCK_QUERIES) or 1
-    place = lambda n, *c: F.pmod(F.xxhash64(*c), F.lit(n)).cast("int")
-    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = rows.select("id", "vector", place(n_rows, "id", "vector").alias("row_block"), all_of(n_asked).alias("asked_block"))
-    right = asked.select("query_id", "asked", place(n_asked, "query_id").alias("asked_block"), all_of(n_rows).alias("row_block"))
-    kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {table.schema[id_col].dataType.simpleString()}, distance double"
-
-    def nearest(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({"query_id": theirs["query_id"][:0], "id": mine["id"][:0], "distance": np.zeros(0)})]
-        if len(mine) and len(theirs):
-            lengths = {None if v is None else len(v) for v in (*mine["vector"], *theirs["asked"])}
-            if len(lengths) != 1 or None in lengths:
-                raise ValueError("vector length differs from the query's")
-            found = _distances(np.stack(list(mine["vector"])).astype(float), np.stack(list(theirs["asked"])).astype(float), metric)
-            for query_id, distance in zip(theirs["query_id"], found, strict=True):
-                near = np.flatnonzero(~(distance > np.partition(distance, k - 1)[k - 1])) if k < len(distance) else np.arange(len(distance))
-                best = pd.DataFrame({"id": mine["id"].to_numpy()[near], "distance": distance[near]}).sort_values(["distance", "id"]).head(k)
-                out.append(best.assign(query_id=query_id))
-        return pd.concat(out[1:] or out)[["query_id", "id", "distance"]]
-
-    keys = ["row_block", "asked_block"]
-    met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(nearest, kinds)
-    rank = F.row_number().over(W.Window.partitionBy("query_id").orderBy("distance", "id"))
-    top = met.withColumn("rank", rank).where(F.col("rank") <= k)
-    return top.select("query_id", F.col("id").alias(id_col), "distance", "rank", S.dense_score(F.col("distance")).alias("dense_score"))
+    return vectors.temporary(table, id_col, vector_col, metric).search(queries, k)
 
 
 def terms(text: Column) -> Column:

@@ -35,6 +35,10 @@ def delete(spark: SparkSession, path: str) -> None:
     files.delete(target, True)
 
 
+def new_name() -> str:
+    return uuid.uuid4().hex
+
+
 def delete_at_end(spark: SparkSession, path: str) -> None:
     """Delete a folder when the driver's file system closes."""
     files, target = _at(spark, path)
@@ -45,7 +49,7 @@ def settled(df: DataFrame) -> DataFrame:
     """df with its rows written down in the shared folder: whatever reads it twice reads the same. It is deleted when the driver's file
     system closes."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/settled-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/settled-{new_name()}"
     df.write.parquet(path)
     delete_at_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)

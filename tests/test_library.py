@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.functions import scalars as S
-from quern.operators import chunking, evaluation, fulltext, listing, projection, retrieval, skew
+from quern.operators import chunking, evaluation, fulltext, listing, projection, retrieval, skew, vectors
 from quern.plans import queries as plans
 from quern.schema import CHUNK_SCHEMA
 from quern.sources import files, models, settings
@@ -534,8 +534,8 @@ def test_settings(tmp_path):
 
 @pytest.mark.parametrize("metric", ["l2", "cosine", "dot"])
 def test_knn_of_many_queries_agrees_with_one_at_a_time(spark, monkeypatch, metric):
-    monkeypatch.setattr(retrieval, "BLOCK_ROWS", 7)
-    monkeypatch.setattr(retrieval, "BLOCK_QUERIES", 2)
+    monkeypatch.setattr(vectors, "BLOCK_QUERIES", 2)
+    monkeypatch.setattr(vectors, "PUSHED_SHELLS", 3)
     made = [(i, [float(i * 7 % 5), float(i % 3), 0.0 if i % 10 == 0 else float(-i % 4)]) for i in range(40)]
     table = spark.createDataFrame(made, "chunk_id long, vector array<float>")
     asked = table.where("chunk_id % 10 = 0").withColumnRenamed("chunk_id", "query_id")
