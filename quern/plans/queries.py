@@ -15,7 +15,7 @@ from quern.functions import scalars as S
 from quern.operators import chunking, evaluation, fulltext, listing, projection, retrieval
 from quern.sources import shared
 from quern.sources.buckets import BucketedTable
-from quern.streaming import requests
+from quern.streaming import jobs, requests
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -719,6 +719,33 @@ def redeem_tickets(spark, d):
     return requests.redeem_tickets(rows, seconds=7200).select("event_id", "ticket", "accepted")
 
 
+_MOVES = ", ".join(f"('{s}', '{e}', '{after}')" for before, e, after in jobs.MOVES for s in before.split())
+_STEPS = ["queued", "reading", "parsing", "embedding", "finalizing", "reading", "parsing", "completed"]  # what most jobs log, in turn
+
+
+@query(f"""
+WITH RECURSIVE logged AS (
+  SELECT user_id AS job_id, event_id AS seq, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i,
+         CASE WHEN event_id % 13 = 0 THEN 'restarted' WHEN event_id % 17 = 0 THEN 'failed' WHEN event_id % 19 = 0 THEN 'unheard of'
+              ELSE {_STEPS}[(row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) % {len(_STEPS)} + 1] END AS event
+  FROM events
+), moves AS (SELECT * FROM (VALUES {_MOVES}) m(before, event, after)),
+walk AS (
+  SELECT 0::BIGINT AS i, job_id, NULL::BIGINT AS seq, NULL::VARCHAR AS event, 'none'::VARCHAR AS state, true AS valid FROM (SELECT DISTINCT job_id FROM logged)
+  UNION ALL
+  SELECT l.i, l.job_id, l.seq, l.event, coalesce(m.after, w.state), m.after IS NOT NULL
+  FROM walk w JOIN logged l ON l.job_id = w.job_id AND l.i = w.i + 1 LEFT JOIN moves m ON m.before = w.state AND m.event = l.event
+)
+SELECT job_id, seq, event, state, valid FROM walk WHERE i > 0
+""")
+def job_states(spark, d):
+    """The state of each job after each of its events, and which of these weren't allowed."""
+    e, place = F.col("event_id"), F.row_number().over(W.Window.partitionBy("user_id").orderBy("event_id")) - 1
+    step = F.element_at(F.lit(_STEPS), (place % len(_STEPS)).cast("int") + 1)
+    event = F.when(e % 13 == 0, "restarted").when(e % 17 == 0, "failed").when(e % 19 == 0, "unheard of").otherwise(step)
+    return jobs.job_states(table(spark, d, "events").select(F.col("user_id").alias("job_id"), e.alias("seq"), event.alias("event")))
+
+
 # stored chunks
 
 

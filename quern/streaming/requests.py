@@ -11,19 +11,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-SCHEMA = "event_id long, client long, ts_us long, accepted boolean"
-
+from quern.streaming.stateful import admit, rate_limit_stream, redeem_tickets_stream
 
-def admit(times: list[int], window: deque, limit: int, seconds: int = 60, exempt: list[bool] | None = None) -> list[bool]:
-    """Entries of age >= seconds leave the window; a request is accepted, and recorded, while fewer than limit are in it, or if exempt."""
-    out = []
-    for k, t in enumerate(times):
-        while window and t - window[0] >= seconds * 1_000_000:
-            window.popleft()
-        out.append(len(window) < limit or bool(exempt and exempt[k]))
-        if out[-1]:
-            window.append(t)
-    return out
+__all__ = ["admit", "rate_limit", "rate_limit_stream", "recover_jobs", "redeem_tickets", "redeem_tickets_stream", "telemetry_stream", "write_changes"]
+SCHEMA = "event_id long, client long, ts_us long, accepted boolean"
 
 
 def rate_limit(requests: DataFrame, limit: int = 100, seconds: int = 60) -> DataFrame:
@@ -49,27 +40,6 @@ def rate_limit(requests: DataFrame, limit: int = 100, seconds: int = 60) -> Data
     return ordered.mapInPandas(run, SCHEMA)
 
 
-def rate_limit_stream(requests: DataFrame, limit: int = 100, seconds: int = 60, idle_seconds: int | None = 3600) -> DataFrame:
-    """The same on a stream: each client's window is its state; a micro-batch is decided in order of time.
-
-    The state of a client of whom nothing came for idle_seconds of the clock is dropped, for which the query goes on with batches without
-    data. None: it is kept for ever.
-    """
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: object) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        window = deque(state.get[0] if state.exists else [])
-        frame = pd.concat(list(frames)).sort_values(["ts_us", "event_id"])
-        accepted = admit(frame["ts_us"].tolist(), window, limit, seconds)
-        state.update((list(window),))
-        if idle_seconds is not None:
-            state.setTimeoutDuration(max(idle_seconds, seconds) * 1000)
-        yield frame[["event_id", "client", "ts_us"]].assign(accepted=accepted)
-
-    return requests.groupBy("client").applyInPandasWithState(run, SCHEMA, "times array<long>", "append", "NoTimeout" if idle_seconds is None else "ProcessingTimeTimeout")
-
-
 def redeem_tickets(events: DataFrame, seconds: int = 60) -> DataFrame:
     """events (event_id, ticket, ts_us, issued): accepted of each use, that is of each row not issued.
 
