@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import window as W
 
 from quern.functions import scalars as S
+from quern.operators.skew import join_in_parts
 from quern.sources.shared import settled
 
 MOST_IDS = 10_000  # ids of a list that are written into the plan
-MOST_CASES = 10_000  # names that every document is compared with
+GRAM = 3  # characters of the pieces by which names are looked for
+RANGE_ROWS = 100_000  # rows of a range of a paged table
 
 
 def filter_equal(df: DataFrame, **values: str | None) -> DataFrame:
@@ -48,6 +51,42 @@ def page(df: DataFrame, number: int, size: int, *order: str) -> DataFrame:
     return rows.withColumn("chunk_num", F.row_number().over(W.Window.orderBy(*order)) + begin)
 
 
+class PagedRows:
+    """Rows in a total order, written in ranges of it with the number of rows of each: a page reads the ranges that hold it."""
+
+    def __init__(self, spark: SparkSession, folder: str, order: list[str]):
+        self.spark, self.folder, self.order = spark, folder, order
+        self.schema = spark.read.parquet(f"{folder}/schema").schema
+        self.counts = {r.range: r.n for r in spark.read.parquet(f"{folder}/counts").orderBy("range").collect()}  # a row for each range
+
+    @classmethod
+    def write(cls, df: DataFrame, folder: str, *order: str, rows: int = RANGE_ROWS) -> PagedRows:
+        """rows: of a range, about. The columns of df may not be called range."""
+        ranges = max(1, -(-df.count() // rows))
+        ranged = df.repartitionByRange(ranges, *order).withColumn("range", F.spark_partition_id()).sortWithinPartitions(*order)
+        ranged.write.partitionBy("range").parquet(f"{folder}/rows")
+        df.sparkSession.createDataFrame([], T.StructType([*df.schema.fields, T.StructField("range", T.IntegerType())])).write.parquet(f"{folder}/schema")
+        schema = T.StructType([df.schema[order[0]], T.StructField("range", T.IntegerType())])
+        df.sparkSession.read.schema(schema).parquet(f"{folder}/rows").groupBy("range").agg(F.count("*").alias("n")).coalesce(1).write.parquet(f"{folder}/counts")
+        return cls(df.sparkSession, folder, list(order))
+
+    def total(self) -> int:
+        return sum(self.counts.values())
+
+    def page(self, number: int, size: int) -> DataFrame:
+        """One page (from 1) with chunk_num counted over all pages; beyond the last one no rows."""
+        if number < 1 or not 1 <= size <= 100:
+            raise ValueError("page must be at least 1, size within 1..100")
+        begin, before, held = (number - 1) * size, 0, []
+        for r, n in self.counts.items():
+            if before < begin + size and before + n > begin:
+                held.append((r, before))
+            before += n
+        rows = self.spark.read.schema(self.schema).parquet(f"{self.folder}/rows").where(F.col("range").isin([r for r, _ in held]))
+        place = F.row_number().over(W.Window.orderBy(*self.order)) + F.lit(held[0][1] if held else 0)
+        return rows.withColumn("chunk_num", place).where(F.col("chunk_num").between(begin + 1, begin + size)).drop("range").orderBy("chunk_num")
+
+
 def sample(df: DataFrame, size: int = 500, *order: str) -> DataFrame:
     """The first rows of a fixed order, as a repeatable sample."""
     if not 1 <= size <= 1000:
@@ -122,19 +161,36 @@ def tail_then_sort(df: DataFrame, keep: int, inserted: str, shown: str) -> DataF
     return df.orderBy(F.desc(inserted)).limit(keep).orderBy(F.desc(shown), F.desc(inserted))
 
 
+def _grams(text: Column) -> Column:
+    """The distinct pieces of GRAM characters of a text, and those of fewer."""
+    none = F.expr("cast(array() as array<string>)")
+
+    def pieces(n: int) -> Column:
+        found = F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.substring(text, i, F.lit(n)))
+        return F.when(F.length(text) >= n, found).otherwise(none)
+
+    return F.array_distinct(F.concat(*map(pieces, range(1, GRAM + 1))))
+
+
 def exists_containing(cases: DataFrame, docs: DataFrame, expected: str, path: str) -> DataFrame:
     """cases with a column found: does any document's path contain the expected name?
 
-    Cases are a stated query set: more than MOST_CASES different names are an error. They are literals of the plan, so every path is read
-    once and only names that it contains leave the scan.
+    Both sides may have any number of rows: a name is looked for where its rarest piece of GRAM characters stands (a shorter name is a piece
+    itself), and compared with those paths alone. Every path contains the empty name; null names and null paths match nothing.
     """
-    asked = [r[0] for r in cases.where(F.col(expected).isNotNull()).select(expected).distinct().limit(MOST_CASES + 1).collect()]
-    if len(asked) > MOST_CASES:
-        raise ValueError(f"more than {MOST_CASES} names")
-    names = docs.select(F.col(path).alias("_path")).distinct()
-    within = F.filter(F.lit(sorted(asked)) if asked else F.expr("cast(array() as array<string>)"), lambda e: F.contains(F.col("_path"), e))
-    hits = names.select(F.explode(within).alias("_expected")).distinct()
-    return cases.join(F.broadcast(hits), F.col(expected) == F.col("_expected"), "left").withColumn("found", F.col("_expected").isNotNull()).drop("_expected")
+    names = cases.where(F.col(expected).isNotNull()).select(F.col(expected).alias("name")).distinct()
+    paths = docs.where(F.col(path).isNotNull()).select(F.col(path).alias("path")).distinct()
+    whole = F.greatest(F.least(F.length("name"), F.lit(GRAM)), F.lit(1))
+    asked = names.select("name", F.explode(F.filter(_grams(F.col("name")), lambda g: F.length(g) == whole)).alias("gram"))
+    held = settled(paths.select("path", F.explode(_grams(F.col("path"))).alias("gram")).join(asked.select("gram").distinct(), "gram", "left_semi"))
+    counts = held.groupBy("gram").agg(F.count("*").alias("n"))
+    # a name with a piece that no path has is in none
+    rarest = asked.join(counts, "gram", "left").groupBy("name").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("least")).where("least.n > 0").select("name", "least.gram")
+    sought = settled(rarest.join(counts, "gram").groupBy("gram", "n").agg(F.collect_list("name").alias("names")))
+    hits = join_in_parts(held, sought, "gram").select("path", F.explode("names").alias("name")).where(F.contains("path", F.col("name"))).select("name").distinct()
+    if paths.limit(1).count():
+        hits = hits.unionByName(names.where("name = ''"))
+    return cases.join(hits.withColumn("found", F.lit(True)), F.col(expected) == F.col("name"), "left").withColumn("found", F.coalesce("found", F.lit(False))).drop("name")
 
 
 def changes(df: DataFrame, key: str, order: str, value: str) -> DataFrame:

@@ -86,7 +86,10 @@ def point_lookup(spark, d):
 
 @query("SELECT doc_id, source, row_number() OVER (ORDER BY doc_id) AS chunk_num FROM documents WHERE lang = 'en' QUALIFY chunk_num BETWEEN 21 AND 40")
 def page(spark, d):
-    return listing.page(docs(spark, d).where("lang = 'en'").select("doc_id", "source"), 2, 20, "doc_id").withColumn("chunk_num", F.col("chunk_num").cast("long"))
+    folder = f"{shared.shared_dir(spark)}/paged-{uuid.uuid4().hex}"
+    shared.delete_at_end(spark, folder)
+    rows = listing.PagedRows.write(docs(spark, d).where("lang = 'en'").select("doc_id", "source"), folder, "doc_id")
+    return rows.page(2, 20).withColumn("chunk_num", F.col("chunk_num").cast("long"))
 
 
 @query("SELECT count(*) AS total FROM documents WHERE lang = 'en'")
@@ -613,10 +616,15 @@ def distinct_titles(spark, d):
     return listing.ordered_distinct(docs(spark, d), "source", "lang", "doc_id").withColumnRenamed("source", "case_id")
 
 
-@query("SELECT c.expected, EXISTS (SELECT 1 FROM pages p WHERE contains(p.url, c.expected)) AS found FROM (VALUES ('/en/2'), ('nowhere'), ('.html')) c(expected)")
+#: Pieces of each page's url: from a place that the id gives on, and as many characters as it says, of which some are changed.
+_PIECE = "CASE WHEN page_id % 5 = 4 THEN replace(substr(url, 5 + CAST(page_id % 11 AS INT), 1 + CAST(page_id % 17 AS INT)), '1', '7#') ELSE substr(url, 5 + CAST(page_id % 11 AS INT), 1 + CAST(page_id % 17 AS INT)) END"
+
+
+@query(f"SELECT page_id, expected, EXISTS (SELECT 1 FROM pages p WHERE contains(p.url, expected)) AS found FROM (SELECT page_id, {_PIECE} AS expected FROM pages) c")
 def exists_doc(spark, d):
-    cases = spark.createDataFrame([("/en/2",), ("nowhere",), (".html",)], "expected string")
-    return listing.exists_containing(cases, table(spark, d, "pages"), "expected", "url")
+    """For a piece of each page's url: is it in any url?"""
+    pages = table(spark, d, "pages")
+    return listing.exists_containing(pages.select("page_id", F.expr(_PIECE).alias("expected")), pages, "expected", "url")
 
 
 # telemetry

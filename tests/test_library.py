@@ -224,9 +224,6 @@ def test_lists_and_cases_of_any_size(spark, monkeypatch):
     docs = spark.createDataFrame([("x/a%b.pdf",), (None,)], "path string")
     assert {r.expected: r.found for r in listing.exists_containing(cases, docs, "expected", "path").collect()} == {"a%": True, "b": True, None: False}
     assert not any(r.found for r in listing.exists_containing(cases, docs.limit(0), "expected", "path").collect())
-    monkeypatch.setattr(listing, "MOST_CASES", 1)
-    with pytest.raises(ValueError, match="names"):
-        listing.exists_containing(cases, docs, "expected", "path")
 
 
 def test_full_text_index(spark, data, tmp_path):
