@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from quern.llm.scratch import bound_batches
 
 CACHE_WORDS = 400_000
-SLICE = 1_000_000  # characters that are looked at at once
+SLICE = 2_000_000  # characters that are looked at at once
 NO_RANK = np.int64(1 << 40)
 
 
