@@ -38,6 +38,10 @@ def snapshot_key(table: DataFrame) -> str:
     return f"{n}-{int(digest) & (1 << 64) - 1:016x}"
 
 
+#: What a set of queries does with tables that have a term.
+Asked = tuple[Callable[[DataFrame], DataFrame], Callable[[DataFrame], DataFrame]]
+
+
 def _addition(idf: Column, tf: Column, dl: Column, avgdl: Column) -> Column:
     """What a term adds to a score; it grows with tf and falls with dl."""
     return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
@@ -175,7 +179,7 @@ class FullTextIndex:
         sums = self._part("sums").agg(F.sum("n").alias("n"), F.sum("words").alias("words"))
         return sums.select("n", F.coalesce(F.try_divide(F.col("words").cast("double"), F.col("n")), F.lit(0.0)).alias("avgdl"))
 
-    def _asked(self, queries: DataFrame, broadcast_terms: int) -> tuple[Callable[[DataFrame], DataFrame], Callable[[DataFrame], DataFrame]]:
+    def _asked(self, queries: DataFrame, broadcast_terms: int) -> Asked:
         """Two functions of tables with a term: one adds query_id, idf and avgdl for each query that asks for it; one filters by terms."""
         asked = asked_terms(queries)
         few = [r.term for r in asked.select("term").distinct().limit(PUSHED_TERMS + 1).collect()]
@@ -188,29 +192,26 @@ class FullTextIndex:
         each = settled(weighed.join(asked, "term").groupBy("term").agg(F.collect_list("query_id").alias("query_ids"), F.first("idf").alias("idf"), F.first("avgdl").alias("avgdl"), F.first("df").alias("n")))
         return (lambda t: join_in_parts(t, each, "term").withColumn("query_id", F.explode("query_ids")).drop("query_ids")), only
 
-    def bounds(self, queries: DataFrame, broadcast_terms: int = BROADCAST_TERMS) -> DataFrame:
-        """query_id, segment, block and bound: what no document of a block can surpass, for the blocks that have a term of the query."""
-        met, only = self._asked(queries, broadcast_terms)
+    def _bounds(self, asked: Asked) -> DataFrame:
+        met, only = asked
         heads = only(self._part("postings").select("term", "segment", "block", "most_tf", "least_dl"))
         most = _addition(F.col("idf"), F.col("most_tf"), F.col("least_dl"), F.col("avgdl"))
         return met(heads).groupBy("query_id", "segment", "block").agg(F.sum(most).alias("bound"))
 
-    def needed(self, queries: DataFrame, k: int, broadcast_terms: int = BROADCAST_TERMS) -> DataFrame:
-        """The rows of bounds() that reach the k-th score among the k blocks of the largest bounds."""
-        bounds = settled(self.bounds(queries, broadcast_terms))
+    def _needed(self, asked: Asked, k: int) -> DataFrame:
+        bounds = settled(self._bounds(asked))
         place = F.row_number().over(W.Window.partitionBy("query_id").orderBy(F.desc("bound"), "segment", "block"))
         first = bounds.withColumn("place", place).where(F.col("place") <= k).drop("place")
-        least = settled(self._ranked(queries, first, k, broadcast_terms).where(F.col("rank") == k).select("query_id", F.col("score").alias("least")))
+        least = settled(self._ranked(asked, first, k).where(F.col("rank") == k).select("query_id", F.col("score").alias("least")))
         return bounds.join(least, "query_id", "left").where(F.col("least").isNull() | (F.col("bound") + HALF >= F.col("least"))).drop("least")
 
-    def _ranked(self, queries: DataFrame, blocks: DataFrame, k: int, broadcast_terms: int) -> DataFrame:
+    def _ranked(self, asked: Asked, blocks: DataFrame, k: int) -> DataFrame:
         """The k best of the documents in blocks (query_id, segment, block)."""
-        met, only = self._asked(queries, broadcast_terms)
-        blocks = settled(blocks.select("query_id", "segment", "block"))
+        met, only = asked
         few = [r.block for r in blocks.select("block").distinct().limit(PUSHED_TERMS + 1).collect()]
         read = only(self._part("postings").select("term", "segment", "block", "entries"))
         read = read.where(F.col("block").isin(sorted(few))) if len(few) <= PUSHED_TERMS else read
-        rows = met(read).join(blocks, ["query_id", "segment", "block"], "left_semi").select("query_id", "segment", "idf", "avgdl", F.explode("entries").alias("x"))
+        rows = met(read).join(blocks.select("query_id", "segment", "block"), ["query_id", "segment", "block"], "left_semi").select("query_id", "segment", "idf", "avgdl", F.explode("entries").alias("x"))
         rows, dead = rows.select("query_id", "segment", "idf", "avgdl", "x.*"), self._dead()
         rows = rows if dead is None else rows.join(dead, ["id", "segment"], "left_anti")
         part = _addition(F.col("idf"), F.col("tf"), F.col("dl"), F.col("avgdl"))
@@ -218,8 +219,17 @@ class FullTextIndex:
         rank = F.row_number().over(W.Window.partitionBy("query_id").orderBy(F.desc("score"), self.id_col))
         return best.withColumn("rank", rank).where(F.col("rank") <= k)
 
+    def bounds(self, queries: DataFrame, broadcast_terms: int = BROADCAST_TERMS) -> DataFrame:
+        """query_id, segment, block and bound: what no document of a block can surpass, for the blocks that have a term of the query."""
+        return self._bounds(self._asked(queries, broadcast_terms))
+
+    def needed(self, queries: DataFrame, k: int, broadcast_terms: int = BROADCAST_TERMS) -> DataFrame:
+        """The rows of bounds() that reach the k-th score among the k blocks of the largest bounds."""
+        return self._needed(self._asked(queries, broadcast_terms), k)
+
     def search(self, queries: DataFrame, k: int, broadcast_terms: int = BROADCAST_TERMS) -> DataFrame:
         """For queries (query_id, query), the k best rows of each: query_id, id, score (4 digits), rank. Terms are alternatives."""
         if k <= 0:
             raise ValueError("k must be positive")
-        return self._ranked(queries, self.needed(queries, k, broadcast_terms), k, broadcast_terms)
+        asked = self._asked(queries, broadcast_terms)
+        return self._ranked(asked, self._needed(asked, k), k)
