@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
+from quern.sources import shared
 from quern.streaming.stateful import admit, rate_limit_stream, redeem_tickets_stream
 
 __all__ = ["admit", "rate_limit", "rate_limit_stream", "recover_jobs", "redeem_tickets", "redeem_tickets_stream", "telemetry_stream", "write_changes"]
@@ -56,18 +57,24 @@ def telemetry_stream(samples: DataFrame) -> DataFrame:
     return samples.groupBy("phase").agg(F.count("*").alias("n"), F.sum("seconds").alias("total"), F.avg("seconds").alias("mean"))
 
 
-def write_changes(snapshots: DataFrame, write: Callable[[DataFrame, int], None], *ignored: str) -> DataStreamWriter:
+def write_changes(snapshots: DataFrame, write: Callable[[DataFrame, int], None], *ignored: str, folder: str | None = None) -> DataStreamWriter:
     """A writer of a complete-mode stream that calls write(rows, batch) only where the rows differ from the last ones written, but for
-    the ignored columns (a time of the snapshot, say)."""
-    last: dict[str, object] = {}
+    the ignored columns (a time of the snapshot, say). folder: a shared one, beside the checkpoint say, that keeps a digest of the last
+    rows, so that a restart doesn't write them again; it is noted after the writing, so that a crash between writes them twice."""
+    spark = snapshots.sparkSession
+    noted = f"{folder}/last-written"
+    last: dict[str, object] = {"state": shared.read_text(spark, noted)} if folder and shared.exists(spark, noted) else {}
 
     def each(rows: DataFrame, batch: int) -> None:
         rows = rows.persist()
         compared = [c for c in rows.columns if c not in ignored]
-        state = tuple(rows.agg(F.count("*"), F.sum(F.xxhash64(*compared).cast("decimal(38,0)"))).first())
+        state = " ".join(map(str, rows.agg(F.count("*"), F.sum(F.xxhash64(*compared).cast("decimal(38,0)"))).first()))
         if state != last.get("state"):
             write(rows, batch)
             last["state"] = state
+            if folder:
+                shared.delete(spark, noted)
+                shared.write_new(spark, noted, state)
         rows.unpersist()
 
     return snapshots.writeStream.outputMode("complete").foreachBatch(each)

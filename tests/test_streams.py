@@ -111,3 +111,28 @@ def test_jobs_on_a_stream(spark, tmp_path, made):
     frame = spark.createDataFrame(some, "job_id long, seq long, event string")
     got = streamed(spark, frame, ["seq < 150", "seq between 150 and 10300", "seq > 10300"], jobs.job_states_stream, str(tmp_path))
     assert sorted(got, key=repr) == walked(some)
+
+
+def test_unchanged_snapshots_are_not_written_again_after_a_restart(spark, tmp_path):
+    os.makedirs(f"{tmp_path}/in")
+    frame = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "phase string, seconds double")
+    source = spark.readStream.schema(frame.schema).parquet(f"{tmp_path}/in")
+    written = []
+
+    def run():
+        snapshots = requests.telemetry_stream(source).withColumn("at", F.current_timestamp())
+        q = requests.write_changes(snapshots, lambda rows, _: written.append(rows.count()), "at", folder=f"{tmp_path}/cp").option("checkpointLocation", f"{tmp_path}/cp").start()
+        try:
+            q.processAllAvailable()
+        finally:
+            q.stop()
+
+    frame.write.mode("append").parquet(f"{tmp_path}/in")
+    run()
+    assert written == [2]
+    frame.limit(0).write.mode("append").parquet(f"{tmp_path}/in")  # a batch without rows
+    run()
+    assert written == [2]
+    frame.limit(1).write.mode("append").parquet(f"{tmp_path}/in")
+    run()
+    assert written == [2, 2]
