@@ -35,6 +35,13 @@ def delete(spark: SparkSession, path: str) -> None:
     files.delete(target, True)
 
 
+def move(spark: SparkSession, path: str, to: str) -> None:
+    """A folder gets another name, under which nothing may be."""
+    files, target = _at(spark, path)
+    if files.exists(_at(spark, to)[1]) or not files.rename(target, _at(spark, to)[1]):
+        raise ValueError(f"{to} is there")
+
+
 def new_name() -> str:
     return uuid.uuid4().hex
 

@@ -3,10 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
-import shutil
-import uuid
-import zipfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,12 +10,11 @@ from pyspark.sql import functions as F
 
 from quern.operators.listing import batch_number
 from quern.schema import CHUNK_SCHEMA
-from quern.sources import shared
+from quern.sources import archives, shared
 from quern.sources.buckets import BucketedTable, merge
 from quern.sources.models import embed
 
-__all__ = ["ChunkStore", "import_archive", "merge", "validate_members"]
-MAX_MEMBERS, MAX_BYTES = 10_000, 10 << 30
+__all__ = ["ChunkStore", "import_archive", "merge"]
 
 
 class ChunkStore:
@@ -60,58 +55,32 @@ class ChunkStore:
         return n
 
     def export(self, path: str, model: str) -> None:
-        """A ZIP of the table and its metadata, for a table on the driver's own disk."""
-        with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
-            z.writestr("metadata.json", json.dumps({"format": "quern-1", "embeddingModel": model, "dimension": self.dimension}))
-            for file in self.table.files():
-                at = f"{self.folder}/data/{file.written}/bucket={file.bucket}"
-                for name in sorted(n for n in os.listdir(at) if n.endswith(".parquet")):
-                    z.write(f"{at}/{name}", f"chunks.parquet/{file.bucket}-{name}")
-
-
-def validate_members(archive: zipfile.ZipFile) -> None:
-    """Bounds, no absolute or climbing paths, no links, intact contents."""
-    members = archive.infolist()
-    if len(members) > MAX_MEMBERS or sum(m.file_size for m in members) > MAX_BYTES:
-        raise ValueError("archive too large")
-    for m in members:
-        parts = m.filename.replace("\\", "/").split("/")
-        if m.filename.startswith(("/", "\\")) or ".." in parts or ":" in parts[0] or (m.external_attr >> 16) & 0o170000 == 0o120000:
-            raise ValueError(f"unsafe member {m.filename}")
-    if archive.testzip():
-        raise ValueError("corrupt archive")
+        """The table as a folder of archives, written by tasks, with its metadata."""
+        archives.register(self.spark)
+        metadata = json.dumps({"format": "quern-1", "embeddingModel": model, "dimension": self.dimension})
+        self.read().write.format(archives.NAME).option("metadata", metadata).mode("append").save(path)
 
 
 def import_archive(spark: SparkSession, path: str, folder: str) -> dict:
-    """Check and unpack an export into a new folder; the metadata. A single wrapping folder is allowed."""
+    """Read an archive, or a folder of them, into a new table; the metadata. The table is there when all of it has been read and checked."""
+    members, found = archives.directory(path)
+    if not members:
+        raise ValueError("archive has no chunk table")
+    archives.register(spark)
+    table = spark.read.format(archives.NAME).load(path)
+    if "vector" not in table.columns:
+        raise ValueError("chunk table has no vectors")
+    meta = found or {"format": "imported", "embeddingModel": "unknown"}
+    first = table.select(F.size("vector").alias("d")).where("d > 0").first()
+    dimension = first.d if first else meta.get("dimension", 0)
+    if not dimension or meta.setdefault("dimension", dimension) != dimension:
+        raise ValueError("dimension differs from the metadata's")
+    named = set(table.columns)
+    fields = [(F.col(c.name) if c.name in named else F.lit(None)).cast(c.dataType.simpleString()).alias(c.name) for c in CHUNK_SCHEMA]
+    stage = f"{folder}.stage-{shared.new_name()}"
     try:
-        archive = zipfile.ZipFile(path)
-    except zipfile.BadZipFile as e:
-        raise ValueError("not a ZIP archive") from e
-    with archive as z:
-        validate_members(z)
-        names = [n for n in z.namelist() if not n.endswith("/")]
-        wrap = names[0].split("/")[0] + "/" if names and all("/" in n and n.split("/")[0] == names[0].split("/")[0] for n in names) and not names[0].startswith("chunks.parquet/") else ""
-        tables = [n for n in names if n.startswith(f"{wrap}chunks.parquet/")]
-        if not tables:
-            raise ValueError("archive has no chunk table")
-        stage = f"{folder}.stage-{uuid.uuid4().hex}"
-        try:
-            os.makedirs(f"{stage}/unpacked")
-            for n in tables:
-                with z.open(n) as src, open(f"{stage}/unpacked/{os.path.basename(n)}", "wb") as dst:
-                    shutil.copyfileobj(src, dst)
-            meta = json.loads(z.read(f"{wrap}metadata.json")) if f"{wrap}metadata.json" in names else {"format": "imported", "embeddingModel": "unknown"}
-            table = spark.read.parquet(f"{stage}/unpacked")
-            if "vector" not in table.columns:
-                raise ValueError("chunk table has no vectors")
-            first = table.select(F.size("vector").alias("d")).where("d > 0").first()
-            dimension = first.d if first else meta.get("dimension", 0)
-            if not dimension or meta.setdefault("dimension", dimension) != dimension:
-                raise ValueError("dimension differs from the metadata's")
-            ChunkStore(spark, stage, dimension).upsert(table)
-            shutil.rmtree(f"{stage}/unpacked")
-            os.replace(stage, folder)
-        finally:
-            shutil.rmtree(stage, ignore_errors=True)
+        ChunkStore(spark, stage, dimension).upsert(table.select(*fields))
+        shared.move(spark, stage, folder)
+    finally:
+        shared.delete(spark, stage)
     return meta
