@@ -204,6 +204,7 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, re
     often = own.groupBy("lang", "word").agg(F.sum("f").alias("f")).where(F.col("f") >= least).withColumn("rarity", -F.col("f"))
     # frequent words get small numbers, which take few bytes in an exchange
     words = save(batch_number(save(often), "rarity").select("lang", "word", "f", F.col("place").cast("long").alias("id")))
+    v = words.count() + 1  # ids are from 1; a pair is one number, first * v + second, which takes fewer bytes in an exchange than two
     told = own.join(words.select("lang", "word", "id"), ["lang", "word"]).groupBy("block").agg(F.collect_list(F.struct("place", "id")).alias("known"))
 
     def only_frequent(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -224,26 +225,27 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, re
             for block, stream, ids in zip(frame["block"], frame["stream"], frame["ids"], strict=True):
                 maps = Bitmaps(np.frombuffer(stream, dtype=_narrow(len(ids))))
                 for key, n in pair_counts(maps):
-                    yield pd.DataFrame({"block": block, "one": ids[key // maps.n_words], "two": ids[key % maps.n_words], "f": n})
+                    yield pd.DataFrame({"pair": ids[key // maps.n_words] * v + ids[key % maps.n_words], "block": block, "f": n})
 
     # a pair has one row a block: its rows are summed and known to be frequent in one exchange, and those that are go back to their blocks
-    sent = ready.mapInPandas(pairs_of, "block long, one long, two long, f long")
-    pairs = save(sent.withColumn("f", F.sum("f").over(W.Window.partitionBy("one", "two"))).where(F.col("f") >= least))
-    phrases = pairs.groupBy("one", "two").agg(F.max("f").alias("f")).select(F.array("one", "two").alias("ids"), "f")
+    sent = ready.mapInPandas(pairs_of, "pair long, block long, f long")
+    pairs = save(sent.withColumn("f", F.sum("f").over(W.Window.partitionBy("pair"))).where(F.col("f") >= least))
+    phrases = pairs.groupBy("pair").agg(F.max("f").alias("f")).select(F.array(F.expr(f"pair div {v}"), F.col("pair") % v).alias("ids"), "f")
 
     if longest > 2:
         columns = [f"w{k}" for k in range(longest)]  # -1 after a phrase's end
 
         def longer_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for frame in frames:
-                for stream, ids, one, two in zip(frame["stream"], frame["ids"], frame["ones"], frame["twos"], strict=True):
+                for stream, ids, told in zip(frame["stream"], frame["ids"], frame["told"], strict=True):
                     maps, order = Bitmaps(np.frombuffer(stream, dtype=_narrow(len(ids)))), np.argsort(ids, kind="stable")
-                    number = lambda x: order[np.searchsorted(ids, np.asarray(x, dtype=np.int64), sorter=order)]  # noqa: B023, E731
-                    for found, counts in longer_counts(maps, np.sort(number(one) * maps.n_words + number(two)), longest):
+                    number = lambda x: order[np.searchsorted(ids, x, sorter=order)]  # noqa: B023, E731
+                    told = np.asarray(told, dtype=np.int64)
+                    for found, counts in longer_counts(maps, np.sort(number(told // v) * maps.n_words + number(told % v)), longest):
                         yield pd.DataFrame({c: ids[found[:, k]] if k < found.shape[1] else np.int64(-1) for k, c in enumerate(columns)} | {"f": counts})
 
-        back = pairs.groupBy("block").agg(F.collect_list(F.struct("one", "two")).alias("x")).select("block", F.col("x.one").alias("ones"), F.col("x.two").alias("twos"))
-        longer = ready.join(back, "block").select("stream", "ids", "ones", "twos").mapInPandas(longer_of, ", ".join(f"{c} long" for c in columns) + ", f long")
+        back = pairs.groupBy("block").agg(F.collect_list("pair").alias("told"))
+        longer = ready.join(back, "block").select("stream", "ids", "told").mapInPandas(longer_of, ", ".join(f"{c} long" for c in columns) + ", f long")
         longer = longer.groupBy(*columns).agg(F.sum("f").alias("f")).where(F.col("f") >= least)
         phrases = phrases.unionByName(longer.select(F.filter(F.array(*columns), lambda x: x >= 0).alias("ids"), "f"))
     phrases = save(phrases)
