@@ -14,6 +14,8 @@ from quern.operators.skew import join_in_parts
 from quern.sources.shared import settled
 
 MOST_IDS = 10_000  # ids of a list that are written into the plan
+#: How many jobs and notifications a view shows.
+SHOWN_JOBS, SHOWN_NOTIFICATIONS = 8, 20
 GRAM = 3  # characters of the pieces by which names are looked for
 RANGE_ROWS = 100_000  # rows of a range of a paged table
 
@@ -156,6 +158,13 @@ def latest(df: DataFrame, key: str, *by: str) -> DataFrame:
     return df.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(*by)).alias("row")).select(key, "row.*")
 
 
+def newest(df: DataFrame, n: int, *by: str) -> DataFrame:
+    """The last n rows by some columns, last first."""
+    if n < 1:
+        raise ValueError("one row at least")
+    return df.orderBy(*map(F.desc, by)).limit(n)
+
+
 def tail_then_sort(df: DataFrame, keep: int, inserted: str, shown: str) -> DataFrame:
     """The last `keep` rows by insertion, and only then sorted by another column, newest first."""
     return df.orderBy(F.desc(inserted)).limit(keep).orderBy(F.desc(shown), F.desc(inserted))

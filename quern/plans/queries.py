@@ -13,8 +13,9 @@ from pyspark.sql import window as W
 
 from quern.functions import scalars as S
 from quern.operators import chunking, evaluation, fulltext, listing, projection, retrieval
-from quern.sources import shared
+from quern.sources import files, shared
 from quern.sources.buckets import BucketedTable
+from quern.streaming import job_log as log
 from quern.streaming import jobs, requests
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -807,3 +808,93 @@ def embedding_cells(spark, d):
 def cluster_names(spark, d):
     named = vectors(spark, d).select("label", F.concat(F.lit("C"), F.col("label").cast("string")).alias("cluster")).distinct()
     return named.orderBy(F.regexp_extract("cluster", r"\d+", 0).cast("int"))
+
+
+# file names, uploads, the log of jobs, what a view shows
+
+_SUFFIXES = [".pdf", ".DOCX", ".python", ".yml", ".md", ".json", "", ".Markdown"]
+_PATHS = f"SELECT page_id, CASE WHEN page_id % 11 = 0 THEN 'units/Calculus PDF.json' ELSE url || ' a_b' || {_SUFFIXES}[page_id % 8 + 1] END AS path FROM pages"
+
+
+def _paths(spark, d):
+    suffix = F.element_at(F.array(*map(F.lit, _SUFFIXES)), (F.col("page_id") % 8 + 1).cast("int"))
+    path = F.when(F.col("page_id") % 11 == 0, F.lit("units/Calculus PDF.json")).otherwise(F.concat("url", F.lit(" a_b"), suffix))
+    return table(spark, d, "pages").select("page_id", path.alias("path"))
+
+
+@query(rf"""
+WITH p AS ({_PATHS}), b AS (SELECT page_id, path, regexp_extract(path, '[^/]*$') AS b FROM p WHERE regexp_extract(path, '[^/]*$') <> 'Calculus PDF.json')
+SELECT page_id, replace(CASE WHEN regexp_matches(b, '^.+\.[^.]+$') THEN regexp_replace(b, '\.[^.]*$', '') ELSE b END, '_', ' ') AS title,
+  CASE WHEN upper(regexp_extract(b, '\.([^.]+)$', 1)) IN ('PDF', 'DOCX', 'PYTHON', 'YAML', 'MARKDOWN', 'JSON') THEN upper(regexp_extract(b, '\.([^.]+)$', 1)) ELSE 'PDF' END AS doc_type,
+  regexp_replace(path, '\s+', '_', 'g') AS download
+FROM b
+""")
+def file_names(spark, d):
+    """Titles, kinds and names for a download of files by their paths, without those that are never ingested."""
+    kept = _paths(spark, d).where(~S.base_name(F.col("path")).isin(files.EXCLUDED))
+    return kept.select("page_id", S.title_of(F.col("path")).alias("title"), S.doc_type(F.col("path")).alias("doc_type"), S.file_name(F.col("path")).alias("download"))
+
+
+_NOW = 1_705_000_000
+
+
+@query(f"SELECT event_id, CASE WHEN event_id % 9 = 0 THEN 0 ELSE greatest(0, {_NOW} - CAST(floor(epoch(ts)) AS BIGINT)) END AS age, strftime(ts, '%Y-%m-%d') AS day FROM events")
+def event_age(spark, d):
+    """Ages at a given time, 0 where the time isn't known, and days."""
+    seconds = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000)
+    known = F.when(F.col("event_id") % 9 != 0, seconds)
+    return table(spark, d, "events").select("event_id", S.age_seconds(F.lit(_NOW).cast("long"), known).cast("long").alias("age"), S.day_of(seconds).alias("day"))
+
+
+@query("SELECT doc_id // 5 AS doc, coalesce(sum(CASE WHEN doc_id % 5 < 3 THEN length(text) END), 0) >= 2000 AS has_text FROM documents GROUP BY 1")
+def text_layer(spark, d):
+    """Is there text enough on the first three pages? Five documents are the pages of one."""
+    pages = docs(spark, d).select(F.expr("doc_id div 5").alias("doc"), (F.col("doc_id") % 5 + 1).alias("page"), "text")
+    return files.has_text_layer(pages, 2000)
+
+
+@query("SELECT source AS request, count(*) AS files, sum(strlen(text))::BIGINT AS bytes, max(strlen(text)) AS largest, count(*) <= 500 AND max(strlen(text)) <= 262144000 AND sum(strlen(text)) <= 100000 AS admitted FROM documents GROUP BY 1")
+def upload_sums(spark, d):
+    """Files and bytes of each request, and which of them keep the ceilings."""
+    uploads = docs(spark, d).select(F.col("source").alias("request"), F.octet_length("text").cast("long").alias("bytes"))
+    return files.request_sums(uploads, "request", max_payload_bytes=100_000)
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS active FROM events WHERE event_type IN ('click', 'view')")
+def active_jobs(spark, d):
+    return listing.active_jobs(_logged(spark, d))
+
+
+def _logged(spark, d):
+    """The events as jobs, with states and a field that is made from others."""
+    state = F.when(F.col("event_type") == "click", "pending").when(F.col("event_type") == "view", "in_progress").otherwise("completed")
+    return table(spark, d, "events").select(F.col("event_id").alias("job_id"), state.alias("status"), "user_id", (F.col("value") * 2).alias("progress"))
+
+
+@query("SELECT event_id AS job_id, CASE WHEN event_type IN ('click', 'view') THEN 'interrupted' ELSE 'completed' END AS status, user_id FROM events ORDER BY event_id DESC LIMIT 200")
+def job_log(spark, d):
+    """The log after a restart: its last 200 jobs, of which those that were in flight are interrupted."""
+    folder = f"{shared.shared_dir(spark)}/job-log-{shared.new_name()}"
+    shared.delete_at_end(spark, folder)
+    log.write(_logged(spark, d), folder, "job_id", derived=["progress"])
+    return log.read(spark, folder)
+
+
+@query("SELECT 'job' AS kind, event_id FROM (SELECT event_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 8) UNION ALL SELECT 'notification', event_id FROM (SELECT event_id FROM events WHERE event_type = 'click' ORDER BY ts DESC, event_id DESC LIMIT 20)")
+def shown_rows(spark, d):
+    """What a view shows: the newest 8 jobs and the newest 20 notifications."""
+    events = table(spark, d, "events").select("event_id", "event_type", "ts")
+    shown = lambda kind, rows: rows.select(F.lit(kind).alias("kind"), "event_id")
+    return shown("job", listing.newest(events, listing.SHOWN_JOBS, "ts", "event_id")).unionByName(shown("notification", listing.newest(events.where("event_type = 'click'"), listing.SHOWN_NOTIFICATIONS, "ts", "event_id")))
+
+
+@query(r"SELECT 'chunk_' || (doc_id + 1) || '_' || regexp_replace(source || ' of  ' || lang, '\s+', '_', 'g') || '.json' AS name, CAST(to_json({'chunk_num': doc_id + 1, 'doc_title': source || ' of  ' || lang, 'text': text}) AS VARCHAR) AS content FROM documents")
+def chunk_download(spark, d):
+    """Each chunk as a JSON file with a name."""
+    return listing.download(docs(spark, d).select((F.col("doc_id") + 1).alias("chunk_num"), F.concat("source", F.lit(" of  "), "lang").alias("doc_title"), "text"))
+
+
+@query(f"WITH {_fused(0.7)} SELECT doc_id, {_DS} AS rerank_score, rank AS final_rank, 0 AS rank_delta FROM fused WHERE rank <= 6")
+def cut_by_rank(spark, d):
+    """A search that isn't reranked: its first six."""
+    return retrieval.cut(_search(spark, d, "hybrid"), 6).select("doc_id", "rerank_score", F.col("final_rank").cast("long").alias("final_rank"), "rank_delta")

@@ -67,6 +67,14 @@ def admitted(uploads: DataFrame, max_payload_bytes: int = MAX_TOTAL_BYTES) -> Da
     return rows.select(F.when(F.col("accepted") & (nth > 1), F.regexp_replace(F.col("clean"), F.lit(r"^(.*?)(\.[^./]*)?$"), F.concat(F.lit("$1_"), mark, F.lit("$2")))).otherwise(F.col("clean")).alias("clean_name"), "bytes", "accepted")
 
 
+def request_sums(uploads: DataFrame, request: str, max_payload_bytes: int = MAX_TOTAL_BYTES) -> DataFrame:
+    """uploads (a request, bytes): files, bytes and largest of each request, and whether it keeps the ceilings. Unknown sizes are 0."""
+    n = F.coalesce("bytes", F.lit(0))
+    sums = uploads.groupBy(request).agg(F.count("*").alias("files"), F.sum(n).alias("bytes"), F.max(n).alias("largest"))
+    keeps = (F.col("files") <= MAX_FILES) & (F.col("largest") <= MAX_FILE_BYTES) & (F.col("bytes") <= min(MAX_TOTAL_BYTES, max_payload_bytes))
+    return sums.withColumn("admitted", keeps)
+
+
 def has_text_layer(pages: DataFrame, threshold: int = 200) -> DataFrame:
     """pages (doc, page, text): does the text of the first three pages reach the threshold?"""
     return pages.groupBy("doc").agg((F.coalesce(F.sum(F.when(F.col("page") <= 3, F.length(S.text_of("text")))), F.lit(0)) >= threshold).alias("has_text"))
