@@ -148,9 +148,13 @@ def longer_counts(maps: Bitmaps, pairs: np.ndarray, longest: int = LONGEST) -> I
                 yield phrases, n
 
 
-def _narrow(n_words: int) -> str:
-    """The kind of number that a stream of so many different words is stored in."""
-    return "<i2" if n_words < 1 << 15 else "<i4"
+def _packed(stream: np.ndarray) -> bytes:
+    """A stream's numbers from -1 as planes of their bytes: the upper ones are nearly all 0, and compress to nearly nothing."""
+    return np.ascontiguousarray((stream + 1).astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _unpacked(planes: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, dtype=np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int32) - 1
 
 
 def _blocks(docs: DataFrame) -> DataFrame:
@@ -163,7 +167,7 @@ def _blocks(docs: DataFrame) -> DataFrame:
         def made(lang: str) -> pd.DataFrame:
             stream, words = words_of(waiting.pop(lang))
             counts = np.bincount(stream[stream >= 0], minlength=len(words))
-            return pd.DataFrame({"lang": [lang], "words": [int(counts.sum())], "stream": [stream.astype("<i4").tobytes()], "vocabulary": [words.to_pylist()], "counts": [counts]})
+            return pd.DataFrame({"lang": [lang], "words": [int(counts.sum())], "stream": [_packed(stream)], "vocabulary": [words.to_pylist()], "counts": [counts]})
 
         for frame in frames:
             for lang, text in zip(frame["lang"], frame["text"], strict=True):
@@ -210,10 +214,10 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, re
     def only_frequent(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for block, stream, places, ids in zip(frame["block"], frame["stream"], frame["places"], frame["ids"], strict=True):
-                stream, places = np.frombuffer(stream, dtype="<i4"), np.asarray(places, dtype=np.int64)
-                number = np.full(max(int(stream.max(initial=-1)) + 2, 1), -1, dtype=_narrow(len(places)))
+                stream, places = _unpacked(stream), np.asarray(places, dtype=np.int64)
+                number = np.full(max(int(stream.max(initial=-1)) + 2, 1), -1, dtype=np.int32)
                 number[places] = np.arange(len(places))
-                yield pd.DataFrame({"block": [block], "stream": [number[stream].tobytes()], "ids": [np.asarray(ids, dtype=np.int64)]})  # -1 takes the last, which is -1
+                yield pd.DataFrame({"block": [block], "stream": [_packed(number[stream])], "ids": [np.asarray(ids, dtype=np.int64)]})  # -1 takes the last, which is -1
 
     met = blocks.select("block", "stream").join(told, "block").select("block", "stream", F.col("known.place").alias("places"), F.col("known.id").alias("ids"))
     ready = save(met.mapInPandas(only_frequent, "block long, stream binary, ids array<long>"))
@@ -223,7 +227,7 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, re
     def pairs_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for block, stream, ids in zip(frame["block"], frame["stream"], frame["ids"], strict=True):
-                maps = Bitmaps(np.frombuffer(stream, dtype=_narrow(len(ids))))
+                maps = Bitmaps(_unpacked(stream))
                 for key, n in pair_counts(maps):
                     yield pd.DataFrame({"pair": ids[key // maps.n_words] * v + ids[key % maps.n_words], "block": block, "f": n})
 
@@ -238,7 +242,7 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, re
         def longer_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for frame in frames:
                 for stream, ids, told in zip(frame["stream"], frame["ids"], frame["told"], strict=True):
-                    maps, order = Bitmaps(np.frombuffer(stream, dtype=_narrow(len(ids)))), np.argsort(ids, kind="stable")
+                    maps, order = Bitmaps(_unpacked(stream)), np.argsort(ids, kind="stable")
                     number = lambda x: order[np.searchsorted(ids, x, sorter=order)]  # noqa: B023, E731
                     told = np.asarray(told, dtype=np.int64)
                     for found, counts in longer_counts(maps, np.sort(number(told // v) * maps.n_words + number(told % v)), longest):
