@@ -73,7 +73,7 @@ def knn_many(table: DataFrame, queries: DataFrame, k: int, id_col: str = "chunk_
 
 
 def terms(text: Column) -> Column:
-    return F.filter(F.split(F.lower(S.text_of(text)), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    return F.array_remove(F.split(F.lower(S.text_of(text)), r"[^\p{L}\p{N}]+"), "")
 
 
 def asked_terms(queries: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,3 +100,29 @@ def test_two_builders_share_an_index(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(FullTextIndex, "_write", write)
     index = FullTextIndex.build(table(spark, docs), str(tmp_path / "i"), "doc_id")
     assert index.log.numbers() == [1] and len(shared.names_in(spark, f"{index.folder}/segments")) == 1 and index.stats().first().n == 5
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_texts_are_counted_in_their_rows(spark, tmp_path):
+    odd = spark.createDataFrame([(1, None), (2, ""), (3, " .,"), (4, "b a b"), (5, "A"), (6, "c c c")], "doc_id long, text string")
+    found = FullTextIndex(spark, str(tmp_path / "i"), "doc_id")._documents(odd, "text")
+    assert "Exchange" not in plan(found)
+    got = {r.id: (r.dl, [tuple(t) for t in r.terms]) for r in found.collect()}
+    assert got == {1: (0, []), 2: (0, []), 3: (0, []), 4: (3, [("a", 1), ("b", 2)]), 5: (1, [("a", 1)]), 6: (3, [("c", 3)])}
+
+
+def test_blocks_go_on_over_batches(spark):
+    rng = random.Random(7)
+    rows = sorted((f"t{rng.randrange(9)}", f"b{rng.randrange(4)}", i, rng.randrange(1, 9), rng.randrange(9, 99)) for i in range(500))
+    want = {}
+    for term, block, *entry in rows:
+        want.setdefault((term, block), []).append(dict(zip(("id", "tf", "dl"), entry, strict=True)))
+    table = pa.table(dict(zip(("term", "block", "id", "tf", "dl"), map(list, zip(*rows, strict=True)), strict=True)))
+    for size in (1, 3, 16, 500):
+        got = [r for batch in fulltext._blocks(iter(table.to_batches(size))) for r in batch.to_pylist()]
+        assert {(r["term"], r["block"]): r["entries"] for r in got} == want and len(got) == len(want)
+        assert all((r["n"], r["most_tf"], r["least_dl"]) == (len(e), max(x["tf"] for x in e), min(x["dl"] for x in e)) for r in got for e in [r["entries"]])
+    assert list(fulltext._blocks(iter(table[:0].to_batches()))) == []
