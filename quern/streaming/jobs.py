@@ -59,6 +59,31 @@ def run_of(events: list[str | None], begin: np.ndarray) -> np.ndarray:
     return begin
 
 
+def _numbers(events: pd.Series) -> np.ndarray:
+    return events.map(_NUMBER).fillna(len(EVENTS)).to_numpy().astype(int)
+
+
+def _firsts(frame: pd.DataFrame) -> np.ndarray:
+    """Where runs of one part and job begin."""
+    new = np.ones(len(frame), bool)
+    for name in ("part", "job_id"):
+        column = frame[name].to_numpy()
+        new[1:] = column[1:] != column[:-1] if name == "part" else new[1:] | (column[1:] != column[:-1])
+    return np.flatnonzero(new)
+
+
+def _composed(events: pd.Series, first: np.ndarray) -> np.ndarray:
+    """For each event and each state that its run may begin in, the state after it. Tables of twice as many events in each round."""
+    tables, rows = STAYS[_numbers(events)], np.arange(len(events))
+    lengths = np.diff(np.append(first, len(events)))
+    place, step = rows - np.repeat(first, lengths), 1
+    while step < lengths.max(initial=0):
+        late = rows[place >= step]
+        tables[late] = np.take_along_axis(tables[late], tables[late - step], axis=1)
+        step *= 2
+    return tables
+
+
 def replay(events: list[str | None], state: int) -> tuple[list[str], list[bool], int]:
     """Of each event the state after it and whether it was valid; the last state."""
     states, valid = [], []
@@ -80,44 +105,50 @@ def job_states(events: DataFrame) -> DataFrame:
     order = ["job_id", "seq", "event"]
     ranged = settled(lean.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
 
-    def in_order() -> DataFrame:
-        return ranged.repartition("part").sortWithinPartitions("part", *order)
+    def in_order(rows: DataFrame) -> DataFrame:
+        return rows.repartition("part").sortWithinPartitions("part", *order)
 
     def runs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, now = None, np.arange(len(STATES))
+        key, now = None, None  # the run that the last frame ended in, and its table
         row = lambda: pd.DataFrame({"part": [key[0]], "job_id": [key[1]], "after": [now.tolist()]})
-        for frame in frames:
-            for k, own in frame.groupby(["part", "job_id"], sort=False):
-                if key is not None and k != key:
-                    yield row()
-                    now = np.arange(len(STATES))
-                key, now = k, run_of(own["event"].tolist(), now)
+        for frame in (f for f in frames if len(f)):
+            first = _firsts(frame)
+            tables = _composed(frame["event"], first)
+            goes_on = key == (frame["part"].iloc[0], frame["job_id"].iloc[0])
+            if goes_on:
+                n = first[1] if len(first) > 1 else len(frame)
+                tables[:n] = tables[:n, now]
+            elif key is not None:
+                yield row()
+            ends = first[1:] - 1
+            yield frame[["part", "job_id"]].iloc[ends].assign(after=tables[ends].tolist())
+            key, now = (frame["part"].iloc[-1], frame["job_id"].iloc[-1]), tables[-1]
         if key is not None:
             yield row()
 
-    def begins(frame: pd.DataFrame) -> pd.DataFrame:
-        frame, state, out = frame.sort_values("part"), 0, []
-        for after in frame["after"]:
-            out.append(state)
-            state = int(after[state])
-        return frame[["part", "job_id"]].assign(begin=out)
-
-    tables = in_order().select("part", *order).mapInPandas(runs, "part int, job_id long, after array<int>")
-    started = tables.groupBy("job_id").applyInPandas(begins, "part int, job_id long, begin int")  # as many rows as a job has ranges
+    tables = in_order(ranged).select("part", *order).mapInPandas(runs, "part int, job_id long, after array<int>")
+    # as many rows as a job has ranges
+    step = lambda a, r: F.struct(F.get(r["after"], a["state"]).alias("state"), F.concat(a["begins"], F.array(F.struct(r["part"].alias("part"), a["state"].alias("begin")))).alias("begins"))
+    start = F.struct(F.lit(0).alias("state"), F.expr("cast(array() as array<struct<part:int,begin:int>>)").alias("begins"))
+    begins = F.aggregate(F.array_sort(F.collect_list(F.struct("part", "after"))), start, step, lambda a: a["begins"])
+    started = tables.groupBy("job_id").agg(begins.alias("begins")).select("job_id", F.inline("begins"))
 
     def replayed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, state = None, 0
-        for frame in frames:
-            out = []
-            for k, own in frame.groupby(["part", "job_id"], sort=False):
-                state = state if k == key else int(own["begin"].iloc[0])
-                states, valid, state = replay(own["event"].tolist(), state)
-                out.append(own[order].assign(state=states, valid=valid))
-                key = k
-            if out:
-                yield pd.concat(out)
-
-    joined = ranged.join(started, ["part", "job_id"]).repartition("part").sortWithinPartitions("part", *order)
+        for frame in (f for f in frames if len(f)):
+            first = _firsts(frame)
+            begin = frame["begin"].to_numpy()[first].astype(int)
+            if key == (frame["part"].iloc[0], frame["job_id"].iloc[0]):
+                begin[0] = state
+            begin = np.repeat(begin, np.diff(np.append(first, len(frame))))
+            after = _composed(frame["event"], first)[np.arange(len(frame)), begin]
+            before = np.append(0, after[:-1])
+            before[first] = begin[first]
+            valid = NEXT[_numbers(frame["event"]), before] != INVALID
+            yield frame[order].assign(state=np.array(STATES, dtype=object)[after], valid=valid)
+            key, state = (frame["part"].iloc[-1], frame["job_id"].iloc[-1]), after[-1]
+
+    joined = in_order(ranged.join(started, ["part", "job_id"]))
     return joined.select("part", "begin", *order).mapInPandas(replayed, OUT)
 
 

@@ -4,6 +4,7 @@ import os
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -136,3 +137,15 @@ def test_unchanged_snapshots_are_not_written_again_after_a_restart(spark, tmp_pa
     frame.limit(1).write.mode("append").parquet(f"{tmp_path}/in")
     run()
     assert written == [2, 2]
+
+
+def test_jobs_are_folded_without_a_call_for_each(spark):
+    rng = random.Random(9)
+    events = pd.Series([rng.choice([*jobs.EVENTS, None, "unheard of"]) for _ in range(300)])
+    first = np.array([0, 1, 2, 70, 71, 299])
+    got = jobs._composed(events, first)
+    for b, e in zip(first, [*first[1:], 300], strict=True):
+        for i in range(b, e):
+            assert got[i].tolist() == jobs.run_of(events[b : i + 1].tolist(), np.arange(len(jobs.STATES))).tolist()
+    frame = spark.createDataFrame([(1, 1, "queued"), (2, 1, "queued")], "job_id long, seq long, event string")
+    assert "FlatMapGroupsInPandas" not in jobs.job_states(frame)._jdf.queryExecution().executedPlan().toString()
