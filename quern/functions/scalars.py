@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Fixed value: white space as Python's str.strip() and str.split() see it.
 SPACE = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+#: Fixed value: what is no white space; ASCII, which is most of a text, is tried first.
+NO_SPACE = SPACE.replace("[", "[!-~[^", 1) + "]"
 #: Fixed value: a sentence ends at .!? before white space and one of these.
 SENTENCE = r"(?<=[.!?])\s+(?=[A-ZÀÈÉÌÒÙ0-9])"
 #: Fixed value: the namespace of name-based identifiers of URLs.
@@ -33,7 +35,8 @@ def text_of(c: Column | str) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+    """Without white space at the ends; texts whose first and last characters are none aren't searched."""
+    return F.when(F.concat(F.substring(c, 1, 1), F.substring(c, -1, 1)).rlike(SPACE), F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")).otherwise(c)
 
 
 def sentences(c: Column) -> Column:
@@ -42,7 +45,7 @@ def sentences(c: Column) -> Column:
 
 
 def word_count(c: Column) -> Column:
-    return F.regexp_count(text_of(c), F.lit(SPACE.replace("[", "[^", 1) + "+"))
+    return F.regexp_count(text_of(c), F.lit(NO_SPACE + "+"))
 
 
 def token_estimate(c: Column) -> Column:
@@ -164,7 +167,7 @@ def redact(fields: Column, limit: int = 4096) -> Column:
     def one(key: Column, value: Column) -> Column:
         k = F.lower(key)
         secret = reduce(lambda a, b: a | b, [F.contains(k, F.lit(p)) for p in SECRET_PARTS])
-        return F.when(k.isin(PROXY_KEYS), F.lit("<REDACTED_PROXY>")).when(secret, F.lit("<REDACTED>")).when(F.length(value) > limit, F.concat(F.substring(value, 1, limit), F.lit("...<truncated>"))).otherwise(value)
+        return F.when(k.isin(PROXY_KEYS), F.lit("<REDACTED_PROXY>")).when(secret, F.lit("<REDACTED>")).when(F.octet_length(value) <= limit, value).when(F.length(value) > limit, F.concat(F.substring(value, 1, limit), F.lit("...<truncated>"))).otherwise(value)
 
     return F.transform_values(fields, one)
 

@@ -202,7 +202,8 @@ FROM (SELECT event_id, unnest({_LOGGED}) AS key, repeat(props, CAST(event_id % 3
 def redact(spark, d):
     value = F.expr("repeat(props, cast(event_id % 3 as int) * 300)")
     fields = F.map_from_arrays(F.lit(_LOGGED), F.array_repeat(value, len(_LOGGED)))
-    return table(spark, d, "events").select("event_id", F.explode(S.redact(fields)).alias("key", "shown"))
+    rows = table(spark, d, "events").select("event_id", "props").repartition("event_id")  # small rows of few row groups become large ones
+    return rows.select("event_id", F.explode(S.redact(fields)).alias("key", "shown"))
 
 
 # chunking and documents

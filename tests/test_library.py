@@ -542,3 +542,19 @@ def test_knn_of_many_queries_agrees_with_one_at_a_time(spark, monkeypatch, metri
     assert retrieval.knn_many(table, asked.limit(0), 6, metric=metric).count() == 0
     with pytest.raises(Exception, match="length"):
         retrieval.knn_many(table, asked.select("query_id", F.array(F.lit(1.0)).alias("vector")), 6, metric=metric).collect()
+
+
+def test_white_space_is_found_as_before(spark):
+    every = spark.createDataFrame([(chr(i),) for i in range(1, 0x11000) if not 0xD800 <= i < 0xE000], "c string")
+    assert every.where(F.col("c").rlike(S.NO_SPACE) == F.col("c").rlike(S.SPACE)).count() == 0
+    odd = spark.createDataFrame([("",), (" ",), ("　a b c\x1f",), ("a",), ("é \n",), ("\xa0x",), (None,)], "c string")
+    assert [tuple(r) for r in odd.select(S.strip(F.col("c")), S.word_count(F.col("c"))).collect()] == [("", 0), ("", 0), ("a b c", 3), ("a", 1), ("é", 1), ("x", 1), (None, 0)]
+
+
+def test_long_values_are_cut_by_characters_and_events_are_spread(spark, data):
+    values = ["é" * 4096, "é" * 4097, "x" * 4096, "x" * 4097, ""]
+    got = one(spark, S.redact(F.map_from_arrays("k", "v")), k=list("abcde"), v=values)
+    assert list(got.values()) == [values[0], "é" * 4096 + "...<truncated>", values[2], "x" * 4096 + "...<truncated>", ""]
+    from quern.plans.queries import QUERIES
+
+    assert "Exchange" in QUERIES["redact"](spark, f"{data}/sf0.001")._jdf.queryExecution().executedPlan().toString()
