@@ -127,14 +127,15 @@ class VectorIndex:
         order = W.Window.partitionBy("query_id").orderBy("bound", "shell")
         first = bounds.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)  # a shell has a row at least
         first = first.withColumn("before", F.sum("n").over(order.rowsBetween(W.Window.unboundedPreceding, 0)) - F.col("n")).where(F.col("before") < k)
-        far = settled(self._nearest(queries, first, k).where(F.col("rank") == k).select("query_id", F.col("distance").alias("far")))
+        far = settled(self._nearest(queries, first.withColumn("reach", F.lit(None).cast("double")), k).where(F.col("rank") == k).select("query_id", F.col("distance").alias("far")))
         reach = F.col("far") + MARGIN * (1 + F.abs("far"))
-        return bounds.join(far, "query_id", "left").where(F.col("far").isNull() | (F.col("bound") <= reach)).select("query_id", "shell", "n", "bound")
+        met = bounds.join(far, "query_id", "left").withColumn("reach", reach)
+        return met.where(F.col("reach").isNull() | (F.col("bound") <= F.col("reach"))).select("query_id", "shell", "n", "bound", "reach")
 
     def _nearest(self, queries: DataFrame, shells: DataFrame, k: int) -> DataFrame:
-        """The k nearest rows of each query in the shells (query_id, shell)."""
+        """The k nearest rows of each query in the shells (query_id, shell, reach: no farther row matters, null if that isn't known)."""
         blocks = -(-queries.count() // BLOCK_QUERIES) or 1
-        pairs = settled(shells.select("query_id", "shell").withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")))
+        pairs = settled(shells.select("query_id", "shell", "reach").withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")))
         wanted = pairs.select("shell", "block").distinct()
         rows = self.spark.read.parquet(f"{self.folder}/rows").select("id", "vector", "shell")
         few = [r.shell for r in wanted.select("shell").distinct().limit(PUSHED_SHELLS + 1).collect()]
@@ -147,12 +148,18 @@ class VectorIndex:
             out = [pd.DataFrame({"query_id": theirs["query_id"][:0], "id": mine["id"][:0], "distance": np.zeros(0)})]
             if len(mine) and len(theirs):
                 asked = _stack(list(theirs["asked"]))
+                theirs, mine = theirs.reset_index(drop=True), mine.sort_values("id").reset_index(drop=True)
                 found = retrieval.distances(_stack(list(mine["vector"]), asked.shape[1]), asked, metric)
-                for query_id, distance in zip(theirs["query_id"], found, strict=True):
-                    near = np.flatnonzero(~(distance > np.partition(distance, k - 1)[k - 1])) if k < len(distance) else np.arange(len(distance))
-                    best = pd.DataFrame({"id": mine["id"].to_numpy()[near], "distance": distance[near]}).sort_values(["distance", "id"]).head(k)
-                    out.append(best.assign(query_id=query_id))
-            return pd.concat(out[1:] or out)[["query_id", "id", "distance"]]
+                edge = np.partition(found, k - 1, axis=1)[:, k - 1] if k < len(mine) else np.full(len(theirs), np.nan)
+                edge = np.fmin(edge, theirs["reach"].to_numpy(float))  # nan: all
+                query, row = np.nonzero(~(found > edge[:, None]))
+                order = np.lexsort((row, found[query, row], query))
+                query, row = query[order], row[order]
+                first = np.searchsorted(query, np.arange(len(theirs)))
+                best = np.arange(len(query)) - first[query] < k
+                query, row = query[best], row[best]
+                out.append(pd.DataFrame({"query_id": theirs["query_id"].take(query).array, "id": mine["id"].take(row).array, "distance": found[query, row]}))
+            return out[-1]
 
         met = left.groupBy("shell", "block").cogroup(right.groupBy("their_shell", "their_block")).applyInPandas(nearest, f"query_id {query_type}, id {id_type}, distance double")
         rank = F.row_number().over(W.Window.partitionBy("query_id").orderBy("distance", "id"))

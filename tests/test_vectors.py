@@ -66,3 +66,16 @@ def test_awkward_vectors(spark, tmp_path):
     for bad in ([1.0], None):
         with pytest.raises(Exception, match="length"):
             VectorIndex.build(spark.createDataFrame([(1, [1.0, 0.0]), (2, bad)], "chunk_id long, vector array<float>"), str(tmp_path / f"bad{bad}"))
+
+
+def test_rows_beyond_reach_stay_in_their_shell(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=3)) for i in range(300)] + [(300 + i, np.ones(3)) for i in range(30)]  # ties among the nearest
+    asked = table(spark, [(0, np.ones(3)), (1, rng.normal(size=3))]).withColumnRenamed("chunk_id", "query_id")
+    for metric in ("l2", "cosine", "dot"):
+        index = VectorIndex.build(table(spark, rows), str(tmp_path / metric), metric=metric)
+        reach = {r.query_id: r.reach for r in index.needed(asked, 7).collect()}
+        got = index.search(asked, 7).collect()
+        assert len(got) == 14 and all(r.distance <= reach[r.query_id] for r in got)
+        if metric == "l2":
+            assert sorted(r.chunk_id for r in got if r.query_id == 0) == list(range(300, 307))
