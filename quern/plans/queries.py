@@ -522,11 +522,10 @@ def _share_of_terms(query: str, texts: list[str]) -> list[float]:
 
 
 def _chunks(spark, d):
-    """The documents as a chunk table, with vectors."""
+    """The documents as a chunk table, without vectors."""
     title = F.col("source").alias("source_title")
     kind = F.when(F.col("lang") == "fr", "articolo").when(F.col("lang") == "de", "video").otherwise("libro").alias("source_type")
-    rows = docs(spark, d).join(vectors(spark, d).select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector")), "doc_id", "left")
-    return rows.select(F.col("doc_id").alias("chunk_id"), "text", "vector", title, kind, F.col("lang").alias("section"), S.page_position(F.col("doc_id")).alias("position"))
+    return docs(spark, d).select(F.col("doc_id").alias("chunk_id"), "text", title, kind, F.col("lang").alias("section"), S.page_position(F.col("doc_id")).alias("position"))
 
 
 @query(f"""{_RERANK.replace("['the', 'tion', 'ing']", "['the', 'and']").replace("/ 3::DOUBLE", "/ 2::DOUBLE")}
@@ -536,11 +535,11 @@ SELECT o.doc_id AS id, final_rank AS chunk_num, source AS doc_title, CASE lang W
   CASE WHEN embedding IS NOT NULL THEN '64d' END AS dimensions, CASE WHEN o.doc_id > 0 THEN 'p. ' || o.doc_id ELSE '' END AS char_offset
 FROM o JOIN fused ON o.doc_id = fused.doc_id JOIN documents d ON o.doc_id = d.doc_id LEFT JOIN embeddings e ON e.vec_id = d.doc_id""")
 def query_pipeline(spark, d):
-    """A question from retrieval over reranking to the view, as one plan."""
-    chunks = _chunks(spark, d)
-    index = index_of(spark, d)
-    found = retrieval.hybrid_search(chunks.withColumnRenamed("chunk_id", "doc_id"), query_vector(spark, d), WORDS, 20, "hybrid", 0.7, "doc_id", vectors=vectors(spark, d).select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector")), index=index)
-    found = found.withColumnRenamed("doc_id", "chunk_id").join(chunks.select("chunk_id", "vector"), "chunk_id")
+    """A question from retrieval over reranking to the view. Vectors are joined to the rows found, not to all texts."""
+    chunks, vecs = _chunks(spark, d).withColumnRenamed("chunk_id", "doc_id"), vectors(spark, d).select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
+    found = shared.settled(retrieval.hybrid_search(chunks.withColumn("vector", F.lit(None)), query_vector(spark, d), WORDS, 20, "hybrid", 0.7, "doc_id", vectors=vecs, index=index_of(spark, d)))
+    theirs = vecs.join(F.broadcast(found.select("doc_id")), "doc_id", "left_semi")  # found has at most 20 rows
+    found = found.join(F.broadcast(theirs), "doc_id", "left").withColumnRenamed("doc_id", "chunk_id")
     shown = retrieval.result_view(retrieval.rerank_or_keep(found, WORDS, _share_of_terms, 6), "none")
     return shown.select("id", F.col("chunk_num").cast("long").alias("chunk_num"), "doc_title", "doc_type", "section", "highlight_snippet", "dense_score", "bm25_score", "rerank_score", F.col("rank_delta").cast("long").alias("rank_delta"), "token_count", "dimensions", "char_offset")
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quern.operators import fulltext, retrieval
 from quern.operators.fulltext import FullTextIndex
+from quern.plans import queries
 from quern.sources import shared
 
 WORDS = [f"w{i}" for i in range(300)]
@@ -178,3 +179,12 @@ def test_runs_are_whole_blocks_in_order(monkeypatch):
             if run > 4:  # else a single document is a run
                 assert len(got) == len(want) and {(r["term"], r["block"]): r["entries"] for r in got} == want
     assert list(fulltext._postings(iter([]))) == [] == list(fulltext._counted(iter([])))
+
+
+def test_vectors_are_joined_to_the_rows_found(spark, data):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = queries.query_pipeline(spark, f"{data}/sf0.001")
+        assert not re.search(r"SortMergeJoin[^\n]*Left", plan(found)) and found.count() == 6
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
