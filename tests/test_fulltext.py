@@ -188,3 +188,11 @@ def test_vectors_are_joined_to_the_rows_found(spark, data):
         assert not re.search(r"SortMergeJoin[^\n]*Left", plan(found)) and found.count() == 6
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_documents_are_not_exchanged_for_the_rows_found(spark, data):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "60k")  # a search's rows are fewer, documents more
+    try:
+        assert "SortMergeJoin" not in plan(queries.citation_context(spark, f"{data}/sf0.001"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
